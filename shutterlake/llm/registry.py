@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import topk, warc
+from shutterlake.llm import packing, token_counts, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.query,
+    "op3_token_counts": token_counts.query,
     "op4_exact_topk": topk.query,
     "op9_warc_store": warc.query,
 }
