@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import packing, token_counts, topk, warc
+from shutterlake.llm import decontaminate, language, packing, pseudonyms, token_counts, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
+    "op2_language_codes": language.query,
     "op3_token_counts": token_counts.query,
     "op4_exact_topk": topk.query,
+    "op7_format_preserving_pseudonyms": pseudonyms.query,
+    "op8_spaced_seed_decontamination": decontaminate.query,
     "op9_warc_store": warc.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": topk.SQL,
