@@ -21,22 +21,30 @@ from shutterlake.llm.common import shared_dir
 from shutterlake.llm.kernels import groups, text_bytes
 
 CHUNK_BYTES = 4 << 20
-_CHUNK = "chunk_id long, doc_ids binary, null_ids binary, offsets binary, data binary"
+#: Name, among a chunk's other columns, of the mark of null texts.
+NO_TEXT = "__no_text"
+_CHUNK = "chunk_id long, doc_ids binary, null_ids binary, offsets binary, data binary, others binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, n = TaskContext.get().partitionId(), 0
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    others: list[pa.RecordBatch] = []
 
     def flush() -> pa.RecordBatch:
         nonlocal n
         ids, nulls, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        table = pa.Table.from_batches(others).combine_chunks()
+        others.clear()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
         n += 1
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([(task << 32) + n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, nulls, offsets, data))],
-            names=["chunk_id", "doc_ids", "null_ids", "offsets", "data"],
+            [pa.array([(task << 32) + n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, nulls, offsets, data)), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            names=["chunk_id", "doc_ids", "null_ids", "offsets", "data", "others"],
         )
 
     size = 0
@@ -51,6 +59,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
                 size = 0
             # Copied, so that the batch itself can go.
+            rest = batch.drop_columns(["text"]).slice(a, b - a).append_column(NO_TEXT, batch.column("text").slice(a, b - a).is_null())
+            others.append(rest)
             held.append((ids[a:b].copy(), nulls[a:b].copy(), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]].copy()))
             size += more
     if held:
@@ -62,12 +72,12 @@ def partitions_of(df: DataFrame) -> int:
 
 
 def store_chunks(docs: DataFrame, name: str) -> DataFrame:
-    """docs(doc_id, text) as a table of chunks in the shared folder; a null doc_id is kept as the largest number and marked.
+    """docs(doc_id, text, ...) as a table of chunks in the shared folder; a null doc_id is kept as the largest number and marked.
 
-    The table is bucketed by chunk_id: joins on it move only what is joined to it.
+    Other columns are kept beside, unread by those who don't ask for them. The table is bucketed by chunk_id: joins on it move only what is joined to it.
     """
     table = f"shutterlake_{name}_{uuid.uuid4().hex}"
-    rows = docs.select("doc_id", "text").mapInArrow(_pack, _CHUNK)
+    rows = docs.mapInArrow(_pack, _CHUNK)
     writer = rows.write.bucketBy(2 * partitions_of(docs), "chunk_id").option("path", f"{shared_dir(docs.sparkSession)}/{table}")
     writer.option("compression", "zstd").option("parquet.enable.dictionary", "false").saveAsTable(table)
     return docs.sparkSession.table(table)
@@ -82,6 +92,15 @@ class Chunk:
         self.null_ids = np.frombuffer(row["null_ids"], bool)
         self.offsets = np.frombuffer(row["offsets"], np.int64)
         self.data = np.frombuffer(row["data"], np.uint8)
+        self._others = row.get("others")
+
+    def others(self) -> pa.Table:
+        """The rows' other columns, doc_id among them, and whether their text is null."""
+        return pa.ipc.open_stream(pa.py_buffer(self._others)).read_all()
+
+    def texts(self) -> pa.Array:
+        """The rows' texts, without regard to nulls."""
+        return pa.LargeStringArray.from_buffers(len(self.doc_ids), pa.py_buffer(self.offsets.tobytes()), pa.py_buffer(self.data.tobytes()))
 
     def ids(self) -> pa.Array:
         return pa.array(self.doc_ids, pa.int64(), mask=self.null_ids)

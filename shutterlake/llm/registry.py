@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import decontaminate, language, packing, pseudonyms, substrings, token_counts, topk, toxicity, warc
+from shutterlake.llm import decontaminate, language, ngram_join, packing, pseudonyms, substrings, token_counts, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
     "op2_language_codes": language.query,
     "op3_token_counts": token_counts.query,
     "op4_exact_topk": topk.query,
+    "op5_ngram_jaccard_join": ngram_join.query,
     "op6_merged_transform_dedup": substrings.query,
     "op7_format_preserving_pseudonyms": pseudonyms.query,
     "op8_spaced_seed_decontamination": decontaminate.query,

@@ -512,7 +512,7 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     have no bytes; texts of fewer than LENGTH bytes lose none. Rows that share a doc_id don't take from each other. A
     null doc_id counts as larger than all others. An empty table gives no rows; extra columns are ignored.
     """
-    chunks = store_chunks(docs, "substrings")
+    chunks = store_chunks(docs.select("doc_id", "text"), "substrings").drop("others")
     buckets = 3 * partitions_of(docs)
     told = chunks.mapInArrow(_tell(buckets), _TELL)
     masks = bucketed(told, shared_masks, _MASK)
