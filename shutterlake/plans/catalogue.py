@@ -7,14 +7,430 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "content_hash"
+from shutterlake.functions import albums as album_names
+from shutterlake.functions import dates, geo, handlers, names, paths, vectors
+from shutterlake.operators import albums, dedupe, export, geocode, group, heuristics, library, link, reconcile, records, report, scan, similarity
+from shutterlake.plans.views import view, with_views
 
+FLAGSHIP = "dedupe_prefer_album"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
-def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 of each document's content."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
 
+def query(sql: str | None = None, *views: str):
+    """Registers a function as a query, with its SQL over the named views."""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"content_hash": content_hash}
-ORACLE_SQL: dict[str, str] = {"content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents"}
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = with_views(sql, *views) if views else sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "assets").select("path", "doc_id", "type")
+
+
+# DuckDB forms of the name expressions.
+_BASE = "regexp_extract({0}, '([^/]*)$', 1)"
+_EXT = "regexp_extract({0}, '^\\.*[^.].*?(\\.[^.]*)$', 1)"
+_STEM = "left({0}, length({0}) - length(" + _EXT + "))"
+
+
+def _ext(x: str) -> str:
+    return _EXT.format(x)
+
+
+def _stem(x: str) -> str:
+    return _STEM.format(x)
+
+
+_MEDIA_SQL = f"""
+m0 AS (SELECT path, doc_id, dir, type, {_BASE.format('path')} AS b FROM assets),
+m1 AS (SELECT *, {_stem('b')} AS st, lower({_ext('b')}) AS ext FROM m0),
+m AS (SELECT path, doc_id, dir, type, ext, regexp_replace(regexp_replace(st, '\\(\\d+\\)$', ''), '(?:-edited|-edite|-edit|-edi|-ed|-e)$', '') AS name,
+      nullif(ltrim(regexp_extract(st, '\\((\\d+)\\)$', 1), '0'), '') AS dup FROM m1)"""
+_SIDE_SQL = f"""
+s0 AS (SELECT path, regexp_replace({_BASE.format('path')}, '\\.json$', '') AS st, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM sidecars),
+s1 AS (SELECT *, regexp_replace(regexp_replace(st, '\\(\\d+\\)$', ''), '\\.su.*|\\.s$', '') AS r, nullif(ltrim(regexp_extract(st, '\\((\\d+)\\)$', 1), '0'), '') AS dup FROM s0),
+s AS (SELECT path, dir, dup, lower({_ext('r')}) AS ext, {_stem('r')} AS name FROM s1)"""
+
+
+def _link_sql(fuzzy: bool) -> str:
+    rule = "WHEN greatest(length(m.name), length(s.name)) >= 40 AND (starts_with(m.name, s.name) OR starts_with(s.name, m.name)) THEN 50 + least(length(m.name), length(s.name))" if fuzzy else ""
+    return f""",{_MEDIA_SQL},{_SIDE_SQL},
+c AS (SELECT m.path, s.path AS sidecar, CASE WHEN m.name = s.name THEN CASE WHEN m.ext = s.ext AND m.ext <> '' THEN 150 ELSE 100 END
+        WHEN lower(m.name || m.ext) = lower(s.name) THEN 100 {rule} ELSE 0 END AS score
+      FROM (SELECT DISTINCT path, dir, dup, name, ext FROM m) m JOIN s ON m.dir = s.dir AND m.dup IS NOT DISTINCT FROM s.dup),
+b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, sidecar) AS n FROM c WHERE score > 0),
+l AS (SELECT p.path, b.sidecar, b.score, CASE WHEN score >= 150 THEN 3 WHEN score >= 100 THEN 2 WHEN score > 0 THEN 1 END AS confidence
+      FROM (SELECT DISTINCT path FROM assets) p LEFT JOIN b ON p.path = b.path AND b.n = 1)
+"""
+
+
+def _linked(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    media = view(spark, sf_dir, "assets").select("path").distinct()
+    return link.link(media, view(spark, sf_dir, "sidecars"), **how)
+
+
+@query(", f AS (SELECT path FROM assets UNION ALL SELECT path FROM sidecars UNION ALL SELECT DISTINCT concat(dir, '/metadata.json') FROM assets) "
+       f"SELECT CASE WHEN {_BASE.format('path')} = 'metadata.json' THEN 'album_marker' WHEN lower({_ext(_BASE.format('path'))}) = '.json' THEN 'sidecar' "
+       f"WHEN lower({_ext(_BASE.format('path'))}) IN ('.jpg','.jpeg','.heic','.png','.mp','.mp4','.mov','.avi','.mkv','.wmv','.flv') THEN 'media' ELSE 'other' END AS bucket, count(*) AS n FROM f GROUP BY 1", "assets", "sidecars")
+def scan_buckets(spark, sf_dir):
+    a = view(spark, sf_dir, "assets")
+    files = a.select("path").unionAll(view(spark, sf_dir, "sidecars")).unionAll(a.select(F.concat("dir", F.lit("/metadata.json")).alias("path")).distinct())
+    return scan.bucket_counts(scan.classify(files))
+
+
+@query(f"SELECT page_id, {_BASE.format('url')} AS base, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, {_ext(_BASE.format('url'))} AS ext, {_stem(_BASE.format('url'))} AS stem, CASE WHEN starts_with(url, 'http://') THEN substr(url, 7) ELSE url END AS rel FROM pages")
+def path_parts(spark, sf_dir):
+    url = F.col("url")
+    b = paths.basename(url)
+    return _table(spark, sf_dir, "pages").select("page_id", b.alias("base"), paths.dirname(url).alias("dir"), paths.extension(b).alias("ext"), paths.stem(b).alias("stem"), paths.relative_to(url, "http:/").alias("rel"))
+
+
+@query(f",{_MEDIA_SQL} SELECT doc_id, name, dup AS duplicate, ext AS extension FROM m", "assets")
+def parse_media_names(spark, sf_dir):
+    return _media(spark, sf_dir).select("doc_id", names.parse_media(F.col("path")).alias("p")).select("doc_id", "p.*")
+
+
+@query(f",{_SIDE_SQL} SELECT path, name, dup AS duplicate, ext AS extension FROM s", "sidecars")
+def parse_sidecar_names(spark, sf_dir):
+    return view(spark, sf_dir, "sidecars").select("path", names.parse_sidecar(F.col("path")).alias("p")).select("path", "p.*")
+
+
+@query(_link_sql(True) + "SELECT path, sidecar, score FROM l", "assets", "sidecars")
+def link_best(spark, sf_dir):
+    return _linked(spark, sf_dir).select("path", "sidecar", "score")
+
+
+@query(_link_sql(True) + "SELECT confidence, count(*) AS n FROM l GROUP BY 1", "assets", "sidecars")
+def link_confidence(spark, sf_dir):
+    return _linked(spark, sf_dir).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_link_sql(False) + "SELECT path, sidecar, score FROM l", "assets", "sidecars")
+def link_nofuzzy(spark, sf_dir):
+    return _linked(spark, sf_dir, fuzzy=False).select("path", "sidecar", "score")
+
+
+@query(_link_sql(True) + "SELECT 'media' AS kind, path FROM l WHERE sidecar IS NULL UNION ALL SELECT 'sidecar', path FROM sidecars WHERE path NOT IN (SELECT sidecar FROM l WHERE sidecar IS NOT NULL)", "assets", "sidecars")
+def link_unmatched(spark, sf_dir):
+    media, side = view(spark, sf_dir, "assets").select("path").distinct(), view(spark, sf_dir, "sidecars")
+    return link.unmatched(media, side, link.link(media, side))
+
+
+@query("SELECT doc_id, CASE WHEN length(source) < 5 THEN 'album' ELSE 'loose' END AS type, CASE WHEN length(source) < 5 THEN source END AS name FROM assets", "assets")
+def source_label_takeout(spark, sf_dir):
+    a = view(spark, sf_dir, "assets")
+    markers = a.where("type = 'album'").select(F.concat("dir", F.lit("/metadata.json")).alias("path")).distinct()
+    return link.label_takeout(a.select("doc_id", "path"), markers).select("doc_id", "source.type", "source.name")
+
+
+@query("SELECT doc_id, CASE WHEN dir = '/src/src0' THEN 'loose' ELSE 'album' END AS type, CASE WHEN dir <> '/src/src0' THEN source END AS name FROM assets", "assets")
+def source_label_archive(spark, sf_dir):
+    return link.label_archive(_media(spark, sf_dir).drop("type"), "/src/src0/").select("doc_id", "source.type", "source.name")
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = view(spark, sf_dir, "assets")
+    failed = F.col("doc_id") % 97 == 5
+    return a.select("doc_id", "path", F.when(~failed, F.sha2(F.col("text").cast("binary"), 256)).alias("hash"), F.when(failed, "error").otherwise("processed").alias("status"), F.struct("type").alias("source"))
+
+
+_MANIFEST_SQL = ", f AS (SELECT doc_id, type, doc_id % 97 = 5 AS failed, CASE WHEN doc_id % 97 <> 5 THEN sha256(text) END AS hash FROM assets), g AS (SELECT *, bool_or(type = '{0}') OVER (PARTITION BY hash) AS hp, bool_or(type <> '{0}') OVER (PARTITION BY hash) AS ho FROM f) "
+_RESULT_SQL = "CASE WHEN hash IS NULL THEN NULL WHEN hp AND ho AND type <> '{0}' THEN 'delete' ELSE 'keep' END"
+
+
+@query(_MANIFEST_SQL.format("album") + f"SELECT doc_id, {_RESULT_SQL.format('album')} AS result FROM g", "assets")
+def dedupe_prefer_album(spark, sf_dir):
+    return dedupe.resolve(_manifest(spark, sf_dir), "album").select("doc_id", "result")
+
+
+@query(_MANIFEST_SQL.format("loose") + f"SELECT doc_id, {_RESULT_SQL.format('loose')} AS result FROM g", "assets")
+def dedupe_prefer_loose(spark, sf_dir):
+    return dedupe.resolve(_manifest(spark, sf_dir), "loose").select("doc_id", "result")
+
+
+@query(_MANIFEST_SQL.format("other") + f"SELECT {_RESULT_SQL.format('other')} AS result, count(*) AS n FROM g GROUP BY 1", "assets")
+def dedupe_unknown_preference(spark, sf_dir):
+    return dedupe.resolve(_manifest(spark, sf_dir), "other").groupBy("result").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FORMS = """, d AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') WHEN 1 THEN strftime(ts, '  %Y-%m-%d %H:%M:%S.123+02:00')
+ WHEN 2 THEN strftime(ts, '%Y/%m/%d  %H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%d') WHEN 4 THEN '0000:00:00 00:00:00' END AS raw FROM events)"""
+
+
+def _raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = _table(spark, sf_dir, "events"), F.col("event_id") % 6
+    f = lambda p: F.date_format("ts", p)
+    raw = F.when(k == 0, f("yyyy:MM:dd HH:mm:ss")).when(k == 1, f("'  'yyyy-MM-dd HH:mm:ss'.123+02:00'")).when(k == 2, f("yyyy/MM/dd'  'HH:mm:ss")).when(k == 3, f("yyyy-MM-dd")).when(k == 4, "0000:00:00 00:00:00")
+    return e.select("event_id", "ts", raw.alias("raw"))
+
+
+@query("WITH z AS (SELECT 1)" + _FORMS + " SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN event_id % 6 = 4 THEN '0000-00-00T00:00:00' END AS iso FROM events")
+def disk_date_normalize(spark, sf_dir):
+    return _raw_dates(spark, sf_dir).select("event_id", dates.normalize_disk_date(F.col("raw")).alias("iso"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(to_timestamp(o_custkey * 1000003) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS iso, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(to_timestamp(o_custkey * 1000003) AT TIME ZONE 'UTC', '%Y:%m:%d %H:%M:%S') END AS exif FROM orders")
+def epoch_to_iso(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 10 == 0, "soon").otherwise((F.col("o_custkey") * 1000003).cast("string"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", dates.epoch_to_iso(text).alias("iso"), dates.epoch_to_exif(text).alias("exif"))
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    raw = _raw_dates(spark, sf_dir)
+    ext = F.when(k % 4 == 0, ".mp4").when(k % 4 == 1, ".avi").otherwise(".jpg")
+    tags = F.create_map(F.lit("EXIF:DateTimeOriginal"), "raw", F.lit("QuickTime:CreationDate"), "raw", F.lit("File:FileModifyDate"), F.lit("2020:01:02 03:04:05"), F.lit("Composite:GPSLatitude"), F.when(k % 5 == 0, (k % 80).cast("string")), F.lit("Composite:GPSLongitude"), F.when(k % 5 == 0, "0"))
+    geo_ = F.struct((k % 3).cast("double").alias("latitude"), F.lit(8.5).alias("longitude"), F.lit(None).cast("double").alias("altitude"))
+    side = F.struct(F.when(k % 9 == 0, "soon").otherwise((k * 100000).cast("string")).alias("timestamp"), geo.sidecar_geo(F.lit(None).cast("struct<latitude:double,longitude:double,altitude:double>"), geo_).alias("geo"), F.when(k % 25 == 1, "unreadable").alias("error"))
+    rows = raw.select("event_id", F.concat(F.lit("/src/e"), k.cast("string"), ext).alias("path"), F.when(k % 31 != 0, tags).alias("tags"), F.when(k % 2 == 0, F.lit("side.json")).alias("sidecar"), side.alias("side"))
+    return reconcile.reconcile(rows)
+
+
+_RECONCILE_SQL = """, k AS (SELECT event_id AS k, ts, CASE WHEN event_id % 4 = 0 THEN 'quicktime' WHEN event_id % 4 = 1 THEN NULL ELSE 'exif' END AS h, event_id % 2 = 0 AS sided,
+  CASE WHEN event_id % 6 IN (0, 1, 2) THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN event_id % 6 = 4 THEN '0000-00-00T00:00:00' END AS disk FROM events),
+r AS (SELECT *, sided AND disk IS NULL AS use_ts, sided AND (k % 25 = 1 OR (disk IS NULL AND k % 9 = 0)) AS broken FROM k),
+t AS (SELECT *, CASE WHEN h IS NULL THEN 'skipped' WHEN k % 31 = 0 OR broken THEN 'error' ELSE 'processed' END AS status FROM r)"""
+
+
+@query("WITH z AS (SELECT 1)" + _RECONCILE_SQL + """ SELECT k AS event_id, status, CASE WHEN status <> 'processed' THEN '' ELSE concat_ws(',', CASE WHEN use_ts THEN strftime(to_timestamp(k * 100000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END, disk, '2020-01-02T03:04:05') END AS dates FROM t""")
+def reconcile_dates(spark, sf_dir):
+    return _reconciled(spark, sf_dir).select("event_id", "metadata.status", F.concat_ws(",", "metadata.dates").alias("dates"))
+
+
+@query("WITH z AS (SELECT 1)" + _RECONCILE_SQL + """ SELECT k AS event_id, CASE WHEN status = 'processed' THEN CASE WHEN k % 5 = 0 THEN (k % 80)::DOUBLE WHEN sided AND k % 3 <> 0 THEN (k % 3)::DOUBLE END END AS lat,
+ CASE WHEN status = 'processed' THEN (CASE WHEN use_ts THEN 1 ELSE 0 END + CASE WHEN k % 5 <> 0 AND sided AND k % 3 <> 0 THEN CASE h WHEN 'exif' THEN 2 ELSE 1 END ELSE 0 END)::INT ELSE 0 END AS n_tags FROM t""")
+def reconcile_geo(spark, sf_dir):
+    return _reconciled(spark, sf_dir).select("event_id", F.col("metadata.geo.latitude").alias("lat"), F.size("metadata.write_tags").alias("n_tags"))
+
+
+@query(_link_sql(True) + "SELECT path, md5(CASE WHEN sidecar IS NULL THEN 'takeout' || chr(0) || 'media' || chr(0) || path ELSE 'takeout' || chr(0) || 'sidecar' || chr(0) || sidecar END) AS group_id FROM l", "assets", "sidecars")
+def group_takeout(spark, sf_dir):
+    return group.group_takeout(_linked(spark, sf_dir)).select("path", "group_id")
+
+
+@query(f", b AS (SELECT doc_id, dir, {_BASE.format('path')} AS b FROM assets) SELECT doc_id, md5('archive' || chr(0) || dir || chr(0) || {_stem('b')}) AS group_id FROM b", "assets")
+def group_archive(spark, sf_dir):
+    return group.group_archive(_media(spark, sf_dir)).select("doc_id", "group_id")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    d = F.struct(F.when(k % 17 == 0, "error").otherwise("processed").alias("status"), F.when(k % 17 == 0, F.lit(None)).when(k % 5 == 0, "delete").otherwise("keep").alias("result"), F.when(k % 17 == 0, "no hash - /tmp/x").alias("error"))
+    m = F.when(k % 5 != 0, F.struct(F.when(k % 7 == 0, "skipped").when(k % 11 == 0, "error").otherwise("processed").alias("status"), F.when(k % 3 == 0, F.array(F.lit("t"))).otherwise(F.array().cast("array<string>")).alias("write_tags"), F.when(k % 7 == 0, "no handler").when(k % 11 == 0, "bad tags").alias("error")))
+    a = F.when((k % 5 != 0) & (k % 7 != 0) & (k % 2 == 0), F.struct(F.when(k % 13 == 0, "error").otherwise("processed").alias("status"), F.when(k % 13 == 0, F.lit(None)).when(k % 3 == 0, "written").otherwise("copied").alias("result"), F.when(k % 13 == 0, "disk full").alias("error")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("/src/"), k.cast("string")).alias("media_path"), F.lit(None).cast("struct<path:string,confidence:int>").alias("sidecar"), d.alias("dedupe"), m.alias("metadata"), a.alias("apply"))
+
+
+_OUTCOME_SQL = "WITH o AS (SELECT *, o_orderkey AS k, o_orderkey % 5 <> 0 AS live, o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0 AS tried FROM orders) "
+
+
+@query(_OUTCOME_SQL + """SELECT concat('', k) AS media, '' AS metadata, '' AS confidence,
+ CASE WHEN tried AND k % 13 <> 0 AND k % 3 = 0 THEN 'written' WHEN tried AND k % 13 <> 0 THEN 'copied' WHEN tried THEN 'error' WHEN live AND k % 7 = 0 THEN 'skipped' WHEN k % 17 <> 0 AND k % 5 = 0 THEN 'deleted' ELSE 'error' END AS status,
+ CASE WHEN tried AND k % 13 <> 0 THEN '' WHEN tried THEN 'disk full' WHEN live AND k % 7 = 0 THEN 'no handler' WHEN k % 17 <> 0 AND k % 5 = 0 THEN '' WHEN k % 17 = 0 THEN 'no hash - /tmp/x' ELSE 'Unknown state' END AS reason FROM o""")
+def report_status(spark, sf_dir):
+    return report.report(_outcomes(spark, sf_dir), "/src")
+
+
+@query(_OUTCOME_SQL + """SELECT count(*) FILTER (k % 17 <> 0 AND k % 5 <> 0) AS keep, count(*) FILTER (k % 17 <> 0 AND k % 5 = 0) AS deleted, count(*) FILTER (k % 17 = 0) AS failed,
+ count(*) FILTER (k % 17 <> 0 AND live AND k % 7 <> 0 AND k % 11 <> 0 AND k % 3 = 0) AS to_update, count(*) FILTER (k % 17 <> 0 AND live AND k % 7 <> 0 AND k % 11 <> 0 AND k % 3 <> 0) AS noop,
+ count(*) FILTER (k % 17 <> 0 AND live AND k % 7 = 0) AS unsupported, count(*) FILTER (k % 17 <> 0 AND live AND k % 7 <> 0 AND k % 11 = 0) AS bad_tags,
+ count(*) FILTER (tried AND k % 13 <> 0 AND k % 3 = 0) AS written, count(*) FILTER (tried AND k % 13 <> 0 AND k % 3 <> 0) AS copied, count(*) FILTER (tried AND k % 13 = 0) AS not_applied FROM o""")
+def stage_summaries(spark, sf_dir):
+    m = _outcomes(spark, sf_dir)
+    a = report.dedupe_summary(m)
+    b = report.reconcile_summary(m).withColumnRenamed("failed", "bad_tags")
+    c = report.apply_summary(m).drop("skipped_duplicates").withColumnRenamed("failed", "not_applied")
+    return a.join(F.broadcast(b), F.lit(True)).join(F.broadcast(c), F.lit(True))  # one row each
+
+
+@query(_OUTCOME_SQL + "SELECT concat('/src/', k) AS media_path, 'Hash' AS stage, 'no hash' AS reason FROM o WHERE k % 17 = 0 UNION ALL SELECT concat('/src/', k), 'Reconcile', 'bad tags' FROM o WHERE live AND k % 7 <> 0 AND k % 11 = 0 UNION ALL SELECT concat('/src/', k), 'Apply', 'disk full' FROM o WHERE tried AND k % 13 = 0")
+def error_table(spark, sf_dir):
+    return report.errors(_outcomes(spark, sf_dir))
+
+
+@query(_link_sql(True) + "SELECT count(*) FILTER (confidence = 3) AS confidence_3, count(*) FILTER (confidence = 2) AS confidence_2, count(*) FILTER (confidence = 1) AS confidence_1, count(*) FILTER (confidence IS NULL) AS unmatched FROM l", "assets", "sidecars")
+def link_summary(spark, sf_dir):
+    return report.link_summary(_linked(spark, sf_dir))
+
+
+_FILES = ", f AS (SELECT concat(CASE WHEN doc_id % 50 = 0 THEN '.' ELSE '' END, 'p', doc_id, CASE WHEN lang = 'es' THEN '.avi' ELSE '.jpg' END) AS filename, lang = 'es' AS odd, doc_id % 50 = 0 AS hidden FROM documents), r AS (SELECT DISTINCT concat('p', doc_id, CASE WHEN doc_id % 9 = 0 THEN '.png' ELSE '.jpg' END) AS filename FROM labels)"
+
+
+@query("WITH z AS (SELECT 1)" + _FILES + """ SELECT coalesce(f.filename, r.filename) AS filename, CASE WHEN f.filename IS NULL THEN 'record_without_media' WHEN f.odd THEN 'unsupported_media' WHEN r.filename IS NULL THEN 'media_without_record' ELSE 'paired' END AS pairing
+ FROM (SELECT * FROM f WHERE NOT hidden) f FULL OUTER JOIN r ON f.filename = r.filename AND NOT f.odd""")
+def library_pairing(spark, sf_dir):
+    k = F.col("doc_id").cast("string")
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.when(F.col("doc_id") % 50 == 0, ".").otherwise(""), F.lit("p"), k, F.when(F.col("lang") == "es", ".avi").otherwise(".jpg")).alias("filename"))
+    recs = _table(spark, sf_dir, "labels").select(F.concat(F.lit("p"), k, F.when(F.col("doc_id") % 9 == 0, ".png").otherwise(".jpg")).alias("filename")).distinct()
+    return library.pair(files, recs)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("l_partkey")
+    return _table(spark, sf_dir, "lineitem").select(
+        F.when(k % 10 == 0, F.array().cast("array<string>")).otherwise(F.array(day, F.lit("2001-01-01T00:00:00"))).alias("dates"),
+        F.concat(F.lit("g"), F.col("l_orderkey").cast("string")).alias("group_id"), F.col("l_linestatus").alias("album"),
+        F.when(k % 3 != 0, F.struct(F.lit("c").alias("city"), F.concat(F.lit("R"), (k % 5).cast("string")).alias("region"), F.lit("x").alias("country"))).alias("location"),
+        F.when(k % 4 == 0, "").when(k % 4 == 1, "words").alias("caption"), F.when(k % 6 == 0, F.col("l_returnflag")).alias("proposed_album"), "l_partkey",
+    )
+
+
+_DAY = "strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S')"
+
+
+@query(f"""WITH l AS (SELECT *, l_partkey AS k, {_DAY} AS d FROM lineitem), t AS (SELECT DISTINCT l_orderkey FROM l WHERE k = 7)
+SELECT 'q1' AS q, count(*) FILTER (k % 3 <> 0 AND k % 5 = 2) AS n FROM l UNION ALL SELECT 'q2', count(*) FILTER (k % 10 <> 0 AND d >= '1995-01-01' AND d < '1996-01-01') FROM l
+UNION ALL SELECT 'q3', count(*) FILTER (k % 10 = 0) FROM l UNION ALL SELECT 'q4', count(*) FILTER (k % 4 <> 1) FROM l UNION ALL SELECT 'q5', count(*) FILTER (k % 6 = 0) FROM l
+UNION ALL SELECT 'q6', count(*) FILTER (k % 10 <> 0 AND starts_with(d, '1994-')) FROM l UNION ALL SELECT 'q7', count(DISTINCT l_orderkey) FROM l UNION ALL SELECT 'q8', count(*) FROM l WHERE l_orderkey IN (FROM t)
+UNION ALL SELECT 'q9', count(*) FILTER (k % 3 <> 0 AND k % 5 = 2 AND k % 10 <> 0 AND d >= '1995-01-01' AND d < '1996-01-01') FROM l""")
+def record_filters(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    parts = {
+        "q1": records.in_region(r, "R2"), "q2": records.dated_between(r, "1995-01-01", "1996-01-01"), "q3": records.undated(r), "q4": records.uncaptioned(r), "q5": records.proposed(r),
+        "q6": records.any_date_starts(r, "1994-"), "q7": records.group_ids(r), "q8": records.siblings(r, F.col("l_partkey") == 7), "q9": records.dated_between(records.in_region(r, "R2"), "1995-01-01", "1996-01-01"),
+    }
+    out = None
+    for q, rows in parts.items():
+        part = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(q).alias("q"), "n")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_partkey AS k, l_linestatus, l_returnflag FROM lineitem)
+SELECT l_orderkey AS k, '{"dates":' || '[],"geo":null,"album":"' || l_linestatus || '","group_id":"g' || l_orderkey || '"' || CASE WHEN k % 4 = 0 THEN ',"caption":""' WHEN k % 4 = 1 THEN ',"caption":"words"' ELSE '' END || CASE WHEN k % 6 = 0 THEN ',"proposed_album":"' || l_returnflag || '"' ELSE '' END || '}' AS json FROM l WHERE k % 30 = 0""")
+def record_json(spark, sf_dir):
+    r = _records(spark, sf_dir).where("l_partkey % 30 = 0").withColumn("geo", F.lit(None).cast("struct<latitude:double,longitude:double,altitude:double>"))
+    return r.select(F.substring("group_id", F.lit(2), F.lit(20)).cast("long").alias("k"), records.to_json().alias("json"))
+
+
+@query("SELECT group_id, array_to_string(list_sort(list_distinct(list(proposed_album) FILTER (proposed_album <> ''))), '|') AS proposals FROM members GROUP BY group_id HAVING count(DISTINCT proposed_album) FILTER (proposed_album <> '') > 1", "members")
+def proposal_conflicts(spark, sf_dir):
+    return albums.conflicts(view(spark, sf_dir, "members")).select("group_id", F.concat_ws("|", "proposals").alias("proposals"))
+
+
+@query("SELECT DISTINCT proposed_album AS name FROM members WHERE proposed_album LIKE '%/%'", "members")
+def invalid_album_names(spark, sf_dir):
+    return albums.invalid_names(view(spark, sf_dir, "members"))
+
+
+@query("SELECT p_partkey, NOT (p_partkey % 4 = 0 OR p_partkey % 5 = 0 OR p_partkey % 7 = 0) AS valid, NOT (p_partkey % 4 = 0 OR p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 3 = 0) AS proposable FROM part")
+def album_name_rules(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, " \t ").when(k % 5 == 0, F.concat("p_name", F.lit("\\x"))).when(k % 7 == 0, F.concat("p_name", F.lit("\x1f"))).when(k % 3 == 0, "NULL").otherwise(F.col("p_name"))
+    return _table(spark, sf_dir, "part").select("p_partkey", album_names.valid_album_name(name).alias("valid"), album_names.valid_proposal(name).alias("proposable"))
+
+
+_TARGET = ", t AS (SELECT group_id, coalesce(arg_min(proposed_album, filename) FILTER (proposed_album <> ''), arg_min(album, filename) FILTER (album <> '')) AS target FROM {0} GROUP BY group_id) "
+
+
+@query(_TARGET.format("planned") + "SELECT group_id, target FROM t", "planned")
+def target_album(spark, sf_dir):
+    return albums.target_albums(view(spark, sf_dir, "planned"))
+
+
+@query(_TARGET.format("planned") + "SELECT target, min(first_date) AS min_date FROM planned JOIN t USING (group_id) WHERE target IS NOT NULL GROUP BY target", "planned")
+def album_min_date(spark, sf_dir):
+    m = view(spark, sf_dir, "planned")
+    rows = m.join(albums.target_albums(m), "group_id")
+    return rows.where("target IS NOT NULL").groupBy("target").agg(F.min("first_date").alias("min_date"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id IN (SELECT conv_id FROM conversations WHERE turn % 2 = 1) THEN (SELECT arg_max(CASE WHEN c.turn % 3 = 0 THEN NULL ELSE concat('Album ', c.turn) END, c.turn) FROM (SELECT conv_id, turn FROM conversations WHERE turn % 2 = 1 AND turn % 3 <> 0 UNION ALL SELECT conv_id, turn FROM conversations WHERE FALSE) c WHERE c.conv_id = o.conv_id AND c.turn = (SELECT max(turn) FROM conversations x WHERE x.conv_id = o.conv_id AND x.turn % 2 = 1)) ELSE role END AS proposed_album FROM conversations o")
+def propose_overlay(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").withColumn("group_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    log = c.where("turn % 2 = 1").select("group_id", F.when(F.col("turn") % 3 != 0, F.concat(F.lit("Album "), F.col("turn").cast("string"))).alias("value"), F.col("turn").alias("version"))
+    return albums.overlay(c.withColumn("proposed_album", F.col("role")), log).select("conv_id", "turn", "proposed_album")
+
+
+_PLAN = _TARGET.format("planned") + """, a AS (SELECT target, min(first_date) AS d FROM planned JOIN t USING (group_id) GROUP BY target),
+p AS (SELECT group_id, filename, CASE WHEN t.target IS NULL THEN strftime(first_date, '%Y') ELSE strftime(a.d, '%Y/%Y%m%d-') || t.target END || '/' || strftime(first_date, '%Y%m%d-%H%M%S') AS root
+      FROM planned JOIN t USING (group_id) LEFT JOIN a ON a.target = t.target),
+n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY group_id, filename) - 1 AS n FROM p) """
+
+
+@query(_PLAN + "SELECT group_id, filename, root || CASE WHEN n > 0 THEN '-' || n ELSE '' END || '.jpg' AS target FROM n", "planned")
+def export_plan(spark, sf_dir):
+    return export.plan(view(spark, sf_dir, "planned")).select("group_id", "filename", "target")
+
+
+@query(_PLAN + "SELECT root, max(n) AS most FROM n GROUP BY root HAVING max(n) > 0", "planned")
+def export_collisions(spark, sf_dir):
+    p = export.plan(view(spark, sf_dir, "planned"))
+    root = F.regexp_replace("target", r"(/[0-9]{8}-[0-9]{6})(?:-[0-9]+)?\.jpg$", "$1")
+    return p.groupBy(root.alias("root")).agg((F.count(F.lit(1)) - 1).alias("most")).where("most > 0")
+
+
+_COSINE = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("path"), "embedding", "label")
+
+
+@query(f"SELECT concat('v', lpad(b.vec_id::VARCHAR, 9, '0')) AS path, round({_COSINE}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id <> 0 ORDER BY {_COSINE} DESC, 1 LIMIT 20")
+def similar_topk(spark, sf_dir):
+    return similarity.similar(_vectors(spark, sf_dir), "v000000000").select("path", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT query, path, score, rank FROM (SELECT concat('v', lpad(a.vec_id::VARCHAR, 9, '0')) AS query, concat('v', lpad(b.vec_id::VARCHAR, 9, '0')) AS path, round({_COSINE}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id) WHERE rank <= 5")
+def similar_batch(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return similarity.similar_batch(v, v.where(F.substring("path", F.lit(2), F.lit(9)).cast("long") % 50 == 0), 5).select("query", "path", F.round("score", 6).alias("score"), "rank")
+
+
+@query("WITH u AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, i, avg(x::DOUBLE) AS m FROM u GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1) SELECT label, i::INT - 1 AS pos, round(m / n, 6) AS x FROM m JOIN n USING (label)")
+def mean_vector(spark, sf_dir):
+    return similarity.mean_vectors(_table(spark, sf_dir, "embeddings"), "label").select("label", F.posexplode("embedding").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
+
+
+@query(", d AS (SELECT key, arg_min(place_id, (power(cos(radians(p.lat)) * cos(radians(p.lon)) - cos(radians(q.lat)) * cos(radians(q.lon)), 2) + power(cos(radians(p.lat)) * sin(radians(p.lon)) - cos(radians(q.lat)) * sin(radians(q.lon)), 2) + power(sin(radians(p.lat)) - sin(radians(q.lat)), 2))) AS place_id FROM points p, places q GROUP BY key) SELECT key, place_id, name AS city, admin1 AS region, cc AS country FROM d JOIN places USING (place_id)", "points", "places")
+def geocode_nearest(spark, sf_dir):
+    found = geocode.nearest(view(spark, sf_dir, "points"), view(spark, sf_dir, "places"))
+    return found.select("key", "place_id", "location.city", "location.region", "location.country")
+
+
+@query()
+def cluster_labels(spark, sf_dir):
+    return similarity.cluster(_vectors(spark, sf_dir), min_cluster_size=5)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 9 <> 0 THEN array_to_string(list_transform(range(5), lambda i: round(s_suppkey % 9 * (i + 0.5) / 5, 4)::VARCHAR), ',') END AS at, CASE WHEN s_suppkey * 31 % 3000 + 1 > 768 OR 1000 > 768 THEN greatest(1, floor((s_suppkey * 31 % 3000 + 1) * 768 / greatest(s_suppkey * 31 % 3000 + 1, 1000)))::INT ELSE (s_suppkey * 31 % 3000 + 1)::INT END AS width FROM supplier")
+def frame_times(spark, sf_dir):
+    k = F.col("s_suppkey")
+    at = vectors.frame_midpoints((k % 9).cast("double"), 5)
+    size = vectors.downscaled(k * 31 % 3000 + 1, F.lit(1000))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.when(at.isNotNull(), F.concat_ws(",", F.transform(at, lambda x: F.round(x, 4).cast("string")))).alias("at"), size["width"].alias("width"))
+
+
+@query(f", e AS (SELECT doc_id, lower({_ext(_BASE.format('path'))}) AS e FROM assets) SELECT doc_id, e IN ('.jpg','.jpeg','.heic','.png','.mp') AS image, e IN ('.mp4','.mov') AS video, CASE WHEN e IN ('.jpg','.jpeg','.heic','.png','.mp') THEN 'exif' WHEN e IN ('.mp4','.mov') THEN 'quicktime' END AS handler FROM e", "assets")
+def handler_dispatch(spark, sf_dir):
+    e = F.lower(paths.extension(paths.basename(F.col("path"))))
+    return _media(spark, sf_dir).select("doc_id", handlers.is_image(e).alias("image"), handlers.is_video(e).alias("video"), handlers.by_handler(e, lambda h: F.lit(h.name)).alias("handler"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 48 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS e FROM g) SELECT user_id, (max(e) + 1)::BIGINT AS n_events FROM s GROUP BY 1")
+def event_sessions(spark, sf_dir):
+    e = heuristics.events(_table(spark, sf_dir, "events"), "user_id", "ts")
+    return e.groupBy("user_id").agg((F.max("event") + 1).cast("long").alias("n_events"))
+
+
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 5")
+def home_region(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    return heuristics.home_regions(c, "n_name")
