@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ DUPLICATE = r"(?U)\((\d+)\)$"
 EDITED = r"(?:-edited|-edite|-edit|-edi|-ed|-e)$"
 #: The first ".su" anywhere cuts the rest off; a mere ".s" counts at the end alone.
 METADATA = r"(?s)\.su.*|\.s$"
-#: The stricter reading: a truncated ".supplemental-metadata" at the end.
-METADATA_AT_END = r"\.s(?:u(?:p(?:p(?:l(?:e(?:m(?:e(?:n(?:t(?:a(?:l(?:-(?:m(?:e(?:t(?:a(?:d(?:a(?:t(?:a)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?)?$"
+#: The stricter reading: ".s" or more of ".supplemental-metadata" at the end.
+METADATA_AT_END = "(?:" + "|".join(re.escape(".supplemental-metadata"[:n]) for n in range(len(".supplemental-metadata"), 1, -1)) + ")$"
 
 
 def duplicate_marker(name: Column) -> Column:
