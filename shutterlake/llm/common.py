@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of frames that were stored and aren't referenced any more: Spark drops them on collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table behind a frame of stored(); only once nothing can read it any more."""
     path = getattr(df, "_shutterlake_path", None)

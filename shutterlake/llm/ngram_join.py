@@ -8,7 +8,8 @@ whose bound reaches the threshold; these are verified on the token sets.
 One tree over a whole corpus would compare nearly everything in so many dimensions. So trees are built over the
 documents that share a token among their first tokens in hash order, which documents similar enough must. A document
 few of whose first tokens occur elsewhere is left out beforehand. Documents with equal sets are one class throughout.
-Large trees first link all to their most central point, and look for pairs only across what isn't connected then.
+All trees first try to link their members to one of them, that most of whose tokens occur elsewhere; pairs are looked
+for only across what isn't connected then.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import NO_TEXT, Chunk, bucketed, partitions_of, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import read, stored
+from shutterlake.llm.common import forget, read, release, stored
 from shutterlake.llm.components import components
 from shutterlake.llm.kernels import SPACED, combined, groups, mix, words
 from shutterlake.llm.substrings import _MASK, _TELL, _unique, shared_masks, unpack_masks
@@ -32,10 +33,11 @@ NGRAM = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Groups of tokens, that is dimensions of the points; points in an R-tree's leaf, children of its other nodes.
 GROUPS, LEAF = 64, 16
-#: A tree of more points than this starts from its central point; rounds after which all pairs left are verified.
+#: Documents that share a token are compared pair by pair up to this number, else by a tree; rounds after which all
+#: pairs left are verified.
 SMALL_TREE, ROUNDS = 24, 4
-#: Pairs per point that a large tree may emit before the last round.
-PAIRS_PER_POINT = 64
+#: Documents of a large tree that ask for their pairs before the last round.
+ASKING = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -123,7 +125,7 @@ def _tell(buckets: int):
     return tell
 
 
-_DOC = "chunk_id long, row int, doc_id long, n_shingles long, class long, keys binary, point binary, tokens binary"
+_DOC = "chunk_id long, row int, doc_id long, n_shingles long, class long, share double, keys binary, point binary, tokens binary"
 
 
 def _describe(buckets: int):
@@ -140,6 +142,7 @@ def _describe(buckets: int):
             shared[first] = unpack_masks(line["messages"] or [], keys, buckets)[index]
             wanted = (np.bincount(row[shared], minlength=len(size)) >= extra(size)) & (size > 0)
             route = shared & (rank <= (size - least_overlap(size))[row])
+            share = np.bincount(row[route], minlength=len(size)) / (size - least_overlap(size) + 1)
             total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(tokens), dtype=np.uint64))
             sums = mix(total[bounds[1:]] - total[bounds[:-1]] + mix(size.astype(np.uint64)))
             blobs = [
@@ -155,15 +158,16 @@ def _describe(buckets: int):
                         c.ids()[part],
                         pa.array(size[part], pa.int64()),
                         pa.array(sums[part].view(np.int64), pa.int64(), mask=size[part] == 0),
+                        pa.array(share[part], pa.float64()),
                         *(pa.array([x[k] for x in blobs[part]], pa.binary()) for k in range(3)),
                     ],
-                    names=["chunk_id", "row", "doc_id", "n_shingles", "class", "keys", "point", "tokens"],
+                    names=["chunk_id", "row", "doc_id", "n_shingles", "class", "share", "keys", "point", "tokens"],
                 )
 
     return describe
 
 
-_ROUTED = "bucket int, n long, classes binary, sizes binary, labels binary, points binary, keys binary, owners binary"
+_ROUTED = "bucket int, n long, classes binary, sizes binary, labels binary, shares binary, points binary, keys binary, owners binary"
 
 
 def _route(buckets: int):
@@ -180,12 +184,13 @@ def _route(buckets: int):
             order = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[order], np.arange(buckets + 1))
             classes, sizes, labels = (batch.column(c).to_numpy().astype("<i8") for c in ("class", "n_shingles", "label"))
+            shares = batch.column("share").to_numpy()
             points = np.stack([np.frombuffer(p.as_buffer(), "<i4") for p in batch.column("point")])
             for b in np.flatnonzero(np.diff(at)):
                 mine = order[at[b] : at[b + 1]]
                 who, index = np.unique(owner[mine], return_inverse=True)
-                binaries = (classes[who], sizes[who], labels[who], points[who], keys[mine], index.astype("<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(who)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in binaries)], names=["bucket", "n", "classes", "sizes", "labels", "points", "keys", "owners"])
+                binaries = (classes[who], sizes[who], labels[who], shares[who], points[who], keys[mine], index.astype("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(who)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in binaries)], names=["bucket", "n", "classes", "sizes", "labels", "shares", "points", "keys", "owners"])
 
     return route
 
@@ -260,29 +265,30 @@ def likely(points: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray)
     return ok
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ranks: np.ndarray, turn: int, small: int = SMALL_TREE) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs to verify among documents that share a token, none of which has one label; whether more may be left."""
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, shares: np.ndarray, ranks: np.ndarray, turn: int, small: int = SMALL_TREE) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs to verify among documents that share a token and aren't all connected; whether more may be left.
+
+    The first turn pairs all with the one of greatest share, the same one in all trees that have it.
+    """
     m = len(points)
-    if m <= small:
-        if turn:
-            return np.empty(0, np.int64), np.empty(0, np.int64), False
-        a, b = np.triu_indices(m, 1)
-        ok = likely(points, sizes, a, b)
-        return a[ok], b[ok], False
     if turn == 0:
-        centre = int(np.lexsort((ranks, np.abs(points - np.median(points, axis=0)).sum(axis=1)))[0])
+        centre = int(np.lexsort((ranks, -shares))[0])
         b = np.flatnonzero(np.arange(m) != centre)
         a = np.full(m - 1, centre)
         ok = likely(points, sizes, a, b)
-        return a[ok], b[ok], True
-    # Only what isn't in the largest component asks; whatever is in another one answers.
+        return a[ok], b[ok], m > 2
     names, label, count = np.unique(labels, return_inverse=True, return_counts=True)
+    if m <= small:
+        a, b = np.triu_indices(m, 1)
+        ok = label[a] != label[b]
+        a, b = a[ok], b[ok]
+        ok = likely(points, sizes, a, b)
+        return a[ok], b[ok], False
+    # Only what isn't in the largest component asks; whatever is in another one answers.
     asking = np.flatnonzero(label != count.argmax())
-    if not len(asking):
-        return np.empty(0, np.int64), np.empty(0, np.int64), False
-    if turn < ROUNDS - 1 and len(asking) > PAIRS_PER_POINT:
-        # Many left: each turn others of them are taken as centres, those that the turn's hash puts first.
-        asking = asking[np.argsort(mix(ranks[asking].astype(np.uint64) + np.uint64(turn)))[:PAIRS_PER_POINT]]
+    if turn < ROUNDS - 1 and len(asking) > ASKING:
+        # Many left: each turn asks for some of them, those that the turn's hash puts first.
+        asking = asking[np.argsort(mix(ranks[asking].astype(np.uint64) + np.uint64(turn)))[:ASKING]]
         more = True
     else:
         more = False
@@ -301,7 +307,7 @@ def _pairs(turn: int, small: int):
     def pairs(table: pa.Table) -> pa.Table:
         counts = table.column("n").to_numpy()
         join = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
-        classes, sizes, labels, keys = join("classes", "<i8"), join("sizes", "<i8"), join("labels", "<i8"), join("keys", np.uint64)
+        classes, sizes, labels, shares, keys = join("classes", "<i8"), join("sizes", "<i8"), join("labels", "<i8"), join("shares", "<f8"), join("keys", np.uint64)
         points = join("points", "<i4").reshape(-1, GROUPS)
         owners = [np.frombuffer(x.as_buffer(), "<i4") for x in table.column("owners")]
         who = np.concatenate([o.astype(np.int64) + s for o, s in zip(owners, np.cumsum(counts) - counts, strict=True)])
@@ -312,13 +318,13 @@ def _pairs(turn: int, small: int):
         found, more, done = [], False, set()
         for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
             own = who[s : s + n]
-            if (labels[own] == labels[own[0]]).all() or (turn and n <= small):
+            if (labels[own] == labels[own[0]]).all():
                 continue
             same = classes[own].tobytes()
             if same in done:  # another token of just the same documents
                 continue
             done.add(same)
-            a, b, rest = tree_pairs(points[own], sizes[own], labels[own], classes[own], turn, small)
+            a, b, rest = tree_pairs(points[own], sizes[own], labels[own], shares[own], classes[own], turn, small)
             more |= rest
             found.append(np.column_stack([classes[own[a]], classes[own[b]]]))
         both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
@@ -352,30 +358,38 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE) -> t
     than all others; a component of such rows has a null component_id. Rows that share a doc_id are rows of their own.
     """
     chunks = store_chunks(docs, name)
+    release(docs.sparkSession)
     slim = chunks.drop("others")
     buckets = 3 * partitions_of(docs)
     masks = bucketed(slim.mapInArrow(_tell(buckets), _TELL), shared_masks, _MASK)
     known = stored(with_messages(slim, masks, keep_all=True).mapInArrow(_describe(buckets), _DOC), name)
+    release(docs.sparkSession)
+    # One row stands for each class; its binaries stay where they are until a pair asks for them.
     wanted = known.where(F.col("tokens").isNotNull())
-    # A class's binaries are equal whichever of its rows gives them.
-    classes = stored(wanted.groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("point").alias("point"), F.first("tokens").alias("tokens")), f"{name}-classes")
-    sets = classes.select("class", "tokens")
-    labels = links = None
+    chosen = wanted.groupBy("class").agg(F.min(F.struct("chunk_id", "row")).alias("at")).select("class", "at.chunk_id", "at.row")
+    light = wanted.select("chunk_id", "row", "n_shingles", "share", "keys", "point").join(chosen, ["chunk_id", "row"])
+    classes = stored(light.select("class", "chunk_id", "row", "n_shingles", "share", "keys", "point"), f"{name}-classes")
+    sets = wanted.select("chunk_id", "row", "tokens").join(classes.select("chunk_id", "row", "class"), ["chunk_id", "row"])
+    labels = links = tested = None
     for turn in range(ROUNDS):
-        light = classes.select("class", "n_shingles", "keys", "point")
+        members = classes.select("class", "n_shingles", "share", "keys", "point")
         if labels is None:
-            light = light.withColumn("label", F.col("class"))
+            members = members.withColumn("label", F.col("class"))
         else:
-            light = light.join(labels, light["class"] == labels.node, "left").withColumn("label", F.coalesce("label", "class")).drop("node")
-        routed = light.mapInArrow(_route(buckets), _ROUTED)
-        pairs = stored(bucketed(routed, _pairs(turn, small), _PAIR), f"{name}-pairs")
-        tests = pairs.where("a is not null").select("a", "b").distinct()
-        if turn:
-            tests = tests.join(links, ["a", "b"], "left_anti")
-        left = tests.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
+            members = members.join(labels, members["class"] == labels.node, "left").withColumn("label", F.coalesce("label", "class")).drop("node")
+        pairs = stored(bucketed(members.mapInArrow(_route(buckets), _ROUTED), _pairs(turn, small), _PAIR), f"{name}-pairs")
+        fresh = pairs.where("a is not null").select("a", "b").distinct()
+        if tested is not None:
+            fresh = fresh.join(tested, ["a", "b"], "left_anti")
+        fresh = stored(fresh, f"{name}-tests")
+        tested = fresh if tested is None else tested.union(fresh)
+        more = pairs.where("more").limit(1).count() > 0
+        forget(pairs)
+        # The sets that some pair needs, moved once for either side.
+        left = fresh.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
         full = left.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a")
         new = stored(full.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, overlap long").select("a", "b"), f"{name}-links")
-        more = pairs.where("more").limit(1).count() > 0
+        release(docs.sparkSession)
         links = new if links is None else links.union(new)
         if new.limit(1).count():
             labels = components(links)
