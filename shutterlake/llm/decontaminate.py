@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import read
 from shutterlake.llm.kernels import LETTERS, combined, groups, text_bytes, words
 
-#: Weight 7 of span 10 or 11: one substitution in any 11 words leaves a hit of one of them.
-MASKS = ("1110110011", "11010011011", "10110111001", "1111111")
+#: Weight 6: whichever 3 of a window's 16 words are substituted, one of the masks fits between them.
+MASKS = ("1111011", "111000001011", "1110111")
 #: A document overlaps an item if, somewhere along one alignment, this share of so many successive words is the same.
 WINDOW, SHARE = 16, 0.8
 #: Items of fewer words are never looked for; those shorter than a mask must occur word for word.

@@ -154,7 +154,7 @@ def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: float
     Components become floor(scale * x). Rows whose vec_id or vector is null, or whose vector holds a null or
     non-finite component, take no part; vectors of another dimension than the query's don't match it. Ties go to the
     smaller vec_id. A row that repeats another's vec_id is a candidate of its own, but a query's own vec_id never is;
-    repeated query rows count once, by their first vector in byte order. Fewer candidates than k give fewer rows. An
+    repeated query rows count once, by their first vector in byte order. A score beyond 64 bits raises. Fewer candidates than k give fewer rows. An
     empty table gives none. Extra columns are ignored. Returns query_id, rank, vec_id, score.
     """
     spark = vectors.sparkSession
