@@ -80,7 +80,9 @@ def store_chunks(docs: DataFrame, name: str) -> DataFrame:
     rows = docs.mapInArrow(_pack, _CHUNK)
     writer = rows.write.bucketBy(2 * partitions_of(docs), "chunk_id").option("path", f"{shared_dir(docs.sparkSession)}/{table}")
     writer.option("compression", "zstd").option("parquet.enable.dictionary", "false").saveAsTable(table)
-    return docs.sparkSession.table(table)
+    out = docs.sparkSession.table(table)
+    out._shutterlake_path = f"{shared_dir(docs.sparkSession)}/{table}"
+    return out
 
 
 class Chunk:

@@ -32,7 +32,7 @@ NGRAM = 5
 #: Similarity threshold as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Groups of tokens, that is dimensions of the points; points in an R-tree's leaf, children of its other nodes.
-GROUPS, LEAF = 64, 16
+GROUPS, LEAF = 256, 16
 #: Documents that share a token are compared pair by pair up to this number, else by a tree; rounds after which all
 #: pairs left are verified.
 SMALL_TREE, ROUNDS = 24, 4
@@ -97,6 +97,16 @@ def _first_tokens(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     return first, row, rank
 
 
+def _fitting(most: int) -> str:
+    """The smallest type that holds counts up to `most`."""
+    return "u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
+
+
+def _points(blob: bytes, n: int) -> np.ndarray:
+    """n points, whose type shows in their size."""
+    return np.frombuffer(blob, {1: "u1", 2: "<u2", 4: "<u4"}[len(blob) // (n * GROUPS)]).reshape(n, GROUPS)
+
+
 def _bucket_keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
     spread = mix(tokens)
     return ((spread >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (spread & np.uint64(0xFFFFFFFF))
@@ -146,7 +156,7 @@ def _describe(buckets: int):
             total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(tokens), dtype=np.uint64))
             sums = mix(total[bounds[1:]] - total[bounds[:-1]] + mix(size.astype(np.uint64)))
             blobs = [
-                (tokens[a:b][route[a:b]].tobytes(), np.bincount((tokens[a:b] & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes(), tokens[a:b].tobytes()) if w else (None, None, None)
+                (tokens[a:b][route[a:b]].tobytes(), np.bincount((tokens[a:b] & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(_fitting(b - a)).tobytes(), tokens[a:b].tobytes()) if w else (None, None, None)
                 for a, b, w in zip(bounds, bounds[1:], wanted, strict=False)
             ]
             for a in range(0, len(size), 1024):
@@ -171,7 +181,7 @@ _ROUTED = "bucket int, n long, classes binary, sizes binary, labels binary, shar
 
 
 def _route(buckets: int):
-    """Packs classes(class, n_shingles, label, keys, point) for the buckets of their keys."""
+    """Packs batches of at most 2**16 classes(class, n_shingles, label, keys, point) for the buckets of their keys."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,11 +195,12 @@ def _route(buckets: int):
             at = np.searchsorted(bucket[order], np.arange(buckets + 1))
             classes, sizes, labels = (batch.column(c).to_numpy().astype("<i8") for c in ("class", "n_shingles", "label"))
             shares = batch.column("share").to_numpy()
-            points = np.stack([np.frombuffer(p.as_buffer(), "<i4") for p in batch.column("point")])
+            points = np.concatenate([_points(p.as_py(), 1) for p in batch.column("point")])
+            points = points.astype(_fitting(int(points.max(initial=0))))
             for b in np.flatnonzero(np.diff(at)):
                 mine = order[at[b] : at[b + 1]]
                 who, index = np.unique(owner[mine], return_inverse=True)
-                binaries = (classes[who], sizes[who], labels[who], shares[who], points[who], keys[mine], index.astype("<i4"))
+                binaries = (classes[who], sizes[who], labels[who], shares[who], points[who], keys[mine], index.astype("<u2"))
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(who)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in binaries)], names=["bucket", "n", "classes", "sizes", "labels", "shares", "points", "keys", "owners"])
 
     return route
@@ -253,7 +264,7 @@ def overlap_bound(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndar
     """Sums of coordinate minima of left[a] and right[b]."""
     out = np.empty(len(a), np.int64)
     for k in range(0, len(a), 1 << 14):
-        out[k : k + (1 << 14)] = np.minimum(left[a[k : k + (1 << 14)]], right[b[k : k + (1 << 14)]]).sum(axis=1)
+        out[k : k + (1 << 14)] = np.minimum(left[a[k : k + (1 << 14)]], right[b[k : k + (1 << 14)]]).sum(axis=1, dtype=np.int32)
     return out
 
 
@@ -308,8 +319,8 @@ def _pairs(turn: int, small: int):
         counts = table.column("n").to_numpy()
         join = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)])
         classes, sizes, labels, shares, keys = join("classes", "<i8"), join("sizes", "<i8"), join("labels", "<i8"), join("shares", "<f8"), join("keys", np.uint64)
-        points = join("points", "<i4").reshape(-1, GROUPS)
-        owners = [np.frombuffer(x.as_buffer(), "<i4") for x in table.column("owners")]
+        points = np.concatenate([_points(x.as_py(), n) for x, n in zip(table.column("points"), counts.tolist(), strict=True)])
+        owners = [np.frombuffer(x.as_buffer(), "<u2") for x in table.column("owners")]
         who = np.concatenate([o.astype(np.int64) + s for o, s in zip(owners, np.cumsum(counts) - counts, strict=True)])
         order = np.lexsort((classes[who], keys))
         keys, who = keys[order], who[order]
@@ -349,13 +360,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap, pa.int64())], names=["a", "b", "overlap"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE) -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep_chunks: bool = True) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each row chunk_id, row, doc_id, n_shingles, component_id and `first`.
 
     component_id is the smallest doc_id that a row reaches by links of similarity NUMERATOR / DENOMINATOR or more, its
     own included; `first` marks one row of each component (the first with that doc_id). Null texts and those without
     words have no shingles, are linked with nothing and each the first of their own. A null doc_id counts as larger
     than all others; a component of such rows has a null component_id. Rows that share a doc_id are rows of their own.
+    Without keep_chunks the chunks are deleted as soon as nothing needs them, and only the rows are of use.
     """
     chunks = store_chunks(docs, name)
     release(docs.sparkSession)
@@ -363,6 +375,8 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE) -> t
     buckets = 3 * partitions_of(docs)
     masks = bucketed(slim.mapInArrow(_tell(buckets), _TELL), shared_masks, _MASK)
     known = stored(with_messages(slim, masks, keep_all=True).mapInArrow(_describe(buckets), _DOC), name)
+    if not keep_chunks:
+        forget(chunks)
     release(docs.sparkSession)
     # One row stands for each class; its binaries stay where they are until a pair asks for them.
     wanted = known.where(F.col("tokens").isNotNull())
@@ -377,7 +391,7 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE) -> t
             members = members.withColumn("label", F.col("class"))
         else:
             members = members.join(labels, members["class"] == labels.node, "left").withColumn("label", F.coalesce("label", "class")).drop("node")
-        pairs = stored(bucketed(members.mapInArrow(_route(buckets), _ROUTED), _pairs(turn, small), _PAIR), f"{name}-pairs")
+        pairs = stored(bucketed(members.mapInArrow(_route(partitions_of(docs)), _ROUTED), _pairs(turn, small), _PAIR), f"{name}-pairs")
         fresh = pairs.where("a is not null").select("a", "b").distinct()
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
@@ -428,5 +442,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document's number of shingles and component."""
-    _, rows = similar(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    _, rows = similar(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_chunks=False)
     return rows.select("doc_id", "n_shingles", "component_id")
