@@ -22,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": topk.SQL,
+    "op5_ngram_jaccard_join": ngram_join.SQL,
+    "op6_merged_transform_dedup": substrings.SQL,
     "op9_warc_store": warc.SQL,
 }

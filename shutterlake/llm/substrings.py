@@ -530,3 +530,18 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: all documents without the 50-byte strings that start in a document with a smaller doc_id."""
     return deduplicated(read(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS p FROM h)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+u AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE m < doc_id),
+b AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM u),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM b),
+s AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM k GROUP BY 1, 2),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+q AS (SELECT t.doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM t JOIN h USING (doc_id) GROUP BY 1)
+SELECT h.doc_id, h.n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM h LEFT JOIN q USING (doc_id)
+"""
