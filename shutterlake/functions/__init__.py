@@ -1 +1 @@
-"""Part of shutterlake."""
+"""Column expressions: paths, names, dates, coordinates, tags, vectors."""

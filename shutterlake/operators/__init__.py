@@ -1 +1 @@
-"""Part of shutterlake."""
+"""Operators: functions from data frames to data frames."""

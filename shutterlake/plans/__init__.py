@@ -1 +1 @@
-"""Part of shutterlake."""
+"""Commands, and the catalogue of named queries with their SQL."""

@@ -1 +1 @@
-"""Part of shutterlake."""
+"""No operator here is a stream: every command is a full batch run over its library."""
