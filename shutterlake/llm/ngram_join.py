@@ -35,10 +35,13 @@ NUMERATOR, DENOMINATOR = 4, 5
 GROUPS, LEAF = 256, 16
 #: Documents that share a token are compared pair by pair up to this number, else by a tree; rounds after which all
 #: pairs left are verified.
-SMALL_TREE, ROUNDS = 24, 4
+SMALL_TREE, ROUNDS = 24, 3
 #: Documents of a large tree that ask for their pairs before the last round.
 ASKING = 64
 
+#: Classes whose sets are fetched by a broadcast of their places (about 10 MB); more are joined by a shuffle.
+BROADCAST_CLASSES = 200_000
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -187,6 +190,9 @@ def _route(buckets: int):
         for batch in batches:
             if not len(batch):
                 continue
+            if len(batch) > 1 << 15:
+                yield from route(batch.slice(k, 1 << 15) for k in range(0, len(batch), 1 << 15))
+                continue
             lists = [np.frombuffer(k.as_buffer(), np.uint64) for k in batch.column("keys")]
             keys = np.concatenate(lists)
             owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -311,7 +317,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, shares
     return np.concatenate(left), np.concatenate(right), more
 
 
-_PAIR = "a long, b long, more boolean"
+_PAIR = "a long, others binary, more boolean"
 
 
 def _pairs(turn: int, small: int):
@@ -329,8 +335,8 @@ def _pairs(turn: int, small: int):
         found, more, done = [], False, set()
         for s, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
             own = who[s : s + n]
-            if (labels[own] == labels[own[0]]).all():
-                continue
+            if (labels[own] == labels[own[0]]).all() or (turn > 1 and n <= small):
+                continue  # connected, or all its pairs were told in the second turn
             same = classes[own].tobytes()
             if same in done:  # another token of just the same documents
                 continue
@@ -339,15 +345,20 @@ def _pairs(turn: int, small: int):
             more |= rest
             found.append(np.column_stack([classes[own[a]], classes[own[b]]]))
         both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
-        marks = [(None, None, True)] if more else []
-        return pa.table(
-            [pa.array([*both[:, 0].tolist(), *(x[0] for x in marks)], pa.int64()), pa.array([*both[:, 1].tolist(), *(x[1] for x in marks)], pa.int64()), pa.array([*[False] * len(both), *(x[2] for x in marks)], pa.bool_())],
-            names=["a", "b", "more"],
-        )
+        first = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0]])) if len(both) else np.empty(0, np.int64)
+        lists = [x.tobytes() for x in np.split(np.ascontiguousarray(both[:, 1]), first[1:])] if len(both) else []
+        marks = 1 if more else 0
+        return pa.table([pa.array([*both[first, 0].tolist(), *[None] * marks], pa.int64()), pa.array([*lists, *[None] * marks], pa.binary()), pa.array([*[False] * len(first), *[True] * marks], pa.bool_())], names=["a", "others", "more"])
 
     return pairs
 
 
+def _distinct_pairs(table: pa.Table) -> pa.Table:
+    """The pairs of one document, which several buckets may have told."""
+    b = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("others")]))
+    return pa.table([pa.array(np.full(len(b), table.column("a")[0].as_py()), pa.int64()), pa.array(b)], names=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, overlap = [], []
@@ -383,8 +394,7 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
     chosen = wanted.groupBy("class").agg(F.min(F.struct("chunk_id", "row")).alias("at")).select("class", "at.chunk_id", "at.row")
     light = wanted.select("chunk_id", "row", "n_shingles", "share", "keys", "point").join(chosen, ["chunk_id", "row"])
     classes = stored(light.select("class", "chunk_id", "row", "n_shingles", "share", "keys", "point"), f"{name}-classes")
-    sets = wanted.select("chunk_id", "row", "tokens").join(classes.select("chunk_id", "row", "class"), ["chunk_id", "row"])
-    labels = links = tested = None
+    labels = tested = None
     for turn in range(ROUNDS):
         members = classes.select("class", "n_shingles", "share", "keys", "point")
         if labels is None:
@@ -392,21 +402,29 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
         else:
             members = members.join(labels, members["class"] == labels.node, "left").withColumn("label", F.coalesce("label", "class")).drop("node")
         pairs = stored(bucketed(members.mapInArrow(_route(partitions_of(docs)), _ROUTED), _pairs(turn, small), _PAIR), f"{name}-pairs")
-        fresh = pairs.where("a is not null").select("a", "b").distinct()
+        fresh = pairs.where("a is not null").groupBy("a").applyInArrow(_distinct_pairs, "a long, b long")
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         fresh = stored(fresh, f"{name}-tests")
         tested = fresh if tested is None else tested.union(fresh)
         more = pairs.where("more").limit(1).count() > 0
         forget(pairs)
-        # The sets that some pair needs, moved once for either side.
+        if not fresh.limit(1).count():
+            if not more:
+                break
+            continue
+        # Only the sets that some pair needs are moved.
+        needed = fresh.select(F.col("a").alias("class")).union(fresh.select("b")).distinct().join(classes.select("class", "chunk_id", "row"), "class")
+        needed = stored(needed, f"{name}-needed")
+        small_enough = needed.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+        sets = wanted.select("chunk_id", "row", "tokens").join(F.broadcast(needed) if small_enough else needed, ["chunk_id", "row"])
         left = fresh.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
         full = left.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a")
         new = stored(full.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, overlap long").select("a", "b"), f"{name}-links")
         release(docs.sparkSession)
-        links = new if links is None else links.union(new)
         if new.limit(1).count():
-            labels = components(links)
+            # What is connected already stands for itself by one link per document.
+            labels = components(new if labels is None else new.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
         if not more:
             break
     rows = known.select("chunk_id", "row", "doc_id", "n_shingles", "class")
