@@ -39,6 +39,8 @@ SMALL_TREE, ROUNDS = 24, 3
 #: Documents of a large tree that ask for their pairs before the last round.
 ASKING = 64
 
+#: Routing keys in one bucket, and the least number of buckets.
+BUCKET_KEYS, LEAST_BUCKETS = 1 << 19, 8
 #: Classes whose sets are fetched by a broadcast of their places (about 10 MB); more are joined by a shuffle.
 BROADCAST_CLASSES = 200_000
 
@@ -394,6 +396,9 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
     chosen = wanted.groupBy("class").agg(F.min(F.struct("chunk_id", "row")).alias("at")).select("class", "at.chunk_id", "at.row")
     light = wanted.select("chunk_id", "row", "n_shingles", "share", "keys", "point").join(chosen, ["chunk_id", "row"])
     classes = stored(light.select("class", "chunk_id", "row", "n_shingles", "share", "keys", "point"), f"{name}-classes")
+    # A class's point goes to every bucket that one of its keys falls into: as few buckets as their size allows.
+    n_keys = (classes.agg(F.sum(F.octet_length("keys")).alias("n")).first().n or 0) // 8
+    routes = max(LEAST_BUCKETS, -(-int(n_keys) // BUCKET_KEYS))
     labels = tested = None
     for turn in range(ROUNDS):
         members = classes.select("class", "n_shingles", "share", "keys", "point")
@@ -401,7 +406,7 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
             members = members.withColumn("label", F.col("class"))
         else:
             members = members.join(labels, members["class"] == labels.node, "left").withColumn("label", F.coalesce("label", "class")).drop("node")
-        pairs = stored(bucketed(members.mapInArrow(_route(partitions_of(docs)), _ROUTED), _pairs(turn, small), _PAIR), f"{name}-pairs")
+        pairs = stored(bucketed(members.mapInArrow(_route(routes), _ROUTED), _pairs(turn, small), _PAIR), f"{name}-pairs")
         fresh = pairs.where("a is not null").groupBy("a").applyInArrow(_distinct_pairs, "a long, b long")
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
