@@ -319,6 +319,18 @@ def record_json(spark, sf_dir):
     return r.select(F.substring("group_id", F.lit(2), F.lit(20)).cast("long").alias("k"), records.to_json().alias("json"))
 
 
+@query(f"""WITH l AS (SELECT l_orderkey, l_partkey AS k, l_linestatus, l_returnflag, {_DAY} AS d FROM lineitem)
+SELECT l_orderkey AS k, '{{"dates":' || CASE WHEN k % 10 = 0 THEN '[]' ELSE '["' || d || '","2001-01-01T00:00:00"]' END
+ || ',"geo":' || CASE WHEN k % 7 = 0 THEN 'null' ELSE '{{"latitude":' || (k % 90) || '.5,"longitude":-' || (k % 180) || '.25,"altitude":' || CASE WHEN k % 2 = 0 THEN 'null' ELSE (k % 1000) || '.0' END || '}}' END
+ || ',"album":"' || l_linestatus || '","group_id":"g' || l_orderkey || '"' || CASE WHEN k % 3 <> 0 THEN ',"location":{{"city":"c","region":"R' || (k % 5) || '","country":"x"}}' ELSE '' END
+ || CASE WHEN k % 4 = 0 THEN ',"caption":""' WHEN k % 4 = 1 THEN ',"caption":"words"' ELSE '' END || CASE WHEN k % 6 = 0 THEN ',"proposed_album":"' || l_returnflag || '"' ELSE '' END || '}}' AS json FROM l""")
+def record_json_whole(spark, sf_dir):
+    k = F.col("l_partkey")
+    place = F.struct((k % 90 + 0.5).cast("double").alias("latitude"), (-(k % 180) - 0.25).cast("double").alias("longitude"), F.when(k % 2 != 0, (k % 1000).cast("double")).alias("altitude"))
+    r = _records(spark, sf_dir).withColumn("geo", F.when(k % 7 != 0, place))
+    return r.select(F.substring("group_id", F.lit(2), F.lit(20)).cast("long").alias("k"), records.to_json().alias("json"))
+
+
 @query("SELECT group_id, array_to_string(list_sort(list_distinct(list(proposed_album) FILTER (proposed_album <> ''))), '|') AS proposals FROM members GROUP BY group_id HAVING count(DISTINCT proposed_album) FILTER (proposed_album <> '') > 1", "members")
 def proposal_conflicts(spark, sf_dir):
     return albums.conflicts(view(spark, sf_dir, "members")).select("group_id", F.concat_ws("|", "proposals").alias("proposals"))
