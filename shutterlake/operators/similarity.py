@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shutterlake.functions.vectors import dot, l2_normalize
+from shutterlake.operators import hdbscan
 from shutterlake.operators.hdbscan import labels as density_labels
 
 
@@ -70,23 +72,26 @@ def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
     return lists.select(key, l2_normalize(F.transform("p", lambda s: s["m"])).alias("embedding"))
 
 
-#: Density clustering holds all pairwise distances of its slice in one task.
-MOST_CLUSTERED = 10_000
+#: Up to so many rows, density clustering runs in one task; beyond that, in pairs of blocks of BLOCK vectors.
+MOST_CLUSTERED, BLOCK = 10_000, 4096
+#: Rows of a block whose distances to another block are held at once.
+_AT_ONCE = 512
 
 
 def cluster(embeddings: DataFrame, paths: DataFrame | None = None, min_cluster_size: int = 5) -> DataFrame:
     """(path, label) of the slice of embeddings named by `paths`(path), -1 where density is too low.
 
-    The operator is for slices that a person chose: more than MOST_CLUSTERED rows are refused, not sampled.
+    Any number of rows is clustered, none is sampled. Beyond MOST_CLUSTERED rows, tasks compare blocks of vectors, which
+    takes time by the square of the rows; the driver holds the spanning tree, a few numbers a row.
     """
     if min_cluster_size < 2:
         raise ValueError("a cluster has at least 2 members")
     slice_ = embeddings if paths is None else embeddings.join(F.broadcast(paths.select("path").distinct()), "path", "left_semi")
     n = slice_.count()
-    if n > MOST_CLUSTERED:
-        raise ValueError(f"{n} rows are too many to cluster at once; narrow the slice to {MOST_CLUSTERED}")
     if n < min_cluster_size:
         raise ValueError(f"{n} rows can't make a cluster of {min_cluster_size}")
+    if n > MOST_CLUSTERED:
+        return _cluster_blocks(slice_.select("path", "embedding"), min_cluster_size)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("path")
@@ -95,6 +100,118 @@ def cluster(embeddings: DataFrame, paths: DataFrame | None = None, min_cluster_s
     return slice_.select("path", "embedding", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda f: run(f), "path string, label int")
 
 
+def _in_blocks(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(lo, paths, x) of each block of BLOCK rows in the order of paths: its first row's number, its unit vectors; and n."""
+    ordered = rows.orderBy("path").persist()
+    size = BLOCK
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"p": [TaskContext.get().partitionId()], "n": [sum(len(f) for f in frames)]})
+
+    counts = dict(ordered.select("path").mapInPandas(count, "p int, n long").collect())  # one per partition
+    before = dict(zip(sorted(counts), np.cumsum([0, *(counts[p] for p in sorted(counts))]).tolist()))
+
+    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = before[TaskContext.get().partitionId()]
+        for f in frames:
+            i = np.arange(at, at + len(f))
+            at += len(f)
+            yield f.assign(i=i, block=i // size)
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("i")
+        x = hdbscan.unit(np.stack(f.embedding.to_numpy()))
+        return pd.DataFrame({"lo": [int(f.i.iloc[0])], "paths": [f.path.tolist()], "x": [x.tobytes()]})
+
+    numbered = ordered.mapInPandas(number, "path string, embedding array<double>, i long, block long")
+    blocks = numbered.groupBy("block").applyInPandas(pack, "lo long, paths array<string>, x binary").persist()
+    n = sum(r.n for r in blocks.select(F.size("paths").alias("n")).collect())
+    ordered.unpersist()
+    return blocks, n
+
+
+def _pairs(blocks: DataFrame, n: int) -> DataFrame:
+    """Each block (lo, n, x) with each block (lo2, n2, x2)."""
+    one = blocks.select("lo", F.size("paths").alias("n"), "x").repartition(-(-n // BLOCK))
+    other = one.select(F.col("lo").alias("lo2"), F.col("n").alias("n2"), F.col("x").alias("x2"))
+    return one.crossJoin(other)
+
+
+def _core_distances(blocks: DataFrame, n: int, k: int) -> np.ndarray:
+    """Each row's distance to the k-th nearest, itself included."""
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                x, y = np.frombuffer(r.x).reshape(r.n, -1), np.frombuffer(r.x2).reshape(r.n2, -1)
+                m = min(k, r.n2)
+                best = [np.partition(np.clip(1 - x[i : i + _AT_ONCE] @ y.T, 0, 2), m - 1, axis=1)[:, :m] for i in range(0, r.n, _AT_ONCE)]
+                yield pd.DataFrame({"lo": [r.lo], "n": [r.n], "d": [np.concatenate(best).tobytes()]})
+
+    def kth(f: pd.DataFrame) -> pd.DataFrame:
+        d = np.concatenate([np.frombuffer(r.d).reshape(r.n, -1) for r in f.itertuples()], axis=1)
+        return pd.DataFrame({"lo": f.lo.iloc[:1], "d": [np.partition(d, k - 1, axis=1)[:, k - 1].tobytes()]})
+
+    found = _pairs(blocks, n).mapInPandas(near, "lo long, n int, d binary").groupBy("lo").applyInPandas(kth, "lo long, d binary").collect()
+    return np.concatenate([np.frombuffer(r.d) for r in sorted(found)])
+
+
+def _nearest(blocks: DataFrame, n: int, core: np.ndarray):
+    """nearest() for hdbscan.spanning_tree()."""
+    context = blocks.sparkSession.sparkContext
+    cores = context.broadcast(core)
+
+    def nearest(ask: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sent = context.broadcast((ask, part))
+
+        def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ask, part = sent.value
+            core = cores.value
+            for f in frames:
+                for r in f.itertuples():
+                    rows = np.flatnonzero(ask[r.lo : r.lo + r.n])
+                    if not len(rows):
+                        continue
+                    x, y = np.frombuffer(r.x).reshape(r.n, -1), np.frombuffer(r.x2).reshape(r.n2, -1)
+                    there = slice(r.lo2, r.lo2 + r.n2)
+                    height, to = np.empty(len(rows)), np.empty(len(rows), np.int64)
+                    for a in range(0, len(rows), _AT_ONCE):
+                        own = rows[a : a + _AT_ONCE]
+                        reach = np.clip(1 - x[own] @ y.T, 0, 2)
+                        np.maximum(reach, core[there], out=reach)
+                        np.maximum(reach, core[r.lo + own][:, None], out=reach)
+                        reach[part[r.lo + own][:, None] == part[there]] = np.inf
+                        j = reach.argmin(axis=1)
+                        height[a : a + len(own)], to[a : a + len(own)] = reach[np.arange(len(own)), j], j + r.lo2
+                    yield pd.DataFrame({"lo": [r.lo], "lo2": [r.lo2], "h": [height.tobytes()], "t": [to.tobytes()]})
+
+        def best(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("lo2")  # at equal heights the lesser row comes first
+            h, t = np.stack([np.frombuffer(b) for b in f.h]), np.stack([np.frombuffer(b, np.int64) for b in f.t])
+            top = h.argmin(axis=0), np.arange(h.shape[1])
+            return pd.DataFrame({"lo": f.lo.iloc[:1], "h": [h[top].tobytes()], "t": [t[top].tobytes()]})
+
+        found = sorted(_pairs(blocks, n).mapInPandas(least, "lo long, lo2 long, h binary, t binary").groupBy("lo").applyInPandas(best, "lo long, h binary, t binary").collect())
+        sent.destroy()
+        return np.concatenate([np.frombuffer(r.h) for r in found]), np.concatenate([np.frombuffer(r.t, np.int64) for r in found])
+
+    return nearest
+
+
+def _cluster_blocks(rows: DataFrame, min_cluster_size: int) -> DataFrame:
+    blocks, n = _in_blocks(rows)
+    core = _core_distances(blocks, n, min_cluster_size)
+    found = hdbscan.tree_labels(n, hdbscan.spanning_tree(n, _nearest(blocks, n, core)), min_cluster_size)
+    labels = rows.sparkSession.sparkContext.broadcast(found)
+
+    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                yield pd.DataFrame({"path": r.paths, "label": labels.value[r.lo : r.lo + len(r.paths)]})
+
+    return blocks.select("lo", "paths").mapInPandas(named, "path string, label int")
+
+
 def members(labelled: DataFrame) -> DataFrame:
     """(label, paths): each cluster's paths in order."""
     return labelled.groupBy("label").agg(F.array_sort(F.collect_list("path")).alias("paths"))

@@ -153,3 +153,14 @@ def test_report_precedence(spark):
 def test_record_json(spark):
     rows = spark.createDataFrame([(["d"], None, None, "g", None, "cap", None)], records.RECORD_DDL)
     assert json.loads(rows.select(records.to_json().alias("j")).first().j) == {"dates": ["d"], "geo": None, "album": None, "group_id": "g", "caption": "cap"}
+
+
+def test_clusters_of_any_size(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = np.concatenate([c + r.normal(0, 0.05, (40, 5)) for c in r.normal(size=(6, 5))] + [r.normal(size=(60, 5))])
+    rows = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(x)], "path string, embedding array<double>").repartition(3)
+    whole = {q.path: q.label for q in similarity.cluster(rows).collect()}
+    monkeypatch.setattr(similarity, "MOST_CLUSTERED", 100)
+    monkeypatch.setattr(similarity, "BLOCK", 64)
+    got = {q.path: q.label for q in similarity.cluster(rows).collect()}
+    assert got == whole and len(got) == 300 and len(set(got.values())) > 4
