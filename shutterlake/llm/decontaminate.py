@@ -19,15 +19,21 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import read
 from shutterlake.llm.kernels import LETTERS, combined, groups, text_bytes, words
 
-#: Weight 6: whichever 3 of a window's 16 words are substituted, one of the masks fits between them.
-MASKS = ("1111011", "111000001011", "1110111")
+#: For items of at least LEAST_MASKED words: a share of 0.8 leaves 5 successive words with at most one substitution in
+#: every window, and one of these masks of weight 4 fits beside it.
+MASKS = ("1111", "11011", "10111", "11101")
+#: For items of a whole window, more selective: of weight 6, one fits whichever 3 of 16 words are substituted.
+LONG_MASKS = ("1111011", "111000001011", "1110111")
 #: A document overlaps an item if, somewhere along one alignment, this share of so many successive words is the same.
 WINDOW, SHARE = 16, 0.8
-#: Items of fewer words are never looked for; those shorter than a mask must occur word for word.
-LEAST_WORDS = 5
+#: Items of fewer words are never looked for; those of fewer than LEAST_MASKED must occur word for word.
+LEAST_WORDS, LEAST_MASKED = 1, 5
 #: Bytes of items in one block; blocks are sent to every task, one block at a time.
 BLOCK_BYTES = 4 << 20
 
+#: Scripts without spaces between words: each of their characters is a word.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
+
 _WORD = LETTERS.copy()
 _WORD[0x30:0x3A] = True
 _TABLE_BITS = 20
@@ -39,7 +45,10 @@ def gaps(mask: str) -> tuple[int, ...]:
 
 def word_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of the lower-cased words of runs of rows, and the bounds of the rows among them."""
-    data, offsets = text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
+    column = pc.utf8_lower(column.cast(pa.large_string()))
+    data, offsets = text_bytes(column)
+    if (data >= 0xE0).any():  # the first byte of characters from U+0800 on, as all of UNSPACED are
+        data, offsets = text_bytes(pc.replace_substring_regex(column, UNSPACED, r" \1 "))
     for a, b in groups(offsets):
         yield words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _WORD)
 
@@ -65,9 +74,9 @@ def build(items: list[tuple[int, str | None]]) -> Index:
     bounds = np.concatenate(bounds)
     size = np.diff(bounds)
     owner = np.repeat(np.arange(len(size)), size)
-    span = max(len(m) for m in MASKS)
-    shapes: list[tuple[tuple[int, ...], np.ndarray]] = [(gaps(m), size >= span) for m in MASKS]
-    shapes += [(tuple(range(n)), size == n) for n in sorted(set(size[(size >= LEAST_WORDS) & (size < span)].tolist()))]
+    shapes: list[tuple[tuple[int, ...], np.ndarray]] = [(gaps(m), size >= WINDOW) for m in LONG_MASKS]
+    shapes += [(gaps(m), (size >= LEAST_MASKED) & (size < WINDOW)) for m in MASKS]
+    shapes += [(tuple(range(n)), size == n) for n in range(LEAST_WORDS, LEAST_MASKED)]
     seeds = []
     for shape, which in shapes:
         h = combined(all_words, shape)
@@ -104,7 +113,7 @@ def find(doc: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]], index: In
             sums = np.concatenate([[0], np.cumsum(same)])
             sums = sums[w:] - sums[:-w]
             top = int(sums.argmax())
-            need = w if size[k] < max(len(m) for m in MASKS) else int(np.ceil(SHARE * w - 1e-9))
+            need = int(np.ceil(SHARE * w - 1e-9))
             found = (index.item_ids[k], int(sums[top]), w, a + d + top, a + top)
             if sums[top] >= need and (k not in best or (-found[1], found[3]) < (-best[k][1], best[k][3])):
                 best[k] = found
@@ -153,8 +162,8 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True)
     """docs(text, ...) with overlaps, an array of the benchmark items that overlap each text, one row for each row.
 
     benchmark(item_id, text) is sent to the tasks in blocks of bounded size: as many scans as it has blocks. Null and
-    empty texts overlap nothing, nor do items of fewer than LEAST_WORDS words; an item shorter than the masks must occur
-    word for word. Repeated items give repeated overlaps. Other columns pass unchanged, one named overlaps is replaced.
+    empty texts overlap nothing; an item of fewer than LEAST_MASKED words must occur word for word. In scripts without
+    spaces each character counts as a word. Repeated items give repeated overlaps. Other columns pass unchanged, one named overlaps is replaced.
     """
     spark = docs.sparkSession
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n

@@ -264,6 +264,28 @@ def test_overlaps_equal_all_alignments(spark):
     assert decontaminate.decontaminated(rows, bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("length", range(1, decontaminate.WINDOW + 1))
+def test_substitutions_of_short_items_are_found(length):
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    item = [f"w{j}" for j in range(length)]
+    index = decontaminate.build([(7, " ".join(item))])
+    most = length - math.ceil(decontaminate.SHARE * length - 1e-9)
+    docs = [" ".join(["pre", *(f"x{j}" if j in gone else w for j, w in enumerate(item)), "post"]) for n in range(most + 1) for gone in combinations(range(length), n)]
+    assert all(found and found[0][0] == 7 for found in decontaminate.overlaps(pa.array(docs), index))
+    over = " ".join(f"x{j}" if j <= most else w for j, w in enumerate(item))
+    assert list(decontaminate.overlaps(pa.array([over]), index)) == [[]]
+
+
+def test_items_without_spaces_are_found(spark):
+    item = "机器学习模型的训练数据里不应该含有评测题目"
+    docs = spark.createDataFrame([(1, "前文" + item.replace("模", "某") + "后文"), (2, "完全无关的另外一段文字"), (3, "ก่อน ภาษาไทย")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (6, "ภาษาไทย")], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {2}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(9)]
     rows = spark.createDataFrame([(k, "pre " + t) for k, t in items], "doc_id long, text string")
