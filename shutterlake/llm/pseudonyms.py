@@ -20,8 +20,10 @@ from shutterlake.llm.common import read
 #: The key of the registered query; a real run passes its own secret.
 DEMONSTRATION_KEY = b"shutterlake demonstration key"
 ROUNDS = 8
-#: Dates are permuted among the days from FIRST_DAY on.
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049
+#: Dates are permuted among the days of their 200 years; these spans begin at FIRST_YEAR and by so many years from it.
+FIRST_YEAR, SPAN = 1900, 200
+#: Country codes of one and two digits; all others have three.
+_SHORT_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
 
 
 def _round(key: bytes, tweak: bytes, i: int, value: int, size: int) -> int:
@@ -95,6 +97,17 @@ def _phone(text: str, key: bytes, inverse: bool) -> str | None:
     return _refill(text, country + f"{permute(int(local), 10**10, key, b'phone', inverse):010d}")
 
 
+def _phone_abroad(text: str, key: bytes, inverse: bool) -> str | None:
+    d = _digits(text)
+    if not 8 <= len(d) <= 15:
+        return None
+    code = m.end() if (m := _SHORT_CODES.match(d)) else 3
+    trunk = re.search(r"\(0\)", text)  # stays
+    at = code if trunk is None else len(_digits(text[: trunk.end()]))
+    n = len(d) - at
+    return _refill(text, d[:at] + f"{permute(int(d[at:]), 10**n, key, b'phone%d' % n, inverse):0{n}d}") if n > 3 else None
+
+
 def _ssn_valid(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -155,32 +168,56 @@ def _mail(text: str, key: bytes, inverse: bool) -> str | None:
     return f"{_classes(local, key, b'mail' + domain.lower().encode(), inverse)}@{domain}"
 
 
+def _written(values: tuple[int, ...], widths: tuple[int, ...], fields: list[str]) -> bool:
+    """Whether numbers fit the widths that the old fields have: where one isn't padded, tens stay tens."""
+    return 1 not in widths or all((v < 10) == (int(f) < 10) for v, f in zip(values, fields, strict=True))
+
+
 def _date(order: str) -> Callable[[str, bytes, bool], str | None]:
     def change(text: str, key: bytes, inverse: bool) -> str | None:
         part = dict(zip(order, re.findall(r"[0-9]+", text), strict=True))
         try:
-            day = (datetime.date(int(part["y"]), int(part["m"]), int(part["d"])) - FIRST_DAY).days
+            day = datetime.date(int(part["y"]), int(part["m"]), int(part["d"]))
         except ValueError:
             return None
-        if not 0 <= day < DAYS:
-            return None
-        new = FIRST_DAY + datetime.timedelta(permute(day, DAYS, key, b"date", inverse))
-        value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        fields = iter(value[c] for c in order)
-        return re.sub(r"[0-9]+", lambda _: next(fields), text)
+        if order == "mdy" and day.day <= 12:
+            return None  # read as dmy
+        since = FIRST_YEAR + (day.year - FIRST_YEAR) // SPAN * SPAN
+        first = datetime.date(max(1, since), 1, 1).toordinal()
+        days = (datetime.date(since + SPAN, 1, 1).toordinal() if since + SPAN <= datetime.MAXYEAR else datetime.date.max.toordinal() + 1) - first
+        tweak = b"date" if since == FIRST_YEAR else b"date%d" % since
+        fields = [part["m"], part["d"]]
+        widths = tuple(map(len, fields))
+        at = day.toordinal() - first
+        while True:  # past the days that would be written or read in another way
+            at = permute(at, days, key, tweak, inverse)
+            new = datetime.date.fromordinal(first + at)
+            if _written((new.month, new.day), widths, fields) and (order != "mdy" or new.day > 12):
+                break
+        value = {"y": f"{new.year:04d}", "m": f"{new.month:0{widths[0]}d}", "d": f"{new.day:0{widths[1]}d}"}
+        numbers = iter(value[c] for c in order)
+        return re.sub(r"[0-9]+", lambda _: next(numbers), text)
 
     return change
 
 
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z])(?<![0-9][.,-])", r"(?![0-9A-Za-z])(?![.,-][0-9])"
+#: A time may follow a date.
+_AFTER_DATE = r"(?:(?=[Tt][0-9]{2}:?[0-9]{2})|" + _AFTER + ")"
+_DAY_YEAR = _BEFORE + r"[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{4}" + _AFTER_DATE
 #: In order of precedence where matches begin at the same place.
 KINDS = [
     Kind("mail", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", _mail),
     Kind("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}" + _AFTER, _phone),
     Kind("phone_plain", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _AFTER, _phone),
-    Kind("date_ymd", _BEFORE + r"[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}" + _AFTER, _date("ymd")),
-    Kind("date_dmy", _BEFORE + r"[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}" + _AFTER, _date("dmy")),
-    Kind("card_grouped", _BEFORE + r"(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5})" + _AFTER, _card),
+    *(Kind(f"phone_abroad{n}", r"(?<![0-9A-Za-z+])\+[0-9]{1,7}(?:[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{1,14}|[ .-][0-9]{1,14}){1,%d}" % n + _AFTER, _phone_abroad) for n in range(6, 0, -1)),  # fewer groups if 15 digits are passed
+    Kind("phone_abroad", r"(?<![0-9A-Za-z+])\+[0-9]{8,15}" + _AFTER, _phone_abroad),
+    Kind("phone_groups", _BEFORE + r"(?:1[-.])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}" + _AFTER, _phone),
+    Kind("phone_spaced", _BEFORE + r"(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}" + _AFTER + r"(?! [0-9])", _phone),
+    Kind("date_ymd", _BEFORE + r"[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/)[0-9]{1,2}" + _AFTER_DATE, _date("ymd")),
+    Kind("date_dmy", _DAY_YEAR, _date("dmy")),
+    Kind("date_mdy", _DAY_YEAR, _date("mdy")),
+    Kind("card_grouped", _BEFORE + r"(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})" + _AFTER, _card),
     Kind("card", _BEFORE + r"[0-9]{13,19}" + _AFTER, _card),
     Kind("ssn", _BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _AFTER, _ssn),
     Kind("ipv4", r"(?<![0-9A-Za-z])(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])", _ipv4),
@@ -188,7 +225,7 @@ KINDS = [
 ]
 _ANY = re.compile("|".join(f"(?P<{k.name}>{k.pattern})" for k in KINDS))
 _BY_NAME = {k.name: k for k in KINDS}
-_HINT = re.compile(r"[0-9]{4}|[0-9][.][0-9]|@").search
+_HINT = re.compile(r"[0-9]{4}|[0-9][.][0-9]|@|\+[0-9]").search
 
 
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[tuple[str, int, int]]]:

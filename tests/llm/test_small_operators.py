@@ -198,6 +198,24 @@ def test_values_change_within_their_format(value):
     assert pseudonyms.pseudonymise(text, b"another")[0] != new
 
 
+FORMS = ["1985-03-04T10:00:00Z", "1985-03-04T1000", "12/31/1985", "1/31/1985", "3/4/1985", "1985-3-4", "1985/12/4", "4.3.1985", "31-12-1985", "1850-05-06", "0999-01-02", "9950-01-02", "415-555-0132", "415.555.0132", "1-415-555-0132", "415 555 0132", "+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "+49 (30) 123456", "3782-822463-10005"]
+
+
+@pytest.mark.parametrize("value", FORMS)
+def test_written_forms_change(value):
+    text = f"a {value} b"
+    for key in (KEY, *(b"key %d" % i for i in range(40))):
+        new, found = pseudonyms.pseudonymise(text, key)
+        assert len(found) == 1 and new != text and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", text)
+        assert pseudonyms.pseudonymise(new, key, inverse=True)[0] == text
+
+
+def test_number_after_a_phone():
+    new, found = pseudonyms.pseudonymise("+44 20 7946 0958 4111 1111 1111 1111, +" + "9" * 5000, KEY)
+    assert len(found) == 2 and "0958" not in new and "4111 1111 1111 1111" not in new
+    assert pseudonyms.pseudonymise(new, KEY, inverse=True)[0].startswith("+44 20 7946 0958 4111 1111 1111 1111,")
+
+
 @pytest.mark.parametrize("value", OTHERS)
 def test_invalid_values_stay(value):
     assert pseudonyms.pseudonymise(f"x {value} y", KEY) == (f"x {value} y", [])
