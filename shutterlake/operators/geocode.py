@@ -26,9 +26,12 @@ def _nearest_all(points: DataFrame, places: DataFrame, key: str) -> DataFrame:
 def nearest(points: DataFrame, places: DataFrame, key: str = "key", broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """points(key, lat, lon) with location, of places(place_id, lat, lon, name, admin1, cc); ties go to the smaller place_id.
 
+    Points and places without coordinates meet nothing.
+
     Many places are met through one-degree cells: a hit within a cell's reach is the nearest for sure; points without
     one widen their search by rings until every point has its place.
     """
+    places = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     named = places.select("place_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "name", "admin1", "cc")
     located = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     if places.limit(broadcast_places + 1).count() <= broadcast_places:

@@ -131,6 +131,12 @@ def test_geocode_by_cells_equals_the_broadcast(spark):
     assert a == b and None not in a.values()
 
 
+def test_places_without_coordinates_are_no_ones_nearest(spark):
+    pts = spark.createDataFrame([(1, 10.0, 10.0)], "key long, lat double, lon double")
+    pls = spark.createDataFrame([(1, None, 10.0, "a", None, "c"), (2, 10.0, None, "b", None, "c"), (3, 11.0, 10.0, "d", None, "c")], "place_id long, lat double, lon double, name string, admin1 string, cc string")
+    assert [geocode.nearest(pts, pls, broadcast_places=n).first().place_id for n in (10, 0)] == [3, 3]
+
+
 def test_density_labels():
     r = np.random.default_rng(1)
     angles = np.concatenate([r.normal(0, 0.02, 20), r.normal(2, 0.02, 20), [1.0, -1.2]])
