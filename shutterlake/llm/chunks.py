@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import shared_dir
+from shutterlake.llm.common import partitions_of, read_buckets, shared_dir, write_buckets
 from shutterlake.llm.kernels import groups, text_bytes
 
 CHUNK_BYTES = 4 << 20
@@ -67,22 +67,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def partitions_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def store_chunks(docs: DataFrame, name: str) -> DataFrame:
     """docs(doc_id, text, ...) as a table of chunks in the shared folder; a null doc_id is kept as the largest number and marked.
 
     Other columns are kept beside, unread by those who don't ask for them. The table is bucketed by chunk_id: joins on it move only what is joined to it.
     """
-    table = f"shutterlake_{name}_{uuid.uuid4().hex}"
-    rows = docs.mapInArrow(_pack, _CHUNK)
-    writer = rows.write.bucketBy(2 * partitions_of(docs), "chunk_id").option("path", f"{shared_dir(docs.sparkSession)}/{table}")
-    writer.option("compression", "zstd").option("parquet.enable.dictionary", "false").saveAsTable(table)
-    out = docs.sparkSession.table(table)
-    out._shutterlake_path = f"{shared_dir(docs.sparkSession)}/{table}"
-    return out
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/shutterlake-{name}-{uuid.uuid4().hex}"
+    write_buckets(docs.mapInArrow(_pack, _CHUNK), path, "chunk_id", 2 * partitions_of(docs))
+    return read_buckets(spark, path)
 
 
 class Chunk:

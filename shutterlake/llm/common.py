@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import json
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from shutterlake.session import ship_package
 
@@ -25,21 +30,55 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured, as in tests."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names.
+
+    Where it isn't set, a temporary one serves a session on one machine, as in tests; on a cluster this raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shutterlake-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def partitions_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written as a Parquet table in the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shutterlake-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._shutterlake_path = path
+    out._shutterlake_paths = [path]
+    return out
+
+
+def write_buckets(df: DataFrame, path: str, column: str, buckets: int) -> None:
+    """The frame as Parquet files bucketed by a column, for read_buckets(). The catalogue keeps no table of them."""
+    name = f"shutterlake_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").option("parquet.enable.dictionary", "false")
+    writer.saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    kept = df.sparkSession.createDataFrame([(df.schema.json(), column, buckets)], "schema string, column string, buckets int")
+    kept.coalesce(1).write.parquet(f"{path}-layout")
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """A frame of files that write_buckets() wrote; joins of it on its column needn't move it."""
+    layout = spark.read.schema("schema string, column string, buckets int").parquet(f"{path}-layout").first()
+    schema = StructType.fromJson(json.loads(layout.schema))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    name = f"shutterlake_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{layout.column}`) INTO {layout.buckets} BUCKETS LOCATION '{path}'")
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved before its name goes
+    spark.sql(f"DROP TABLE {name}")
+    out._shutterlake_paths = [path, f"{path}-layout"]
     return out
 
 
@@ -49,10 +88,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def forget(df: DataFrame) -> None:
-    """Delete the table behind a frame of stored(); only once nothing can read it any more."""
-    path = getattr(df, "_shutterlake_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    """Delete the table behind a frame of stored() or read_buckets(); only once nothing can read it any more."""
+    for path in getattr(df, "_shutterlake_paths", []):
+        remove(df.sparkSession, path)

@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.chunks import Chunk, bucketed, partitions_of, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import read, stored
+from shutterlake.llm.chunks import Chunk, bucketed, rows_of, store_chunks, with_messages
+from shutterlake.llm.common import partitions_of, read, stored
 from shutterlake.llm.kernels import _BYTE, _INV, _POW, _SLICE, mix
 
 #: Bytes of a repeated string, and of the substrings whose least hash is an anchor.

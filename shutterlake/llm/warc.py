@@ -1,8 +1,9 @@
 """Content-addressed WARC store.
 
-An archive is two tables under one root: `blobs` holds each payload's bytes once, keyed by their SHA-256, and
-`records` holds the exact header bytes of every record with the key of its payload. The original records come
-back through a join of the two, and each payload is verified against both digests when it is read.
+An archive is three tables under one root: `blobs` holds each payload's bytes once, keyed by their SHA-256, `responses`
+the exact header bytes of each record that has a payload, with its key, and `revisits` those of the others. The original
+records come back through a join of blobs and responses, both in buckets of the key, and each payload is verified
+against both digests when it is read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import read, shared_dir
+from shutterlake.llm.common import forget, partitions_of, read, read_buckets, remove, shared_dir, stored, write_buckets
 
 # Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -26,67 +27,93 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_END = b"\r\n\r\n"
 RECORD_ID = "urn:x-page:"
 
-_BLOB = "page_id long, url string, sha256 string, sha1 string, payload_bytes long, blob binary"
+#: Payload digests that one task remembers, so that it sends each payload once; with more it forgets and may send some again.
+REMEMBERED = 1 << 18
+#: A digest is hot with more rows than this and more than 1 / HOT_KEYS of all: fewer than HOT_KEYS can be.
+HOT_ROWS, HOT_KEYS = 128, 4096
 
+_BLOB = "sha256 binary, blob binary"
+_RESPONSE = "page_id long, sha256 binary, header binary"
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each payload of a task once, compressed, with its digest."""
     pack = zstandard.ZstdCompressor(level=3).compress
+    seen: set[bytes] = set()
     for batch in batches:
-        html = batch.column("html")
-        payloads = [h.as_buffer().to_pybytes() if h.is_valid else b"" for h in html]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("page_id").cast(pa.int64()),
-                batch.column("url").cast(pa.string()),
-                pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
-                pa.array([base64.b32encode(hashlib.sha1(p).digest()).decode() for p in payloads], pa.string()),
-                pa.array([len(p) for p in payloads], pa.int64()),
-                pa.array([pack(p) for p in payloads], pa.binary()),
-            ],
-            names=["page_id", "url", "sha256", "sha1", "payload_bytes", "blob"],
-        )
+        keys, blobs = [], []
+        for h in batch.column("html"):
+            payload = h.as_buffer().to_pybytes() if h.is_valid else b""
+            if (key := hashlib.sha256(payload).digest()) in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(key)
+            keys.append(key)
+            blobs.append(pack(payload))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["sha256", "blob"])
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each digest; all rows of a digest are in one task, at most a few for each task that sent it."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        fresh = []
+        for key in batch.column("sha256").to_pylist():
+            fresh.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
 
 
 def write_archive(pages: DataFrame, root: str, warc_date: str = "2024-01-01T00:00:00Z", revisit_min_bytes: int = 0) -> None:
     """Write one record per row of pages(page_id, url, html) into the archive at `root`.
 
     Of the records with equal payloads of at least `revisit_min_bytes`, that with the largest page_id is a response
-    and the others revisit it; smaller payloads are always responses. Null html is the empty payload. A null page_id
-    counts as smaller than any other. Rows that repeat the largest page_id and its payload are responses too, over
-    one stored blob. Extra columns are ignored.
+    and the others revisit it; smaller payloads are always responses. Null html is the empty payload, a null url gives
+    no target. A null page_id counts as smaller than any other. Rows that repeat the largest page_id and its payload
+    are responses too, over one stored blob. A page of any length is one payload, held in memory by one task. An empty
+    table gives an archive without records; extra columns are ignored.
+
+    Payloads move once, each at most once per task that has it, to the bucket of their digest; headers move apart.
     """
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", "html").mapInArrow(_digest, _BLOB)
-    # Digests alone decide the record types: no payload takes part in this shuffle, and copies meet pre-aggregated.
-    slim = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        "url",
-        F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
-    ).select("page_id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1_hex"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    newest = slim.groupBy("sha256").agg(F.max("page_id").alias("response_id"))
+    # Digests alone decide the record types: no payload takes part in these shuffles.
+    digests = stored(
+        pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+        .select("page_id", "url", F.unhex(F.sha2("payload", 256)).alias("sha256"), F.sha1("payload").alias("sha1_hex"), F.octet_length("payload").cast("long").alias("payload_bytes")),
+        "warc-digests",
+    )
+    newest = digests.groupBy("sha256").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
+    # The copies of a hot payload meet its response by a broadcast of fewer than HOT_KEYS rows; their own key, which
+    # matches none, spreads them over the join of the rest.
+    hot = newest.where(F.col("n") > max(HOT_ROWS, digests.count() // HOT_KEYS)).select(F.col("sha256").alias("hot_key"), F.col("response_id").alias("hot_id"))
+    met = digests.join(F.broadcast(hot), F.col("sha256") == F.col("hot_key"), "left")
+    met = met.withColumn("key", F.when(F.col("hot_key").isNull(), F.col("sha256")).otherwise(F.encode(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "UTF-8")))
+    rest = newest.select(F.col("sha256").alias("key"), F.col("response_id").alias("rest_id"))
+    typed = met.join(rest, "key", "left").withColumn("response_id", F.when(F.col("hot_key").isNull(), F.col("rest_id")).otherwise(F.col("hot_id")))
     revisit = (F.col("payload_bytes") >= revisit_min_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     name = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
-    sha1 = _base32("sha1_hex")
-    typed = slim.join(newest, "sha256").withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("http", http)
+    typed = typed.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("http", http)
     header = F.concat(
         F.lit(f"{VERSION}\r\nWARC-Type: "), F.col("record_type"),
         F.lit("\r\nWARC-Record-ID: "), name("page_id"),
         F.lit(f"\r\nWARC-Date: {warc_date}"),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", "")), F.lit("")),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), sha1,
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), _base32("sha1_hex"),
         F.when(F.col("record_type") == "revisit", F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), name("response_id"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         (F.length("http") + F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))).cast("string"),
         F.lit("\r\n\r\n"), F.col("http"),
     )
     records = typed.select("page_id", "record_type", "sha256", F.encode(header, "UTF-8").alias("header"))
-    records.write.parquet(f"{root}/records")
-    # A blob comes from the row that its response names; the keys of this join are unique but for repeated rows.
-    chosen = newest.select("sha256", F.col("response_id").alias("page_id"))
-    keyed = rows.select("page_id", "sha256", "blob")
-    blobs = keyed.join(chosen, (keyed.sha256 == chosen.sha256) & keyed.page_id.eqNullSafe(chosen.page_id), "left_semi")
-    blobs.dropDuplicates(["page_id", "sha256"]).select("sha256", "blob").write.parquet(f"{root}/blobs")
+    records.where("record_type = 'revisit'").select("page_id", "header").write.parquet(f"{root}/revisits")
+    buckets = partitions_of(pages)
+    responses = records.where("record_type = 'response'").select("page_id", "sha256", "header")
+    write_buckets(responses.repartition(buckets, "sha256"), f"{root}/responses", "sha256", buckets)
+    blobs = pages.select("html").mapInArrow(_blobs, _BLOB).repartition(buckets, "sha256").mapInArrow(_first_of_each, _BLOB)
+    write_buckets(blobs, f"{root}/blobs", "sha256", buckets)
+    forget(digests)
 
 
 def _base32(hex_column: str) -> F.Column:
@@ -107,27 +134,24 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
-        for sha256, kind, header, blob in zip(*(batch.column(c).to_pylist() for c in ("sha256", "record_type", "header", "blob")), strict=True):
-            if kind == "response":
-                payload = unpack(blob) if blob is not None else None
-                if payload is None or hashlib.sha256(payload).hexdigest() != sha256:
-                    raise ValueError(f"the archive's payload {sha256} is missing or damaged")
-                header += payload
-            out.append(header + RECORD_END)
+        for sha256, header, blob in zip(*(batch.column(c).to_pylist() for c in ("sha256", "header", "blob")), strict=True):
+            payload = unpack(blob) if blob is not None else None
+            if payload is None or hashlib.sha256(payload).digest() != sha256:
+                raise ValueError(f"the archive's payload {sha256.hex()} is missing or damaged")
+            out.append(header + payload + RECORD_END)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["page_id", "record"])
 
 
 def read_archive(spark: SparkSession, root: str) -> DataFrame:
     """The original records of the archive: (page_id, record), the bytes of each whole WARC record.
 
-    Only responses fetch their payload; revisits have none in their record. A missing or damaged blob raises.
+    Only responses fetch their payload, from the bucket that both are stored in, so that nothing is shuffled; revisits
+    have none in their record. A missing or damaged payload raises.
     """
-    records = spark.read.parquet(f"{root}/records")
-    blobs = spark.read.parquet(f"{root}/blobs")
-    # Responses alone look blobs up, so a hot payload's many revisits join nothing.
-    key = F.when(F.col("record_type") == "response", F.col("sha256")).alias("key")
-    joined = records.select("*", key).join(blobs.select(F.col("sha256").alias("key"), "blob"), "key", "left")
-    return joined.select("page_id", "sha256", "record_type", "header", "blob").mapInArrow(_assemble, _RECORD)
+    responses, blobs = read_buckets(spark, f"{root}/responses"), read_buckets(spark, f"{root}/blobs")
+    fetched = responses.hint("shuffle_hash").join(blobs, "sha256", "left").select("page_id", "sha256", "header", "blob").mapInArrow(_assemble, _RECORD)
+    revisits = spark.read.schema("page_id long, header binary").parquet(f"{root}/revisits")
+    return fetched.union(revisits.select("page_id", F.concat("header", F.lit(bytearray(RECORD_END)))))
 
 
 def parse_record(record: bytes) -> dict:
@@ -178,7 +202,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     root = f"{shared_dir(spark)}/shutterlake-warc-{uuid.uuid4().hex}"
     write_archive(pages, root)
-    return parsed(read_archive(spark, root))
+    out = stored(parsed(read_archive(spark, root)), "warc")
+    remove(spark, root)
+    return out
 
 
 SQL = """

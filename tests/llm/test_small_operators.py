@@ -89,6 +89,24 @@ def test_warc_limits(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "b")).collect() == []
 
 
+def test_warc_payload_that_most_rows_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 4)
+    rows = [(i, "u", "same" if i % 3 else f"own {i // 6}") for i in range(60)] + [(None, "u", "same"), (200, "u", "x" * 5_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    warc.write_archive(pages, str(tmp_path / "a"))
+    records = warc.read_archive(spark, str(tmp_path / "a"))
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.parsed(records).collect()}
+    for i, _, html in rows:
+        top = max(j for j, _, h in rows if h == html and j is not None)
+        assert got[i] == (("response", None) if i == top else ("revisit", top)) + (len(html),)
+    assert len(got) == len(rows)
+    assert spark.read.parquet(str(tmp_path / "a/blobs")).count() == len({h for _, _, h in rows})
+    # What is stored in buckets of the digest isn't shuffled to be read, and the catalogue keeps nothing.
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ShuffledHashJoin" in plan
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("shutterlake")]
+
+
 # --- words
 
 
