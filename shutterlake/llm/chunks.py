@@ -21,6 +21,8 @@ from shutterlake.llm.common import partitions_of, read_buckets, shared_dir, writ
 from shutterlake.llm.kernels import groups, text_bytes
 
 CHUNK_BYTES = 4 << 20
+#: Bytes of text whose fingerprints fall into one hash bucket.
+BUCKET_BYTES = 32 << 20
 #: Name, among a chunk's other columns, of the mark of null texts.
 NO_TEXT = "__no_text"
 _CHUNK = "chunk_id long, doc_ids binary, null_ids binary, offsets binary, data binary, others binary"
@@ -78,6 +80,11 @@ def store_chunks(docs: DataFrame, name: str) -> DataFrame:
     return read_buckets(spark, path)
 
 
+def buckets_for(chunks: DataFrame) -> int:
+    """Hash buckets for what stored chunks have to tell: by their bytes, and as many as keep the cores busy."""
+    return max(2 * chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() * CHUNK_BYTES // BUCKET_BYTES))
+
+
 class Chunk:
     """One chunk in memory."""
 

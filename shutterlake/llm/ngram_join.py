@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.chunks import NO_TEXT, Chunk, bucketed, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import forget, partitions_of, read, release, stored
+from shutterlake.llm.chunks import NO_TEXT, Chunk, bucketed, buckets_for, rows_of, store_chunks, with_messages
+from shutterlake.llm.common import forget, read, release, stored
 from shutterlake.llm.components import components
 from shutterlake.llm.kernels import SPACED, combined, groups, mix, words
 from shutterlake.llm.substrings import _MASK, _TELL, _unique, shared_masks, unpack_masks
@@ -385,7 +385,7 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
     chunks = store_chunks(docs, name)
     release(docs.sparkSession)
     slim = chunks.drop("others")
-    buckets = 3 * partitions_of(docs)
+    buckets = buckets_for(chunks)
     masks = bucketed(slim.mapInArrow(_tell(buckets), _TELL), shared_masks, _MASK)
     known = stored(with_messages(slim, masks, keep_all=True).mapInArrow(_describe(buckets), _DOC), name)
     if not keep_chunks:

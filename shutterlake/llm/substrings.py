@@ -5,7 +5,7 @@ A byte goes if a string of LENGTH bytes over it also starts in a document with a
 1. Every window of LENGTH bytes has an anchor: the place of the least hash of its GRAM-byte substrings. Equal windows
    have equal anchors, so windows need comparing only where their anchors' hashes occur in several documents.
 2. The windows of one anchor lie in one stretch of text. Where all stretches around an anchor hash are equal, the
-   least doc_id answers for all their windows.
+   least doc_id answers for all their windows. Stretches are equal if the 64-bit hashes of anchor and stretch are.
 3. Else the different stretches meet in a hash bucket. Each shard's stretches have their own Burrows-Wheeler transform;
    these are merged by refining their interleave, one symbol at a time, which yields the common prefixes: positions
    whose prefixes of LENGTH bytes stay together are one repeated interval, and the least doc_id of each is its answer.
@@ -22,17 +22,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.chunks import Chunk, bucketed, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import partitions_of, read, stored
-from shutterlake.llm.kernels import _BYTE, _INV, _POW, _SLICE, mix
+from shutterlake.llm.chunks import Chunk, bucketed, buckets_for, rows_of, store_chunks, with_messages
+from shutterlake.llm.common import forget, read, release, stored
+from shutterlake.llm.kernels import _BYTE, _INV, _POW, _SLICE, hash_spans, mix
 
 #: Bytes of a repeated string, and of the substrings whose least hash is an anchor.
 LENGTH, GRAM = 50, 20
 #: Bytes of stretches that make up a shard of their own when transforms are merged.
 SHARD_BYTES = 1 << 17
+#: Rounds of merging after which strings of a single document are left out.
+CLOSE_EVERY = 4
 #: No byte of a UTF-8 text; ends each stretch.
 END = 0xFF
-_NEVER = np.iinfo(np.int64).max
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -49,22 +50,6 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def stretch_hashes(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[low:high] for rising, overlapping stretches shorter than a slice."""
-    out = np.empty(len(low), np.uint64)
-    at, step = 0, _SLICE >> 2
-    while at < len(low):
-        first = int(low[at])
-        end = max(at + 1, int(np.searchsorted(high, first + step, side="right")))
-        part = data[first : int(high[end - 1])]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * _POW[: len(part)], out=sums[1:])
-        a, b = low[at:end] - first, high[at:end] - first
-        out[at:end] = (sums[b] - sums[a]) * _INV[a]
-        at = end
-    return mix(out)
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each anchor, its document's row, and the first and last start of the windows that have it."""
     found: list[tuple[np.ndarray, ...]] = []
@@ -224,7 +209,7 @@ def _gather(buckets: int):
             keep = unpack_masks(row["messages"], keys, buckets)[index]
             h, place, doc, low, last = (x[keep] for x in (h, place, doc, low, last))
             high = last + LENGTH
-            stretch = mix(stretch_hashes(c.data, low, high) + (place - low).astype(np.uint64))
+            stretch = mix(hash_spans(c.data, low, high) + (place - low).astype(np.uint64))
             bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((stretch, h, bucket))
             hs, cs, bs = h[order], stretch[order], bucket[order]
@@ -317,79 +302,104 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shard_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted rotations of a shard's text (by at least `depth` bytes), its Burrows-Wheeler transform, its last-to-first map."""
+    """Sorted rotations of a shard's text (by at least `depth` bytes), its Burrows-Wheeler transform, its last-to-first map.
+
+    Eight bytes at once decide first; only rotations that are still tied are then told apart, by doubled lengths.
+    """
     n = len(text)
-    place = np.arange(n)
-    rank = text.astype(np.int64)
-    size = 1
-    for k in range(1, min(8, depth)):  # eight bytes at once, then doubling
-        rank = rank * 256 + text[(place + k) % n] if k < 7 else rank
-        size = k + 1 if k < 7 else size
+    # A rotation's rank is the first place that those tied with it take.
+    key = np.ndarray(n, ">u8", np.resize(text, n + 7).tobytes(), strides=(1,)).astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    tied, size = np.arange(n), 8
+    border = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, np.int64)
     while True:
-        order = np.argsort(rank, kind="stable")
-        sorted_rank = rank[order]
-        dense = np.empty(n, np.int64)
-        dense[order] = np.cumsum(np.concatenate([[0], sorted_rank[1:] != sorted_rank[:-1]]))
-        if size >= depth:
+        rank[order[tied]] = np.maximum.accumulate(np.where(border, tied, 0))
+        alone = border & np.append(border[1:], True)
+        tied = tied[~alone]
+        if size >= depth or not len(tied):
             break
-        rank = dense * (n + 1) + dense[(place + size) % n]
+        place = order[tied]
+        key = rank[place] * n + rank[(place + size) % n]
+        again = np.argsort(key)
+        order[tied], key = place[again], key[again]
+        border = np.concatenate([[True], key[1:] != key[:-1]])
         size *= 2
-    position = np.empty(n, np.int64)
-    position[order] = place
-    return order, text[(order - 1) % n], position[(order - 1) % n]
+    position = np.empty(n, np.int32)
+    position[order] = np.arange(n, dtype=np.int32)
+    return order, text[order - 1], position[order - 1]
 
 
-def merge_transforms(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(shards: list[np.ndarray], depth: int, ends: np.ndarray | None = None, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All shards' suffixes in the order of their first `depth` bytes, and the common prefix of each with the one before.
 
     The second array is the length, `depth` if at least that. The interleave starts as the shards one after another;
     each round takes the next symbol of every suffix's transform in the present order and deals the suffixes out by
     it, so that after k rounds they are in the order of k bytes. A border that appears in round k has the prefix k - 1.
+
+    Given `ends`, places in the shards' texts one after another, only the strings of `depth` bytes before them are
+    merged: each round follows the suffixes that they pass through, and those whose bytes so far are shared by a single
+    `owner` are left out from then on. The first array then has the indices of the strings that are left, in order; the
+    second has `depth` where a string equals the one before, else 0.
     """
     sa, bwt, lf, shift = [], [], [], 0
     for text in shards:
         order, symbols, back = shard_transform(text, depth)
         sa.append(order + shift)
         bwt.append(symbols)
-        lf.append(back + shift)
+        lf.append(back + np.int32(shift))
         shift += len(text)
-    sa, bwt = np.concatenate(sa), np.concatenate(bwt)
-    lf = np.concatenate(lf).astype(np.int32)
-    current = np.arange(shift, dtype=np.int32)
-    prefix = np.full(shift, depth, np.int32)
-    block = np.zeros(shift, np.int32)
+    sa, bwt, lf = np.concatenate(sa), np.concatenate(bwt), np.concatenate(lf)
+    if ends is None:
+        current, index = np.arange(shift, dtype=np.int32), None
+    else:
+        current = np.empty(shift, np.int32)
+        current[sa] = np.arange(shift, dtype=np.int32)
+        current = current[ends]
+        index = np.argsort(current)
+        current = current[index]
+    prefix = np.full(len(current), depth, np.int32)
+    block, border = np.zeros(len(current), np.int32), np.zeros(len(current), bool)
     for k in range(1, depth + 1):
         symbol = bwt[current]
-        dealt = np.argsort(symbol, kind="stable")
-        symbol, block = symbol[dealt], block[dealt]
-        current = lf[current][dealt]
-        border = np.empty(shift, bool)
+        dealt = np.argsort(symbol, kind="stable")  # bytes are dealt by counting
+        symbol, block, current = symbol[dealt], block[dealt], lf[current[dealt]]
+        border = np.empty(len(current), bool)
         border[:1] = True
         np.not_equal(symbol[1:], symbol[:-1], out=border[1:])
         border[1:] |= block[1:] != block[:-1]
-        prefix[border & (prefix == depth)] = k - 1
+        if index is None:
+            prefix[border & (prefix == depth)] = k - 1
+        else:
+            index = index[dealt]
+            if k % CLOSE_EVERY == 0 or k == depth:
+                start = np.flatnonzero(border)
+                own = owner[index]
+                several = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start) if len(start) else np.empty(0, bool)
+                left = np.repeat(several, np.diff(np.append(start, len(own))))
+                index, current, border = index[left], current[left], border[left]
         block = np.cumsum(border, dtype=np.int32)
-    return sa[current], prefix
+    if index is None:
+        return sa[current], prefix
+    return index, np.where(border, 0, depth)
 
 
 def least_documents(texts: list[list[bytes]], docs: list[np.ndarray], depth: int = LENGTH) -> list[np.ndarray]:
     """For each shard's stretches, one after another, the least document among all that have each window of `depth` bytes."""
     end = bytes([END])
     shards = [np.frombuffer(end.join(t) + end, np.uint8) for t in texts]
-    order, prefix = merge_transforms(shards, depth)
     size = np.array([len(x) for t in texts for x in t])
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    start = np.concatenate([[0], np.cumsum(size + 1)])
-    inside = np.arange(len(owner)) - start[owner]
-    valid = inside + depth <= size[owner]
-    doc = np.where(valid, np.concatenate(docs)[owner], _NEVER)
-    interval = np.flatnonzero(prefix < depth)
-    least = np.minimum.reduceat(doc[order], interval)
-    answer = np.empty(len(order), np.int64)
-    answer[order] = np.repeat(least, np.diff(np.append(interval, len(order))))
-    answer = answer[valid]
     windows = np.maximum(0, size - depth + 1)
     cut = np.concatenate([[0], np.cumsum(windows)])
+    stretch = np.repeat(np.arange(len(size)), windows)
+    start = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
+    ends = start[stretch] + np.arange(cut[-1]) - cut[stretch] + depth
+    answer = np.concatenate(docs)[stretch]
+    index, prefix = merge_transforms(shards, depth, ends, answer)
+    interval = np.flatnonzero(prefix < depth)
+    if len(interval):
+        answer[index] = np.repeat(np.minimum.reduceat(answer[index], interval), np.diff(np.append(interval, len(index))))
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     return [answer[cut[a] : cut[b]] for a, b in zip(first, first[1:], strict=False)]
 
@@ -397,52 +407,55 @@ def least_documents(texts: list[list[bytes]], docs: list[np.ndarray], depth: int
 _ANSWER = "chunk_id long, bucket int, n long, body binary"
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each chunk's entries of a bucket: nothing (0), one least document (1), or one for each window (2)."""
-    told = table.filter(pa.compute.equal(table.column("kind"), 0))
-    fetched = table.filter(pa.compute.equal(table.column("kind"), 1))
-    chunk_ids, counts = told.column("chunk_id").to_pylist(), told.column("n").to_pylist()
-    m = Meeting(chunk_ids, counts, [x.as_buffer() for x in told.column("body")])
-    number = {c: k for k, c in enumerate(chunk_ids)}
-    kind_of = np.empty(len(m.h), np.int64)
-    kind_of[m.order] = m.kind
-    windows = np.zeros(len(m.first), np.int64)
-    windows[m.kind_open] = m.size[m.order[m.first[m.kind_open]]] - LENGTH + 1
-    start = np.concatenate([[0], np.cumsum(windows)])
-    least = np.empty(start[-1], np.int64)
-    shards: list[tuple[list[bytes], np.ndarray]] = []
-    held: list[tuple[list[bytes], np.ndarray]] = []
-    for chunk_id, n, body in sorted(zip(fetched.column("chunk_id").to_pylist(), fetched.column("n").to_pylist(), fetched.column("body"), strict=True), key=lambda x: x[0]):
-        raw = zstandard.decompress(body.as_py())
-        entry, size = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "u1", n, 4 * n)
-        at = 5 * n + np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        held.append(([raw[a:b] for a, b in zip(at, at[1:], strict=False)], kind_of[m.at[number[chunk_id]] + entry]))
-        if sum(len(x) for t, _ in held for x in t) >= SHARD_BYTES:
+def _answer(shard_bytes: int):
+    def answer(table: pa.Table) -> pa.Table:
+        """For each chunk's entries of a bucket: nothing (0), one least document (1), or one for each window (2)."""
+        told = table.filter(pa.compute.equal(table.column("kind"), 0))
+        fetched = table.filter(pa.compute.equal(table.column("kind"), 1))
+        chunk_ids, counts = told.column("chunk_id").to_pylist(), told.column("n").to_pylist()
+        m = Meeting(chunk_ids, counts, [x.as_buffer() for x in told.column("body")])
+        number = {c: k for k, c in enumerate(chunk_ids)}
+        kind_of = np.empty(len(m.h), np.int64)
+        kind_of[m.order] = m.kind
+        windows = np.zeros(len(m.first), np.int64)
+        windows[m.kind_open] = m.size[m.order[m.first[m.kind_open]]] - LENGTH + 1
+        start = np.concatenate([[0], np.cumsum(windows)])
+        least = np.empty(start[-1], np.int64)
+        shards: list[tuple[list[bytes], np.ndarray]] = []
+        held: list[tuple[list[bytes], np.ndarray]] = []
+        for chunk_id, n, body in sorted(zip(fetched.column("chunk_id").to_pylist(), fetched.column("n").to_pylist(), fetched.column("body"), strict=True), key=lambda x: x[0]):
+            raw = zstandard.decompress(body.as_py())
+            entry, size = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "u1", n, 4 * n)
+            at = 5 * n + np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            held.append(([raw[a:b] for a, b in zip(at, at[1:], strict=False)], kind_of[m.at[number[chunk_id]] + entry]))
+            if sum(len(x) for t, _ in held for x in t) >= shard_bytes:
+                shards.append((sum((t for t, _ in held), []), np.concatenate([k for _, k in held])))
+                held = []
+        if held:
             shards.append((sum((t for t, _ in held), []), np.concatenate([k for _, k in held])))
-            held = []
-    if held:
-        shards.append((sum((t for t, _ in held), []), np.concatenate([k for _, k in held])))
-    if shards:
-        found = least_documents([t for t, _ in shards], [m.kind_least[k] for _, k in shards])
-        for (_, kinds), values in zip(shards, found, strict=True):
-            n = windows[kinds]
-            where = np.repeat(start[kinds] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            least[where] = values
-    bodies = []
-    single = np.empty(len(m.h), np.int64)
-    single[m.order] = m.least[m.group]
-    for k in range(len(counts)):
-        kinds = kind_of[m.at[k] : m.at[k + 1]]
-        is_open = m.kind_open[kinds]
-        code = np.where(is_open, 2, 1).astype("u1")
-        n = np.where(is_open, windows[kinds], 1)
-        value = np.repeat(single[m.at[k] : m.at[k + 1]], n)
-        inner = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        spread = np.repeat(is_open, n)
-        value[spread] = least[(np.repeat(start[kinds], n) + inner)[spread]]
-        bodies.append(_squeeze(code, value.astype("<i8")))
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table([pa.array(chunk_ids, pa.int64()), pa.array([bucket] * len(counts), pa.int32()), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())], names=["chunk_id", "bucket", "n", "body"])
+        if shards:
+            found = least_documents([t for t, _ in shards], [m.kind_least[k] for _, k in shards])
+            for (_, kinds), values in zip(shards, found, strict=True):
+                n = windows[kinds]
+                where = np.repeat(start[kinds] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                least[where] = values
+        bodies = []
+        single = np.empty(len(m.h), np.int64)
+        single[m.order] = m.least[m.group]
+        for k in range(len(counts)):
+            kinds = kind_of[m.at[k] : m.at[k + 1]]
+            is_open = m.kind_open[kinds]
+            code = np.where(is_open, 2, 1).astype("u1")
+            n = np.where(is_open, windows[kinds], 1)
+            value = np.repeat(single[m.at[k] : m.at[k + 1]], n)
+            inner = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            spread = np.repeat(is_open, n)
+            value[spread] = least[(np.repeat(start[kinds], n) + inner)[spread]]
+            bodies.append(_squeeze(code, value.astype("<i8")))
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table([pa.array(chunk_ids, pa.int64()), pa.array([bucket] * len(counts), pa.int32()), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())], names=["chunk_id", "bucket", "n", "body"])
+
+    return answer
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -505,26 +518,34 @@ def _finish(keep_bytes: bool):
     return finish
 
 
-def deduplicated(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, keep_bytes: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """For each row of docs(doc_id, text) what is left without repeated strings: n_bytes, n_removed, n_spans, kept_sha256.
 
     With keep_bytes also `kept`, the bytes left (they may break a character, so they are binary). Null and empty texts
-    have no bytes; texts of fewer than LENGTH bytes lose none. Rows that share a doc_id don't take from each other. A
-    null doc_id counts as larger than all others. An empty table gives no rows; extra columns are ignored.
+    have no bytes; texts of fewer than LENGTH bytes lose none. A text of any length is whole in one chunk and compared
+    throughout, in pieces that overlap by a string. Rows that share a doc_id don't take from each other, so of equal
+    texts those with the least doc_id all keep theirs. A null doc_id counts as larger than all others. An empty table
+    gives no rows; extra columns are ignored.
     """
-    chunks = store_chunks(docs.select("doc_id", "text"), "substrings").drop("others")
-    buckets = 3 * partitions_of(docs)
+    spark = docs.sparkSession
+    stored_chunks = store_chunks(docs.select("doc_id", "text"), "substrings")
+    chunks = stored_chunks.drop("others")
+    buckets = buckets_for(stored_chunks)
     told = chunks.mapInArrow(_tell(buckets), _TELL)
     masks = bucketed(told, shared_masks, _MASK)
     blocks = stored(with_messages(chunks, masks, keep_all=False).mapInArrow(_gather(buckets), _BLOCK), "anchors")
+    release(spark)
     entries = blocks.where(F.col("bucket") >= 0)
     asked = bucketed(entries, _ask, _ASK)
     fetched = with_messages(chunks, asked, keep_all=False).mapInArrow(_fetch, _BLOCK)
     both = entries.withColumn("kind", F.lit(0)).unionByName(fetched.withColumn("kind", F.lit(1)))
-    answers = bucketed(both, _answer, _ANSWER)
+    answers = bucketed(both, _answer(shard_bytes), _ANSWER)
     lists = blocks.where(F.col("bucket") < 0).select("chunk_id", "bucket", "n", "body")
     final = with_messages(chunks, answers.unionByName(lists), keep_all=True)
-    return final.mapInArrow(_finish(keep_bytes), _RESULT + (", kept binary" if keep_bytes else ""))
+    out = stored(final.mapInArrow(_finish(keep_bytes), _RESULT + (", kept binary" if keep_bytes else "")), "substrings-result")
+    forget(blocks)
+    forget(stored_chunks)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,26 @@ def test_warc_payload_that_most_rows_share(spark, tmp_path, monkeypatch):
 # --- words
 
 
+def test_word_hashes_of_words_that_fool_polynomials():
+    word = b"a"
+    flip = bytes.maketrans(b"ab", b"ba")
+    while len(word) < 8192:
+        word += word.translate(flip)
+        both = word + b" " + word.translate(flip)
+        hashes, at = words(np.frombuffer(both, np.uint8), np.array([0, len(both)]), SPACED)
+        assert len(hashes) == 2 and hashes[0] != hashes[1] and at.tolist() == [0, 2]
+
+
+def test_word_hashes_of_all_lengths():
+    text = bytes(range(97, 123)) * 60
+    cut = [text[:n] for n in range(1, 1100)]
+    both = b" ".join(cut) + b"\n" + b"\t".join(reversed(cut))
+    hashes, _ = words(np.frombuffer(both, np.uint8), np.array([0, len(both)]), SPACED)
+    assert len(set(hashes.tolist())) == len(cut)
+    assert (hashes[: len(cut)] == hashes[len(cut) :][::-1]).all()
+
+
+
 @pytest.mark.parametrize("table,pattern", [(SPACED, rb"[^\x20\x09-\x0D]+"), (LETTERS, rb"[A-Za-z\x80-\xff]+")])
 def test_word_hashes_tell_words_apart(table, pattern):
     r = random.Random(2)

@@ -53,6 +53,40 @@ def test_equals_brute_force(spark, seed, monkeypatch):
     assert got == brute(rows)
 
 
+def test_several_shards_end_to_end(spark):
+    rows = corpus(8, 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in substrings.deduplicated(docs, shard_bytes=300).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_text_longer_than_a_chunk(spark):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=n))
+    long = text(4_600_000)
+    # Across the borders of runs and of a chunk's size.
+    parts = [(1_048_500, 1_048_700), (4_194_250, 4_194_400), (2_000_000, 2_003_000)]
+    rows = [(1, long, 0)] + [(2 + i, text(70) + "<" + long[a:b] + ">" + text(70), 0) for i, (a, b) in enumerate(parts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk_id int").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.deduplicated(docs).collect()}
+    assert got == {1: (4_600_000, 0, 0)} | {2 + i: (142 + b - a, b - a, 1) for i, (a, b) in enumerate(parts)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_least_documents_over_shards(seed):
+    r = random.Random(seed)
+    stretch = lambda: bytes(r.choices(b"ab", k=r.randint(1, 40)))
+    texts = [[stretch() for _ in range(r.randint(1, 30))] for _ in range(r.randint(1, 6))]
+    docs = [np.array([r.randint(0, 5) for _ in t]) for t in texts]
+    first: dict[bytes, int] = {}
+    for t, d in zip(texts, docs):
+        for x, i in zip(t, d):
+            for k in range(len(x) - 11):
+                first[x[k : k + 12]] = min(first.get(x[k : k + 12], 99), i)
+    want = [[first[x[k : k + 12]] for x in t for k in range(len(x) - 11)] for t in texts]
+    assert [x.tolist() for x in substrings.least_documents(texts, docs, 12)] == want
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.deduplicated(docs).collect() == []
