@@ -22,7 +22,7 @@ from shutterlake.llm.kernels import groups, text_bytes
 
 CHUNK_BYTES = 4 << 20
 #: Bytes of text whose fingerprints fall into one hash bucket.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Name, among a chunk's other columns, of the mark of null texts.
 NO_TEXT = "__no_text"
 _CHUNK = "chunk_id long, doc_ids binary, null_ids binary, offsets binary, data binary, others binary"
@@ -123,6 +123,6 @@ def with_messages(chunks: DataFrame, messages: DataFrame, keep_all: bool) -> Dat
     return chunks.join(lists.hint("shuffle_hash"), "chunk_id", "left" if keep_all else "inner")
 
 
-def bucketed(messages: DataFrame, reduce: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """What `reduce` makes of each bucket's messages."""
-    return messages.groupBy("bucket").applyInArrow(reduce, schema)
+def bucketed(messages: DataFrame, reduce: Callable[[pa.Table], pa.Table], schema: str, buckets: int) -> DataFrame:
+    """What `reduce` makes of each bucket's messages, one task for each of so many buckets."""
+    return messages.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(reduce, schema)

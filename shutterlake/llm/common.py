@@ -48,11 +48,15 @@ def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as a Parquet table in the shared folder and read again: lineage ends here and survives lost executors."""
+def stored(df: DataFrame, name: str, parts: str | None = None) -> DataFrame:
+    """The frame written as a Parquet table in the shared folder and read again: lineage ends here and survives lost executors.
+
+    With `parts`, a column of few values, the rows of each value are apart, for forget_part().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shutterlake-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(parts) if parts else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shutterlake_paths = [path]
     return out
@@ -94,6 +98,11 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def forget_part(df: DataFrame, part: str) -> None:
+    """Delete the rows of one value of stored()'s `parts`, given as name=value."""
+    remove(df.sparkSession, f"{df._shutterlake_paths[0]}/{part}")
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table behind a frame of stored() or read_buckets(); only once nothing can read it any more."""
     for path in getattr(df, "_shutterlake_paths", []):

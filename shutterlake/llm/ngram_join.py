@@ -386,7 +386,7 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
     release(docs.sparkSession)
     slim = chunks.drop("others")
     buckets = buckets_for(chunks)
-    masks = bucketed(slim.mapInArrow(_tell(buckets), _TELL), shared_masks, _MASK)
+    masks = bucketed(slim.mapInArrow(_tell(buckets), _TELL), shared_masks, _MASK, buckets)
     known = stored(with_messages(slim, masks, keep_all=True).mapInArrow(_describe(buckets), _DOC), name)
     if not keep_chunks:
         forget(chunks)
@@ -406,7 +406,7 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
             members = members.withColumn("label", F.col("class"))
         else:
             members = members.join(labels, members["class"] == labels.node, "left").withColumn("label", F.coalesce("label", "class")).drop("node")
-        pairs = stored(bucketed(members.mapInArrow(_route(routes), _ROUTED), _pairs(turn, small), _PAIR), f"{name}-pairs")
+        pairs = stored(bucketed(members.mapInArrow(_route(routes), _ROUTED), _pairs(turn, small), _PAIR, routes), f"{name}-pairs")
         fresh = pairs.where("a is not null").groupBy("a").applyInArrow(_distinct_pairs, "a long, b long")
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import Chunk, bucketed, buckets_for, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import forget, read, release, stored
+from shutterlake.llm.common import forget, forget_part, read, release, stored
 from shutterlake.llm.kernels import _BYTE, _INV, _POW, _SLICE, hash_spans, mix
 
 #: Bytes of a repeated string, and of the substrings whose least hash is an anchor.
@@ -242,12 +242,11 @@ def _gather(buckets: int):
 class Meeting:
     """All chunks' entries of one bucket, grouped by anchor hash and by stretch within it."""
 
-    def __init__(self, chunk_ids: list[int], counts: list[int], bodies: list) -> None:
+    def __init__(self, counts: list[int], bodies: list) -> None:
         parts = [_expand(b, *((t, n) for t in _BODY)) for b, n in zip(bodies, counts, strict=True)]
         self.h, self.c, self.doc, self.low, self.size = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.chunk = np.repeat(np.arange(len(counts)), counts)
         self.at = np.concatenate([[0], np.cumsum(counts)])
-        self.entry = np.arange(len(self.h)) - self.at[self.chunk]
         self.order = np.lexsort((self.chunk, self.c, self.h))
         h, c, doc = self.h[self.order], self.c[self.order], self.doc[self.order]
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -266,26 +265,50 @@ class Meeting:
         self.kind_open = self.open[self.group[s]]
 
 
-_ASK = "chunk_id long, bucket int, n long, body binary"
+#: What a row of a bucket's messages holds.
+ASKED, CLOSED, STATE, FETCHED = range(4)
+_TOLD = "chunk_id long, bucket int, what int, n long, body binary"
+
+
+def _messages(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["chunk_id", "bucket", "what", "n", "body"])
 
 
 def _ask(table: pa.Table) -> pa.Table:
-    chunk_ids, counts = table.column("chunk_id").to_pylist(), table.column("n").to_pylist()
-    m = Meeting(chunk_ids, counts, [x.as_buffer() for x in table.column("body")])
-    chosen = m.order[m.first[m.kind_open]]
-    chosen = chosen[np.lexsort((m.entry[chosen], m.chunk[chosen]))]
-    at = np.searchsorted(m.chunk[chosen], np.arange(len(counts) + 1))
-    full = np.flatnonzero(np.diff(at))
+    """A bucket's answers where all stretches of an anchor are equal; for the others its requests and its own notes.
+
+    CLOSED, for a chunk: of each of its entries whether it is open, and of each closed one the least document.
+    ASKED, for a chunk: number, start and size of the open stretches that this chunk is to send, each from one chunk.
+    STATE, for the bucket itself: of each open stretch the least document that has it whole and its windows; of each
+    chunk the numbers of its open entries' stretches.
+    """
     bucket = table.column("bucket")[0].as_py()
-    return pa.table(
-        [
-            pa.array([chunk_ids[k] for k in full], pa.int64()),
-            pa.array([bucket] * len(full), pa.int32()),
-            pa.array(np.diff(at)[full], pa.int64()),
-            pa.array([_squeeze(*(x[chosen[at[k] : at[k + 1]]].astype(t) for x, t in ((m.entry, "<u4"), (m.low, "<u4"), (m.size, "u1")))) for k in full], pa.binary()),
-        ],
-        names=["chunk_id", "bucket", "n", "body"],
-    )
+    chunk_ids, counts = table.column("chunk_id").to_pylist(), table.column("n").to_pylist()
+    m = Meeting(counts, [x.as_buffer() for x in table.column("body")])
+    kind_of = np.empty(len(m.h), np.int64)
+    kind_of[m.order] = m.kind
+    is_open = m.kind_open[kind_of]
+    single = np.empty(len(m.h), np.int64)
+    single[m.order] = m.least[m.group]
+    number = np.cumsum(m.kind_open) - 1
+    chosen = m.order[m.first[m.kind_open]]  # one entry of each open stretch, in the order of their numbers
+    by_chunk = np.argsort(m.chunk[chosen], kind="stable")
+    at = np.searchsorted(m.chunk[chosen][by_chunk], np.arange(len(counts) + 1))
+    out = []
+    for k, (chunk_id, a, b) in enumerate(zip(chunk_ids, m.at, m.at[1:], strict=False)):
+        out.append((chunk_id, bucket, CLOSED, int(b - a), _squeeze(is_open[a:b], single[a:b][~is_open[a:b]].astype("<i8"))))
+        if at[k] < at[k + 1]:
+            mine = by_chunk[at[k] : at[k + 1]]
+            out.append((chunk_id, bucket, ASKED, len(mine), _squeeze(mine.astype("<u4"), m.low[chosen[mine]].astype("<u4"), m.size[chosen[mine]].astype("u1"))))
+    if len(chosen):
+        kinds = [number[kind_of[a:b][is_open[a:b]]].astype("<u4") for a, b in zip(m.at, m.at[1:], strict=False)]
+        full = [k for k, x in enumerate(kinds) if len(x)]
+        lengths = np.array([len(chosen), len(full)], "<i8")
+        parts = [m.kind_least[m.kind_open].astype("<i8"), m.size[chosen].astype("u1"), np.array([chunk_ids[k] for k in full], "<i8"), np.array([len(kinds[k]) for k in full], "<i8")]
+        out.append((-1, bucket, STATE, 1, _squeeze(lengths, *parts, *(kinds[k] for k in full))))
+    return pa.Table.from_batches([_messages(out)])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,10 +318,10 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = c.data.tobytes()
         out = []
         for m in row["messages"]:
-            entry, low, size = _expand(m["body"], ("<u4", m["n"]), ("<u4", m["n"]), ("u1", m["n"]))
+            kind, low, size = _expand(m["body"], ("<u4", m["n"]), ("<u4", m["n"]), ("u1", m["n"]))
             text = b"".join(raw[a : a + n] for a, n in zip(low.tolist(), size.tolist(), strict=True))
-            out.append((m["bucket"], m["n"], zstandard.compress(entry.tobytes() + size.tobytes() + text, 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([c.id] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "chunk_id", "n", "body"])
+            out.append((c.id, m["bucket"], FETCHED, m["n"], zstandard.compress(kind.tobytes() + size.tobytes() + text, 1)))
+        yield _messages(out)
 
 
 def shard_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -409,55 +432,48 @@ _ANSWER = "chunk_id long, bucket int, n long, body binary"
 
 def _answer(shard_bytes: int):
     def answer(table: pa.Table) -> pa.Table:
-        """For each chunk's entries of a bucket: nothing (0), one least document (1), or one for each window (2)."""
-        told = table.filter(pa.compute.equal(table.column("kind"), 0))
-        fetched = table.filter(pa.compute.equal(table.column("kind"), 1))
-        chunk_ids, counts = told.column("chunk_id").to_pylist(), told.column("n").to_pylist()
-        m = Meeting(chunk_ids, counts, [x.as_buffer() for x in told.column("body")])
-        number = {c: k for k, c in enumerate(chunk_ids)}
-        kind_of = np.empty(len(m.h), np.int64)
-        kind_of[m.order] = m.kind
-        windows = np.zeros(len(m.first), np.int64)
-        windows[m.kind_open] = m.size[m.order[m.first[m.kind_open]]] - LENGTH + 1
+        """For each chunk with open entries in a bucket the least document of each of their windows, in order."""
+        bucket = table.column("bucket")[0].as_py()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk_id", "what", "n", "body")), strict=True))
+        state = zstandard.decompress(next(body for _, what, _, body in rows if what == STATE))
+        n_kinds, n_chunks = np.frombuffer(state, "<i8", 2).tolist()
+        least_of, at = np.frombuffer(state, "<i8", n_kinds, 16), 16 + 8 * n_kinds
+        windows, at = np.frombuffer(state, "u1", n_kinds, at).astype(np.int64) - LENGTH + 1, at + n_kinds
+        chunk_ids, counts = np.frombuffer(state, "<i8", n_chunks, at), np.frombuffer(state, "<i8", n_chunks, at + 8 * n_chunks)
+        kinds = np.split(np.frombuffer(state, "<u4", offset=at + 16 * n_chunks), np.cumsum(counts)[:-1])
         start = np.concatenate([[0], np.cumsum(windows)])
         least = np.empty(start[-1], np.int64)
         shards: list[tuple[list[bytes], np.ndarray]] = []
-        held: list[tuple[list[bytes], np.ndarray]] = []
-        for chunk_id, n, body in sorted(zip(fetched.column("chunk_id").to_pylist(), fetched.column("n").to_pylist(), fetched.column("body"), strict=True), key=lambda x: x[0]):
-            raw = zstandard.decompress(body.as_py())
-            entry, size = np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "u1", n, 4 * n)
-            at = 5 * n + np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-            held.append(([raw[a:b] for a, b in zip(at, at[1:], strict=False)], kind_of[m.at[number[chunk_id]] + entry]))
-            if sum(len(x) for t, _ in held for x in t) >= shard_bytes:
-                shards.append((sum((t for t, _ in held), []), np.concatenate([k for _, k in held])))
-                held = []
-        if held:
-            shards.append((sum((t for t, _ in held), []), np.concatenate([k for _, k in held])))
-        if shards:
-            found = least_documents([t for t, _ in shards], [m.kind_least[k] for _, k in shards])
-            for (_, kinds), values in zip(shards, found, strict=True):
-                n = windows[kinds]
-                where = np.repeat(start[kinds] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                least[where] = values
-        bodies = []
-        single = np.empty(len(m.h), np.int64)
-        single[m.order] = m.least[m.group]
-        for k in range(len(counts)):
-            kinds = kind_of[m.at[k] : m.at[k + 1]]
-            is_open = m.kind_open[kinds]
-            code = np.where(is_open, 2, 1).astype("u1")
-            n = np.where(is_open, windows[kinds], 1)
-            value = np.repeat(single[m.at[k] : m.at[k + 1]], n)
-            inner = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            spread = np.repeat(is_open, n)
-            value[spread] = least[(np.repeat(start[kinds], n) + inner)[spread]]
-            bodies.append(_squeeze(code, value.astype("<i8")))
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table([pa.array(chunk_ids, pa.int64()), pa.array([bucket] * len(counts), pa.int32()), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())], names=["chunk_id", "bucket", "n", "body"])
+        texts: list[bytes] = []
+        numbers: list[np.ndarray] = []
+        held = 0
+        for _, _, n, body in sorted(r for r in rows if r[1] == FETCHED):
+            raw = zstandard.decompress(body)
+            size = np.frombuffer(raw, "u1", n, 4 * n)
+            cut = (5 * n + np.concatenate([[0], np.cumsum(size, dtype=np.int64)])).tolist()
+            texts += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+            numbers.append(np.frombuffer(raw, "<u4", n))
+            held += cut[-1] - cut[0]
+            if held >= shard_bytes:
+                shards.append((texts, np.concatenate(numbers)))
+                texts, numbers, held = [], [], 0
+        if texts:
+            shards.append((texts, np.concatenate(numbers)))
+        found = least_documents([t for t, _ in shards], [least_of[k] for _, k in shards])
+        for (_, k), values in zip(shards, found, strict=True):
+            least[_ranges(start[k], windows[k])] = values
+        bodies = [_squeeze(least[_ranges(start[k], windows[k])].astype("<i8")) for k in kinds]
+        sizes = [int(windows[k].sum()) for k in kinds]
+        return pa.table([pa.array(chunk_ids, pa.int64()), pa.array([bucket] * n_chunks, pa.int32()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=["chunk_id", "bucket", "n", "body"])
 
     return answer
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -465,31 +481,36 @@ def covered(c: Chunk, messages: list[dict]) -> np.ndarray:
     """Which bytes of the chunk go."""
     n = len(c.data)
     steps = np.zeros(n + 1, np.int64)
-    answers = sorted((m for m in messages if m["bucket"] >= 0), key=lambda m: m["bucket"])
     lists = [m for m in messages if m["bucket"] < 0]
-    if not answers or not lists:
+    closed = sorted((m for m in messages if m["bucket"] >= 0 and m["what"] == CLOSED), key=lambda m: m["bucket"])
+    answers = sorted((m for m in messages if m["bucket"] >= 0 and m["what"] != CLOSED), key=lambda m: m["bucket"])
+    if not closed or not lists:
         return np.zeros(n, bool)
     own, doc, low, count = _expand(lists[0]["body"], *((t, lists[0]["n"]) for t in _OCCURRENCE))
-    codes, values = [], []
-    for m in answers:
+    flags, values = [], []
+    for m in closed:
         raw = zstandard.decompress(bytes(m["body"]))
-        codes.append(np.frombuffer(raw, "u1", m["n"]))
+        flags.append(np.frombuffer(raw, bool, m["n"]))
         values.append(np.frombuffer(raw, "<i8", offset=m["n"]))
-    code, value = np.concatenate(codes), np.concatenate(values)
-    counts = np.zeros(len(code), np.int64)
-    counts[own] = count
-    start = np.concatenate([[0], np.cumsum(np.where(code == 2, counts, 1))])[:-1]
+    is_open = np.concatenate(flags)
+    single = np.empty(len(is_open), np.int64)
+    single[~is_open] = np.concatenate(values)
     doc, low, count = c.doc_ids[doc], low.astype(np.int64), count.astype(np.int64)
-    one = (code[own] == 1) & (value[start[own]] < doc)
+    one = ~is_open[own] & (single[own] < doc)
     np.add.at(steps, low[one], 1)
     np.add.at(steps, low[one] + count[one] - 1 + LENGTH, -1)
-    many = np.flatnonzero(code[own] == 2)
-    n_windows = count[many]
-    inner = np.arange(n_windows.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n_windows)[:-1]]), n_windows) if len(many) else np.empty(0, np.int64)
-    hit = value[np.repeat(start[own[many]], n_windows) + inner] < np.repeat(doc[many], n_windows)
-    at = (np.repeat(low[many], n_windows) + inner)[hit]
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + LENGTH, -1)
+    if answers:
+        least = np.concatenate([np.frombuffer(zstandard.decompress(bytes(m["body"])), "<i8") for m in answers])
+        # An entry has as many windows as each of its occurrences.
+        windows = np.zeros(len(is_open), np.int64)
+        windows[own] = count
+        windows[~is_open] = 0
+        start = np.cumsum(windows) - windows
+        many = np.flatnonzero(is_open[own])
+        hit = least[_ranges(start[own[many]], count[many])] < np.repeat(doc[many], count[many])
+        at = _ranges(low[many], count[many])[hit]
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + LENGTH, -1)
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -532,19 +553,21 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = False, shard_bytes: int = S
     chunks = stored_chunks.drop("others")
     buckets = buckets_for(stored_chunks)
     told = chunks.mapInArrow(_tell(buckets), _TELL)
-    masks = bucketed(told, shared_masks, _MASK)
-    blocks = stored(with_messages(chunks, masks, keep_all=False).mapInArrow(_gather(buckets), _BLOCK), "anchors")
+    masks = bucketed(told, shared_masks, _MASK, buckets)
+    # Each step's rows are stored, so that what the step before has shuffled can go.
+    blocks = stored(with_messages(chunks, masks, keep_all=False).mapInArrow(_gather(buckets), _BLOCK).withColumn("occurrences", F.col("bucket") < 0), "anchors", "occurrences")
+    release(spark)
+    said = stored(bucketed(blocks.where("NOT occurrences").drop("occurrences"), _ask, _TOLD, buckets), "answers")
+    forget_part(blocks, "occurrences=false")
     release(spark)
-    entries = blocks.where(F.col("bucket") >= 0)
-    asked = bucketed(entries, _ask, _ASK)
-    fetched = with_messages(chunks, asked, keep_all=False).mapInArrow(_fetch, _BLOCK)
-    both = entries.withColumn("kind", F.lit(0)).unionByName(fetched.withColumn("kind", F.lit(1)))
-    answers = bucketed(both, _answer(shard_bytes), _ANSWER)
-    lists = blocks.where(F.col("bucket") < 0).select("chunk_id", "bucket", "n", "body")
-    final = with_messages(chunks, answers.unionByName(lists), keep_all=True)
+    fetched = with_messages(chunks, said.where(F.col("what") == ASKED).drop("what"), keep_all=False).mapInArrow(_fetch, _TOLD)
+    answers = bucketed(said.where(F.col("what") == STATE).unionByName(fetched), _answer(shard_bytes), _ANSWER, buckets)
+    lists = blocks.where("occurrences").select("chunk_id", "bucket", "n", "body")
+    replies = said.where(F.col("what") == CLOSED).unionByName(answers.unionByName(lists).withColumn("what", F.lit(None).cast("int")))
+    final = with_messages(chunks, replies, keep_all=True)
     out = stored(final.mapInArrow(_finish(keep_bytes), _RESULT + (", kept binary" if keep_bytes else "")), "substrings-result")
-    forget(blocks)
-    forget(stored_chunks)
+    for table in (said, blocks, stored_chunks):
+        forget(table)
     return out
 
 
