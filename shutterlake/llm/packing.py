@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shutterlake.llm.common import read, stored
+from shutterlake.llm.common import forget, read, stored
 from shutterlake.llm.tokenizing import VOCABULARY, encoder
 
 
@@ -77,12 +77,16 @@ def plan_packing(counts: dict[int, int], cap: Capacity = Capacity()) -> list[tup
             kind = int(fits[np.lexsort((left[fits, 0], score))[0]])
             residual = left[kind].copy()
             first, n = runs[kind].pop()
-            take = min(n, end - rank)
+            # By the residual's norm a sequence that has just got a piece fits the next one best, as long as it fits.
+            each = 1 if cap.rule == "dot" else min(int(x) for x in residual // item)
+            copies = min(each, end - rank)
+            take = min(n, (end - rank) // copies)
             if take < n:
                 runs[kind].append((first + take, n - take))
-            plan.append((length, rank, rank + take, first, cap.tokens - int(residual[0])))
-            add(residual - item, (first, take))
-            rank += take
+            for slot in range(copies):
+                plan.append((length, rank, rank + take, first, cap.tokens - int(residual[0]) + slot * length))
+                rank += take
+            add(residual - copies * item, (first, take))
         fresh = end - rank
         each = min(cap.tokens // length, cap.documents, cap.attention // (length * length))
         for n, copies in ((fresh // each, each), (1 if fresh % each else 0, fresh % each)):
@@ -93,8 +97,6 @@ def plan_packing(counts: dict[int, int], cap: Capacity = Capacity()) -> list[tup
                 rank += n
             add(np.array([cap.tokens, cap.documents, cap.attention], np.int64) - copies * item, (made, n))
             made += n
-        if len(runs) > 4 * max(64, len(index)):
-            raise AssertionError("kinds of sequences must stay distinct")
     return plan
 
 
@@ -147,11 +149,14 @@ def pack_documents(docs: DataFrame, cap: Capacity = Capacity(), vocabulary: str
     """Packs docs(doc_id, text) into sequences: one row per piece, with its place.
 
     A document is its text's ids and then id 0. Only documents of more than cap.tokens are cut: the first piece takes
-    what is over whole pieces. Null and empty texts are the lone id 0. Rows with a null or repeated doc_id are packed
-    like others. Tables without rows give none; extra columns are ignored.
+    what is over whole pieces, whatever the text's length. Null and empty texts are the lone id 0. Rows with a null or
+    repeated doc_id are packed like others; pieces of equal length are interchangeable, and so may change places from
+    run to run. Tables without rows give none; extra columns are ignored.
     """
     pieces = stored(docs.select("doc_id", "text").mapInArrow(_pieces(vocabulary, cap.tokens), _PIECE), "pieces")
-    return pack_pieces(pieces, cap)
+    out = stored(pack_pieces(pieces, cap), "packed")
+    forget(pieces)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -15,9 +16,11 @@ _LOADED: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """The ids that `tokenizers` gives with add_special_tokens=False, special strings being ordinary text.
+    """The ids that `tokenizers` gives with add_special_tokens=False; a special string in a text is its own id, as there.
 
-    Texts of settled characters are encoded by the same vocabulary's faster implementation, which gives the same ids.
+    Texts of settled characters are encoded by the same vocabulary's faster implementation, which gives the same ids;
+    those with a special string are left to the library. A null or empty text has no ids, one of any length is encoded
+    whole.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
@@ -30,16 +33,19 @@ class Encoder:
                 token, rank = line.split()
                 ranks[base64.b64decode(token)] = int(rank)
         self._file = public_tokenizers.path(f"{vocabulary}.json")
+        with open(self._file, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         self._fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._whole = None
         #: Bytes of text that each id stands for.
-        self.byte_length = np.zeros(max(ranks.values()) + 2, np.int64)
-        for token, rank in ranks.items():
+        self.byte_length = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        for token, rank in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
             self.byte_length[rank] = len(token)
 
     def ids(self, text: str) -> np.ndarray:
         """Token ids of one whole text, as little-endian unsigned 32-bit numbers."""
-        if _SETTLED(text) is None:
+        if _SETTLED(text) is None and self._special(text) is None:
             return np.array(self._fast.encode_ordinary(text), "<u4")
         return self.ids_by_library(text)
 
@@ -48,7 +54,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._whole = Tokenizer.from_file(self._file)
-            self._whole.encode_special_tokens = True
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4")
 
 

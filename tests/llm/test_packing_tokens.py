@@ -13,9 +13,7 @@ from shutterlake.llm.tokenizing import encoder
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def texts(n=60, seed=3):
@@ -29,6 +27,47 @@ def test_ids_equal_the_library(library):
         assert encoder().ids(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_special_string_is_one_id(library):
+    own = encoder()
+    assert own.ids("a<|endoftext|>b").tolist() == [64, 50256, 65] == library.encode("a<|endoftext|>b", add_special_tokens=False).ids
+    text = "é <|endoftext|>\n\n x" * 3
+    ids = own.ids(text)
+    starts, ends = token_counts.token_spans(ids, text, own.byte_length)
+    assert [text[a:b] for a, b, i in zip(starts, ends, ids) if i == 50256] == ["<|endoftext|>"] * 3 and ends[-1] == len(text)
+
+
+def one_by_one(counts, cap):
+    """The residuals after each piece, longest first, has gone to the open bin that it fits best."""
+    size, weights, bins = (cap.tokens, cap.documents, cap.attention), cap.weights, []
+    for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+        item = (length, 1, length * length)
+        fits = [b for b in bins if all(r >= i for r, i in zip(b, item))]
+        if cap.rule == "dot":
+            score = lambda b: -sum(r / s * i / s * w for r, i, s, w in zip(b, item, size, weights))
+        else:
+            score = lambda b: sum(w * ((r - i) / s) ** 2 for r, i, s, w in zip(b, item, size, weights))
+        best = min(fits, key=lambda b: (round(score(b), 12), b[0])) if fits else None
+        if best is None:
+            best = list(size)
+            bins.append(best)
+        best[:] = [r - i for r, i in zip(best, item)]
+    return sorted(map(tuple, bins))
+
+
+@pytest.mark.parametrize("rule", ["residual", "dot"])
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_equals_best_fit_one_by_one(rule, seed):
+    r = random.Random(seed)
+    cap = packing.Capacity(60, r.choice([3, 5, 60]), r.choice([900, 1700, 3600]), rule)
+    most = int(min(cap.tokens, cap.attention**0.5))
+    counts = {n: r.randint(1, 12) for n in r.sample(range(1, most + 1), min(most, 20))}
+    left = defaultdict(lambda: [cap.tokens, cap.documents, cap.attention])
+    for length, a, b, first, _ in packing.plan_packing(counts, cap):
+        for k in range(first, first + b - a):
+            left[k] = [x - y for x, y in zip(left[k], (length, 1, length * length))]
+    assert sorted(map(tuple, left.values())) == one_by_one(counts, cap)
+
+
 @pytest.mark.parametrize("rule", ["residual", "dot"])
 @pytest.mark.parametrize("cap", [packing.Capacity(), packing.Capacity(tokens=50, documents=3, attention=1600)])
 def test_plan_keeps_every_constraint(rule, cap):
