@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import read
 from shutterlake.llm.kernels import LETTERS, groups, mix, text_bytes
 
-#: Size of the hashed feature space, and the most training rows of one language and languages (documented bounds).
-DIMENSIONS, ROWS_PER_LANGUAGE, MOST_LANGUAGES = 2048, 500, 200
+#: Size of the hashed feature space, and the most training rows of one language and of all (documented bounds).
+DIMENSIONS, ROWS_PER_LANGUAGE, TRAINING_ROWS = 2048, 500, 20_000
+#: Parts of the training rows, each of which is held back once to measure how far the bit classifiers can be trusted.
+FOLDS = 3
 #: A prediction scoring less than this is flagged as ambiguous.
 AMBIGUOUS_BELOW = 0.1
 UNDETERMINED = "und"
@@ -58,7 +60,7 @@ def codewords(classes: int) -> np.ndarray:
         return np.array(bits).T.astype(float)
     n = int(np.ceil(10 * np.log2(classes)))
     best, gap = None, -1
-    for seed in range(64):
+    for seed in range(64 if classes <= 1000 else 4):
         code = np.where(np.random.default_rng(seed).random((classes, n)) < 0.5, -1.0, 1.0)
         far = int(((n - code @ code.T) / 2 + n * np.eye(classes)).min())
         if far > gap and (np.abs(code.sum(axis=0)) < classes).all():
@@ -89,60 +91,98 @@ class Model:
         return best, 1 - two[:, 0] / two[:, 1]
 
 
-def fit(x: np.ndarray, y: np.ndarray, languages: list[str], ridge: float = 1.0) -> Model:
-    """Bit classifiers by regularised least squares with each class weighing the same; trust from their own accuracy."""
-    code = codewords(len(languages))
-    share = np.bincount(y, minlength=len(languages))
-    weight = (1.0 / np.maximum(share, 1))[y] * len(y) / max(1, len(languages))
+def _bits(x: np.ndarray, y: np.ndarray, code: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of the bit classifiers: regularised least squares, each class weighing the same."""
+    share = np.bincount(y, minlength=len(code))
+    weight = (1.0 / np.maximum(share, 1))[y] * len(y) / max(1, len(code))
     target = code[y]
     mean = (x * weight[:, None]).sum(axis=0) / weight.sum()
     centre = (target * weight[:, None]).sum(axis=0) / weight.sum()
     z = (x - mean).astype(np.float64)
     gram = z.T @ (z * weight[:, None]) + ridge * np.eye(x.shape[1])
     w = np.linalg.solve(gram, z.T @ ((target - centre) * weight[:, None]))
-    bias = centre - mean @ w
-    right = ((x @ w + bias) * target > 0).astype(float)
-    trust = np.stack([right[y == c].mean(axis=0) if (y == c).any() else np.ones(code.shape[1]) for c in range(len(languages))])
-    trust = np.maximum(trust, 1e-3)
+    return w, centre - mean @ w
+
+
+def held_back_trust(x: np.ndarray, y: np.ndarray, code: np.ndarray, ridge: float, folds: int = FOLDS) -> np.ndarray:
+    """How often each bit is right for each class, on rows that its classifier wasn't fitted on.
+
+    Rows are dealt to the folds class by class; a class of fewer rows than folds is judged by those it has, and one
+    row more wrong and one more right keep a class of few rows from being trusted fully or not at all.
+    """
+    fold = np.empty(len(y), np.int64)
+    order = np.argsort(y, kind="stable")
+    fold[order] = np.arange(len(y)) % folds
+    right, seen = np.ones(code.shape), np.full((len(code), 1), 2.0)
+    for k in range(folds):
+        back = fold == k
+        if back.all() or not back.any():
+            continue
+        w, bias = _bits(x[~back], y[~back], code, ridge)
+        hit = (x[back] @ w + bias) * code[y[back]] > 0
+        np.add.at(right, y[back], hit)
+        seen += np.bincount(y[back], minlength=len(code))[:, None]
+    return right / seen
+
+
+def fit(x: np.ndarray, y: np.ndarray, languages: list[str], ridge: float = 1.0) -> Model:
+    """Bit classifiers on all rows; the decoding weights from their accuracy on rows held back."""
+    code = codewords(len(languages))
+    w, bias = _bits(x, y, code, ridge)
+    trust = held_back_trust(x, y, code, ridge)
     return Model(languages, code, w.astype(np.float32), bias.astype(np.float32), trust / trust.sum(axis=1, keepdims=True))
 
 
-_SAMPLE = "lang string, x binary"
+_SAMPLE = "lang string, doc_id long, x binary"
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(*text_bytes(pc.utf8_lower(batch.column("text").cast(pa.large_string()))))
-        yield pa.RecordBatch.from_arrays([batch.column("lang").cast(pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "doc_id", "x"])
 
 
-def train(docs: DataFrame, may_learn: F.Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fits on the rows of docs(doc_id, text, lang) that may be learned from and have text and lang.
-
-    The bound: of each of the (at most MOST_LANGUAGES commonest) languages the rows_per_language documents whose hashed
-    doc_id comes first.
-    """
-    known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    known = known.withColumn("h", F.xxhash64("doc_id", "lang").bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+def _chosen(known: DataFrame, rows_per_language: int, training_rows: int) -> list[tuple[str, int]]:
+    """Of each language the (language, doc_id) of least hash, as many as the bounds allow."""
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
+        return []
+    most = max(1, min(rows_per_language, training_rows // len(counts)))
+    known = known.withColumn("h", F.xxhash64("doc_id", "lang").bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53))
+    # A threshold that keeps somewhat more than the bound; where repeated ids leave too few, a higher one.
+    cut, taken = {lang: min(1.0, 2.0 * most / n) for lang, n in counts.items()}, {}
+    while cut:
+        limit = F.element_at(F.create_map(*[F.lit(v) for pair in cut.items() for v in pair]), F.col("lang"))
+        found: dict[str, list[tuple[float, int]]] = {lang: [] for lang in cut}
+        for r in known.where(F.col("lang").isin(*cut) & (F.col("h") <= limit)).select("lang", "doc_id", "h").distinct().collect():
+            found[r.lang].append((r.h, r.doc_id))
+        for lang, rows in found.items():
+            if len(rows) >= most or cut[lang] >= 1.0:
+                taken[lang] = [i for _, i in sorted(rows)[:most]]
+        cut = {lang: min(1.0, 16 * c) for lang, c in cut.items() if lang not in taken}
+    return [(lang, i) for lang in sorted(taken) for i in taken[lang]]
+
+
+def train(docs: DataFrame, may_learn: F.Column, rows_per_language: int = ROWS_PER_LANGUAGE, training_rows: int = TRAINING_ROWS) -> Model:
+    """Fits on the rows of docs(doc_id, text, lang) that may be learned from and have a doc_id, text and lang.
+
+    The bound is on the rows of the fit: of every language the rows_per_language documents whose hashed doc_id comes
+    first, and evenly fewer where all languages together would have more than training_rows. Rows that repeat a
+    language and doc_id count as one, by the first of their texts in order. Without any row nothing is learned.
+    """
+    usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    chosen = _chosen(usable.select("doc_id", "lang"), rows_per_language, training_rows)
+    if not chosen:
         return Model([], codewords(0), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.ones((0, 1)))
-    # A threshold that keeps somewhat more than the bound, then the exact bound on ids alone.
-    limit = {r.lang: min(1.0, 2.0 * rows_per_language / r["count"]) for r in counts}
-    cut = F.element_at(F.create_map(*[F.lit(v) for pair in limit.items() for v in pair]), F.col("lang"))
-    taken: dict[str, list[tuple[float, int]]] = {lang: [] for lang in limit}
-    for r in known.where(F.col("h") < cut).select("lang", "doc_id", "h").orderBy("h").limit(3 * rows_per_language * len(limit)).collect():
-        if r.doc_id is not None and len(taken[r.lang]) < rows_per_language:
-            taken[r.lang].append((r.h, r.doc_id))
-    ids = docs.sparkSession.createDataFrame([(i,) for rows in taken.values() for _, i in rows], "doc_id long")
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    got = rows.select("text", "lang").mapInArrow(_sampled, _SAMPLE).limit(2 * rows_per_language * len(limit)).collect()
-    got = [r for r in got if r.lang in limit]
+    ids = docs.sparkSession.createDataFrame(chosen, "lang string, doc_id long")  # at most training_rows
+    rows = usable.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    # In one order, and so with the same folds and fit, however the rows arrive.
+    got = sorted(rows.select("lang", "doc_id", "text").mapInArrow(_sampled, _SAMPLE).collect(), key=lambda r: (r.lang, r.doc_id))
     languages = sorted({r.lang for r in got})
     x = np.stack([np.frombuffer(r.x, np.float32) for r in got])
-    y = np.array([languages.index(r.lang) for r in got])
-    order = np.lexsort((x[:, 1], x[:, 0], y))  # the same fit however the rows arrive
-    return fit(x[order], y[order], languages)
+    number = {lang: k for k, lang in enumerate(languages)}
+    y = np.array([number[r.lang] for r in got])
+    return fit(x, y, languages)
 
 
 _PREDICTED = "lang_pred string, score double, ambiguous boolean"
@@ -171,8 +211,10 @@ def _predicted(model: Model, ambiguous_below: float):
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, ambiguous_below: float = AMBIGUOUS_BELOW) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and ambiguous to docs(text, ...), one row for each of its rows.
 
-    Null texts and those without a letter are `und` with score 0; so is everything if nothing was learned. Columns of
-    these names in the input are replaced; other columns, named by `keep` or all, pass unchanged.
+    Null and empty texts and those without a letter are `und` with score 0; so is everything if nothing was learned. A
+    text of any length is read whole, its n-grams counted piece by piece. Of codewords of equal loss the language first
+    in order is told, with score 0. Repeated rows are told the same; an empty table gives no rows. Columns of these
+    names in the input are replaced; other columns, named by `keep` or all, pass unchanged.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score", "ambiguous", "text")]
     rows = docs.select(*keep, "text")
