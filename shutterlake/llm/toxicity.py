@@ -40,26 +40,30 @@ class Weights:
     value: np.ndarray
     bias: float
 
-    def margin(self, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Sum of weights for each row of distinct features, rows given by their bounds."""
-        at = np.minimum(np.searchsorted(self.index, features), max(0, len(self.index) - 1))
-        w = np.where(self.index[at] == features, self.value[at], 0.0) if len(self.index) else np.zeros(len(features))
-        total = np.concatenate([[0.0], np.cumsum(w)])
-        return total[bounds[1:]] - total[bounds[:-1]] + self.bias
+    def lookup(self, bits: int) -> np.ndarray:
+        """The weight of every feature of the space, most of them 0."""
+        out = np.zeros(1 << bits)
+        out[self.index] = self.value
+        return out
 
 
-def row_features(column: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For runs of rows: each row's distinct hashed features, and the bounds of the rows among them."""
+def row_features(column: pa.Array, bits: int = BITS, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of rows: each row's distinct hashed features, and the bounds of the rows among them.
+
+    Given flags of the `wanted` features, others are dropped before those of a row are made distinct.
+    """
     data, offsets = text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     for a, b in groups(offsets):
         hashes, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], LETTERS)
         row = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(at))
         keys = []
         for gaps in GRAMS:
-            h = combined(hashes, gaps)
+            h = combined(hashes, gaps) >> np.uint64(64 - bits)
             n = len(h)
-            same = row[:n] == row[max(gaps) : max(gaps) + n]
-            keys.append(((row[:n] << np.uint64(bits)) | (h >> np.uint64(64 - bits)))[same])
+            here = row[:n] == row[max(gaps) : max(gaps) + n] if wanted is None else np.flatnonzero(wanted[h.astype(np.int64)])
+            if wanted is not None:
+                here = here[row[here] == row[here + max(gaps)]]
+            keys.append((row[:n][here] << np.uint64(bits)) | h[here])
         keys = np.unique(np.concatenate(keys))
         bounds = np.searchsorted(keys, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(bits))
         yield (keys & np.uint64((1 << bits) - 1)).astype(np.int64), bounds
@@ -100,29 +104,29 @@ def _extracted(bits: int):
 def train(docs: DataFrame, labels: DataFrame, may_learn: F.Column, bits: int = BITS, most_rows: int = TRAINING_ROWS, most_features: int = TRAINING_FEATURES, p: Ftrl = Ftrl()) -> Weights:
     """Fits on docs(doc_id, text) with labels(doc_id, toxic), of which only rows that may be learned from count.
 
-    The bound: the most_rows labelled documents whose hashed doc_id comes first, and of these as many as have
-    most_features features together. Null labels and ids don't count; of several labels of a document the largest does.
+    The bound: the most_rows labelled documents whose hashed doc_id comes first, and of these in that order each that
+    keeps their features within most_features. Null labels and ids don't count; of several labels of a document the
+    largest does, of several texts the first in order. A text of any length is read whole. Without any labelled
+    document the model is empty and every score one half.
     """
     spark = docs.sparkSession
     known = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
-    taken = {r.doc_id: (r.h, int(r.toxic)) for r in known.orderBy("h").limit(most_rows).collect()}
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    taken = {r.doc_id: (r.h, int(r.toxic)) for r in known.orderBy("h", "doc_id").limit(most_rows).collect()}
     if not taken:
         return Weights(np.empty(0, np.int64), np.empty(0), 0.0)
-    ids = spark.createDataFrame([(i,) for i in taken], "doc_id long")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    ids = spark.createDataFrame([(i,) for i in taken], "doc_id long")  # at most most_rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
     kept = stored(rows.mapInArrow(_extracted(bits), _FEATURES), "toxicity")
-    sizes = sorted((taken[r.doc_id][0], r.doc_id, r.n) for r in kept.select("doc_id", "n").limit(2 * most_rows).collect())
     total, chosen = 0, []
-    for _, doc_id, n in sizes:
-        total += n
-        if total > most_features:
-            break
-        chosen.append(doc_id)
-    last = taken[chosen[-1]][0] if chosen else None
-    got = [] if last is None else kept.where(F.xxhash64("doc_id") <= last).limit(2 * most_rows).collect()
+    for r in sorted(kept.select("doc_id", "n").collect(), key=lambda r: (taken[r.doc_id][0], r.doc_id)):
+        if total + r.n <= most_features:
+            total += r.n
+            chosen.append((r.doc_id,))
+    got = kept.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi").collect()
     forget(kept)
-    got = sorted(got, key=lambda r: (taken[r.doc_id][0], r.x))
+    got = sorted(got, key=lambda r: (taken[r.doc_id][0], r.doc_id))
     return fit([np.frombuffer(r.x, np.int32) for r in got], np.array([taken[r.doc_id][1] for r in got], float), bits, p)
 
 
@@ -131,8 +135,13 @@ _SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 def _scored(model: Weights, bits: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = model.lookup(bits)
+        wanted = weight != 0
         for batch in batches:
-            margins = [model.margin(f, bounds) for f, bounds in row_features(batch.column("text"), bits)]
+            margins = []
+            for features, bounds in row_features(batch.column("text"), bits, wanted):
+                total = np.concatenate([[0.0], np.cumsum(weight[features])])
+                margins.append(total[bounds[1:]] - total[bounds[:-1]] + model.bias)
             s = 1.0 / (1.0 + np.exp(-np.clip(np.concatenate(margins) if margins else np.empty(0), -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -142,7 +151,8 @@ def _scored(model: Weights, bits: int):
 def score(docs: DataFrame, model: Weights, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, score and predicted of docs(doc_id, held_out, text), one row for each of its rows.
 
-    Null and empty texts, and those without letters, score as the bias alone. Extra columns are dropped.
+    Null and empty texts, and those without letters, score as the bias alone; a text of any length is read whole.
+    Repeated rows score the same; an empty table gives no rows. Extra columns are dropped.
     """
     return docs.select("doc_id", "held_out", "text").mapInArrow(_scored(model, bits), _SCORED)
 
