@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the form of dates in files' tags.
 DISK_DATE = r"(?U)^\s*(\d{4})[:/-](\d{2})[:/-](\d{2})\s+(\d{2}):(\d{2}):(\d{2})"
 
 
@@ -21,7 +22,8 @@ def epoch_to_iso(seconds: Column) -> Column:
 
 
 def epoch_to_exif(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds.try_cast("bigint")).cast("timestamp_ntz"), "yyyy:MM:dd HH:mm:ss")
+    """The text that a tag gets for epoch seconds: the time in UTC with its zone."""
+    return F.concat(F.date_format(F.timestamp_seconds(seconds.try_cast("bigint")).cast("timestamp_ntz"), "yyyy:MM:dd HH:mm:ss"), F.lit("+00:00"))
 
 
 def parse_iso(text: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shutterlake.functions.albums import valid_album_name
 
@@ -30,7 +29,9 @@ def target_albums(records: DataFrame) -> DataFrame:
 
 
 def min_dates(records: DataFrame) -> DataFrame:
-    """(group_id, min_date) of records(group_id, first_date)."""
+    """(group_id, min_date) of records(group_id, first_date); a group with an undated member fails the query."""
+    undated = F.raise_error(F.concat(F.lit("a record without a date is in group "), F.coalesce("group_id", F.lit("")))).cast(records.schema["first_date"].dataType)
+    records = records.withColumn("first_date", F.coalesce("first_date", undated))
     return records.groupBy("group_id").agg(F.min("first_date").alias("min_date"))
 
 
@@ -45,10 +46,18 @@ def invalid_names(records: DataFrame, all_proposals: bool = True) -> DataFrame:
     return names.where(F.col("name").isNotNull() & ~valid_album_name(F.col("name"))).distinct()
 
 
+def problems(records: DataFrame, all_proposals: bool = True) -> DataFrame:
+    """(kind, what, proposals): each group whose proposals conflict, each invalid album name."""
+    clash = conflicts(records).select(F.lit("conflict").alias("kind"), F.col("group_id").alias("what"), "proposals")
+    wrong = invalid_names(records, all_proposals).select(F.lit("invalid_name").alias("kind"), F.col("name").alias("what"), F.lit(None).cast("array<string>").alias("proposals"))
+    return clash.unionByName(wrong)
+
+
 def check(records: DataFrame) -> dict:
-    """The report of a library check; its two lists are what a person has to mend."""
-    clash = [r.asDict() for r in conflicts(records).orderBy("group_id").collect()]
-    wrong = [r.name for r in invalid_names(records).orderBy("name").collect()]
+    """The report of a library check; its two lists are what a person has to mend, and so is their length."""
+    found = problems(records).orderBy("kind", "what").collect()
+    clash = [{"group_id": r.what, "proposals": r.proposals} for r in found if r.kind == "conflict"]
+    wrong = [r.what for r in found if r.kind == "invalid_name"]
     return {"ok": not clash and not wrong, "conflicts": clash, "invalid_album_names": wrong}
 
 
@@ -71,8 +80,3 @@ def require_groups(records: DataFrame) -> None:
     bad = records.where(F.coalesce("group_id", F.lit("")) == "").limit(1)
     if not bad.isEmpty():
         raise RuntimeError("a record has no group_id")
-
-
-def album_min_date() -> F.Column:
-    """The least date over all groups of a target album."""
-    return F.min("first_date").over(Window.partitionBy("target"))

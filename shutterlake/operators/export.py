@@ -8,17 +8,30 @@ from pyspark.sql.window import Window
 
 from shutterlake.functions.dates import stamp
 from shutterlake.functions.paths import extension
-from shutterlake.operators.albums import conflicts, invalid_names, target_albums
+from shutterlake.operators.albums import min_dates, problems, target_albums
+
+
+#: Offenders that a refusal names; it counts the others.
+MOST_NAMED = 1000
+
+
+def refusals(records: DataFrame) -> DataFrame:
+    """(kind, what, proposals): why an export is refused. Names of albums are told only once no proposals conflict."""
+    found = problems(records, all_proposals=False)
+    clash = found.where("kind = 'conflict'").limit(1).select(F.lit(True).alias("clash"))  # one row at most
+    return found.join(F.broadcast(clash), (F.col("kind") == "invalid_name") & F.col("clash"), "left_anti")
 
 
 def validate(records: DataFrame) -> None:
-    """Refuses an export while proposals conflict, then while a target is no album name; all offenders are named."""
-    clash = conflicts(records).orderBy("group_id").collect()
-    if clash:
-        raise RuntimeError(f"conflicting proposals: {[r.asDict() for r in clash]}")
-    wrong = invalid_names(records, all_proposals=False).orderBy("name").collect()
-    if wrong:
-        raise RuntimeError(f"invalid album names: {[r.name for r in wrong]}")
+    """Refuses an export while proposals conflict, then while a target is no album name."""
+    found = refusals(records).persist()
+    first = found.orderBy("kind", "what").take(MOST_NAMED)
+    more = found.count() - len(first) if len(first) == MOST_NAMED else 0
+    found.unpersist()
+    if first:
+        told = [{"group_id": r.what, "proposals": r.proposals} if r.kind == "conflict" else r.what for r in first]
+        text = "conflicting proposals" if first[0].kind == "conflict" else "invalid album names"
+        raise RuntimeError(f"{text}: {told}" + (f" and {more} more" if more else ""))
 
 
 def plan(records: DataFrame) -> DataFrame:
@@ -29,7 +42,7 @@ def plan(records: DataFrame) -> DataFrame:
     """
     goals = target_albums(records)
     rows = records.join(goals.withColumnRenamed("target", "goal"), "group_id", "left")
-    least = rows.where(F.col("goal").isNotNull()).groupBy("goal").agg(F.min("first_date").alias("folder_date"))
+    least = goals.where(F.col("target").isNotNull()).join(min_dates(records), "group_id").groupBy(F.col("target").alias("goal")).agg(F.min("min_date").alias("folder_date"))
     rows = rows.join(least, "goal", "left")
     year = lambda c: F.year(c).cast("string")
     folder = F.when(F.col("goal").isNotNull(), F.concat(year("folder_date"), F.lit("/"), F.date_format("folder_date", "yyyyMMdd"), F.lit("-"), "goal")).otherwise(year("first_date"))

@@ -2,59 +2,55 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.geo import chord, place
 
-#: Places up to this number are sent to every task; more are met cell by cell.
-BROADCAST_PLACES = 200_000
-
-
-def _squared(a: list[F.Column], b: list[F.Column]) -> F.Column:
-    return sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0))
-
-
-def _nearest_all(points: DataFrame, places: DataFrame, key: str) -> DataFrame:
-    d = _squared(chord(F.col("lat"), F.col("lon")), chord(F.col("p_lat"), F.col("p_lon")))
-    pairs = points.join(F.broadcast(places), F.lit(True)).select(key, F.struct(d.alias("d"), "place_id", "name", "admin1", "cc").alias("c"))
-    return pairs.groupBy(key).agg(F.min("c").alias("c"))
+#: Up to so many places their cells (27 small rows a place, about 20 MB) are sent to every task; more are shuffled.
+BROADCAST_PLACES = 10_000
+#: Edge of the cells of the first search, as a chord of the unit sphere (0.005 is about 32 km), and its growth.
+FIRST_CELL, GROWTH = 0.005, 4.0
+#: The longest chord; cells of this size leave out nothing.
+WHOLE = 2.0
 
 
 def nearest(points: DataFrame, places: DataFrame, key: str = "key", broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """points(key, lat, lon) with location, of places(place_id, lat, lon, name, admin1, cc); ties go to the smaller place_id.
 
-    Points and places without coordinates meet nothing.
-
-    Many places are met through one-degree cells: a hit within a cell's reach is the nearest for sure; points without
-    one widen their search by rings until every point has its place.
+    Points and places without coordinates meet nothing. The unit sphere's cells are an equi-join: each place is put in
+    its own and the 26 cells around it, so that whatever is within a cell's edge of a point is met. A hit within the
+    edge is the nearest for sure; points without one are sought again in larger cells, until every point has its place.
     """
     places = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    named = places.select("place_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "name", "admin1", "cc")
-    located = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    if places.limit(broadcast_places + 1).count() <= broadcast_places:
-        best = _nearest_all(located.select(key, "lat", "lon"), named, key)
-    else:
-        best, left, ring = None, located.select(key, "lat", "lon"), 1
-        while True:
-            found = _within_rings(left, named, key, ring)
-            best = found if best is None else best.unionByName(found)
-            left = left.join(found.select(key), key, "left_anti")
-            if ring >= 180 or left.limit(1).isEmpty():
-                break
-            ring = min(180, ring * 4)
+    named = places.select("place_id", *_axes("p"), "name", "admin1", "cc")
+    few = places.limit(broadcast_places + 1).count() <= broadcast_places
+    left = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(key, *_axes("q"))
+    best, edge = None, FIRST_CELL
+    while True:
+        found = _within(left, named, key, edge, few)
+        best = found if best is None else best.unionByName(found)
+        left = left.join(found.select(key), key, "left_anti")
+        if edge >= WHOLE or left.limit(1).isEmpty():
+            break
+        edge = min(WHOLE, edge * GROWTH)
     return points.join(best.select(key, place(F.col("c.name"), F.col("c.admin1"), F.col("c.cc")).alias("location"), F.col("c.place_id").alias("place_id")), key, "left")
 
 
-def _within_rings(points: DataFrame, places: DataFrame, key: str, ring: int) -> DataFrame:
-    """The nearest place of each point that has one for sure within so many degrees: bands of latitude, all longitudes near the poles."""
-    band = lambda c: F.floor(F.col(c) / ring).cast("int")
-    p = places.withColumn("b", band("p_lat"))
-    # A degree of longitude shrinks towards the poles; bands alone decide there.
-    q = points.withColumn("b", F.explode(F.array(*[band("lat") + i for i in (-1, 0, 1)])))
-    d = _squared(chord(F.col("lat"), F.col("lon")), chord(F.col("p_lat"), F.col("p_lon")))
-    sure = (2 * math.sin(math.radians(min(ring, 180)) / 2)) ** 2 if ring < 180 else 4.1
-    pairs = q.join(p, "b").select(key, F.struct(d.alias("d"), "place_id", "name", "admin1", "cc").alias("c")).where(F.col("c.d") <= sure)
-    return pairs.groupBy(key).agg(F.min("c").alias("c"))
+def _axes(prefix: str) -> list[F.Column]:
+    return [c.alias(f"{prefix}{i}") for i, c in enumerate(chord(F.col("lat"), F.col("lon")))]
+
+
+def _within(points: DataFrame, places: DataFrame, key: str, edge: float, few: bool) -> DataFrame:
+    """(key, c) of each point that has a place within `edge`: distance and place, the nearest one."""
+    cell = lambda prefix: [F.floor(F.col(f"{prefix}{i}") / edge).cast("int") for i in range(3)]
+    around = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    spread = places.withColumn("s", F.explode(around))
+    spread = spread.select("*", *[(c + F.col(f"s.{n}")).alias(f"c{n}") for c, n in zip(cell("p"), "xyz", strict=True)]).drop("s")
+    own = points.select("*", *[c.alias(f"c{n}") for c, n in zip(cell("q"), "xyz", strict=True)])
+    pairs = own.join(F.broadcast(spread) if few else spread, ["cx", "cy", "cz"])
+    d = sum(((F.col(f"q{i}") - F.col(f"p{i}")) * (F.col(f"q{i}") - F.col(f"p{i}")) for i in range(3)), F.lit(0.0))
+    near = pairs.select(key, F.struct(d.alias("d"), "place_id", "name", "admin1", "cc").alias("c"))
+    if edge < WHOLE:
+        near = near.where(F.col("c.d") <= edge * edge)
+    return near.groupBy(key).agg(F.min("c").alias("c"))

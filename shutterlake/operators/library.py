@@ -32,6 +32,11 @@ def pair(files: DataFrame, records: DataFrame) -> DataFrame:
     return both.select(F.coalesce("m_name", "r_name").alias("filename"), label.alias("pairing"))
 
 
-def all_records(paired: DataFrame, lone: DataFrame) -> DataFrame:
-    """Records with media and those without, as one bag."""
-    return paired.unionByName(lone)
+def records_by_pairing(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All records, those with media and those without, with their pairing."""
+    return records.join(pairs.where(F.col("pairing").isin("paired", "record_without_media")), "filename")
+
+
+def unmatched(pairs: DataFrame) -> DataFrame:
+    """What pair() left alone, in the order of kinds and names."""
+    return pairs.where("pairing <> 'paired'").orderBy("pairing", "filename")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shutterlake.functions.names import parse_media, parse_sidecar
 from shutterlake.functions.paths import basename, dirname
@@ -87,9 +86,3 @@ def label_archive(media: DataFrame, root: str) -> DataFrame:
     d = dirname(F.col("path"))
     loose = d == (root.rstrip("/") or "/")
     return media.withColumn("source", F.struct(F.when(loose, "loose").otherwise("album").alias("type"), F.when(~loose, basename(d)).alias("name")))
-
-
-def first_per(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key in an explicit order."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("__n", n).where("__n = 1").drop("__n")

@@ -63,8 +63,29 @@ def errors(manifest: DataFrame) -> DataFrame:
     return rows.where(F.col("status") == "error").drop("status")
 
 
+def side_summary(lone: DataFrame) -> DataFrame:
+    """Media and side files that no link has, over link.unmatched()'s rows."""
+    return lone.agg(F.count_if(F.col("kind") == "media").alias("unmatched_media"), F.count_if(F.col("kind") == "sidecar").alias("unmatched_sidecars"))
+
+
+def gaps_summary(pairs: DataFrame) -> DataFrame:
+    """What library.pair() left alone, by kind."""
+    kinds = ("media_without_record", "record_without_media", "unsupported_media")
+    return pairs.agg(*[F.count_if(F.col("pairing") == k).alias(k) for k in kinds])
+
+
+def export_summary(planned: DataFrame) -> DataFrame:
+    """Number of planned or executed copies."""
+    return planned.agg(F.count(F.lit(1)).alias("operations"))
+
+
+def first_failures(entries: DataFrame, n: int = 3) -> DataFrame:
+    """The first failed entries by name."""
+    return entries.where("embed_status = 'error'").orderBy("filename").limit(n)
+
+
 def enrich_summary(entries: DataFrame) -> DataFrame:
-    """Counts over enriched entries(record, location, kind, embed_status)."""
+    """Counts over enriched entries(filename, location, kind, embed_status)."""
     return entries.agg(
         F.count(F.lit(1)).alias("records"), F.count("location").alias("geocoded"), F.count_if(F.col("location").isNull()).alias("no_geo"),
         F.count_if((F.col("kind") == "image") & (F.col("embed_status") == "processed")).alias("images"),

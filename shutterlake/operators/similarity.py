@@ -28,42 +28,63 @@ def similar(embeddings: DataFrame, query: str, k: int = 20) -> DataFrame:
     return scored.orderBy(F.desc("score"), "path").limit(k)
 
 
-def similar_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, block: int = 1024) -> DataFrame:
+#: Vectors in one block of queries and in one of rows.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+
+
+def similar_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
     """(query, path, score, rank): the k rows most like each of queries(path, embedding), itself excluded.
 
-    Queries travel in blocks of `block` vectors to the embeddings, which are scanned once per block; each task keeps
-    its own k best, so that only those are shuffled.
+    Queries are put in blocks, and tasks put the rows that they read in blocks; every two blocks meet in a product of
+    matrices that keeps k rows a query, so that only those are shuffled. Nothing passes through the driver.
     """
-    blocks = max(1, -(-queries.count() // block))
-    numbered = queries.withColumn("__b", F.pmod(F.xxhash64("path"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        own = numbered.where(F.col("__b") == b).select("path", "embedding").collect()  # about `block` rows
-        names = [r.path for r in own]
-        matrix = np.array([r.embedding for r in own], np.float64).reshape(len(own), -1)
-        part = embeddings.select("path", "embedding").mapInPandas(_best_of(names, matrix, k), "query string, path string, score double")
-        out = part if out is None else out.unionByName(part)
+    asked = queries.select("path", "embedding")
+    asked = asked.repartition(max(1, -(-asked.count() // block)), "path").mapInPandas(_packed(block), _PACKED)
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
+    rows = embeddings.select("path", "embedding").mapInPandas(_packed(ROW_BLOCK), _PACKED)
+    met = rows.crossJoin(asked).mapInPandas(_best_of(k), "query string, path string, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "path"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+_PACKED = "paths array<string>, x binary"
+
+
+def _packed(size: int):
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a in range(0, len(f), size):
+                part = f.iloc[a : a + size]
+                yield pd.DataFrame({"paths": [part.path.tolist()], "x": [np.stack(part.embedding.to_numpy()).astype(np.float64).tobytes()]})
+
+    return pack
 
 
-def _best_of(names: list[str], matrix: np.ndarray, k: int):
+def _best_of(k: int):
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f) or not names:
-                continue
-            scores = matrix @ np.stack(f.embedding.to_numpy()).astype(np.float64).T
-            paths = f.path.to_numpy()
-            out = []
-            for name, row in zip(names, scores, strict=True):
-                order = np.lexsort((paths, -row))
-                order = order[paths[order] != name][:k]
-                out.append(pd.DataFrame({"query": name, "path": paths[order], "score": row[order]}))
-            yield pd.concat(out, ignore_index=True)
+            for r in f.itertuples(index=False):
+                paths = np.asarray(r.paths, object)
+                q, x = np.frombuffer(r.q_x).reshape(len(r.q_paths), -1), np.frombuffer(r.x).reshape(len(paths), -1)
+                names, found, scores = [], [], []
+                for name, row in zip(r.q_paths, q @ x.T, strict=True):
+                    # One more than k, as the query itself may be among them; all that tie with the last.
+                    at = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1]) if len(row) > k + 1 else np.arange(len(row))
+                    at = at[paths[at] != name]
+                    at = at[np.lexsort((paths[at], -row[at]))[:k]]
+                    names += [name] * len(at)
+                    found += paths[at].tolist()
+                    scores.append(row[at])
+                yield pd.DataFrame({"query": names, "path": found, "score": np.concatenate(scores)})
 
     return best
 
 
+def lookup(embeddings: DataFrame, paths: DataFrame) -> DataFrame:
+    """paths(path), as often as they are given, with embedding, null for those that have none."""
+    return paths.select("path").join(embeddings.select("path", "embedding"), "path", "left")
+
+
 def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
     """(key, embedding): the unit vector along the mean of each key's vectors, element by element."""
     parts = vectors.select(key, F.posexplode("embedding").alias("pos", "x"))

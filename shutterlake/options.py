@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 #: Folder of records within a library, and the endings of what lies in it.
 META_DIR, RECORD_END, REPORT_NAME, EMBEDDINGS = ".shutterlake", ".record.json", "report.csv", "embeddings.parquet"
+#: Vectors that were made elsewhere: a numpy matrix and the list of its rows' names.
+EMBEDDINGS_MATRIX, EMBEDDINGS_NAMES = "embeddings.npy", "embeddings.paths.json"
 
 
 @dataclass(frozen=True)
@@ -38,3 +40,15 @@ class ExportOptions:
 class EnrichOptions:
     video_frames: int = 5
     image_batch: int = 32
+    dry_run: bool = False
+
+
+@dataclass(frozen=True)
+class CaptionOptions:
+    model: str = "llava"
+    video_frames: int = 5
+    #: Longest edge of the pictures that are sent to the model, and their JPEG quality.
+    longest_edge: int = 768
+    quality: int = 90
+    server: str = "http://127.0.0.1:11434"
+    timeout_seconds: float = 300.0

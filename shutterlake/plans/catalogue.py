@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shutterlake.functions import albums as album_names
 from shutterlake.functions import dates, geo, handlers, names, paths, vectors
 from shutterlake.operators import albums, dedupe, export, geocode, group, heuristics, library, link, reconcile, records, report, scan, similarity
+from shutterlake.options import RECORD_END
 from shutterlake.plans.views import view, with_views
+from shutterlake.sources import contents
 
 FLAGSHIP = "dedupe_prefer_album"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,7 +187,7 @@ def disk_date_normalize(spark, sf_dir):
     return _raw_dates(spark, sf_dir).select("event_id", dates.normalize_disk_date(F.col("raw")).alias("iso"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(to_timestamp(o_custkey * 1000003) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS iso, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(to_timestamp(o_custkey * 1000003) AT TIME ZONE 'UTC', '%Y:%m:%d %H:%M:%S') END AS exif FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(to_timestamp(o_custkey * 1000003) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END AS iso, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(to_timestamp(o_custkey * 1000003) AT TIME ZONE 'UTC', '%Y:%m:%d %H:%M:%S') || '+00:00' END AS exif FROM orders")
 def epoch_to_iso(spark, sf_dir):
     text = F.when(F.col("o_orderkey") % 10 == 0, "soon").otherwise((F.col("o_custkey") * 1000003).cast("string"))
     return _table(spark, sf_dir, "orders").select("o_orderkey", dates.epoch_to_iso(text).alias("iso"), dates.epoch_to_exif(text).alias("exif"))
@@ -207,9 +210,11 @@ r AS (SELECT *, sided AND disk IS NULL AS use_ts, sided AND (k % 25 = 1 OR (disk
 t AS (SELECT *, CASE WHEN h IS NULL THEN 'skipped' WHEN k % 31 = 0 OR broken THEN 'error' ELSE 'processed' END AS status FROM r)"""
 
 
-@query("WITH z AS (SELECT 1)" + _RECONCILE_SQL + """ SELECT k AS event_id, status, CASE WHEN status <> 'processed' THEN '' ELSE concat_ws(',', CASE WHEN use_ts THEN strftime(to_timestamp(k * 100000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END, disk, '2020-01-02T03:04:05') END AS dates FROM t""")
+@query("WITH z AS (SELECT 1)" + _RECONCILE_SQL + """ SELECT k AS event_id, status, CASE WHEN status <> 'processed' THEN '' ELSE concat_ws(',', CASE WHEN use_ts THEN strftime(to_timestamp(k * 100000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') END, disk, '2020-01-02T03:04:05') END AS dates,
+ CASE WHEN status <> 'processed' THEN '' ELSE concat_ws('|', CASE WHEN use_ts THEN CASE h WHEN 'exif' THEN 'SubSecDateTimeOriginal=' ELSE 'CreationDate=' END || strftime(to_timestamp(k * 100000) AT TIME ZONE 'UTC', '%Y:%m:%d %H:%M:%S') || '+00:00' END,
+  CASE WHEN k % 5 <> 0 AND sided AND k % 3 <> 0 THEN CASE h WHEN 'exif' THEN 'Composite:GPSLatitude=' || (k % 3) || '.0|Composite:GPSLongitude=8.5' ELSE 'Keys:GPSCoordinates=' || (k % 3) || '.0, 8.5' END END) END AS write_tags FROM t""")
 def reconcile_dates(spark, sf_dir):
-    return _reconciled(spark, sf_dir).select("event_id", "metadata.status", F.concat_ws(",", "metadata.dates").alias("dates"))
+    return _reconciled(spark, sf_dir).select("event_id", "metadata.status", F.concat_ws(",", "metadata.dates").alias("dates"), F.concat_ws("|", "metadata.write_tags").alias("write_tags"))
 
 
 @query("WITH z AS (SELECT 1)" + _RECONCILE_SQL + """ SELECT k AS event_id, CASE WHEN status = 'processed' THEN CASE WHEN k % 5 = 0 THEN (k % 80)::DOUBLE WHEN sided AND k % 3 <> 0 THEN (k % 3)::DOUBLE END END AS lat,
@@ -263,9 +268,12 @@ def error_table(spark, sf_dir):
     return report.errors(_outcomes(spark, sf_dir))
 
 
-@query(_link_sql(True) + "SELECT count(*) FILTER (confidence = 3) AS confidence_3, count(*) FILTER (confidence = 2) AS confidence_2, count(*) FILTER (confidence = 1) AS confidence_1, count(*) FILTER (confidence IS NULL) AS unmatched FROM l", "assets", "sidecars")
+@query(_link_sql(True) + """SELECT count(*) FILTER (confidence = 3) AS confidence_3, count(*) FILTER (confidence = 2) AS confidence_2, count(*) FILTER (confidence = 1) AS confidence_1, count(*) FILTER (confidence IS NULL) AS unmatched,
+ count(*) FILTER (confidence IS NULL) AS unmatched_media, (SELECT count(*) FROM sidecars WHERE path NOT IN (SELECT sidecar FROM l WHERE sidecar IS NOT NULL)) AS unmatched_sidecars FROM l""", "assets", "sidecars")
 def link_summary(spark, sf_dir):
-    return report.link_summary(_linked(spark, sf_dir))
+    media, side = view(spark, sf_dir, "assets").select("path").distinct(), view(spark, sf_dir, "sidecars")
+    linked = link.link(media, side)
+    return report.link_summary(linked).join(F.broadcast(report.side_summary(link.unmatched(media, side, linked))), F.lit(True))  # one row each
 
 
 _FILES = ", f AS (SELECT concat(CASE WHEN doc_id % 50 = 0 THEN '.' ELSE '' END, 'p', doc_id, CASE WHEN lang = 'es' THEN '.avi' ELSE '.jpg' END) AS filename, lang = 'es' AS odd, doc_id % 50 = 0 AS hidden FROM documents), r AS (SELECT DISTINCT concat('p', doc_id, CASE WHEN doc_id % 9 = 0 THEN '.png' ELSE '.jpg' END) AS filename FROM labels)"
@@ -312,19 +320,12 @@ def record_filters(spark, sf_dir):
     return out
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_partkey AS k, l_linestatus, l_returnflag FROM lineitem)
-SELECT l_orderkey AS k, '{"dates":' || '[],"geo":null,"album":"' || l_linestatus || '","group_id":"g' || l_orderkey || '"' || CASE WHEN k % 4 = 0 THEN ',"caption":""' WHEN k % 4 = 1 THEN ',"caption":"words"' ELSE '' END || CASE WHEN k % 6 = 0 THEN ',"proposed_album":"' || l_returnflag || '"' ELSE '' END || '}' AS json FROM l WHERE k % 30 = 0""")
-def record_json(spark, sf_dir):
-    r = _records(spark, sf_dir).where("l_partkey % 30 = 0").withColumn("geo", F.lit(None).cast("struct<latitude:double,longitude:double,altitude:double>"))
-    return r.select(F.substring("group_id", F.lit(2), F.lit(20)).cast("long").alias("k"), records.to_json().alias("json"))
-
-
 @query(f"""WITH l AS (SELECT l_orderkey, l_partkey AS k, l_linestatus, l_returnflag, {_DAY} AS d FROM lineitem)
 SELECT l_orderkey AS k, '{{"dates":' || CASE WHEN k % 10 = 0 THEN '[]' ELSE '["' || d || '","2001-01-01T00:00:00"]' END
  || ',"geo":' || CASE WHEN k % 7 = 0 THEN 'null' ELSE '{{"latitude":' || (k % 90) || '.5,"longitude":-' || (k % 180) || '.25,"altitude":' || CASE WHEN k % 2 = 0 THEN 'null' ELSE (k % 1000) || '.0' END || '}}' END
  || ',"album":"' || l_linestatus || '","group_id":"g' || l_orderkey || '"' || CASE WHEN k % 3 <> 0 THEN ',"location":{{"city":"c","region":"R' || (k % 5) || '","country":"x"}}' ELSE '' END
  || CASE WHEN k % 4 = 0 THEN ',"caption":""' WHEN k % 4 = 1 THEN ',"caption":"words"' ELSE '' END || CASE WHEN k % 6 = 0 THEN ',"proposed_album":"' || l_returnflag || '"' ELSE '' END || '}}' AS json FROM l""")
-def record_json_whole(spark, sf_dir):
+def record_json(spark, sf_dir):
     k = F.col("l_partkey")
     place = F.struct((k % 90 + 0.5).cast("double").alias("latitude"), (-(k % 180) - 0.25).cast("double").alias("longitude"), F.when(k % 2 != 0, (k % 1000).cast("double")).alias("altitude"))
     r = _records(spark, sf_dir).withColumn("geo", F.when(k % 7 != 0, place))
@@ -359,8 +360,8 @@ def target_album(spark, sf_dir):
 @query(_TARGET.format("planned") + "SELECT target, min(first_date) AS min_date FROM planned JOIN t USING (group_id) WHERE target IS NOT NULL GROUP BY target", "planned")
 def album_min_date(spark, sf_dir):
     m = view(spark, sf_dir, "planned")
-    rows = m.join(albums.target_albums(m), "group_id")
-    return rows.where("target IS NOT NULL").groupBy("target").agg(F.min("first_date").alias("min_date"))
+    rows = albums.min_dates(m).join(albums.target_albums(m), "group_id")
+    return rows.where("target IS NOT NULL").groupBy("target").agg(F.min("min_date").alias("min_date"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN conv_id IN (SELECT conv_id FROM conversations WHERE turn % 2 = 1) THEN (SELECT arg_max(CASE WHEN c.turn % 3 = 0 THEN NULL ELSE concat('Album ', c.turn) END, c.turn) FROM (SELECT conv_id, turn FROM conversations WHERE turn % 2 = 1 AND turn % 3 <> 0 UNION ALL SELECT conv_id, turn FROM conversations WHERE FALSE) c WHERE c.conv_id = o.conv_id AND c.turn = (SELECT max(turn) FROM conversations x WHERE x.conv_id = o.conv_id AND x.turn % 2 = 1)) ELSE role END AS proposed_album FROM conversations o")
@@ -400,10 +401,10 @@ def similar_topk(spark, sf_dir):
     return similarity.similar(_vectors(spark, sf_dir), "v000000000").select("path", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT query, path, score, rank FROM (SELECT concat('v', lpad(a.vec_id::VARCHAR, 9, '0')) AS query, concat('v', lpad(b.vec_id::VARCHAR, 9, '0')) AS path, round({_COSINE}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id) WHERE rank <= 5")
+@query(f"SELECT query, path, score, rank FROM (SELECT concat('v', lpad(a.vec_id::VARCHAR, 9, '0')) AS query, concat('v', lpad(b.vec_id::VARCHAR, 9, '0')) AS path, round({_COSINE}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) WHERE rank <= 5")
 def similar_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return similarity.similar_batch(v, v.where(F.substring("path", F.lit(2), F.lit(9)).cast("long") % 50 == 0), 5).select("query", "path", F.round("score", 6).alias("score"), "rank")
+    return similarity.similar_batch(v, v.where(F.substring("path", F.lit(2), F.lit(9)).cast("long") % 20 == 0), 5).select("query", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query("WITH u AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, i, avg(x::DOUBLE) AS m FROM u GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1) SELECT label, i::INT - 1 AS pos, round(m / n, 6) AS x FROM m JOIN n USING (label)")
@@ -446,3 +447,142 @@ def event_sessions(spark, sf_dir):
 def home_region(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     return heuristics.home_regions(c, "n_name")
+
+
+_SIDE_TEXT = """CASE c_custkey % 5 WHEN 0 THEN '{bad' WHEN 1 THEN '{"geoData":{"latitude":1.5,"longitude":0.0,"altitude":3.0}}' ELSE concat('{"photoTakenTime":{"timestamp":"', c_custkey * 1000, '"},"geoDataExif":{"latitude":', c_custkey % 3, '.0,"longitude":7.5,"altitude":1.0,"latitudeSpan":0.5},"geoData":{"latitude":', c_custkey % 4, '.0,"longitude":2.5,"altitude":3.0}}') END"""
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 > 1 THEN (c_custkey * 1000)::VARCHAR END AS timestamp, CASE WHEN c_custkey % 5 > 1 THEN CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 3)::DOUBLE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 4)::DOUBLE END END AS latitude,
+ CASE WHEN c_custkey % 5 > 1 THEN CASE WHEN c_custkey % 3 <> 0 THEN 1.0::DOUBLE WHEN c_custkey % 4 <> 0 THEN 3.0::DOUBLE END END AS altitude, c_custkey % 5 = 0 OR c_custkey % 11 = 4 AS failed FROM customer""".replace("c_custkey % 5 > 1", "(c_custkey % 5 > 1 AND c_custkey % 11 <> 4)"))
+def sidecar_parse(spark, sf_dir):
+    k = F.col("c_custkey")
+    gone = k % 11 == 4
+    texts = _table(spark, sf_dir, "customer").select(k.cast("string").alias("path"), F.when(~gone, F.expr(_SIDE_TEXT)).alias("text"), F.when(gone, "can't be opened").alias("error"))
+    side = F.col("side")
+    return contents.parse_sidecars(texts).select(F.col("path").cast("long").alias("c_custkey"), side["timestamp"].alias("timestamp"), side["geo"]["latitude"].alias("latitude"), side["geo"]["altitude"].alias("altitude"), side["error"].isNotNull().alias("failed"))
+
+
+@query("SELECT concat('f', o_orderkey, '.jpg') AS filename, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS first, CASE WHEN o_orderkey % 4 = 0 THEN (o_custkey % 90)::DOUBLE END AS latitude, o_orderstatus AS album, concat('g', o_custkey) AS group_id, CASE WHEN o_orderkey % 5 = 0 THEN 'words' END AS caption FROM orders")
+def record_parse(spark, sf_dir):
+    k = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    place = F.when(k % 4 == 0, F.struct((F.col("o_custkey") % 90).cast("double").alias("latitude"), F.lit(8.5).alias("longitude"), F.lit(None).cast("double").alias("altitude")))
+    core = F.to_json(F.struct(F.when(k % 3 > 0, F.array(day, F.lit("2001-01-01T00:00:00"))).alias("dates"), place.alias("geo"), F.col("o_orderstatus").alias("album"), F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("group_id"), F.when(k % 5 == 0, "words").alias("caption")))
+    texts = _table(spark, sf_dir, "orders").select(F.concat(F.lit("/lib/.shutterlake/f"), k.cast("string"), F.lit(".jpg" + RECORD_END)).alias("path"), core.alias("text"), F.lit(None).cast("string").alias("error"))
+    return contents.parse_records(texts).select("filename", F.get("dates", F.lit(0)).alias("first"), "geo.latitude", "album", "group_id", "caption")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'error' ELSE 'processed' END AS status, CASE WHEN s_suppkey % 4 <> 0 THEN concat('2020-01-02T03:04:', lpad((s_suppkey % 60)::VARCHAR, 2, '0')) ELSE '' END AS dates FROM supplier")
+def tag_lookup(spark, sf_dir):
+    def reader(paths):
+        keys = {p: int(p.rsplit("/", 1)[-1].split(".")[0]) for p in paths}
+        return {p: {"EXIF:DateTimeOriginal": f"2020:01:02 03:04:{k % 60:02d}", "EXIF:CreateDate": None} for p, k in keys.items() if k % 4}
+
+    files = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("/src/"), F.col("s_suppkey").cast("string"), F.lit(".jpg")).alias("path"))
+    rows = files.join(contents.read_tags(files, reader), "path", "left").withColumn("sidecar", F.lit(None).cast("string"))
+    rows = rows.withColumn("side", F.lit(None).cast("struct<timestamp:string,geo:struct<latitude:double,longitude:double,altitude:double>,error:string>"))
+    return reconcile.reconcile(rows).select("s_suppkey", "metadata.status", F.concat_ws(",", "metadata.dates").alias("dates"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS dates, (o_orderkey % 50)::DOUBLE AS latitude, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS album, concat('g', o_custkey) AS group_id FROM orders")
+def record_projection(spark, sf_dir):
+    k = F.col("o_orderkey")
+    source = F.struct(F.when(k % 2 == 0, "album").otherwise("loose").alias("type"), F.col("o_orderpriority").alias("name"))
+    metadata = F.struct(F.when(k % 3 != 0, F.array(F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(F.array().cast("array<string>")).alias("dates"), F.struct((k % 50).cast("double").alias("latitude")).alias("geo"))
+    manifest = _table(spark, sf_dir, "orders").select(k.alias("media_path"), source.alias("source"), metadata.alias("metadata"), F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("group_id"))
+    return records.from_manifest(manifest).select(F.col("media_path").alias("o_orderkey"), F.concat_ws(",", "dates").alias("dates"), "geo.latitude", "album", "group_id")
+
+
+@query("SELECT o_orderkey, o_orderdate::TIMESTAMP AS first_date, strftime(o_orderdate, '%Y%m%d-%H%M%S') AS stamp FROM orders")
+def first_dates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.when((k % 2 == 0) & (F.date_trunc("day", "o_orderdate") == F.col("o_orderdate")), F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    first = dates.first_date(F.array(text, F.lit("no date")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", first.alias("first_date"), dates.stamp(first).alias("stamp"))
+
+
+_CLASH = "SELECT 'conflict' AS kind, group_id AS what, array_to_string(list_sort(list_distinct(list(proposed_album) FILTER (proposed_album <> ''))), '|') AS proposals FROM members GROUP BY group_id HAVING count(DISTINCT proposed_album) FILTER (proposed_album <> '') > 1"
+
+
+@query(_CLASH + " UNION ALL SELECT DISTINCT 'invalid_name', proposed_album, '' FROM members WHERE proposed_album LIKE '%/%'", "members")
+def library_check(spark, sf_dir):
+    return albums.problems(view(spark, sf_dir, "members")).select("kind", "what", F.concat_ws("|", "proposals").alias("proposals"))
+
+
+@query(_CLASH, "members")
+def export_refused_by_conflicts(spark, sf_dir):
+    return export.refusals(view(spark, sf_dir, "members")).select("kind", "what", F.concat_ws("|", "proposals").alias("proposals"))
+
+
+@query("SELECT DISTINCT 'invalid_name' AS kind, 'a/b' AS what, '' AS proposals FROM planned WHERE length(group_id) = 5 UNION ALL SELECT DISTINCT 'conflict', '', '' FROM planned WHERE FALSE", "planned")
+def export_refused_by_names(spark, sf_dir):
+    rows = view(spark, sf_dir, "planned").withColumn("proposed_album", F.when(F.col("proposed_album").isNotNull(), "a/b"))
+    return export.refusals(rows).select("kind", "what", F.concat_ws("|", "proposals").alias("proposals"))
+
+
+@query("SELECT group_id, min(first_date) AS min_date FROM members GROUP BY group_id", "members")
+def group_min_date(spark, sf_dir):
+    return albums.min_dates(view(spark, sf_dir, "members"))
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), F.lpad(k.cast("string"), 9, "0")).alias("filename"), F.when(k % 3 != 0, F.struct("c_name")).alias("location"), F.when(k % 4 == 0, "video").otherwise("image").alias("kind"), F.when(k % 7 == 3, "error").otherwise("processed").alias("embed_status"))
+
+
+@query("SELECT count(*) AS records, count(*) FILTER (c_custkey % 3 <> 0) AS geocoded, count(*) FILTER (c_custkey % 3 = 0) AS no_geo, count(*) FILTER (c_custkey % 4 <> 0 AND c_custkey % 7 <> 3) AS images, count(*) FILTER (c_custkey % 4 = 0 AND c_custkey % 7 <> 3) AS videos, count(*) FILTER (c_custkey % 7 = 3) AS failed FROM customer")
+def enrich_summary(spark, sf_dir):
+    return report.enrich_summary(_enriched(spark, sf_dir))
+
+
+@query("SELECT concat('p', lpad(c_custkey::VARCHAR, 9, '0')) AS filename FROM customer WHERE c_custkey % 7 = 3 ORDER BY 1 LIMIT 3")
+def first_failures(spark, sf_dir):
+    return report.first_failures(_enriched(spark, sf_dir)).select("filename")
+
+
+_LONE = "SELECT coalesce(f.filename, r.filename) AS filename, CASE WHEN f.filename IS NULL THEN 'record_without_media' WHEN f.odd THEN 'unsupported_media' ELSE 'media_without_record' END AS pairing FROM (SELECT * FROM f WHERE NOT hidden) f FULL OUTER JOIN r ON f.filename = r.filename AND NOT f.odd WHERE f.filename IS NULL OR f.odd OR r.filename IS NULL"
+
+
+@query("WITH z AS (SELECT 1)" + _FILES + f", u AS ({_LONE}) SELECT pairing, filename, row_number() OVER (ORDER BY pairing, filename) AS place FROM u")
+def unmatched_listing(spark, sf_dir):
+    rows = library.unmatched(library_pairing(spark, sf_dir))
+    # The listing's own order, told as a number.
+    return rows.select("pairing", "filename", F.row_number().over(Window.orderBy("pairing", "filename")).cast("long").alias("place"))
+
+
+@query("WITH z AS (SELECT 1)" + _FILES + f", u AS ({_LONE}) SELECT count(*) FILTER (pairing = 'media_without_record') AS media_without_record, count(*) FILTER (pairing = 'record_without_media') AS record_without_media, count(*) FILTER (pairing = 'unsupported_media') AS unsupported_media FROM u")
+def gaps_summary(spark, sf_dir):
+    return report.gaps_summary(library_pairing(spark, sf_dir))
+
+
+@query("WITH z AS (SELECT 1)" + _FILES + " SELECT r.filename, CASE WHEN f.filename IS NULL THEN 'record_without_media' ELSE 'paired' END AS pairing FROM r LEFT JOIN (SELECT * FROM f WHERE NOT hidden AND NOT odd) f ON f.filename = r.filename")
+def library_records(spark, sf_dir):
+    recs = _table(spark, sf_dir, "labels").select(F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, ".png").otherwise(".jpg")).alias("filename")).distinct()
+    return library.records_by_pairing(recs, library_pairing(spark, sf_dir)).select("filename", "pairing")
+
+
+@query("SELECT count(*) AS operations FROM planned", "planned")
+def export_summary(spark, sf_dir):
+    return report.export_summary(export.plan(view(spark, sf_dir, "planned")))
+
+
+@query("SELECT concat('v', lpad((d.doc_id * 3)::VARCHAR, 9, '0')) AS path, e.vec_id IS NOT NULL AS found FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id * 3")
+def embedding_lookup(spark, sf_dir):
+    asked = _table(spark, sf_dir, "documents").select(F.concat(F.lit("v"), F.lpad((F.col("doc_id") * 3).cast("string"), 9, "0")).alias("path"))
+    return similarity.lookup(_vectors(spark, sf_dir), asked).select("path", F.col("embedding").isNotNull().alias("found"))
+
+
+@query()
+def slice_clusters(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return similarity.cluster(v, v.where("label < 8").select("path"), min_cluster_size=5)
+
+
+@query("WITH f AS (SELECT min(ts) AS first FROM events), t AS (SELECT s_suppkey AS trip_id, first + s_suppkey % 300 * INTERVAL 2 HOUR AS starts, first + (s_suppkey % 300 * 2 + s_suppkey % 50) * INTERVAL 1 HOUR AS ends FROM supplier, f) SELECT event_id, trip_id FROM events JOIN t ON ts BETWEEN starts AND ends")
+def trip_events(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    first = e.agg(F.min("ts").alias("first"))
+    k = F.col("s_suppkey")
+    later = lambda h: F.timestamp_add("HOUR", h.cast("int"), F.col("first"))
+    trips = _table(spark, sf_dir, "supplier").join(F.broadcast(first), F.lit(True)).select(k.alias("trip_id"), later(k % 300 * 2).alias("starts"), later(k % 300 * 2 + k % 50).alias("ends"))  # first is one row
+    return heuristics.in_trips(e.select("event_id", "ts"), trips).select("event_id", "trip_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import handlers
 from shutterlake.functions.dates import first_date
+from shutterlake.functions.paths import extension
 from shutterlake.operators import albums, dedupe, geocode, group, library, link, records, report, scan, similarity
 from shutterlake.operators import export as exporting
 from shutterlake.operators import reconcile as reconciling
 from shutterlake.options import EMBEDDINGS, META_DIR, EnrichOptions, ExportOptions, IngestOptions
+from shutterlake.progress import Progress, no_progress
 from shutterlake.sources import contents, listing, sinks
 
 Reader = Callable[[list[str]], dict[str, dict]]
@@ -34,7 +37,7 @@ def ingest_plan(spark: SparkSession, options: IngestOptions, reader: Reader) ->
     if options.skip_dedupe:
         rows = rows.withColumn("hash", F.lit(None).cast("string")).withColumn("status", F.lit("processed")).withColumn("error", F.lit(None).cast("string")).withColumn("result", F.lit("keep"))
     else:
-        rows = dedupe.resolve(rows.join(contents.hash_files(media), "path"), options.prefer)
+        rows = dedupe.assured(dedupe.resolve(rows.join(contents.hash_files(media), "path"), options.prefer))
     rows = rows.withColumn("keep", dedupe.can_keep())
     # Only what is kept is read by the tag tool; the filter stands before its Python stage.
     tags = contents.read_tags(rows.where("keep").select("path"), reader)
@@ -49,16 +52,33 @@ def ingest_plan(spark: SparkSession, options: IngestOptions, reader: Reader) ->
     return manifest.join(own, F.col("media_path") == F.col("m")).drop("m")
 
 
-def ingest(spark: SparkSession, options: IngestOptions, reader: Reader, writer=sinks.exiftool_writer) -> DataFrame:
+def link_counts(spark: SparkSession, options: IngestOptions) -> tuple[DataFrame, DataFrame]:
+    """Links per confidence, and the media and side files that no link has; of an archive all media have none."""
+    files = scan.classify(listing.list_files(spark, options.source))
+    media, side = files.where("bucket = 'media'").select("path"), files.where("bucket = 'sidecar'").select("path")
+    linked = link.link(media, side if options.mode == "takeout" else side.limit(0), options.fuzzy, options.fuzzy_threshold)
+    return report.link_summary(linked), report.side_summary(link.unmatched(media, side, linked))
+
+
+def takeout_hint(spark: SparkSession, source: str) -> str:
+    """What to say to somebody who didn't say what the source is."""
+    takeout = scan.looks_like_takeout(scan.classify(listing.list_files(spark, source)))
+    return "the source has side files; is it a takeout?" if takeout else ""
+
+
+def ingest(spark: SparkSession, options: IngestOptions, reader: Reader, writer=sinks.exiftool_writer, progress: Progress = no_progress) -> DataFrame:
     """Runs an import and returns its manifest with `apply`; a dry run stops before anything is written."""
     manifest = ingest_plan(spark, options, reader)
     if options.dry_run:
         return manifest.withColumn("apply", F.lit(None).cast(sinks.APPLY))
     done = sinks.emit(manifest, options.destination, writer)
     # Copies are made once: what became of them is kept before the report reads it.
-    kept = done.persist()
+    with progress("Copying", 0) as tick:
+        kept = done.persist()
+        tick(kept.count())
     out = manifest.join(kept, "media_path", "left")
-    sinks.write_report(report.report(out, options.source).orderBy("media"), options.destination)
+    with progress("Report", 0):
+        sinks.write_report(report.report(out, options.source), options.destination)
     return out
 
 
@@ -66,7 +86,7 @@ def paired_records(spark: SparkSession, home: str) -> tuple[DataFrame, DataFrame
     """The records of a library that have media, and the pairing of all names."""
     recs = contents.read_records(spark, home)
     pairs = library.pair(listing.list_library(spark, home), recs.select("filename"))
-    return recs.join(pairs.where("pairing = 'paired'").select("filename"), "filename", "left_semi"), pairs
+    return library.records_by_pairing(recs, pairs).where("pairing = 'paired'").drop("pairing"), pairs
 
 
 def check(spark: SparkSession, home: str) -> dict:
@@ -87,8 +107,8 @@ def propose(spark: SparkSession, home: str, filename: str, album: str | None) ->
     return [r.filename for r in members.select("filename").orderBy("filename").collect()]
 
 
-def export(spark: SparkSession, home: str, destination: str, options: ExportOptions = ExportOptions()) -> DataFrame | None:
-    """Validates, plans, then copies; a failure before the copies leaves the destination as it was."""
+def export(spark: SparkSession, home: str, destination: str, options: ExportOptions = ExportOptions()) -> DataFrame:
+    """Validates, plans, then copies; a failure before the copies leaves the destination as it was. Returns the operations."""
     recs, _ = paired_records(spark, home)
     albums.require_groups(recs)
     exporting.validate(recs)
@@ -131,8 +151,7 @@ def embed(spark: SparkSession, home: str, files: DataFrame, embed_images: Embedd
                 if os.path.splitext(name)[1].lower() in handlers.VIDEOS:
                     try:
                         path = os.path.join(home, name)
-                        length = contents.video_duration(path)
-                        found = embed_images(contents.capture_frames(path, [length * (i + 0.5) / n for i in range(n)]))
+                        found = embed_images(contents.video_frames(path, n))
                         if any(isinstance(v, Exception) for v in found):
                             raise next(v for v in found if isinstance(v, Exception))
                         out.append((name, "video", "processed", unit([list(v) for v in found]), None))
@@ -143,16 +162,26 @@ def embed(spark: SparkSession, home: str, files: DataFrame, embed_images: Embedd
     return files.select("filename").mapInPandas(stage, "filename string, kind string, status string, embedding array<float>, error string")
 
 
-def enrich(spark: SparkSession, home: str, places: DataFrame, embed_images: Embedder, options: EnrichOptions = EnrichOptions()) -> DataFrame:
-    """Gives the paired records their places and the library its vectors; everything is computed anew."""
+def enrich(spark: SparkSession, home: str, places: DataFrame, embed_images: Embedder, options: EnrichOptions = EnrichOptions(), progress: Progress = no_progress) -> DataFrame:
+    """Gives the paired records their places and the library its vectors; everything is computed anew.
+
+    A dry run computes the same and writes nothing.
+    """
     recs, _ = paired_records(spark, home)
+    if not recs.where(handlers.is_video(extension(F.col("filename")))).limit(1).isEmpty():
+        contents.require_tools(["ffmpeg", "ffprobe"])
     points = recs.select(F.col("filename").alias("key"), F.col("geo.latitude").alias("lat"), F.col("geo.longitude").alias("lon"))
     found = geocode.nearest(points, places).select(F.col("key").alias("filename"), F.col("location").alias("place"))
     located = recs.join(found, "filename", "left").withColumn("location", F.coalesce("place", "location")).drop("place")
-    sinks.write_records(located.where("location IS NOT NULL").select("filename", records.to_json().alias("json")), home)
-    vectors = embed(spark, home, recs, embed_images, options).persist()
-    good = vectors.where("status = 'processed' AND embedding IS NOT NULL")
-    sinks.write_embeddings(good.select(F.col("filename").alias("path"), "embedding"), os.path.join(home, META_DIR, EMBEDDINGS))
+    if not options.dry_run:
+        with progress("Places", 0):
+            sinks.write_records(located.where("location IS NOT NULL").select("filename", records.to_json().alias("json")), home)
+    with progress("Vectors", 0) as tick:
+        vectors = embed(spark, home, recs, embed_images, options).persist()
+        tick(vectors.count())
+        if not options.dry_run:
+            good = vectors.where("status = 'processed' AND embedding IS NOT NULL")
+            sinks.write_embeddings(good.select(F.col("filename").alias("path"), "embedding"), os.path.join(home, META_DIR, EMBEDDINGS))
     return located.select("filename", "location").join(vectors.select("filename", "kind", F.col("status").alias("embed_status"), "error"), "filename", "left")
 
 
@@ -178,18 +207,57 @@ def caption(recs: DataFrame, describe: Callable[[str], str | None], force: bool
     return recs.join(told, "filename", "left").withColumn("caption", F.coalesce("told", "caption")).drop("told")
 
 
+def caption_file(spark: SparkSession, home: str, filename: str, describe: Callable[[str], str | None], force: bool = False) -> str | None:
+    """The caption of one file, the one it has or a new one, which its record then keeps; None if none could be made."""
+    recs = contents.read_records(spark, home).where(F.col("filename") == filename)
+    before = recs.select("caption").first()
+    if before is None:
+        raise RuntimeError(f"no record of {filename}")
+    if before.caption and not force:
+        return before.caption
+    try:
+        told = describe(filename)
+    except Exception as e:
+        print(f"no caption of {filename}: {e}", file=sys.stderr)
+        return None
+    if not told:
+        print(f"no caption of {filename}: the model gave none", file=sys.stderr)
+        return None
+    sinks.write_records(recs.withColumn("caption", F.lit(told)).select("filename", records.to_json().alias("json")), home)
+    return told
+
+
 def similar(spark: SparkSession, home: str, filename: str, k: int = 20) -> list[dict]:
-    vectors = contents.read_embeddings(spark, os.path.join(home, META_DIR, EMBEDDINGS))
+    vectors = contents.read_embeddings(spark, home)
     return [r.asDict() for r in similarity.similar(vectors, os.path.basename(filename), k).collect()]
 
 
 def cluster(spark: SparkSession, home: str, paths: list[str], min_cluster_size: int = 5) -> dict[str, list[str]]:
-    """Paths per label, in the order and as often as they were given; unknown ones are left out."""
-    vectors = contents.read_embeddings(spark, os.path.join(home, META_DIR, EMBEDDINGS))
+    """Paths per label, in the order and as often as they were given; those without a vector are told and left out."""
+    if min_cluster_size < 2:
+        raise ValueError("a cluster has at least 2 members")
+    if not paths:
+        return {}
+    vectors = contents.read_embeddings(spark, home)
     names = [os.path.basename(p) for p in paths]
-    labels = {r.path: r.label for r in similarity.cluster(vectors, spark.createDataFrame([(n,) for n in names], "path string"), min_cluster_size).collect()}
+    asked = spark.createDataFrame([(n,) for n in sorted(set(names))], "path string")
+    have = similarity.lookup(vectors, asked).where("embedding IS NOT NULL").persist()
+    known = {r.path for r in have.select("path").collect()}
+    for p, n in zip(paths, names, strict=True):
+        if n not in known:
+            print(f"cluster: {p} has no vector", file=sys.stderr)
+    if not known:
+        return {}
+    labels = {r.path: r.label for r in similarity.cluster(have, min_cluster_size=min_cluster_size).collect()}
+    have.unpersist()
     out: dict[str, list[str]] = {}
     for p, n in zip(paths, names, strict=True):
         if n in labels:
             out.setdefault(str(labels[n]), []).append(p)
     return out
+
+
+def cluster_slice(spark: SparkSession, home: str, which: Callable[[DataFrame], DataFrame], min_cluster_size: int = 5) -> DataFrame:
+    """(path, label) of the records that `which` selects, such as those of a region or of a time, and that have vectors."""
+    names = which(contents.read_records(spark, home)).select(F.col("filename").alias("path"))
+    return similarity.cluster(contents.read_embeddings(spark, home), names, min_cluster_size)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import json
 import os
@@ -10,15 +9,19 @@ import shutil
 import subprocess
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions.geo import sidecar_geo
 from shutterlake.operators.records import RECORD_DDL
-from shutterlake.options import META_DIR, RECORD_END
+from shutterlake.options import EMBEDDINGS, EMBEDDINGS_MATRIX, EMBEDDINGS_NAMES, META_DIR, RECORD_END
+from shutterlake.sources.listing import list_files
 
 TAG_BATCH = 512
+# Options of the external tag tool. Without the first two, files of 4 GB and more have no tags.
+EXIFTOOL_OPTIONS = ("-api", "largefilesupport=1")
 _COORDINATES = "struct<latitude:double,longitude:double,altitude:double>"
 SIDECAR_DDL = f"struct<photoTakenTime:struct<timestamp:string>,geoDataExif:{_COORDINATES},geoData:{_COORDINATES},__bad:string>"
 
@@ -58,7 +61,12 @@ def read_texts(files: DataFrame) -> DataFrame:
 
 def read_sidecars(files: DataFrame) -> DataFrame:
     """path and side struct(timestamp, geo, error) of each side file of files(path)."""
-    parsed = read_texts(files).withColumn("j", F.from_json("text", SIDECAR_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    return parse_sidecars(read_texts(files))
+
+
+def parse_sidecars(texts: DataFrame) -> DataFrame:
+    """path and side of texts(path, text, error); a text that is no side file is an error of its row."""
+    parsed = texts.withColumn("j", F.from_json("text", SIDECAR_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
     error = F.coalesce("error", F.when(F.col("j.__bad").isNotNull() | F.col("j").isNull(), F.concat(F.lit("Not a side file: "), "path")))
     side = F.struct(F.col("j.photoTakenTime.timestamp").alias("timestamp"), sidecar_geo(F.col("j.geoDataExif"), F.col("j.geoData")).alias("geo"), error.alias("error"))
     return parsed.select("path", side.alias("side"))
@@ -68,7 +76,7 @@ def exiftool_reader(tags: list[str]) -> Callable[[list[str]], dict[str, dict]]:
     """Tags of a batch of files by the external exiftool; used only where that is installed."""
 
     def read(paths: list[str]) -> dict[str, dict]:
-        run = subprocess.run(["exiftool", "-json", "-n", "-G", "-fast", *(f"-{t}" for t in tags), "-@", "-"], input="\n".join(paths), capture_output=True, text=True, timeout=300)
+        run = subprocess.run(["exiftool", *EXIFTOOL_OPTIONS, "-json", "-n", "-G", "-fast", *(f"-{t}" for t in tags), "-@", "-"], input="\n".join(paths), capture_output=True, text=True, timeout=300)
         if run.returncode not in (0, 1):
             raise RuntimeError(run.stderr)
         return {os.path.normpath(row["SourceFile"]): row for row in json.loads(run.stdout or "[]")}
@@ -92,11 +100,18 @@ def read_tags(files: DataFrame, reader: Callable[[list[str]], dict[str, dict]],
 
 
 def read_records(spark: SparkSession, library: str) -> DataFrame:
-    """filename and fields of each record of a library; missing fields are null."""
+    """filename and fields of each record of a library; missing fields are null. One that can't be read fails the query."""
     folder = os.path.join(library, META_DIR)
-    paths = sorted(glob.glob(os.path.join(glob.escape(folder), "*" + RECORD_END)) + glob.glob(os.path.join(glob.escape(folder), ".*" + RECORD_END)))
-    files = spark.createDataFrame([(p,) for p in paths], "path string")
-    rows = read_texts(files).withColumn("r", F.from_json("text", f"struct<{_fields()}>", {"mode": "FAILFAST"}))
+    if not os.path.isdir(folder):
+        raise RuntimeError(f"{library} has no records")
+    return parse_records(read_texts(list_files(spark, folder, flat=True).where(F.col("path").endswith(RECORD_END))))
+
+
+def parse_records(texts: DataFrame) -> DataFrame:
+    """filename and fields of texts(path, text, error)."""
+    error = lambda why: F.raise_error(F.concat(F.lit("the record "), F.col("path"), F.lit(" can't be read: "), why)).cast("string")
+    text = F.when(F.col("error").isNotNull() | F.col("text").isNull(), error(F.coalesce("error", F.lit("no text")))).otherwise(F.col("text"))
+    rows = texts.select("path", F.from_json(text, f"struct<{_fields()}>", {"mode": "FAILFAST"}).alias("r"))
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), RECORD_END.replace(".", r"\.") + "$", "")
     return rows.select(name.alias("filename"), "r.*")
 
@@ -116,25 +131,41 @@ def _split(ddl: str) -> list[str]:
     return out
 
 
-def read_embeddings(spark: SparkSession, path: str, strict: bool = True) -> DataFrame | None:
-    """The stored vectors, (path, embedding); without any, an error or None."""
-    if not os.path.exists(path):
-        if strict:
-            raise RuntimeError(f"no embeddings at {path}")
-        return None
-    return spark.read.parquet(path)
+def read_embeddings(spark: SparkSession, library: str, strict: bool = True) -> DataFrame | None:
+    """The stored vectors of a library, (path, embedding); without any, an error or None.
+
+    A library may have them as a numpy matrix beside a JSON list of names instead.
+    """
+    path, matrix, names = (os.path.join(library, META_DIR, n) for n in (EMBEDDINGS, EMBEDDINGS_MATRIX, EMBEDDINGS_NAMES))
+    if os.path.exists(path):
+        return spark.read.parquet(path)
+    have = [os.path.exists(p) for p in (matrix, names)]
+    if all(have):
+        return read_matrix(spark, matrix, names)
+    if any(have):
+        raise RuntimeError(f"{library} has only one of {EMBEDDINGS_MATRIX} and {EMBEDDINGS_NAMES}")
+    if strict:
+        raise RuntimeError(f"no embeddings in {library}")
+    return None
+
+
+def read_matrix(spark: SparkSession, matrix: str, names: str, rows_per_task: int = 1 << 16) -> DataFrame:
+    """(path, embedding) of a numpy matrix and a JSON list of as many names; tasks read the matrix by ranges of rows."""
+    rows = len(np.load(matrix, mmap_mode="r"))
+    with open(names, encoding="utf-8") as f:
+        listed = len(json.load(f))
+    if listed != rows:
+        raise RuntimeError(f"{rows} vectors have {listed} names")
 
+    def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = np.load(matrix, mmap_mode="r")
+        with open(names, encoding="utf-8") as f:
+            paths = json.load(f)
+        for f in frames:
+            at = f.id.to_numpy()
+            yield pd.DataFrame({"path": [paths[i] for i in at], "embedding": list(np.asarray(x[at], np.float32))})
 
-def import_npy(spark: SparkSession, matrix: str, names: str) -> DataFrame:
-    """Vectors kept as a numpy matrix beside a JSON list of names."""
-    import numpy as np
-
-    x = np.load(matrix, mmap_mode="r")
-    with open(names) as f:
-        rows = json.load(f)
-    if len(rows) != len(x):
-        raise RuntimeError(f"{len(x)} vectors have {len(rows)} names")
-    return spark.createDataFrame([(n, v.tolist()) for n, v in zip(rows, x, strict=True)], "path string, embedding array<float>")
+    return spark.range(0, rows, 1, max(1, -(-rows // rows_per_task))).mapInPandas(stage, "path string, embedding array<float>")
 
 
 def missing_tools(names: list[str]) -> list[str]:
@@ -142,24 +173,45 @@ def missing_tools(names: list[str]) -> list[str]:
     return [n for n in names if shutil.which(n) is None]
 
 
+def require_tools(names: list[str]) -> None:
+    """Refuses to begin without the external programs that a command needs."""
+    if absent := missing_tools(names):
+        raise RuntimeError(f"not installed: {', '.join(absent)}")
+
+
+# Fixed value: the first bytes of every JPEG.
+JPEG = b"\xff\xd8\xff"
+
+
 def capture_frames(path: str, times: list[float]) -> list[bytes]:
-    """JPEG frames of a video at the given seconds, by the external ffmpeg."""
+    """JPEG frames of a video at the given seconds, by the external ffmpeg.
+
+    The place is sought after decoding has begun: slower, but right where a container's own index misleads.
+    """
     out = []
     for t in times:
-        run = subprocess.run(["ffmpeg", "-v", "error", "-ss", str(t), "-i", path, "-frames:v", "1", "-f", "image2pipe", "-c:v", "mjpeg", "-"], capture_output=True, timeout=60)
-        if run.returncode or not run.stdout.startswith(b"\xff\xd8"):
-            raise RuntimeError(run.stderr.decode(errors="replace") or f"no frame at {t}")
+        run = subprocess.run(["ffmpeg", "-v", "error", "-i", path, "-ss", f"{t:.3f}", "-frames:v", "1", "-f", "image2pipe", "-c:v", "mjpeg", "-"], capture_output=True)
+        if run.returncode or not run.stdout.startswith(JPEG):
+            raise RuntimeError(run.stderr.decode(errors="replace") or f"{path} has no frame at {t:.3f}")
         out.append(run.stdout)
     return out
 
 
+def video_frames(path: str, n: int) -> list[bytes]:
+    """Frames at the middles of n equal parts of a video."""
+    if n < 1:
+        raise ValueError("at least one frame is needed")
+    length = video_duration(path)
+    if length <= 0:
+        raise RuntimeError(f"{path} has no duration")
+    return capture_frames(path, [length * (i + 0.5) / n for i in range(n)])
+
+
 def video_duration(path: str) -> float:
-    run = subprocess.run(["ffprobe", "-v", "error", "-show_entries", "format=duration", "-of", "csv=p=0", path], capture_output=True, text=True, timeout=60)
+    run = subprocess.run(["ffprobe", "-v", "error", "-show_entries", "format=duration", "-of", "csv=p=0", path], capture_output=True, text=True)
     if run.returncode:
         raise RuntimeError(run.stderr)
-    return float(run.stdout)
-
-
-def has_model(installed: list[str], wanted: str) -> bool:
-    """Whether a model is there under its full name or the part before the colon."""
-    return any(wanted in (n, n.split(":", 1)[0]) for n in installed)
+    try:
+        return float(run.stdout)
+    except ValueError:
+        raise RuntimeError(f"{path} has no duration: {run.stdout!r}") from None

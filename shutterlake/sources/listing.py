@@ -6,8 +6,10 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from shutterlake.functions.paths import basename
 from shutterlake.session import ship_package
 
 SCHEMA = "path string, size long, modified timestamp"
@@ -23,10 +25,13 @@ class _Top(InputPartition):
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"]
+        self.flat = options.get("flat", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         if not os.path.isdir(self.root):
             raise NotADirectoryError(self.root)
+        if self.flat:
+            return [_Top(self.root, False)]
         below = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
         return [_Top(self.root, False), *(_Top(p, True) for p in below)]
 
@@ -43,7 +48,7 @@ class ListingReader(DataSourceReader):
 
 
 class Listing(DataSource):
-    """spark.read.format("file_listing").load(root)"""
+    """spark.read.format("file_listing").load(root); with option flat only what lies in the root itself."""
 
     @classmethod
     def name(cls) -> str:
@@ -56,19 +61,18 @@ class Listing(DataSource):
         return ListingReader(self.options)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, size and modified of every file below `root`, one task per top-level folder."""
+def list_files(spark: SparkSession, root: str, flat: bool = False) -> DataFrame:
+    """path, size and modified of every file below `root`, one task per top-level folder; if flat, of those in it."""
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
     ship_package(spark)
     spark.dataSource.register(Listing)
-    return spark.read.format("file_listing").load(root)
+    return spark.read.format("file_listing").option("flat", flat).load(root)
 
 
 def list_library(spark: SparkSession, root: str) -> DataFrame:
     """filename of each file directly in a library."""
-    names = sorted(e.name for e in os.scandir(root) if e.is_file())
-    return spark.createDataFrame([(n,) for n in names], "filename string")
+    return list_files(spark, root, flat=True).select(basename(F.col("path")).alias("filename"))
 
 
 def library_home(path: str, meta_dir: str) -> str:

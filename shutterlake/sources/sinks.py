@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from shutterlake.functions.paths import basename, extension
 from shutterlake.operators.group import file_id
 from shutterlake.options import META_DIR, RECORD_END, REPORT_NAME
+from shutterlake.sources.contents import EXIFTOOL_OPTIONS
 
 APPLY = "struct<status:string,result:string,target_path:string,error:string>"
 
 
 def exiftool_writer(path: str, tags: list[str]) -> None:
     """Writes tags into a file by the external exiftool."""
-    run = subprocess.run(["exiftool", "-overwrite_original", *(f"-{t}" for t in tags), path], capture_output=True, text=True, timeout=60)
+    run = subprocess.run(["exiftool", *EXIFTOOL_OPTIONS, "-overwrite_original", *(f"-{t}" for t in tags), path], capture_output=True, text=True, timeout=60)
     if run.returncode:
         raise RuntimeError(run.stderr)
 
@@ -59,12 +60,19 @@ def emit(manifest: DataFrame, destination: str, writer: Callable[[str, list[str]
 
 
 def write_report(report: DataFrame, destination: str) -> str:
-    """The report as one CSV file with a header; it has a row per file of an import that a person looks through."""
+    """The report, in the order of its media, as one CSV file with a header.
+
+    Tasks write sorted parts, which are then put together piece by piece.
+    """
     folder = os.path.join(destination, META_DIR, REPORT_NAME + ".parts")
-    report.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(folder)
-    part = next(n for n in os.listdir(folder) if n.startswith("part-"))
+    report.orderBy("media").write.mode("overwrite").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(folder)
     target = os.path.join(destination, META_DIR, REPORT_NAME)
-    os.replace(os.path.join(folder, part), target)
+    with open(target + ".part", "wb") as whole:
+        whole.write((",".join(report.columns) + "\n").encode())
+        for name in sorted(n for n in os.listdir(folder) if n.startswith("part-")):
+            with open(os.path.join(folder, name), "rb") as part:
+                shutil.copyfileobj(part, whole)
+    os.replace(target + ".part", target)
     shutil.rmtree(folder)
     return target
 
@@ -92,8 +100,8 @@ def write_records(records: DataFrame, library: str) -> None:
     records.select("filename", "json").mapInPandas(stage, "filename string").count()
 
 
-def export(planned: DataFrame, library: str, destination: str, force: bool, dry_run: bool) -> DataFrame | None:
-    """Copies planned(filename, target) into the destination; a dry run returns the operations and writes nothing."""
+def export(planned: DataFrame, library: str, destination: str, force: bool, dry_run: bool) -> DataFrame:
+    """Copies planned(filename, target) into the destination and returns the operations; a dry run writes nothing."""
     if os.path.isdir(destination) and os.listdir(destination):
         if not force:
             raise RuntimeError(f"{destination} is not empty")
@@ -111,4 +119,4 @@ def export(planned: DataFrame, library: str, destination: str, force: bool, dry_
             yield f[["filename"]]
 
     planned.select("filename", "target").mapInPandas(stage, "filename string").count()
-    return None
+    return planned.select("filename", "target")

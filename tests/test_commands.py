@@ -1,14 +1,17 @@
+import base64
 import json
 import os
 
 import numpy as np
 import pytest
 
-from shutterlake.operators import geocode, records, report, similarity
+from shutterlake import cli
+from shutterlake.operators import albums, dedupe, geocode, records, report, similarity
 from shutterlake.operators.hdbscan import labels
 from shutterlake.options import META_DIR, RECORD_END, ExportOptions, IngestOptions
 from shutterlake.plans import commands
-from shutterlake.sources import contents, listing, sinks
+from shutterlake.progress import job_progress, no_progress
+from shutterlake.sources import captioner, contents, listing, sinks
 
 
 def put(path, data):
@@ -60,7 +63,7 @@ def test_import_and_export(spark, takeout, reader, tmp_path):
     assert rows["Photos/a.jpg"].dedupe.result == "delete" and rows["Photos/a.jpg"].apply is None
     assert rows["Trip/a.jpg"].apply.result == "written" and rows["Photos/_MG_1.JPG"].apply.result == "copied"
     assert rows["Photos/b.avi"].metadata.status == "skipped"
-    assert rows["Trip/a.jpg"].metadata.write_tags[0] == "SubSecDateTimeOriginal=2023:11:14 22:13:20"
+    assert rows["Trip/a.jpg"].metadata.write_tags[0] == "SubSecDateTimeOriginal=2023:11:14 22:13:20+00:00"
     with open(os.path.join(home, META_DIR, "report.csv")) as f:
         lines = f.read().splitlines()
     assert lines[0] == "media,metadata,confidence,status,reason" and len(lines) == 6
@@ -170,3 +173,132 @@ def test_clusters_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 64)
     got = {q.path: q.label for q in similarity.cluster(rows).collect()}
     assert got == whole and len(got) == 300 and len(set(got.values())) > 4
+
+
+def test_an_unreadable_record_fails(spark, tmp_path):
+    home = str(tmp_path / "lib")
+    put(f"{home}/a.jpg", b"x")
+    put(f"{home}/{META_DIR}/a.jpg{RECORD_END}", b"\xff\xfe{}")
+    with pytest.raises(Exception, match="can't be read"):
+        commands.check(spark, home)
+    put(f"{home}/{META_DIR}/a.jpg{RECORD_END}", b"{not json")
+    with pytest.raises(Exception):
+        commands.check(spark, home)
+    with pytest.raises(RuntimeError, match="no records"):
+        commands.check(spark, str(tmp_path))
+
+
+def test_tags_are_read_in_batches(spark):
+    def reader(paths):
+        return {p: {"n": len(paths)} for p in paths}
+
+    files = spark.createDataFrame([(f"/s/{i}",) for i in range(1000)], "path string").coalesce(1)
+    sizes = [int(r.tags["n"]) for r in contents.read_tags(files, reader).collect()]
+    assert sorted(sizes) == [488] * 488 + [512] * 512
+
+
+def test_vectors_kept_as_a_matrix(spark, tmp_path):
+    home = str(tmp_path / "lib")
+    put(f"{home}/{META_DIR}/embeddings.paths.json", ["a", "b", "c"])
+    with pytest.raises(RuntimeError, match="only one of"):
+        contents.read_embeddings(spark, home)
+    np.save(f"{home}/{META_DIR}/embeddings.npy", np.eye(3, dtype=np.float32))
+    got = {r.path: r.embedding for r in contents.read_embeddings(spark, home).collect()}
+    assert got == {"a": [1, 0, 0], "b": [0, 1, 0], "c": [0, 0, 1]}
+    np.save(f"{home}/{META_DIR}/embeddings.npy", np.eye(4, dtype=np.float32))
+    with pytest.raises(RuntimeError, match="4 vectors have 3 names"):
+        contents.read_embeddings(spark, home)
+    assert contents.read_embeddings(spark, str(tmp_path), strict=False) is None
+
+
+def test_command_line(spark, tmp_path, takeout, capsys, monkeypatch):
+    assert cli.main(["import", takeout], spark) == 1
+    assert "is it a takeout?" in capsys.readouterr().err
+    monkeypatch.setattr(contents, "missing_tools", lambda names: list(names))
+    assert cli.main(["import", takeout, str(tmp_path / "x"), "--from-takeout"], spark) == 1
+    assert "not installed: exiftool" in capsys.readouterr().err
+    home = str(tmp_path / "lib")
+    for i, caption in enumerate(("old", None)):
+        put(f"{home}/p{i}.jpg", b"x")
+        put(f"{home}/{META_DIR}/p{i}.jpg{RECORD_END}", {"dates": ["2020-01-01T00:00:00"], "geo": {"latitude": 10.0, "longitude": 10.0, "altitude": None}, "album": None, "group_id": f"g{i}"} | ({"caption": caption} if caption else {}))
+    put(f"{home}/lone.jpg", b"x")
+    assert cli.main(["caption", f"{home}/p0.jpg"], spark) == 0
+    assert capsys.readouterr().out == "old\n"
+    assert cli.main(["caption", f"{home}/p1.jpg", "--server", "http://127.0.0.1:1"], spark) == 1
+    assert "no model server" in capsys.readouterr().err
+    assert commands.caption_file(spark, home, "p1.jpg", lambda n: f"about {n}") == "about p1.jpg"
+    assert commands.caption_file(spark, home, "p1.jpg", lambda n: "new", force=True) == "new"
+    assert commands.caption_file(spark, home, "p1.jpg", lambda n: "", force=True) is None
+    assert {r.filename: r.caption for r in contents.read_records(spark, home).collect()} == {"p0.jpg": "old", "p1.jpg": "new"}
+    with open(tmp_path / "places.csv", "w") as f:
+        f.write("place_id,lat,lon,name,admin1,cc\n1,10.5,10.5,Here,,HH\n")
+    with open(tmp_path / "fake_embedder.py", "w") as f:
+        f.write("def embed(pictures):\n    return [[1.0, 0.0] for _ in pictures]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "fake_embedder.py"))
+    arguments = ["enrich", home, "--places", str(tmp_path / "places.csv"), "--embedder", "fake_embedder:embed"]
+    assert cli.main([*arguments, "--dry-run"], spark) == 0
+    assert contents.read_embeddings(spark, home, strict=False) is None
+    assert cli.main(arguments, spark) == 0
+    told = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert told[2] == {"records": 2, "geocoded": 2, "no_geo": 0, "images": 2, "videos": 0, "failed": 0}
+    assert told[3] == {"media_without_record": 1, "record_without_media": 0, "unsupported_media": 0}
+    assert cli.main(["cluster", f"{home}/p0.jpg", f"{home}/nowhere.jpg", "--min-cluster-size", "2"], spark) == 1
+    assert "nowhere.jpg has no vector" in capsys.readouterr().err
+    assert cli.main(["propose", f"{home}/p0.jpg", "Trip"], spark) == 0
+    assert capsys.readouterr().out == "Trip: 1 files\np0.jpg\n"
+    assert cli.main(["check", home], spark) == 0
+    assert json.loads(capsys.readouterr().out)["ok"]
+    assert cli.main(["export", home, "--to", str(tmp_path / "out"), "--dry-run"], spark) == 0
+    assert capsys.readouterr().out.splitlines()[-1] == '{"operations": 2}'
+
+
+def test_model_names():
+    assert captioner.has_model(["llava:7b", "x"], "llava") and captioner.has_model(["llava:7b"], "llava:7b")
+    assert not captioner.has_model(["llava:7b"], "7b") and not captioner.has_model([], "x")
+
+
+def test_describer_asks_for_scaled_pictures(tmp_path, monkeypatch):
+    put(str(tmp_path / "a.jpg"), b"picture")
+    sent = []
+
+    def request(url, body, timeout):
+        sent.append(body)
+        return {"message": {"content": "  a cat \n"}}
+
+    monkeypatch.setattr(captioner, "_request", request)
+    describe = captioner.describer(str(tmp_path), payload=lambda data, edge, quality: data + b"%d" % edge)
+    assert describe("a.jpg") == "a cat"
+    assert base64.b64decode(sent[0]["messages"][0]["images"][0]) == b"picture768"
+    with pytest.raises(RuntimeError):
+        describe("a.txt")
+
+
+def test_a_group_with_an_undated_member_fails(spark):
+    rows = spark.createDataFrame([("g", 1), ("g", None)], "group_id string, first_date int")
+    with pytest.raises(Exception, match="without a date"):
+        albums.min_dates(rows).collect()
+
+
+def test_a_file_that_was_not_resolved_fails(spark):
+    rows = spark.createDataFrame([(None, "processed", None), (None, "error", None)], "hash string, status string, result string")
+    with pytest.raises(Exception, match="not resolved"):
+        dedupe.assured(rows).collect()
+    assert dedupe.assured(rows.where("status = 'error'")).count() == 1
+
+
+def test_progress_names_the_jobs(spark):
+    with job_progress(spark)("Copying", 3) as tick:
+        assert spark.sparkContext.getLocalProperty("spark.job.description") == "Copying"
+        tick(2)
+        assert spark.sparkContext.getLocalProperty("spark.job.description") == "Copying (2 of 3)"
+    assert spark.sparkContext.getLocalProperty("spark.job.description") is None
+    with no_progress("x", 1) as tick:
+        tick(1)
+
+
+def test_geocode_joins_cells(spark):
+    pts = spark.createDataFrame([(1, 10.0, 10.0)], "key long, lat double, lon double")
+    pls = spark.createDataFrame([(1, 11.0, 10.0, "d", None, "c")], "place_id long, lat double, lon double, name string, admin1 string, cc string")
+    plan = geocode._within(pts.select("key", *geocode._axes("q")), pls.select("place_id", *geocode._axes("p"), "name", "admin1", "cc"), "key", 0.1, True)._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan

@@ -46,10 +46,19 @@ def test_disk_dates(spark, text, iso):
     assert one(spark, text, dates.normalize_disk_date) == iso
 
 
-@pytest.mark.parametrize("text,iso", [("0", "1970-01-01T00:00:00"), ("1700000000", "2023-11-14T22:13:20"), ("-1", "1969-12-31T23:59:59"), ("soon", None), ("1.5", None), (None, None)])
+EXIF = {
+    "0": "1970:01:01 00:00:00+00:00", "1700000000": "2023:11:14 22:13:20+00:00", "-1": "1969:12:31 23:59:59+00:00", "1719935787": "2024:07:02 15:56:27+00:00", "1710899464": "2024:03:20 01:51:04+00:00",
+    "1710994697": "2024:03:21 04:18:17+00:00", "1711192947": "2024:03:23 11:22:27+00:00", "1711016650": "2024:03:21 10:24:10+00:00", "1704675601": "2024:01:08 01:00:01+00:00", "1704067200": "2024:01:01 00:00:00+00:00",
+}
+
+
+@pytest.mark.parametrize("text,iso", [
+    ("0", "1970-01-01T00:00:00"), ("1700000000", "2023-11-14T22:13:20"), ("-1", "1969-12-31T23:59:59"), ("soon", None), ("1.5", None), (None, None), ("1719935787", "2024-07-02T15:56:27"), ("1710899464", "2024-03-20T01:51:04"),
+    ("1710994697", "2024-03-21T04:18:17"), ("1711192947", "2024-03-23T11:22:27"), ("1711016650", "2024-03-21T10:24:10"), ("1704675601", "2024-01-08T01:00:01"), ("1704067200", "2024-01-01T00:00:00"),
+])
 def test_epochs(spark, text, iso):
     assert one(spark, text, dates.epoch_to_iso) == iso
-    assert one(spark, text, dates.epoch_to_exif) == (iso and iso.replace("-", ":").replace("T", " "))
+    assert one(spark, text, dates.epoch_to_exif) == EXIF.get(text)
 
 
 def test_first_date_fails_without_one(spark):
