@@ -21,10 +21,10 @@ from shutterlake.llm.common import partitions_of, read_buckets, shared_dir, writ
 from shutterlake.llm.kernels import groups, text_bytes
 
 CHUNK_BYTES = 4 << 20
+#: Bits of a row's number within its chunk, and of a chunk's number within the task that wrote it.
+ROW_BITS, NUMBER_BITS = 21, 20
 #: Bytes of text whose fingerprints fall into one hash bucket.
 BUCKET_BYTES = 16 << 20
-#: Name, among a chunk's other columns, of the mark of null texts.
-NO_TEXT = "__no_text"
 _CHUNK = "chunk_id long, doc_ids binary, null_ids binary, offsets binary, data binary, others binary"
 
 
@@ -45,11 +45,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += 1
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([(task << 32) + n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, nulls, offsets, data)), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            [pa.array([(task << NUMBER_BITS) + n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, nulls, offsets, data)), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
             names=["chunk_id", "doc_ids", "null_ids", "offsets", "data", "others"],
         )
 
-    size = 0
+    size = rows = 0
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         column = batch.column("doc_id").cast(pa.int64())
@@ -57,14 +57,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = column.fill_null(np.iinfo(np.int64).max).to_numpy()
         for a, b in groups(offsets, CHUNK_BYTES):
             more = int(offsets[b] - offsets[a])
-            if held and size + more > CHUNK_BYTES:
+            if held and (size + more > CHUNK_BYTES or rows + b - a > 1 << ROW_BITS):
                 yield flush()
-                size = 0
+                size = rows = 0
             # Copied, so that the batch itself can go.
-            rest = batch.drop_columns(["text"]).slice(a, b - a).append_column(NO_TEXT, batch.column("text").slice(a, b - a).is_null())
+            rest = batch.drop_columns(["text"]).slice(a, b - a).append_column("no_text", batch.column("text").slice(a, b - a).is_null())
             others.append(rest)
             held.append((ids[a:b].copy(), nulls[a:b].copy(), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]].copy()))
             size += more
+            rows += b - a
     if held:
         yield flush()
 
@@ -85,6 +86,11 @@ def buckets_for(chunks: DataFrame) -> int:
     return max(2 * chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() * CHUNK_BYTES // BUCKET_BYTES))
 
 
+def row_id() -> F.Column:
+    """chunk_id and row as one number."""
+    return F.shiftleft(F.col("chunk_id"), ROW_BITS) + F.col("row")
+
+
 class Chunk:
     """One chunk in memory."""
 
@@ -96,9 +102,10 @@ class Chunk:
         self.data = np.frombuffer(row["data"], np.uint8)
         self._others = row.get("others")
 
-    def others(self) -> pa.Table:
-        """The rows' other columns, doc_id among them, and whether their text is null."""
-        return pa.ipc.open_stream(pa.py_buffer(self._others)).read_all()
+    def others(self) -> tuple[pa.Table, pa.Array]:
+        """The rows' other columns, doc_id among them, and whether their text is null (the last column, whatever its name)."""
+        table = pa.ipc.open_stream(pa.py_buffer(self._others)).read_all()
+        return table.remove_column(table.num_columns - 1), table.column(table.num_columns - 1).combine_chunks()
 
     def texts(self) -> pa.Array:
         """The rows' texts, without regard to nulls."""

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shutterlake.session import ship_package
@@ -62,6 +63,33 @@ def stored(df: DataFrame, name: str, parts: str | None = None) -> DataFrame:
     return out
 
 
+#: A key is hot with more rows than HOT_ROWS and more than 1 / HOT_KEYS of all: fewer than HOT_KEYS keys can be.
+HOT_ROWS, HOT_KEYS = 128, 4096
+
+
+def hot_limit(rows: int) -> int:
+    """Keys with more rows than this, among so many rows, are hot."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, hot: F.Column, salt: list[str]) -> DataFrame:
+    """rows left-joined with facts(key, ...), one row for each key, however many rows a key has.
+
+    `hot` says of a fact whether its key is hot; by hot_limit() these are fewer than HOT_KEYS, and they are sent to the
+    tasks. The rows that met one go through the shuffle of the others by a hash of their `salt` columns, and meet
+    nothing there. Null keys meet nothing.
+    """
+    values = [c for c in facts.columns if c != key]
+    fact = F.struct(*values) if values else F.struct(F.lit(True).alias("known"))
+    sent = facts.where(hot).select(F.col(key).alias("__hot"), fact.alias("__hot_fact"))
+    met = rows.join(F.broadcast(sent), F.col(key) == F.col("__hot"), "left")
+    cold = F.col("__hot").isNull() & F.col(key).isNotNull()
+    met = met.withColumn("__salt", F.when(cold, F.lit(0).cast("long")).otherwise(F.xxhash64(*salt))).withColumn("__key", F.when(cold, F.col(key)))
+    rest = facts.where(~hot).select(F.col(key).alias("__key"), fact.alias("__fact"), F.lit(0).cast("long").alias("__salt"))
+    joined = met.join(rest, ["__key", "__salt"], "left").withColumn("__fact", F.coalesce("__hot_fact", "__fact"))
+    return joined.select(*rows.columns, *[F.col("__fact")[c].alias(c) for c in values])
+
+
 def write_buckets(df: DataFrame, path: str, column: str, buckets: int) -> None:
     """The frame as Parquet files bucketed by a column, for read_buckets(). The catalogue keeps no table of them."""
     name = f"shutterlake_{uuid.uuid4().hex}"

@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.chunks import NO_TEXT, Chunk, bucketed, buckets_for, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import forget, read, release, stored
+from shutterlake.llm.chunks import Chunk, bucketed, buckets_for, row_id, rows_of, store_chunks, with_messages
+from shutterlake.llm.common import forget, hot_limit, read, release, spread_join, stored
 from shutterlake.llm.components import components
 from shutterlake.llm.kernels import SPACED, combined, groups, mix, words
 from shutterlake.llm.substrings import _MASK, _TELL, _unique, shared_masks, unpack_masks
@@ -33,9 +33,9 @@ NGRAM = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Groups of tokens, that is dimensions of the points; points in an R-tree's leaf, children of its other nodes.
 GROUPS, LEAF = 256, 16
-#: Documents that share a token are compared pair by pair up to this number, else by a tree; rounds after which all
-#: pairs left are verified.
-SMALL_TREE, ROUNDS = 24, 3
+#: A tree of this many documents is one leaf, whose members are compared pair by pair; rounds after which all pairs
+#: left are verified.
+SMALL_TREE, ROUNDS = LEAF, 3
 #: Documents of a large tree that ask for their pairs before the last round.
 ASKING = 64
 
@@ -140,7 +140,7 @@ def _tell(buckets: int):
     return tell
 
 
-_DOC = "chunk_id long, row int, doc_id long, n_shingles long, class long, share double, keys binary, point binary, tokens binary"
+_DOC = "chunk_id long, row int, doc_id long, n_shingles long, class binary, share double, keys binary, point binary, tokens binary"
 
 
 def _describe(buckets: int):
@@ -158,8 +158,12 @@ def _describe(buckets: int):
             wanted = (np.bincount(row[shared], minlength=len(size)) >= extra(size)) & (size > 0)
             route = shared & (rank <= (size - least_overlap(size))[row])
             share = np.bincount(row[route], minlength=len(size)) / (size - least_overlap(size) + 1)
-            total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(tokens), dtype=np.uint64))
-            sums = mix(total[bounds[1:]] - total[bounds[:-1]] + mix(size.astype(np.uint64)))
+            # Equal sets have equal sums of two mixes of their tokens, 128 bits together; other sets don't.
+            sums = []
+            for salt in (np.uint64(0), np.uint64(0x9E3779B97F4A7C15)):
+                total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ salt), dtype=np.uint64))
+                sums.append(mix(total[bounds[1:]] - total[bounds[:-1]] + mix(size.astype(np.uint64) ^ salt)))
+            sums = np.column_stack(sums)
             blobs = [
                 (tokens[a:b][route[a:b]].tobytes(), np.bincount((tokens[a:b] & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(_fitting(b - a)).tobytes(), tokens[a:b].tobytes()) if w else (None, None, None)
                 for a, b, w in zip(bounds, bounds[1:], wanted, strict=False)
@@ -172,7 +176,7 @@ def _describe(buckets: int):
                         pa.array(np.arange(a, a + len(size[part])), pa.int32()),
                         c.ids()[part],
                         pa.array(size[part], pa.int64()),
-                        pa.array(sums[part].view(np.int64), pa.int64(), mask=size[part] == 0),
+                        pa.array([x.tobytes() if n else None for x, n in zip(sums[part], size[part], strict=True)], pa.binary()),
                         pa.array(share[part], pa.float64()),
                         *(pa.array([x[k] for x in blobs[part]], pa.binary()) for k in range(3)),
                     ],
@@ -379,7 +383,10 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
     component_id is the smallest doc_id that a row reaches by links of similarity NUMERATOR / DENOMINATOR or more, its
     own included; `first` marks one row of each component (the first with that doc_id). Null texts and those without
     words have no shingles, are linked with nothing and each the first of their own. A null doc_id counts as larger
-    than all others; a component of such rows has a null component_id. Rows that share a doc_id are rows of their own.
+    than all others; a component of such rows has a null component_id. Rows that share a doc_id are rows of their own; of
+    rows equal in every way the first by chunk and place is the first. A text of any length counts whole. An empty
+    table gives no rows; other columns of docs, whatever their names, stay with the chunks. Equal sets are recognised
+    by 128 bits, words by 64.
     Without keep_chunks the chunks are deleted as soon as nothing needs them, and only the rows are of use.
     """
     chunks = store_chunks(docs, name)
@@ -393,13 +400,14 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
     release(docs.sparkSession)
     # One row stands for each class; its binaries stay where they are until a pair asks for them.
     wanted = known.where(F.col("tokens").isNotNull())
-    chosen = wanted.groupBy("class").agg(F.min(F.struct("chunk_id", "row")).alias("at")).select("class", "at.chunk_id", "at.row")
+    chosen = wanted.groupBy("class").agg(F.min(F.struct("chunk_id", "row")).alias("at")).select("at.chunk_id", "at.row")
     light = wanted.select("chunk_id", "row", "n_shingles", "share", "keys", "point").join(chosen, ["chunk_id", "row"])
-    classes = stored(light.select("class", "chunk_id", "row", "n_shingles", "share", "keys", "point"), f"{name}-classes")
+    classes = stored(light.select(row_id().alias("class"), "chunk_id", "row", "n_shingles", "share", "keys", "point"), f"{name}-classes")
     # A class's point goes to every bucket that one of its keys falls into: as few buckets as their size allows.
     n_keys = (classes.agg(F.sum(F.octet_length("keys")).alias("n")).first().n or 0) // 8
     routes = max(LEAST_BUCKETS, -(-int(n_keys) // BUCKET_KEYS))
     labels = tested = None
+    left_over: list[DataFrame] = []
     for turn in range(ROUNDS):
         members = classes.select("class", "n_shingles", "share", "keys", "point")
         if labels is None:
@@ -411,6 +419,7 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         fresh = stored(fresh, f"{name}-tests")
+        left_over.append(fresh)
         tested = fresh if tested is None else tested.union(fresh)
         more = pairs.where("more").limit(1).count() > 0
         forget(pairs)
@@ -427,20 +436,30 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
         full = left.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a")
         new = stored(full.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, overlap long").select("a", "b"), f"{name}-links")
         release(docs.sparkSession)
+        forget(needed)
+        left_over.append(new)
         if new.limit(1).count():
             # What is connected already stands for itself by one link per document.
             labels = components(new if labels is None else new.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+            left_over.append(labels)
         if not more:
             break
-    rows = known.select("chunk_id", "row", "doc_id", "n_shingles", "class")
+    # From rows to classes, from classes to components and back, each by counts first: no class and no component, however
+    # large, is gathered.
+    own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key"), "chunk_id", "row", "doc_id")
+    rows = known.select("chunk_id", "row", "doc_id", "n_shingles", "class").withColumn("own", own)
+    limit = hot_limit(known.count())
+    per_class = rows.where("class is not null").groupBy("class").agg(F.min("own").alias("own"), F.min(F.struct("chunk_id", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
+    per_class = per_class.select("class", "own", "n", "at.chunk_id", "at.row").withColumn("group", row_id()).drop("chunk_id", "row")
     if labels is not None:
-        rows = rows.join(labels, rows["class"] == labels.node, "left").withColumn("group", F.coalesce("label", "class")).drop("node", "label")
-    else:
-        rows = rows.withColumn("group", F.col("class"))
-    rows = rows.withColumn("own", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key"), "chunk_id", "row", "doc_id"))
-    least = rows.where("group is not null").groupBy("group").agg(F.min("own").alias("least"))
-    rows = rows.join(least, "group", "left").withColumn("least", F.coalesce("least", "own"))
-    return chunks, rows.select("chunk_id", "row", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("least") == F.col("own")).alias("first"))
+        per_class = per_class.join(labels, per_class["group"] == labels.node, "left").withColumn("group", F.coalesce("label", "group")).drop("node", "label")
+    per_group = per_class.groupBy("group").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("m"))
+    facts = stored(spread_join(per_class.select("class", "n", "group"), per_group, "group", F.col("m") > limit, ["class"]).select("class", "n", "least"), f"{name}-facts")
+    found = spread_join(rows, facts, "class", F.col("n") > limit, ["chunk_id", "row"]).withColumn("least", F.coalesce("least", "own"))
+    out = stored(found.select("chunk_id", "row", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("least") == F.col("own")).alias("first")), f"{name}-rows")
+    for table in (known, classes, facts, *left_over):
+        forget(table)
+    return chunks, out
 
 
 def _firsts(names: list[str]):
@@ -448,8 +467,8 @@ def _firsts(names: list[str]):
         for line in rows_of(batches):
             c = Chunk(line)
             keep = pa.array(sorted(m["row"] for m in line["messages"]), pa.int32())
-            table = c.others()
-            text = pc.if_else(table.column(NO_TEXT).combine_chunks(), pa.scalar(None, pa.large_string()), c.texts()).cast(pa.string())
+            table, no_text = c.others()
+            text = pc.if_else(no_text, pa.scalar(None, pa.large_string()), c.texts()).cast(pa.string())
             table = table.append_column("text", text).take(keep).select(names)
             yield from table.combine_chunks().to_batches(max_chunksize=512)
 
@@ -460,7 +479,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component, with all their columns; see similar()."""
     chunks, rows = similar(docs, "one_of_each")
     kept = with_messages(chunks, rows.where("first").select("chunk_id", "row"), keep_all=False)
-    return kept.mapInArrow(_firsts(docs.columns), docs.schema)
+    out = stored(kept.mapInArrow(_firsts(docs.columns), docs.schema), "one-of-each")
+    forget(chunks)
+    forget(rows)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

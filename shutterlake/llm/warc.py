@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import forget, partitions_of, read, read_buckets, remove, shared_dir, stored, write_buckets
+from shutterlake.llm.common import forget, hot_limit, partitions_of, read, read_buckets, remove, shared_dir, spread_join, stored, write_buckets
 
 # Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -29,8 +29,6 @@ RECORD_ID = "urn:x-page:"
 
 #: Payload digests that one task remembers, so that it sends each payload once; with more it forgets and may send some again.
 REMEMBERED = 1 << 18
-#: A digest is hot with more rows than this and more than 1 / HOT_KEYS of all: fewer than HOT_KEYS can be.
-HOT_ROWS, HOT_KEYS = 128, 4096
 
 _BLOB = "sha256 binary, blob binary"
 _RESPONSE = "page_id long, sha256 binary, header binary"
@@ -84,13 +82,8 @@ def write_archive(pages: DataFrame, root: str, warc_date: str = "2024-01-01T00:0
         "warc-digests",
     )
     newest = digests.groupBy("sha256").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-    # The copies of a hot payload meet its response by a broadcast of fewer than HOT_KEYS rows; their own key, which
-    # matches none, spreads them over the join of the rest.
-    hot = newest.where(F.col("n") > max(HOT_ROWS, digests.count() // HOT_KEYS)).select(F.col("sha256").alias("hot_key"), F.col("response_id").alias("hot_id"))
-    met = digests.join(F.broadcast(hot), F.col("sha256") == F.col("hot_key"), "left")
-    met = met.withColumn("key", F.when(F.col("hot_key").isNull(), F.col("sha256")).otherwise(F.encode(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "UTF-8")))
-    rest = newest.select(F.col("sha256").alias("key"), F.col("response_id").alias("rest_id"))
-    typed = met.join(rest, "key", "left").withColumn("response_id", F.when(F.col("hot_key").isNull(), F.col("rest_id")).otherwise(F.col("hot_id")))
+    # A hot payload's copies don't meet in one task.
+    typed = spread_join(digests, newest, "sha256", F.col("n") > hot_limit(digests.count()), ["page_id"])
     revisit = (F.col("payload_bytes") >= revisit_min_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     name = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))

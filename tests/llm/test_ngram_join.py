@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from shutterlake.llm import ngram_join
+from shutterlake.llm import common, ngram_join
 
 
 def shingles(text):
@@ -63,9 +64,56 @@ def test_equals_brute_force(spark, seed, small):
     assert sum(r.first for r in got) == n
 
 
+@pytest.mark.parametrize("classes", [0, 200_000])
+def test_both_sides_of_the_switches(spark, monkeypatch, classes):
+    # Hot classes and hot components by a broadcast, the rest by a shuffle; sets fetched by a shuffle or a broadcast.
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "BROADCAST_CLASSES", classes)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(40, 90):
+        w = list(base)
+        w[r.randrange(60)] = f"x{i % 30}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, f"alone {i} " + " ".join(f"y{i}_{k}" for k in range(9))) for i in range(90, 110)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, _ = brute(rows)
+    got = ngram_join.similar(docs)[1].collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+
+
+def test_text_longer_than_a_chunk(spark):
+    r = random.Random(9)
+    word = [f"w{r.randrange(10**9)}" for _ in range(450_000)]
+    near, far = list(word), list(word)
+    near[1000:1200] = [f"n{k}" for k in range(200)]
+    far[: len(far) // 3] = [f"f{k}" for k in range(len(far) // 3)]
+    rows = [(1, " ".join(word)), (2, " ".join(near)), (3, " ".join(far)), (4, word[5])]
+    assert len(rows[0][1]) > 4 << 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(docs)[1].collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[1][0] == 449_996 and got[4][0] == 1
+
+
+def test_more_askers_than_a_turn_takes():
+    r = np.random.default_rng(2)
+    n = 3 * ngram_join.ASKING
+    points = np.repeat(r.poisson(3, (1, ngram_join.GROUPS)), n, axis=0).astype(np.int32)
+    sizes, labels, shares, ranks = points.sum(axis=1).astype(np.int64), np.arange(n), np.ones(n), np.arange(n)
+    a, b, more = ngram_join.tree_pairs(points, sizes, labels, shares, ranks, 1)
+    assert more and len(set(a) | set(b)) == n
+    a, b, more = ngram_join.tree_pairs(points, sizes, labels, shares, ranks, ngram_join.ROUNDS - 1)
+    assert not more and len({(x, y) for x, y in zip(a, b)}) >= n * (n - 1) // 2 - (n - 1)
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = [(2, "a b c d e f g", "x"), (1, "A b c d e f g", "y"), (1, "a b c d e f g", "z"), (3, None, "n"), (4, "", "e"), (None, "q", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumn("no_text", F.lit(True)).withColumn("__no_text", F.lit(1)).withColumn("label", F.lit("l"))
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and all(r["no_text"] and r["__no_text"] == 1 and r["label"] == "l" for r in kept.collect())
+    docs = docs.select("doc_id", "text", "component_id")
     got = sorted((tuple(r) for r in ngram_join.one_of_each(docs).collect()), key=repr)
     assert len(got) == 4 and got[1:] == sorted([(3, None, "n"), (4, "", "e"), (None, "q", None)], key=repr) and got[0][0] == 1
     assert ngram_join.one_of_each(docs.limit(0)).collect() == []

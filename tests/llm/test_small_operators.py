@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.llm import components, decontaminate, language, pseudonyms, topk, toxicity, warc
+from shutterlake.llm import common, components, decontaminate, language, pseudonyms, topk, toxicity, warc
 from shutterlake.llm.kernels import LETTERS, SPACED, words
 
 KEY = b"test key"
@@ -90,7 +90,7 @@ def test_warc_limits(spark, tmp_path):
 
 
 def test_warc_payload_that_most_rows_share(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
     rows = [(i, "u", "same" if i % 3 else f"own {i // 6}") for i in range(60)] + [(None, "u", "same"), (200, "u", "x" * 5_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
     warc.write_archive(pages, str(tmp_path / "a"))
@@ -355,7 +355,9 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 # --- components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [3, 128])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     r = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(0, k) for k in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)] + [(7, 7)]
     got = {x.node: x.label for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
