@@ -10,48 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm import decontaminate, language, ngram_join, packing, pseudonyms
-from shutterlake.llm.common import prepare, read, stored
+from shutterlake.llm.common import forget, prepare, read, stored
 
-#: Below this score the language of a document counts as unknown: its two best codewords are about equally near.
-REJECT_BELOW = 0.002
+#: Setting of the session that holds the secret key of the pseudonyms. Without it they are made with the key that the
+#: library publishes for demonstrations, which anybody can invert.
+KEY_SETTING = "spark.shutterlake.pseudonymKey"
 
 #: Packing and the language model have no SQL form.
 ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: not those without a letter, nor those between two languages.
+    """Documents whose language can be told: not those without a letter, nor those that the operator flags as ambiguous.
 
-    Learned from the stage's own documents that aren't held out, as the query of this operator does.
+    Null and empty texts go; texts of any length are read whole; repeated rows stay or go together; without rows, or
+    without any to learn from, none stay. Learned from the stage's own documents that aren't held out, as the query of this operator does.
     """
     prepare(spark)
     model = language.train(docs, ~language.held_out("doc_id", 3, 1))
-    told = language.identify(docs, model, ambiguous_below=REJECT_BELOW)
+    told = language.identify(docs, model)
     return told.where((F.col("lang_pred") != language.UNDETERMINED) & ~F.col("ambiguous")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies: the least doc_id, null last, of rows that share it the first stored.
+
+    Texts without words are no copies of each other and all stay; texts of any length are compared whole.
+    """
     prepare(spark)
     return ngram_join.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no item of the benchmark."""
+    """Documents that overlap no item of the benchmark; null and empty texts overlap nothing, repeated rows go together."""
     return decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with pseudonyms for personal data; n_chars follows the text."""
+    """The documents with pseudonyms for personal data; n_chars follows the text. Null and empty texts stay as they are."""
     prepare(spark)
-    out = pseudonyms.pseudonymised(docs, pseudonyms.DEMONSTRATION_KEY)
+    secret = spark.conf.get(KEY_SETTING, None)
+    out = pseudonyms.pseudonymised(docs, secret.encode() if secret else pseudonyms.DEMONSTRATION_KEY)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of the documents' pieces in sequences."""
+    """The places of the documents' pieces in sequences; a null or empty text is one piece of one token."""
     prepare(spark)
     return packing.pack_documents(docs)
 
@@ -66,8 +72,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; each stage's rows are deleted once the next one's are written."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        forget(before)
     return docs
