@@ -8,6 +8,7 @@ becomes a local cosine threshold. Where that is high, the query's largest coordi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shutterlake.llm.common import read, stored
+from shutterlake.llm.common import forget, read, stored
 
 #: Rows of the bounded set of long vectors that gives each query its first lower bound.
 SEED_ROWS = 2048
-#: Queries in one block, and the most vectors in one chunk.
-BLOCK_QUERIES, CHUNK_ROWS = 1024, 8192
+#: Queries in one block; bytes of a chunk's vectors at 16 bits a component, and the most and least of them.
+BLOCK_QUERIES, CHUNK_BYTES, CHUNK_ROWS = 1024, 4 << 20, (256, 1 << 16)
 #: Local cosine thresholds from here on use a coordinate, below it the length.
 COORDINATE_FROM = 0.5
 
 _VECTOR = "vec_id long, dim int, norm double, v binary"
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type of 16 to 64 bits."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def _quantised(scale: float):
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,35 +43,63 @@ def _quantised(scale: float):
                     continue
                 x = np.asarray(x.values, dtype=np.float64)
                 if np.isfinite(x).all():
+                    x = np.floor(x * scale)
+                    if (np.abs(x) >= 2.0**63).any():
+                        raise ValueError(f"a component of vector {vec_id} is beyond 64 bits")
                     ids.append(vec_id)
-                    rows.append(np.floor(x * scale).astype(np.int64))
+                    rows.append(x.astype(np.int64))
             norms = [float(np.sqrt((r.astype(np.float64) ** 2).sum())) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, rows), pa.int32()), pa.array(norms, pa.float64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["vec_id", "dim", "norm", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, rows), pa.int32()), pa.array(norms, pa.float64()), pa.array([_narrow(r).tobytes() for r in rows], pa.binary())], names=["vec_id", "dim", "norm", "v"])
 
     return vectors
 
 
-def _matrix(blob: bytes, dim: int, rows: int) -> np.ndarray:
-    return np.frombuffer(blob, np.int64).reshape(rows, dim)
+def _matrix(blob, dim: int, rows: int) -> np.ndarray:
+    """Vectors of one type, which shows in their size, one after another."""
+    return np.frombuffer(blob, f"<i{len(blob) // (rows * dim)}").reshape(rows, dim) if rows and dim else np.zeros((rows, dim), np.int16)
+
+
+def _stacked(blobs: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of any types as one matrix of the widest."""
+    if len({len(b) for b in blobs}) == 1:
+        return _matrix(b"".join(blobs), dim, len(blobs))
+    return np.stack([_matrix(b, dim, 1)[0].astype(np.int64) for b in blobs])
+
+
+def _float(x: np.ndarray) -> np.ndarray:
+    """As float64 where that holds every component exactly."""
+    y = x.astype(np.float64)
+    return y if not y.size or np.abs(y).max() < 2.0**53 else x
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact integer products: in float64 where every sum stays below 2**53, else in Python's integers."""
     if not q.size or not v.size:
         return np.zeros((len(q), len(v)), np.int64)
-    if float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < 2.0**53:
-        return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    return (q.astype(object) @ v.T.astype(object)).astype(np.int64)
+    a, b = q.astype(np.float64, copy=False), v.astype(np.float64, copy=False)
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * q.shape[1] < 2.0**53:
+        return a @ b.T
+    return (q.astype(np.int64).astype(object) @ v.astype(np.int64).T.astype(object)).astype(np.int64)
+
+
+_PACKED = "{0} int, {1} int, dim int, ids binary, norms binary, vs binary"
+
+
+def _pack(rows: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """One row per group: its vectors, longest first, as binaries (groups are bounded by how they were dealt)."""
 
+    def pack(table: pa.Table) -> pa.Table:
+        norms, ids, dim = table.column("norm").to_numpy(), table.column("vec_id").to_numpy(), table.column("dim")[0].as_py()
+        blobs = [x.as_buffer().to_pybytes() for x in table.column("v")]
+        order = np.array(sorted(range(len(ids)), key=lambda k: (-norms[k], ids[k], blobs[k])))
+        v = _narrow(_stacked([blobs[k] for k in order], dim))
+        values = [pa.array([x.tobytes()], pa.binary()) for x in (ids[order].astype("<i8"), norms[order].astype("<f8"), v)]
+        return pa.table([*(table.column(c).slice(0, 1) for c in (*keys, "dim")), *values], names=[*keys, "dim", "ids", "norms", "vs"])
 
-def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: its vectors, longest first, as one binary (groups are bounded by how they were dealt)."""
-    group = rows.groupBy(*keys, "dim").agg(F.sort_array(F.collect_list(F.struct((-F.col("norm")).alias("minus"), "vec_id", "v")), asc=True).alias("g"))
-    return group.select(*keys, "dim", F.col("g.vec_id").alias("ids"), F.transform("g.minus", lambda x: -x).alias("norms"), F.col("g.v").alias("vs"))
+    return rows.select(*keys, "dim", "vec_id", "norm", "v").groupBy(*keys, "dim").applyInArrow(pack, _PACKED.format(*keys))
 
 
-_BLOCK = "block int, dim int, ids array<long>, norms array<double>, vs array<binary>, bound array<double>"
-_ARROW_BLOCK = pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("norms", pa.list_(pa.float64())), ("vs", pa.list_(pa.binary())), ("bound", pa.list_(pa.float64()))])
+_BLOCK = "part int, block int, dim int, ids binary, norms binary, vs binary, bound binary, need double"
 
 
 def _seeded(seed: dict, k: int):
@@ -72,17 +107,21 @@ def _seeded(seed: dict, k: int):
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, needs = [], []
             for row in batch.to_pylist():
-                bound = np.full(len(row["ids"]), -np.inf)
+                ids, norms = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["norms"], "<f8")
+                bound = np.full(len(ids), -np.inf)
                 if row["dim"] in seed:
-                    ids, v = seed[row["dim"]]
-                    s = _products(_matrix(b"".join(row["vs"]), row["dim"], len(row["ids"])), v).astype(np.float64)
-                    s[np.asarray(row["ids"])[:, None] == ids[None, :]] = -np.inf
+                    seed_ids, v = seed[row["dim"]]
+                    s = _products(_matrix(row["vs"], row["dim"], len(ids)), v).astype(np.float64)
+                    s[ids[:, None] == seed_ids[None, :]] = -np.inf
                     if s.shape[1] >= k:
                         bound = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                out.append(row | {"bound": bound.tolist()})
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW_BLOCK)
+                out.append(bound.astype("<f8").tobytes())
+                # The least length that any of its queries asks of a vector.
+                needs.append(float(np.where((bound > 0) & (norms > 0), bound / np.maximum(norms, 1e-300), 0.0).min()))
+            names = [x.split()[0] for x in _BLOCK.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:6]), pa.array(out, pa.binary()), pa.array(needs, pa.float64())], names=names)
 
     return bounds
 
@@ -91,19 +130,31 @@ _HIT = "query_id long, vec_id long, score long"
 
 
 def _probe(k: int):
+    """Rows sorted by chunk, each chunk before its query blocks: the chunk stays while they pass one by one."""
+
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = held = unit = None
         for batch in batches:
-            for row in batch.to_pylist():
-                dim, qids, ids = row["dim"], np.asarray(row["q_ids"]), np.asarray(row["ids"])
-                q, v = _matrix(b"".join(row["q_vs"]), dim, len(qids)), _matrix(b"".join(row["vs"]), dim, len(ids))
-                found = _search(q, np.asarray(row["q_norms"]), np.asarray(row["bound"]), qids, v, np.asarray(row["norms"]), ids, k)
+            for i in range(len(batch)):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                here = tuple(row[n].as_py() for n in ("bucket", "chunk", "dim"))
+                ids, norms = (np.frombuffer(row[n].as_buffer(), t) for n, t in (("ids", "<i8"), ("norms", "<f8")))
+                v = _matrix(row["vs"].as_buffer(), here[2], len(ids))
+                if row["block"].as_py() < 0:
+                    v = _float(v)
+                    key, held, unit = here, (v, norms, ids), cache(lambda v=v, norms=norms: v / np.maximum(norms, 1e-300)[:, None])
+                    continue
+                if key != here:
+                    raise ValueError("a query block came without its chunk")
+                found = _search(v, norms, np.frombuffer(row["bound"].as_buffer(), "<f8"), ids, *held, k, unit)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
     return hits
 
 
-def _search(q, q_norm, bound, q_ids, v, v_norm, ids, k):
-    """The k best of one chunk for each query that they can matter to; v is ordered by falling norm."""
+def _search(q, q_norm, bound, q_ids, v, v_norm, ids, k, unit=None):
+    """The k best of one chunk for each query that they can matter to; v is ordered by falling norm, unit() of length 1."""
+    unit = unit or cache(lambda: v / np.maximum(v_norm, 1e-300)[:, None])
     longest = v_norm[0] if len(v_norm) else 0.0
     reach = q_norm * longest
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -112,14 +163,13 @@ def _search(q, q_norm, bound, q_ids, v, v_norm, ids, k):
     live = np.flatnonzero(local <= 1 + 1e-9)
     keep = np.searchsorted(-v_norm, -(shortest * (1 - 1e-9)), side="right")  # length pruning: a prefix
     whole, picked = [], []
-    unit = v / np.maximum(v_norm, 1e-300)[:, None] if len(live) and (local[live] >= COORDINATE_FROM).any() else None
     for i in live:
         if local[i] >= COORDINATE_FROM and q_norm[i] > 0:
-            f = int(np.abs(q[i]).argmax())
+            f = int(np.abs(q[i].astype(np.float64)).argmax())
             c, t = q[i, f] / q_norm[i], min(1.0, float(local[i]))
             spread = np.sqrt(max(0.0, (1 - c * c) * (1 - t * t))) + 1e-9
             low, high = -1.0 if -c > t else c * t - spread, 1.0 if c > t else c * t + spread
-            x = unit[: keep[i], f]
+            x = unit()[: keep[i], f]
             rows = np.flatnonzero((x >= low) & (x <= high))
             if len(rows) * 4 < len(v):
                 picked.append((i, rows))
@@ -136,7 +186,7 @@ def _search(q, q_norm, bound, q_ids, v, v_norm, ids, k):
         order = np.lexsort((ids[rows], -scores))[:k]
         out[0].extend([q_ids[i]] * len(order))
         out[1].extend(ids[rows[order]])
-        out[2].extend(scores[order])
+        out[2].extend(scores[order].astype(np.int64))
 
     for i, rows in picked:
         best(i, rows, _products(q[i : i + 1], v[rows])[0])
@@ -154,40 +204,55 @@ def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: float
     Components become floor(scale * x). Rows whose vec_id or vector is null, or whose vector holds a null or
     non-finite component, take no part; vectors of another dimension than the query's don't match it. Ties go to the
     smaller vec_id. A row that repeats another's vec_id is a candidate of its own, but a query's own vec_id never is;
-    repeated query rows count once, by their first vector in byte order. A score beyond 64 bits raises. Fewer candidates than k give fewer rows. An
-    empty table gives none. Extra columns are ignored. Returns query_id, rank, vec_id, score.
+    repeated query rows count once, by their first vector in byte order. A component or score beyond 64 bits raises.
+    Fewer candidates than k give fewer rows. An empty table gives none. Extra columns are ignored. Returns query_id, rank, vec_id, score.
     """
     spark = vectors.sparkSession
     rows = stored(vectors.select("vec_id", "embedding").mapInArrow(_quantised(scale), _VECTOR), "vectors")
     n = rows.count()
-    per_chunk = min(CHUNK_ROWS, max(256, -(-n // (4 * spark.sparkContext.defaultParallelism))))
     seed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    long_rows = rows.orderBy(F.desc("norm"), "vec_id").limit(seed_rows).collect()  # bounded by seed_rows
+    long_rows = rows.orderBy(F.desc("norm"), "vec_id", "v").limit(seed_rows).collect()  # bounded by seed_rows
     for dim in {r.dim for r in long_rows}:
         own = [r for r in long_rows if r.dim == dim]
-        seed[dim] = np.array([r.vec_id for r in own]), _matrix(b"".join(r.v for r in own), dim, len(own))
-    # Buckets of like length: at most 256 bounds from quantiles; chunks within a bucket deal a crowded length out evenly.
-    cuts = sorted(set(rows.approxQuantile("norm", [i / 64 for i in range(1, 64)], 0.005))) if n > per_chunk else []
+        seed[dim] = np.array([r.vec_id for r in own]), _stacked([bytes(r.v) for r in own], dim)
+    # Buckets of like length: 64 at most, by quantiles; chunks within a bucket deal a crowded length out evenly.
+    cuts = sorted(set(rows.approxQuantile("norm", [i / 64 for i in range(1, 64)], 0.005))) if n > CHUNK_ROWS[0] else []
     bucket = sum((F.when(F.col("norm") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     sized = rows.withColumn("bucket", bucket)
-    counts = {r.bucket: r["count"] for r in sized.groupBy("bucket").count().collect()}
-    chunks = F.create_map(*[F.lit(x) for b, c in counts.items() for x in (b, -(-c // per_chunk))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    dealt = sized.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.element_at(chunks, F.col("bucket"))).cast("int"))
-    packed = _pack(dealt, ["bucket", "chunk"])
+    even = -(-n // (4 * spark.sparkContext.defaultParallelism))
+    rows_of = lambda dim: min(max(CHUNK_ROWS[0], min(CHUNK_BYTES // (2 * max(1, dim)), even)), CHUNK_ROWS[1])
+    counts = sized.groupBy("bucket", "dim").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per length bucket and dimension
+    chunks = F.create_map(*[x for r in counts for x in (F.struct(F.lit(r.bucket).alias("bucket"), F.lit(r.dim).alias("dim")), F.lit(-(-r.n // rows_of(r.dim))))])
+    dealt = sized.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.element_at(chunks, F.struct("bucket", "dim"))).cast("int") if counts else F.lit(0))
+    packed = stored(_with_reach(_pack(dealt, ("bucket", "chunk"))), "chunks")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("s")).select("vec_id", "s.*")
-    n_asked = asked.count()
-    blocks = max(1, -(-n_asked // BLOCK_QUERIES))
-    asked = _pack(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), ["block"])
-    asked = asked.mapInArrow(_seeded(seed, k), _BLOCK)
-    # Which block meets which chunk is decided on their lengths and bounds alone; then the vectors travel.
-    asked = stored(asked.withColumn("need", F.array_min(F.zip_with("bound", "norms", lambda b, m: F.when((b > 0) & (m > 0), b / m).otherwise(F.lit(0.0))))), "queries")
-    packed = stored(packed.withColumn("reach", F.element_at("norms", 1)), "chunks")
-    meets = packed.select("bucket", "chunk", "dim", "reach").join(asked.select("block", "dim", "need"), "dim").where(F.col("reach") >= F.col("need") * (1 - 1e-9))
-    q = asked.select("block", "dim", F.col("ids").alias("q_ids"), F.col("norms").alias("q_norms"), F.col("vs").alias("q_vs"), "bound")
-    pairs = meets.select("bucket", "chunk", "dim", "block").join(q, ["block", "dim"]).join(packed.drop("reach"), ["bucket", "chunk", "dim"])
-    hits = pairs.mapInArrow(_probe(k), _HIT)
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    asked = _pack(asked.withColumn("part", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), ("part", "block"))
+    asked = stored(asked.mapInArrow(_seeded(seed, k), _BLOCK), "queries")
+    # Which block meets which chunk is decided on lengths and bounds alone; of a block these are a few bytes for
+    # BLOCK_QUERIES queries, which are sent to the tasks. Then each chunk travels once, and blocks to the chunks they meet.
+    meets = packed.select("bucket", "chunk", "dim", "reach").join(F.broadcast(asked.select("block", "dim", "need")), "dim").where(F.col("reach") >= F.col("need") * (1 - 1e-9))
+    sent = meets.select("bucket", "chunk", "dim", "block").join(asked.drop("part", "need"), ["block", "dim"])
+    stay = packed.withColumn("block", F.lit(-1)).withColumn("bound", F.lit(None).cast("binary")).drop("reach")
+    order = ["bucket", "chunk", "dim", "block"]
+    met = stay.unionByName(sent.select(*stay.columns)).repartition("bucket", "chunk", "dim").sortWithinPartitions(*order)
+    hits = met.mapInArrow(_probe(k), _HIT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = stored(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk")
+    for table in (rows, packed, asked):
+        forget(table)
+    return out
+
+
+def _with_reach(packed: DataFrame) -> DataFrame:
+    """With the length of each chunk's longest vector."""
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longest = [float(np.frombuffer(x.as_buffer(), "<f8", 1)[0]) for x in batch.column("norms")]
+            yield batch.append_column("reach", pa.array(longest, pa.float64()))
+
+    return packed.mapInArrow(reach, _PACKED.format("bucket", "chunk") + ", reach double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

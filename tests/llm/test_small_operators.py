@@ -37,6 +37,30 @@ def test_topk_equals_all_products(spark, scale, spread):
     assert {tuple(g) for g in got} == want and len(got) == len(want)
 
 
+def test_topk_over_many_chunks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK_ROWS", (16, 40))
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(500, 5)), 3) * np.exp(r.normal(size=(500, 1)))
+    x[100:250] = x[100]  # one very common vector
+    x[7] *= 1e5  # another width of integers
+    rows = [(int(i), v.tolist(), "c", 1) for i, v in enumerate(x)]
+    got = topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>, chunk string, block int"), F.col("vec_id") % 20 == 0, k=4).collect()
+    v = np.floor(256 * x).astype(np.int64)
+    want = set()
+    for q in range(0, 500, 20):
+        scores = v @ v[q]
+        order = [int(j) for j in np.lexsort((np.arange(500), -scores)) if j != q][:4]
+        want |= {(q, k + 1, j, int(scores[j])) for k, j in enumerate(order)}
+    assert {tuple(g) for g in got} == want and len(got) == len(want)
+
+
+def test_topk_refuses_what_64_bits_cannot_hold(spark):
+    rows = spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.exact_topk(rows, F.col("vec_id") == 0)
+
+
 def test_topk_of_nothing(spark):
     assert topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect() == []
 
