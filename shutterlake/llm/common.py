@@ -81,12 +81,15 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, hot: F.Column, salt
     """
     values = [c for c in facts.columns if c != key]
     fact = F.struct(*values) if values else F.struct(F.lit(True).alias("known"))
+    facts = facts.where(F.col(key).isNotNull())
     sent = facts.where(hot).select(F.col(key).alias("__hot"), fact.alias("__hot_fact"))
     met = rows.join(F.broadcast(sent), F.col(key) == F.col("__hot"), "left")
     cold = F.col("__hot").isNull() & F.col(key).isNotNull()
-    met = met.withColumn("__salt", F.when(cold, F.lit(0).cast("long")).otherwise(F.xxhash64(*salt))).withColumn("__key", F.when(cold, F.col(key)))
-    rest = facts.where(~hot).select(F.col(key).alias("__key"), fact.alias("__fact"), F.lit(0).cast("long").alias("__salt"))
-    joined = met.join(rest, ["__key", "__salt"], "left").withColumn("__fact", F.coalesce("__hot_fact", "__fact"))
+    # Key and salt are one value: as two, the side whose salt is always 0 would have the rows dealt by the key alone.
+    salted = lambda k, s: F.struct(k.alias("key"), s.alias("salt"))
+    met = met.withColumn("__key", salted(F.when(cold, F.col(key)), F.when(cold, F.lit(0).cast("long")).otherwise(F.xxhash64(*salt))))
+    rest = facts.where(~hot).select(salted(F.col(key), F.lit(0).cast("long")).alias("__key"), fact.alias("__fact"))
+    joined = met.join(rest, "__key", "left").withColumn("__fact", F.coalesce("__hot_fact", "__fact"))
     return joined.select(*rows.columns, *[F.col("__fact")[c].alias(c) for c in values])
 
 

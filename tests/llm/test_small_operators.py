@@ -387,6 +387,26 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert {(r.doc_id, tuple(o.item_id for o in r.overlaps)) for r in got.collect()} == {(k, (k,)) for k, _ in items}
 
 
+# --- joins that hot keys don't gather
+
+
+def test_spread_join(spark):
+    rows = [(7, i) for i in range(300)] + [(i, i) for i in range(300, 340)] + [(None, i) for i in range(340, 360)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    facts = spark.createDataFrame([(7, 300, "hot"), (None, 5, "null"), *((i, 1, f"f{i}") for i in range(300, 330))], "k long, n long, name string")
+    joined = common.spread_join(left, facts, "k", F.col("n") > 128, ["v"])
+    want = {7: "hot"} | {i: f"f{i}" for i in range(300, 330)}
+    assert joined.columns == ["k", "v", "n", "name"]
+    assert sorted((r.v, r.name) for r in joined.collect()) == [(v, want.get(k)) for k, v in rows]
+    # The rows of the hot key and those without any are dealt to all tasks.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = common.spread_join(left, facts, "k", F.col("n") > 128, ["v"]).withColumn("task", F.spark_partition_id()).where("k = 7").groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(held) == 4 and max(r["count"] for r in held) < 120
+
+
 # --- components
 
 
