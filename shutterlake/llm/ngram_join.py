@@ -36,6 +36,8 @@ GROUPS, LEAF = 256, 16
 #: A tree of this many documents is one leaf, whose members are compared pair by pair; rounds after which all pairs
 #: left are verified.
 SMALL_TREE, ROUNDS = LEAF, 3
+#: The turn that tells all pairs at once.
+ALL = -1
 #: Documents of a large tree that ask for their pairs before the last round.
 ASKING = 64
 
@@ -309,7 +311,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, shares
         return a[ok], b[ok], False
     # Only what isn't in the largest component asks; whatever is in another one answers.
     asking = np.flatnonzero(label != count.argmax())
-    if turn < ROUNDS - 1 and len(asking) > ASKING:
+    if ALL < turn < ROUNDS - 1 and len(asking) > ASKING:
         # Many left: each turn asks for some of them, those that the turn's hash puts first.
         asking = asking[np.argsort(mix(ranks[asking].astype(np.uint64) + np.uint64(turn)))[:ASKING]]
         more = True
@@ -377,6 +379,79 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap, pa.int64())], names=["a", "b", "overlap"]).filter(pa.array(keep, pa.bool_()))
 
 
+class _Classes:
+    """The documents of a table described once: `known` all of them, `wanted` those that may have a partner, `classes`
+    one row for each different set among these."""
+
+    def __init__(self, docs: DataFrame, name: str, small: int, keep_chunks: bool) -> None:
+        spark = docs.sparkSession
+        self.name, self.small, self.left_over = name, small, []
+        self.chunks = store_chunks(docs, name)
+        release(spark)
+        slim = self.chunks.drop("others")
+        buckets = buckets_for(self.chunks)
+        masks = bucketed(slim.mapInArrow(_tell(buckets), _TELL), shared_masks, _MASK, buckets)
+        self.known = self._stored(with_messages(slim, masks, keep_all=True).mapInArrow(_describe(buckets), _DOC), "known")
+        if not keep_chunks:
+            forget(self.chunks)
+        release(spark)
+        # One row stands for each class; its binaries stay where they are until a pair asks for them.
+        self.wanted = self.known.where(F.col("tokens").isNotNull())
+        chosen = self.wanted.groupBy("class").agg(F.min(F.struct("chunk_id", "row")).alias("at")).select("at.chunk_id", "at.row")
+        light = self.wanted.select("chunk_id", "row", "n_shingles", "share", "keys", "point").join(chosen, ["chunk_id", "row"])
+        self.classes = self._stored(light.select(row_id().alias("class"), "chunk_id", "row", "n_shingles", "share", "keys", "point"), "classes")
+        # A class's point goes to every bucket that one of its keys falls into: as few buckets as their size allows.
+        n_keys = (self.classes.agg(F.sum(F.octet_length("keys")).alias("n")).first().n or 0) // 8
+        self.routes = max(LEAST_BUCKETS, -(-int(n_keys) // BUCKET_KEYS))
+
+    def _stored(self, df: DataFrame, what: str) -> DataFrame:
+        self.left_over.append(stored(df, f"{self.name}-{what}"))
+        return self.left_over[-1]
+
+    def forget(self) -> None:
+        for table in self.left_over:
+            forget(table)
+
+    def pairs(self, labels: DataFrame | None, turn: int, tested: DataFrame | None) -> tuple[DataFrame, bool]:
+        """(a, b) of classes to verify that aren't connected yet, but for those tested; whether a later turn may find more."""
+        members = self.classes.select("class", "n_shingles", "share", "keys", "point")
+        if labels is None:
+            members = members.withColumn("label", F.col("class"))
+        else:
+            members = members.join(labels, members["class"] == labels.node, "left").withColumn("label", F.coalesce("label", "class")).drop("node")
+        told = stored(bucketed(members.mapInArrow(_route(self.routes), _ROUTED), _pairs(turn, self.small), _PAIR, self.routes), f"{self.name}-pairs")
+        fresh = told.where("a is not null").groupBy("a").applyInArrow(_distinct_pairs, "a long, b long")
+        if tested is not None:
+            fresh = fresh.join(tested, ["a", "b"], "left_anti")
+        fresh = self._stored(fresh, "tests")
+        more = told.where("more").limit(1).count() > 0
+        forget(told)
+        return fresh, more
+
+    def verified(self, fresh: DataFrame) -> DataFrame:
+        """(a, b, overlap) of the pairs that are similar enough. Only the sets that some pair needs are moved."""
+        needed = fresh.select(F.col("a").alias("class")).union(fresh.select("b")).distinct().join(self.classes.select("class", "chunk_id", "row"), "class")
+        needed = stored(needed, f"{self.name}-needed")
+        small_enough = needed.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+        sets = self.wanted.select("chunk_id", "row", "tokens").join(F.broadcast(needed) if small_enough else needed, ["chunk_id", "row"])
+        left = fresh.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
+        full = left.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a")
+        new = self._stored(full.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, overlap long"), "links")
+        release(fresh.sparkSession)
+        forget(needed)
+        return new
+
+    def rows(self) -> DataFrame:
+        """chunk_id, row, doc_id, n_shingles, class and `own`, by which rows are in order, of every document."""
+        own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key"), "chunk_id", "row", "doc_id")
+        return self.known.select("chunk_id", "row", "doc_id", "n_shingles", "class").withColumn("own", own)
+
+    def per_class(self) -> DataFrame:
+        """class, least `own`, number of documents `n`, and `node`, the number by which pairs tell the class."""
+        found = self.rows().where("class is not null").groupBy("class").agg(F.min("own").alias("own"), F.min(F.struct("chunk_id", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
+        return found.select("class", "own", "n", "at.chunk_id", "at.row").withColumn("node", row_id()).drop("chunk_id", "row")
+
+
 def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep_chunks: bool = True) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each row chunk_id, row, doc_id, n_shingles, component_id and `first`.
 
@@ -389,77 +464,58 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
     by 128 bits, words by 64.
     Without keep_chunks the chunks are deleted as soon as nothing needs them, and only the rows are of use.
     """
-    chunks = store_chunks(docs, name)
-    release(docs.sparkSession)
-    slim = chunks.drop("others")
-    buckets = buckets_for(chunks)
-    masks = bucketed(slim.mapInArrow(_tell(buckets), _TELL), shared_masks, _MASK, buckets)
-    known = stored(with_messages(slim, masks, keep_all=True).mapInArrow(_describe(buckets), _DOC), name)
-    if not keep_chunks:
-        forget(chunks)
-    release(docs.sparkSession)
-    # One row stands for each class; its binaries stay where they are until a pair asks for them.
-    wanted = known.where(F.col("tokens").isNotNull())
-    chosen = wanted.groupBy("class").agg(F.min(F.struct("chunk_id", "row")).alias("at")).select("at.chunk_id", "at.row")
-    light = wanted.select("chunk_id", "row", "n_shingles", "share", "keys", "point").join(chosen, ["chunk_id", "row"])
-    classes = stored(light.select(row_id().alias("class"), "chunk_id", "row", "n_shingles", "share", "keys", "point"), f"{name}-classes")
-    # A class's point goes to every bucket that one of its keys falls into: as few buckets as their size allows.
-    n_keys = (classes.agg(F.sum(F.octet_length("keys")).alias("n")).first().n or 0) // 8
-    routes = max(LEAST_BUCKETS, -(-int(n_keys) // BUCKET_KEYS))
+    c = _Classes(docs, name, small, keep_chunks)
     labels = tested = None
-    left_over: list[DataFrame] = []
     for turn in range(ROUNDS):
-        members = classes.select("class", "n_shingles", "share", "keys", "point")
-        if labels is None:
-            members = members.withColumn("label", F.col("class"))
-        else:
-            members = members.join(labels, members["class"] == labels.node, "left").withColumn("label", F.coalesce("label", "class")).drop("node")
-        pairs = stored(bucketed(members.mapInArrow(_route(routes), _ROUTED), _pairs(turn, small), _PAIR, routes), f"{name}-pairs")
-        fresh = pairs.where("a is not null").groupBy("a").applyInArrow(_distinct_pairs, "a long, b long")
-        if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        fresh = stored(fresh, f"{name}-tests")
-        left_over.append(fresh)
+        fresh, more = c.pairs(labels, turn, tested)
         tested = fresh if tested is None else tested.union(fresh)
-        more = pairs.where("more").limit(1).count() > 0
-        forget(pairs)
-        if not fresh.limit(1).count():
-            if not more:
-                break
-            continue
-        # Only the sets that some pair needs are moved.
-        needed = fresh.select(F.col("a").alias("class")).union(fresh.select("b")).distinct().join(classes.select("class", "chunk_id", "row"), "class")
-        needed = stored(needed, f"{name}-needed")
-        small_enough = needed.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-        sets = wanted.select("chunk_id", "row", "tokens").join(F.broadcast(needed) if small_enough else needed, ["chunk_id", "row"])
-        left = fresh.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
-        full = left.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a")
-        new = stored(full.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, overlap long").select("a", "b"), f"{name}-links")
-        release(docs.sparkSession)
-        forget(needed)
-        left_over.append(new)
-        if new.limit(1).count():
-            # What is connected already stands for itself by one link per document.
-            labels = components(new if labels is None else new.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-            left_over.append(labels)
+        if fresh.limit(1).count():
+            new = c.verified(fresh).select("a", "b")
+            if new.limit(1).count():
+                # What is connected already stands for itself by one link per document.
+                labels = components(new if labels is None else new.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+                c.left_over.append(labels)
         if not more:
             break
     # From rows to classes, from classes to components and back, each by counts first: no class and no component, however
     # large, is gathered.
-    own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key"), "chunk_id", "row", "doc_id")
-    rows = known.select("chunk_id", "row", "doc_id", "n_shingles", "class").withColumn("own", own)
-    limit = hot_limit(known.count())
-    per_class = rows.where("class is not null").groupBy("class").agg(F.min("own").alias("own"), F.min(F.struct("chunk_id", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
-    per_class = per_class.select("class", "own", "n", "at.chunk_id", "at.row").withColumn("group", row_id()).drop("chunk_id", "row")
+    rows, per_class = c.rows(), c.per_class().withColumnRenamed("node", "group")
+    limit = hot_limit(c.known.count())
     if labels is not None:
         per_class = per_class.join(labels, per_class["group"] == labels.node, "left").withColumn("group", F.coalesce("label", "group")).drop("node", "label")
     per_group = per_class.groupBy("group").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("m"))
-    facts = stored(spread_join(per_class.select("class", "n", "group"), per_group, "group", F.col("m") > limit, ["class"]).select("class", "n", "least"), f"{name}-facts")
+    facts = c._stored(spread_join(per_class.select("class", "n", "group"), per_group, "group", F.col("m") > limit, ["class"]).select("class", "n", "least"), "facts")
     found = spread_join(rows, facts, "class", F.col("n") > limit, ["chunk_id", "row"]).withColumn("least", F.coalesce("least", "own"))
     out = stored(found.select("chunk_id", "row", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("least") == F.col("own")).alias("first")), f"{name}-rows")
-    for table in (known, classes, facts, *left_over):
-        forget(table)
-    return chunks, out
+    c.forget()
+    return c.chunks, out
+
+
+def links(docs: DataFrame, name: str = "links", small: int = SMALL_TREE) -> tuple[DataFrame, DataFrame]:
+    """All links of docs(doc_id, text), told once for each two classes of documents with equal sets.
+
+    The first frame has each row's doc_id, n_shingles, class_id and n_links, the number of other rows that it is linked
+    with: those of its class and those of all linked classes. The second has (class_a, class_b, overlap, union) of
+    every two classes whose similarity is NUMERATOR / DENOMINATOR or more. Rows without shingles have no class and no
+    links. Every other case is as in similar(); nothing is left out because it is connected in another way.
+    """
+    c = _Classes(docs, name, small, keep_chunks=False)
+    found = c.verified(c.pairs(None, ALL, None)[0])
+    sizes = c.classes.select(F.col("class").alias("node"), F.col("n_shingles").alias("size"))
+    sized = found.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
+    pairs = stored(sized.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "overlap", (F.col("size_a") + F.col("size_b") - F.col("overlap")).alias("union")), f"{name}-pairs")
+    per_class = c._stored(c.per_class().select("class", "node", "n"), "per-class")
+    both = pairs.select("class_a", "class_b").union(pairs.select("class_b", "class_a"))
+    limit = hot_limit(c.known.count())
+    # Numbers of rows of the neighbours, each class's by a join that a class with many neighbours doesn't gather.
+    degree = both.groupBy(F.col("class_b").alias("node")).agg(F.count(F.lit(1)).alias("m"))
+    asked = per_class.select("node", "n").join(degree, "node")
+    heard = spread_join(both, asked.withColumnRenamed("node", "class_b"), "class_b", F.col("m") > hot_limit(both.count()), ["class_a", "class_b"]).groupBy(F.col("class_a").alias("node")).agg(F.sum("n").alias("near"))
+    facts = c._stored(per_class.join(heard, "node", "left").select("class", F.col("node").alias("class_id"), "n", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links")), "facts")
+    rows = spread_join(c.rows(), facts, "class", F.col("n") > limit, ["chunk_id", "row"])
+    out = stored(rows.select("doc_id", "n_shingles", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links")), f"{name}-rows")
+    c.forget()
+    return out, pairs
 
 
 def _firsts(names: list[str]):

@@ -84,6 +84,22 @@ def test_both_sides_of_the_switches(spark, monkeypatch, classes):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
 
 
+@pytest.mark.parametrize("seed,small", [(5, 16), (6, 2)])
+def test_all_links_equal_brute_force(spark, seed, small):
+    rows = corpus(seed)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, class int").repartition(3)
+    members, pairs = ngram_join.links(docs, small=small)
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = sorted(((i, len(x), sum(linked(x, y) for k, y in enumerate(sets) if k != j)) for j, ((i, _), x) in enumerate(zip(rows, sets))), key=repr)
+    got = members.collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=repr) == want
+    different = sorted(set(sets), key=repr)
+    want = sorted((len(x & y), len(x | y)) for k, x in enumerate(different) for y in different[:k] if linked(x, y))
+    assert sorted((r.overlap, r.union) for r in pairs.collect()) == want and len(want) > 10
+    assert all((r.class_id is None) == (r.n_shingles == 0) for r in got)
+
+
 def test_text_longer_than_a_chunk(spark):
     r = random.Random(9)
     word = [f"w{r.randrange(10**9)}" for _ in range(450_000)]
