@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -80,21 +81,24 @@ class Kind:
 
 def _card(text: str, key: bytes, inverse: bool) -> str | None:
     d = _digits(text)
-    if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1 or d[0] == "0":
         return None
     n = len(d) - 1
     payload = int(d[:-1])
-    while True:  # a number of one repeated digit is no valid value, so the walk goes past it
+    while True:  # a number of one repeated digit or with a leading zero is no valid value, so the walk goes past it
         payload = permute(payload, 10**n, key, b"card%d" % n, inverse)
         new = f"{payload:0{n}d}"
         new += luhn_digit(new)
-        if len(set(new)) > 1:
+        if len(set(new)) > 1 and new[0] != "0":
             return _refill(text, new)
 
 
 def _phone(text: str, key: bytes, inverse: bool) -> str | None:
+    """A number of ten digits after the country code, if it has one, gets the same ten in every form."""
+    if text[0] == "+":
+        return _phone_abroad(text, key, inverse)
     country, local = _digits(text)[:-10], _digits(text)[-10:]
-    return _refill(text, country + f"{permute(int(local), 10**10, key, b'phone', inverse):010d}")
+    return _refill(text, country + f"{permute(int(local), 10**10, key, b'phone10', inverse):010d}")
 
 
 def _phone_abroad(text: str, key: bytes, inverse: bool) -> str | None:
@@ -108,6 +112,12 @@ def _phone_abroad(text: str, key: bytes, inverse: bool) -> str | None:
     return _refill(text, d[:at] + f"{permute(int(d[at:]), 10**n, key, b'phone%d' % n, inverse):0{n}d}") if n > 3 else None
 
 
+def _phone_zeros(text: str, key: bytes, inverse: bool) -> str | None:
+    """With 00 for +; the same number gets the same pseudonym in both forms."""
+    new = _phone_abroad("+" + text[2:], key, inverse)
+    return None if new is None else "00" + new[1:]
+
+
 def _ssn_valid(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -133,6 +143,20 @@ def _ipv4(text: str, key: bytes, inverse: bool) -> str | None:
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _ipv6(text: str, key: bytes, inverse: bool) -> str | None:
+    """Told in the short form, so that an address is linked however it is written."""
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    if not _IPV6(text):
+        return None
+    while True:  # past what would not be taken for an address
+        value = permute(value, 1 << 128, key, b"ipv6", inverse)
+        if _IPV6(new := str(ipaddress.IPv6Address(value))):
+            return new
+
+
 def _iban_number(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4]))
 
@@ -201,6 +225,8 @@ def _date(order: str) -> Callable[[str, bytes, bool], str | None]:
     return change
 
 
+#: Words with colons that look like an address have fewer groups or no digit.
+_IPV6 = lambda text: sum(map(bool, text.split(":"))) >= 3 and any(c.isdigit() for c in text)
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z])(?<![0-9][.,-])", r"(?![0-9A-Za-z])(?![.,-][0-9])"
 #: A time may follow a date.
 _AFTER_DATE = r"(?:(?=[Tt][0-9]{2}:?[0-9]{2})|" + _AFTER + ")"
@@ -221,11 +247,13 @@ KINDS = [
     Kind("card", _BEFORE + r"[0-9]{13,19}" + _AFTER, _card),
     Kind("ssn", _BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _AFTER, _ssn),
     Kind("ipv4", r"(?<![0-9A-Za-z])(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])", _ipv4),
+    Kind("phone_zeros", _BEFORE + r"00[1-9](?:[0-9]{7,14}|[0-9]{0,5}(?:[ .-][0-9]{1,14}){1,6})" + _AFTER, _phone_zeros),
+    Kind("ipv6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])", _ipv6),
     Kind("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
 ]
 _ANY = re.compile("|".join(f"(?P<{k.name}>{k.pattern})" for k in KINDS))
 _BY_NAME = {k.name: k for k in KINDS}
-_HINT = re.compile(r"[0-9]{4}|[0-9][.][0-9]|@|\+[0-9]").search
+_HINT = re.compile(r"[0-9]{4}|[0-9][.][0-9]|@|\+[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]").search
 
 
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -269,8 +297,10 @@ def _stage(key: bytes, names: list[str]):
 def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """docs(text, ...) with the pseudonyms in its texts, and n_replaced; one row for each of its rows.
 
-    Null and empty texts stay as they are; so do numbers and dates that fail validation. All other columns pass
-    unchanged, but for one named n_replaced, which is replaced.
+    Null and empty texts stay as they are; so do numbers and dates that fail validation. Texts are read whole, whatever
+    their length. Where two values overlap the one that begins first is replaced, of those that begin together the one
+    whose kind comes first in KINDS. Repeated rows get the same text; an empty table gives no rows. All other columns
+    pass unchanged, but for one named n_replaced, which is replaced.
     """
     names = [c for c in docs.columns if c not in ("text", "n_replaced")]
     rows = docs.select(*names, "text")

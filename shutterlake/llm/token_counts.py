@@ -100,7 +100,8 @@ def count_tokens(docs: DataFrame, rule: str = "majority", sections_of=line_secti
     """Tokens of each section of docs(doc_id, text): doc_id, section (from 0), start, end, n_tokens, n_crossing.
 
     `sections_of` gives a text's sorted, disjoint character spans. Null and empty texts have one empty section with no
-    tokens. Null or repeated doc_ids keep a set of rows for each row of the input; an empty table gives none; extra
+    tokens. A text of any length is encoded whole. A token that lies in equal parts in several sections counts, by
+    "majority", for the first of them. Null or repeated doc_ids keep a set of rows for each row of the input; an empty table gives none; extra
     columns are ignored.
     """
     return docs.select("doc_id", "text").mapInArrow(_counts(vocabulary, rule, sections_of), _COUNT)

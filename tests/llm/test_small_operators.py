@@ -290,6 +290,54 @@ def test_permutations(size):
     assert [pseudonyms.permute(i, size, KEY, b"t", inverse=True) for i in image] == list(range(size))
 
 
+@pytest.mark.parametrize("forms", [
+    ["+442079460958", "+44 20 7946 0958", "00442079460958", "0044 20 7946 0958", "+44 (20) 7946-0958"],
+    ["(415) 555-0132", "415-555-0132", "415.555.0132", "+1 415 555 0132", "+14155550132", "1-415-555-0132"],
+    ["2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:DB8:0:0::1"],
+    ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"],
+    ["192.0.2.17"], ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"],
+])
+def test_a_value_is_linked_in_all_its_forms(forms):
+    new = [pseudonyms.pseudonymise(f"x {f} y", KEY)[0][2:-2] for f in forms]
+    bare = {re.sub(r"^(?:\+|00|1-|\+1 |\+1(?=4))", "", n) for n in new}
+    bare = {re.sub(r"[^0-9A-Za-z:.]" if "." in n and ":" not in n and len(forms) == 1 else r"[^0-9A-Za-z:]", "", n) for n in bare}
+    # The country code stays where it was written.
+    bare = {n[-10:] if forms[0].startswith(("(", "+")) else n for n in bare}
+    assert len(bare) == 1 and not {re.sub(r"[^0-9A-Za-z:]", "", f) for f in forms} & bare
+
+
+@pytest.mark.parametrize("text", ["12:30:45", "at 10:20:30:40", "std::vector", "a::b", "::", "::1", "ab:cd:ef", "1:2:3:4:5:6:7:8:9", "00 12", "0012"])
+def test_what_only_looks_like_an_address_stays(text):
+    assert pseudonyms.pseudonymise(text, KEY) == (text, [])
+
+
+def brute_permutation(size, key, tweak):
+    """The same network written out over whole tables: every round's function as a list, the walk by repeated lookup."""
+    side = 1
+    while side * side < size:
+        side *= 2
+    key = hashlib.sha256(key).digest()
+    rounds = [[int.from_bytes(hashlib.blake2b(tweak + b"|%d|%d" % (i, v), key=key, digest_size=32).digest(), "big") % side for v in range(side)] for i in range(pseudonyms.ROUNDS)]
+    table = []
+    for value in range(side * side):
+        a, b = value // side, value % side
+        for f in rounds:
+            a, b = b, (a + f[b]) % side
+        table.append(a * side + b)
+    out = []
+    for value in range(size):
+        value = table[value]
+        while value >= size:
+            value = table[value]
+        out.append(value)
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 5, 64, 1000])
+def test_permutation_equals_tables(size):
+    assert [pseudonyms.permute(i, size, KEY, b"t") for i in range(size)] == brute_permutation(size, KEY, b"t")
+
+
 def test_pseudonymised_rows(spark):
     rows = [(1, "call +1 (988) 555-2485", "a"), (2, "call +1 (988) 555-2485", "b"), (3, None, None), (4, "", "c"), (None, "nothing", "d"), (5, "9" * 100_000 + " 42.144.35.254", "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_replaced string")
