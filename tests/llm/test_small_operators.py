@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,58 @@ def test_language(spark):
     assert language.identify(docs.limit(0), model).collect() == []
 
 
+def test_every_language_is_kept(spark):
+    r = random.Random(2)
+    rows = []
+    for k in range(230):
+        words_ = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        rows += [(k * 10 + i, " ".join(r.choices(words_, k=25)), f"l{k:03d}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True), training_rows=460)
+    assert len(model.languages) == 230 and model.code.shape[0] == 230
+    got = language.identify(docs, model).select("lang", "lang_pred").collect()
+    assert sum(x.lang == x.lang_pred for x in got) > 0.9 * len(got)
+
+
+def test_trust_comes_from_rows_held_back():
+    r = np.random.default_rng(1)
+    code = language.codewords(3)
+    y = np.repeat([0, 1, 2], 60)
+    x = np.eye(3)[y] * 3 + r.normal(size=(180, 3)) * 0.3
+    x = np.column_stack([x, r.normal(size=(180, 150))])  # enough noise to learn any row by heart
+    noisy = np.flatnonzero(y == 2)
+    x[noisy, :3] = r.normal(size=(60, 3))
+    w, bias = language._bits(x, y, code, 1e-6)
+    assert (((x @ w + bias) * code[y]) > 0).mean() > 0.99
+    trust = language.held_back_trust(x, y, code, 1e-6)
+    assert trust.shape == code.shape and (trust > 0).all() and (trust < 1).all() and trust.mean() < 0.9 and trust.max() - trust.min() > 0.1
+    assert language.held_back_trust(x[:1], y[:1], code[:1], 1.0).tolist() == [[0.5] * code.shape[1]]
+
+
+def test_training_rows_are_chosen_by_hash_alone(spark):
+    rows = [(1, "same words here", "en")] * 3000 + [(i, f"other words {i}", "en") for i in range(2, 40)] + [(None, "no id", "en"), (50, None, "en"), (51, "x", None), (1, "andere", "de"), (1, "ander", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
+    every = language._chosen(known, 500, 20_000)
+    assert sorted(every) == sorted([("en", i) for i in range(1, 40)] + [("de", 1)])
+    few = language._chosen(known.repartition(3), 10, 20_000)
+    assert set(few) <= set(every) and len(few) == 11
+    assert language._chosen(known.limit(0), 10, 100) == []
+    model = language.train(docs, F.lit(True))
+    assert model.languages == ["de", "en"]
+    nothing = language.train(docs.limit(0), F.lit(True))
+    got = language.identify(docs.where("doc_id = 50 OR lang IS NULL"), nothing).collect()
+    assert {(r.lang_pred, r.score, r.ambiguous) for r in got} == {("und", 0.0, True)} and len(got) == 2
+
+
+def test_a_text_longer_than_a_run_is_read_whole(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices(["the", "house", "and", "garden"] if i % 2 else ["das", "haus", "und", "garten"], k=40)), "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, "the " + "und das haus " * 300_000, None), (101, "das " + "garden and the house " * 60_000, None)], "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in language.identify(docs, language.train(docs, F.lit(True))).collect()}
+    assert got[100] == "de" and got[101] == "en"
+
+
 def test_masks_fit_between_any_substitutions():
     from itertools import combinations
 
@@ -435,6 +488,40 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert {(r.doc_id, tuple(o.item_id for o in r.overlaps)) for r in got.collect()} == {(k, (k,)) for k, _ in items}
 
 
+# --- toxicity: bounds
+
+
+def test_toxicity_bounds_and_long_texts(spark):
+    r = random.Random(7)
+    mild = [f"w{k}" for k in range(200)]
+    word = lambda: "".join(c for c in r.choice(mild).replace("w", "word").translate(str.maketrans("0123456789", "abcdefghij")))
+    rows = [(i, " ".join([word() for _ in range(20)] + (["vileword"] if i % 3 == 0 else []))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (0, None), (0, rows[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(3, None), (None, 1), (6, 0)], "doc_id long, toxic int")
+    p = toxicity.Ftrl(l1=0.5)
+    model = toxicity.train(docs, labels, F.lit(True), p=p)
+    long = "plain " * 600_000
+    test = spark.createDataFrame([(1, long + "vileword", True), (2, long, True), (3, None, False), (4, "", False)], "doc_id long, text string, held_out boolean")
+    got = {x.doc_id: x for x in toxicity.score(test, model).collect()}
+    assert got[1].predicted == 1 and got[2].predicted == 0 and got[3].score == got[4].score
+    # A document that alone has more features than allowed is left out, others aren't.
+    small = toxicity.train(docs, labels, F.lit(True), most_features=400, p=p)
+    huge = toxicity.train(docs.where("doc_id > 0").union(spark.createDataFrame([(0, " ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"))], "doc_id long, text string")), labels, F.lit(True), most_features=400, p=p)
+    assert len(small.index) and len(huge.index)
+    none = toxicity.train(docs, labels.limit(0), F.lit(True))
+    assert {x.score for x in toxicity.score(test, none).collect()} == {0.5}
+    assert toxicity.score(test.limit(0), model).collect() == []
+
+
+def test_dropping_unwanted_features_changes_no_score(spark):
+    r = np.random.default_rng(3)
+    column = pa.array([" ".join(r.choice(["aa", "bb", "cc", "dd", "ee"], int(n))) for n in (0, 1, 2, 5, 40)] + [None])
+    wanted = r.random(1 << 12) < 0.5
+    for (f, at), (g, bt) in zip(toxicity.row_features(column, 12), toxicity.row_features(column, 12, wanted), strict=True):
+        for k in range(len(at) - 1):
+            assert [x for x in f[at[k] : at[k + 1]] if wanted[x]] == g[bt[k] : bt[k + 1]].tolist()
+
+
 # --- joins that hot keys don't gather
 
 
