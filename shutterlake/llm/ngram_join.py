@@ -6,8 +6,9 @@ a box at most the sum of its coordinates' minima with the box's upper corner. R-
 whose bound reaches the threshold; these are verified on the token sets.
 
 One tree over a whole corpus would compare nearly everything in so many dimensions. So trees are built over the
-documents that share a token among their first tokens in hash order, which documents similar enough must. A document
-few of whose first tokens occur elsewhere is left out beforehand. Documents with equal sets are one class throughout.
+documents that share a token among their first tokens in hash order, which documents similar enough must. Tokens that
+very many documents have, such as those of a common line, come last in this order, so that they only count where a
+document has little else. A document few of whose first tokens occur elsewhere is left out beforehand. Documents with equal sets are one class throughout.
 All trees first try to link their members to one of them, that most of whose tokens occur elsewhere; pairs are looked
 for only across what isn't connected then.
 """
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import Chunk, bucketed, buckets_for, row_id, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import forget, hot_limit, read, release, spread_join, stored
+from shutterlake.llm.common import HOT_KEYS, forget, hot_limit, read, release, spread_join, stored
 from shutterlake.llm.components import components
 from shutterlake.llm.kernels import SPACED, combined, groups, mix, words
 from shutterlake.llm.substrings import _MASK, _TELL, _unique, shared_masks, unpack_masks
 
+#: Tokens that more documents have among their first ones than this, and than one in HOT_KEYS, come last in all orders.
+HOT_TOKEN_ROWS = 1000
+
 NGRAM = 5
 #: Similarity threshold as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -95,11 +99,19 @@ def extra(size: np.ndarray) -> np.ndarray:
     return np.minimum(least_overlap(size), np.maximum(1, -(-size // 10)))
 
 
-def _first_tokens(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row the tokens among which similar rows share extra() ones: which they are, their row, their rank."""
+def _first_tokens(tokens: np.ndarray, bounds: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the tokens among which similar rows share extra() ones: which they are, their row, their rank.
+
+    Tokens are in the order of their hashes, the hot ones after all others.
+    """
     size = np.diff(bounds)
     row = np.repeat(np.arange(len(size)), size)
     rank = np.arange(len(tokens)) - bounds[row]
+    if hot is not None and hot.any():
+        late = np.cumsum(hot) - hot
+        late -= late[bounds[row]]  # hot tokens of the row before each token
+        n_hot = np.bincount(row[hot], minlength=len(size))
+        rank = np.where(hot, size[row] - n_hot[row] + late, rank - late)
     first = rank < (size - least_overlap(size) + extra(size))[row]
     return first, row, rank
 
@@ -119,13 +131,18 @@ def _bucket_keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((spread >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (spread & np.uint64(0xFFFFFFFF))
 
 
+_COUNTED = _TELL + ", counts binary"
+
+
 def _tell(buckets: int):
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for line in rows_of(batches):
             c = Chunk(line)
             tokens, bounds = token_sets(c.data, c.offsets)
             first, row, _ = _first_tokens(tokens, bounds)
-            keys, _, several = _unique(_bucket_keys(tokens[first], buckets), row[first])
+            keys, index, several = _unique(_bucket_keys(tokens[first], buckets), row[first])
+            # A document has a token once, so that these are numbers of documents.
+            counts = np.minimum(np.bincount(index, minlength=len(keys)), 0xFFFF).astype("<u2")
             at = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
             full = np.flatnonzero(np.diff(at))
             prints = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -135,28 +152,59 @@ def _tell(buckets: int):
                     pa.array([c.id] * len(full), pa.int64()),
                     pa.array([prints[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()),
                     pa.array([np.packbits(several[at[b] : at[b + 1]]).tobytes() for b in full], pa.binary()),
+                    pa.array([counts[at[b] : at[b + 1]][several[at[b] : at[b + 1]]].tobytes() for b in full], pa.binary()),
                 ],
-                names=["bucket", "chunk_id", "prints", "several"],
+                names=["bucket", "chunk_id", "prints", "several", "counts"],
             )
 
     return tell
 
 
+def _counted_masks(limit: int):
+    def masks(table: pa.Table) -> pa.Table:
+        """shared_masks(), and under the chunk_id -1 the fingerprints that more than `limit` documents have."""
+        shared = shared_masks(table.drop_columns(["counts"]))
+        prints = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("prints")]
+        numbers = []
+        for own, several, counts in zip(prints, table.column("several"), table.column("counts"), strict=True):
+            n = np.ones(len(own), np.int64)
+            n[np.unpackbits(np.frombuffer(several.as_buffer(), np.uint8), count=len(own)).astype(bool)] = np.frombuffer(counts.as_buffer(), "<u2")
+            numbers.append(n)
+        every, number = np.concatenate(prints), np.concatenate(numbers)
+        order = np.argsort(every, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
+        hot = every[order][start][np.add.reduceat(number[order], start) > limit]
+        if not len(hot):
+            return shared
+        row = pa.table([pa.array([-1], pa.int64()), table.column("bucket").slice(0, 1), pa.array([hot.astype("<u4").tobytes()], pa.binary())], names=["chunk_id", "bucket", "mask"])
+        return pa.concat_tables([shared, row])
+
+    return masks
+
+
 _DOC = "chunk_id long, row int, doc_id long, n_shingles long, class binary, share double, keys binary, point binary, tokens binary"
 
 
-def _describe(buckets: int):
+def _describe(buckets: int, sent):
     """Size and class of every document; tokens, point and routing keys of those that may have a partner."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_keys = np.frombuffer(sent.value, np.uint64)
         for line in rows_of(batches):
             c = Chunk(line)
             tokens, bounds = token_sets(c.data, c.offsets)
             size = np.diff(bounds)
-            first, row, rank = _first_tokens(tokens, bounds)
-            keys, index, _ = _unique(_bucket_keys(tokens[first], buckets), row[first])
+            told, row, _ = _first_tokens(tokens, bounds)
+            keys, index, _ = _unique(_bucket_keys(tokens[told], buckets), row[told])
             shared = np.zeros(len(tokens), bool)
-            shared[first] = unpack_masks(line["messages"] or [], keys, buckets)[index]
+            shared[told] = unpack_masks(line["messages"] or [], keys, buckets)[index]
+            hot = None
+            if len(hot_keys):
+                every = _bucket_keys(tokens, buckets)
+                hot = hot_keys[np.minimum(np.searchsorted(hot_keys, every), len(hot_keys) - 1)] == every
+            first, row, rank = _first_tokens(tokens, bounds, hot)
+            # Tokens that are among the first only because hot ones came last were not told: they may be shared.
+            shared = first & (shared | ~told)
             wanted = (np.bincount(row[shared], minlength=len(size)) >= extra(size)) & (size > 0)
             route = shared & (rank <= (size - least_overlap(size))[row])
             share = np.bincount(row[route], minlength=len(size)) / (size - least_overlap(size) + 1)
@@ -383,15 +431,20 @@ class _Classes:
     """The documents of a table described once: `known` all of them, `wanted` those that may have a partner, `classes`
     one row for each different set among these."""
 
-    def __init__(self, docs: DataFrame, name: str, small: int, keep_chunks: bool) -> None:
+    def __init__(self, docs: DataFrame, name: str, small: int, keep_chunks: bool, hot_token_rows: int = HOT_TOKEN_ROWS) -> None:
         spark = docs.sparkSession
         self.name, self.small, self.left_over = name, small, []
         self.chunks = store_chunks(docs, name)
         release(spark)
         slim = self.chunks.drop("others")
         buckets = buckets_for(self.chunks)
-        masks = bucketed(slim.mapInArrow(_tell(buckets), _TELL), shared_masks, _MASK, buckets)
-        self.known = self._stored(with_messages(slim, masks, keep_all=True).mapInArrow(_describe(buckets), _DOC), "known")
+        limit = max(hot_token_rows, docs.count() // HOT_KEYS)
+        masks = self._stored(bucketed(slim.mapInArrow(_tell(buckets), _COUNTED), _counted_masks(limit), _MASK, buckets), "masks")
+        release(spark)
+        # At most HOT_KEYS times the mean number of a document's first tokens, eight bytes each.
+        hot = [(np.uint64(r.bucket) << np.uint64(32)) | np.frombuffer(r.mask, "<u4").astype(np.uint64) for r in masks.where("chunk_id = -1").select("bucket", "mask").collect()]
+        sent = spark.sparkContext.broadcast(np.sort(np.concatenate(hot or [np.empty(0, np.uint64)])).tobytes())
+        self.known = self._stored(with_messages(slim, masks.where("chunk_id >= 0"), keep_all=True).mapInArrow(_describe(buckets, sent), _DOC), "known")
         if not keep_chunks:
             forget(self.chunks)
         release(spark)
@@ -452,7 +505,7 @@ class _Classes:
         return found.select("class", "own", "n", "at.chunk_id", "at.row").withColumn("node", row_id()).drop("chunk_id", "row")
 
 
-def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep_chunks: bool = True) -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep_chunks: bool = True, hot_token_rows: int = HOT_TOKEN_ROWS) -> tuple[DataFrame, DataFrame]:
     """The chunks of docs, and for each row chunk_id, row, doc_id, n_shingles, component_id and `first`.
 
     component_id is the smallest doc_id that a row reaches by links of similarity NUMERATOR / DENOMINATOR or more, its
@@ -464,7 +517,7 @@ def similar(docs: DataFrame, name: str = "ngrams", small: int = SMALL_TREE, keep
     by 128 bits, words by 64.
     Without keep_chunks the chunks are deleted as soon as nothing needs them, and only the rows are of use.
     """
-    c = _Classes(docs, name, small, keep_chunks)
+    c = _Classes(docs, name, small, keep_chunks, hot_token_rows)
     labels = tested = None
     for turn in range(ROUNDS):
         fresh, more = c.pairs(labels, turn, tested)

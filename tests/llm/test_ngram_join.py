@@ -84,6 +84,28 @@ def test_both_sides_of_the_switches(spark, monkeypatch, classes):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
 
 
+@pytest.mark.parametrize("hot", [3, 20, 1000])
+def test_hot_tokens_come_last(spark, hot):
+    rows = corpus(11, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want, _ = brute(rows)
+    got = ngram_join.similar(docs, hot_token_rows=hot)[1].collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+
+
+def test_first_tokens_with_hot_ones():
+    r = np.random.default_rng(5)
+    bounds = np.cumsum([0, 5, 0, 1, 30, 100, 7])
+    tokens = np.concatenate([np.sort(r.integers(0, 1 << 20, n)) for n in np.diff(bounds)]).astype(np.uint64)
+    hot = r.random(len(tokens)) < 0.4
+    first, row, rank = ngram_join._first_tokens(tokens, bounds, hot)
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        order = sorted(range(a, b), key=lambda i: (hot[i], i))
+        assert [rank[i] for i in order] == list(range(b - a)) and (row[a:b] == k).all()
+        n = b - a - int(ngram_join.least_overlap(np.int64(b - a))) + int(ngram_join.extra(np.int64(b - a)))
+        assert set(np.flatnonzero(first[a:b]) + a) == set(order[:n])
+
+
 @pytest.mark.parametrize("seed,small", [(5, 16), (6, 2)])
 def test_all_links_equal_brute_force(spark, seed, small):
     rows = corpus(seed)
