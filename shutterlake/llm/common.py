@@ -24,10 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the code and bound what one Arrow batch may hold (long documents travel few at a time)."""
+    """Ship the code and bound what one Arrow batch may hold (long documents travel few at a time).
+
+    The session's own limits stay if they are lower; they are lowered for good, as plans run later than they are made.
+    """
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    for name, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 4096)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"[0-9]+", str(spark.conf.get(setting, None)))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(setting, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

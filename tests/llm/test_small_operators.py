@@ -513,6 +513,49 @@ def test_toxicity_bounds_and_long_texts(spark):
     assert toxicity.score(test.limit(0), model).collect() == []
 
 
+def test_ftrl_equals_one_coordinate_at_a_time():
+    r = random.Random(1)
+    rows = [np.array(sorted(r.sample(range(64), r.randint(0, 8))), np.int32) for _ in range(120)]
+    y = np.array([float(bool({3, 17} & set(x.tolist()))) for x in rows])
+    p = toxicity.Ftrl(alpha=0.7, beta=0.9, l1=0.4, l2=0.2, epochs=3)
+    z, n = {}, {}
+    weight = lambda i, l1: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + (p.l2 if i != "bias" else 0.0))
+    for _ in range(p.epochs):
+        for x, label in zip(rows, y):
+            own = [*x.tolist(), "bias"]
+            w = {i: weight(i, 0.0 if i == "bias" else p.l1) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in own:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / p.alpha * w[i]
+                n[i] = old + g * g
+    model = toxicity.fit(rows, y, 6, p)
+    want = {i: w for i in z if i != "bias" and (w := weight(i, p.l1))}
+    assert model.index.tolist() == sorted(want) and np.allclose(model.value, [want[i] for i in sorted(want)]) and 0 < len(want) < 64
+    assert math.isclose(model.bias, weight("bias", 0.0), rel_tol=1e-9)
+
+
+def test_decoding_equals_loops():
+    r = np.random.default_rng(9)
+    code = language.codewords(5)
+    model = language.Model([f"l{k}" for k in range(5)], code, r.normal(size=(7, code.shape[1])), r.normal(size=code.shape[1]), r.random(code.shape) + 0.1)
+    x = r.normal(size=(40, 7))
+    best, score = model.decode(x)
+    for i in range(40):
+        margin = [sum(x[i, k] * model.weights[k, b] for k in range(7)) + model.bias[b] for b in range(code.shape[1])]
+        loss = [sum(model.trust[c, b] * math.exp(-2 * margin[b] * code[c, b]) for b in range(code.shape[1])) for c in range(5)]
+        assert best[i] == loss.index(min(loss)) and math.isclose(score[i], 1 - sorted(loss)[0] / sorted(loss)[1], rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_held_out_documents_of_the_test_data(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    got = language.query(spark, data).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(got) > 250 and sum(x.lang == x.lang_pred for x in got) >= 0.98 * len(got)
+    got = toxicity.query(spark, data).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    assert len(got) > 50 and sum(x.predicted == x.toxic for x in got) >= 0.9 * len(got)
+
+
 def test_dropping_unwanted_features_changes_no_score(spark):
     r = np.random.default_rng(3)
     column = pa.array([" ".join(r.choice(["aa", "bb", "cc", "dd", "ee"], int(n))) for n in (0, 1, 2, 5, 40)] + [None])
