@@ -26,9 +26,16 @@ def epoch_to_exif(seconds: Column) -> Column:
     return F.concat(F.date_format(F.timestamp_seconds(seconds.try_cast("bigint")).cast("timestamp_ntz"), "yyyy:MM:dd HH:mm:ss"), F.lit("+00:00"))
 
 
+#: A date with or without hyphens, then perhaps a time with or without colons, a fraction and a zone.
+ISO_DATE = r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:\D(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?)?$"
+
+
 def parse_iso(text: Column) -> Column:
-    """The timestamp of ISO text, null if it is none."""
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+    """The time on the clock of ISO text, null if it is none; a zone is left out. Dates by week numbers aren't read."""
+    y, mo, d, h, mi, s, f = (F.regexp_extract(text, ISO_DATE, i) for i in (1, 3, 4, 5, 7, 8, 9))
+    or_zero = lambda c, zero: F.when(c == "", zero).otherwise(c)
+    whole = F.concat(y, F.lit("-"), mo, F.lit("-"), d, F.lit(" "), or_zero(h, "00"), F.lit(":"), or_zero(mi, "00"), F.lit(":"), or_zero(s, "00"), F.lit("."), or_zero(f, "0"))
+    return F.when(text.rlike(ISO_DATE), whole).try_cast("timestamp_ntz")
 
 
 def first_date(dates: Column) -> Column:

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,18 @@ def test_epochs(spark, text, iso):
     assert one(spark, text, dates.epoch_to_exif) == EXIF.get(text)
 
 
+@pytest.mark.parametrize("text", [
+    "2024-01-02", "20240102", "2024-01-02T03:04:05", "2024-01-02 03:04", "2024-01-02T03", "20240102T030405", "2024-01-02T03:04:05.25", "2024-01-02T03:04:05,123456789", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.5+02:00", "2024-01-02T03:04-0330", "2024-02-29",
+    "2023-02-29", "2024-13-01", "2024-01-02T25:00:00", "2024-0102", "2024-01-02T03:0405", "2024-1-2", "x", "", "2024-01-02T", "2024-01-02T03:04:05+2", "0000-00-00T00:00:00",
+])
+def test_iso_forms(spark, text):
+    try:
+        want = datetime.datetime.fromisoformat(text).replace(tzinfo=None)
+    except ValueError:
+        want = None
+    assert one(spark, text, dates.parse_iso) == want
+
+
 def test_first_date_fails_without_one(spark):
     for value in ([], ["0000-00-00T00:00:00"]):
         with pytest.raises(Exception, match="no valid first date"):
