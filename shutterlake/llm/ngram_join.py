@@ -27,7 +27,7 @@ from shutterlake.llm.chunks import Chunk, bucketed, buckets_for, row_id, rows_of
 from shutterlake.llm.common import HOT_KEYS, forget, hot_limit, read, release, spread_join, stored
 from shutterlake.llm.components import components
 from shutterlake.llm.kernels import SPACED, combined, groups, mix, words
-from shutterlake.llm.substrings import _MASK, _TELL, _unique, shared_masks, unpack_masks
+from shutterlake.llm.substrings import _MASK, _TELL, _unique, counted_masks, hot_of, unpack_masks
 
 #: Tokens that more documents have among their first ones than this, and than one in HOT_KEYS, come last in all orders.
 HOT_TOKEN_ROWS = 1000
@@ -131,9 +131,6 @@ def _bucket_keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((spread >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (spread & np.uint64(0xFFFFFFFF))
 
 
-_COUNTED = _TELL + ", counts binary"
-
-
 def _tell(buckets: int):
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for line in rows_of(batches):
@@ -160,28 +157,6 @@ def _tell(buckets: int):
     return tell
 
 
-def _counted_masks(limit: int):
-    def masks(table: pa.Table) -> pa.Table:
-        """shared_masks(), and under the chunk_id -1 the fingerprints that more than `limit` documents have."""
-        shared = shared_masks(table.drop_columns(["counts"]))
-        prints = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("prints")]
-        numbers = []
-        for own, several, counts in zip(prints, table.column("several"), table.column("counts"), strict=True):
-            n = np.ones(len(own), np.int64)
-            n[np.unpackbits(np.frombuffer(several.as_buffer(), np.uint8), count=len(own)).astype(bool)] = np.frombuffer(counts.as_buffer(), "<u2")
-            numbers.append(n)
-        every, number = np.concatenate(prints), np.concatenate(numbers)
-        order = np.argsort(every, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
-        hot = every[order][start][np.add.reduceat(number[order], start) > limit]
-        if not len(hot):
-            return shared
-        row = pa.table([pa.array([-1], pa.int64()), table.column("bucket").slice(0, 1), pa.array([hot.astype("<u4").tobytes()], pa.binary())], names=["chunk_id", "bucket", "mask"])
-        return pa.concat_tables([shared, row])
-
-    return masks
-
-
 _DOC = "chunk_id long, row int, doc_id long, n_shingles long, class binary, share double, keys binary, point binary, tokens binary"
 
 
@@ -439,11 +414,9 @@ class _Classes:
         slim = self.chunks.drop("others")
         buckets = buckets_for(self.chunks)
         limit = max(hot_token_rows, docs.count() // HOT_KEYS)
-        masks = self._stored(bucketed(slim.mapInArrow(_tell(buckets), _COUNTED), _counted_masks(limit), _MASK, buckets), "masks")
+        masks = self._stored(bucketed(slim.mapInArrow(_tell(buckets), _TELL), counted_masks(limit), _MASK, buckets), "masks")
         release(spark)
-        # At most HOT_KEYS times the mean number of a document's first tokens, eight bytes each.
-        hot = [(np.uint64(r.bucket) << np.uint64(32)) | np.frombuffer(r.mask, "<u4").astype(np.uint64) for r in masks.where("chunk_id = -1").select("bucket", "mask").collect()]
-        sent = spark.sparkContext.broadcast(np.sort(np.concatenate(hot or [np.empty(0, np.uint64)])).tobytes())
+        sent = spark.sparkContext.broadcast(hot_of(masks))  # at most HOT_KEYS times the mean number of first tokens
         self.known = self._stored(with_messages(slim, masks.where("chunk_id >= 0"), keep_all=True).mapInArrow(_describe(buckets, sent), _DOC), "known")
         if not keep_chunks:
             forget(self.chunks)

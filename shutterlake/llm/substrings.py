@@ -6,6 +6,8 @@ A byte goes if a string of LENGTH bytes over it also starts in a document with a
    have equal anchors, so windows need comparing only where their anchors' hashes occur in several documents.
 2. The windows of one anchor lie in one stretch of text. Where all stretches around an anchor hash are equal, the
    least doc_id answers for all their windows. Stretches are equal if the 64-bit hashes of anchor and stretch are.
+   The windows of an anchor with very many different stretches, as one at the edge of a common passage has, are dealt
+   one by one, by their ends as well.
 3. Else the different stretches meet in a hash bucket. Each shard's stretches have their own Burrows-Wheeler transform;
    these are merged by refining their interleave, one symbol at a time, which yields the common prefixes: positions
    whose prefixes of LENGTH bytes stay together are one repeated interval, and the least doc_id of each is its answer.
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import Chunk, bucketed, buckets_for, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import forget, forget_part, read, release, stored
+from shutterlake.llm.common import HOT_KEYS, forget, forget_part, read, release, stored
 from shutterlake.llm.kernels import _BYTE, _INV, _POW, _SLICE, hash_spans, mix
 
 #: Bytes of a repeated string, and of the substrings whose least hash is an anchor.
 LENGTH, GRAM = 50, 20
 #: Bytes of stretches that make up a shard of their own when transforms are merged.
 SHARD_BYTES = 1 << 17
+#: An anchor with more different stretches than this, and than one for HOT_KEYS documents, is dealt window by window.
+HOT_KINDS = 2000
 #: Rounds of merging after which strings of a single document are left out.
 CLOSE_EVERY = 4
 #: No byte of a UTF-8 text; ends each stretch.
@@ -124,15 +128,28 @@ def _unique(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return k[start], index, several
 
 
-_TELL = "bucket int, chunk_id long, prints binary, several binary"
+_TELL = "bucket int, chunk_id long, prints binary, several binary, counts binary"
+
+
+def _kinds(c: Chunk, low: np.ndarray, high: np.ndarray, index: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """How many different stretches each fingerprint has in the chunk, for those that several documents have."""
+    some = np.flatnonzero(several[index])
+    stretch, own = hash_spans(c.data, low[some], high[some]), index[some]
+    order = np.lexsort((stretch, own))
+    stretch, own = stretch[order], own[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (stretch[1:] != stretch[:-1])
+    return np.minimum(np.bincount(own[new], minlength=len(several))[several], 0xFFFF).astype("<u2")
 
 
 def _tell(buckets: int):
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             c = Chunk(row)
-            h, _, doc, _, _ = anchors(c.data, c.offsets)
-            keys, _, several = _unique(_keys(h, buckets), c.doc_ids[doc])
+            h, _, doc, low, last = anchors(c.data, c.offsets)
+            keys, index, several = _unique(_keys(h, buckets), c.doc_ids[doc])
+            kinds = np.zeros(len(keys), "<u2")
+            kinds[several] = _kinds(c, low, last + LENGTH, index, several)
             at = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
             full = np.flatnonzero(np.diff(at))
             prints = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -142,8 +159,9 @@ def _tell(buckets: int):
                     pa.array([c.id] * len(full), pa.int64()),
                     pa.array([prints[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()),
                     pa.array([np.packbits(several[at[b] : at[b + 1]]).tobytes() for b in full], pa.binary()),
+                    pa.array([kinds[at[b] : at[b + 1]][several[at[b] : at[b + 1]]].tobytes() for b in full], pa.binary()),
                 ],
-                names=["bucket", "chunk_id", "prints", "several"],
+                names=["bucket", "chunk_id", "prints", "several", "counts"],
             )
 
     return tell
@@ -171,6 +189,35 @@ def shared_masks(table: pa.Table) -> pa.Table:
     )
 
 
+def counted_masks(limit: int):
+    def masks(table: pa.Table) -> pa.Table:
+        """shared_masks(), and under the chunk_id -1 the fingerprints whose counts are more than `limit` together."""
+        shared = shared_masks(table.drop_columns(["counts"]))
+        prints = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("prints")]
+        numbers = []
+        for own, several, counts in zip(prints, table.column("several"), table.column("counts"), strict=True):
+            n = np.ones(len(own), np.int64)
+            n[np.unpackbits(np.frombuffer(several.as_buffer(), np.uint8), count=len(own)).astype(bool)] = np.frombuffer(counts.as_buffer(), "<u2")
+            numbers.append(n)
+        every, number = np.concatenate(prints), np.concatenate(numbers)
+        order = np.argsort(every, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
+        hot = every[order][start][np.add.reduceat(number[order], start) > limit]
+        if not len(hot):
+            return shared
+        row = pa.table([pa.array([-1], pa.int64()), table.column("bucket").slice(0, 1), pa.array([hot.astype("<u4").tobytes()], pa.binary())], names=["chunk_id", "bucket", "mask"])
+        return pa.concat_tables([shared, row])
+
+    return masks
+
+
+def hot_of(masks: DataFrame) -> bytes:
+    """The sorted keys of counted_masks()'s hot fingerprints."""
+    rows = masks.where("chunk_id = -1").select("bucket", "mask").collect()
+    hot = [(np.uint64(r.bucket) << np.uint64(32)) | np.frombuffer(r.mask, "<u4").astype(np.uint64) for r in rows]
+    return np.sort(np.concatenate(hot or [np.empty(0, np.uint64)])).tobytes()
+
+
 def unpack_masks(messages: list[dict], keys: np.ndarray, buckets: int) -> np.ndarray:
     """The masks of a chunk's buckets as one flag for each of its sorted distinct keys."""
     at = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
@@ -200,14 +247,34 @@ _BODY = ("<u8", "<u8", "<i8", "<u4", "u1")
 _OCCURRENCE = ("<u4", "<u4", "<u4", "u1")
 
 
-def _gather(buckets: int):
+def _one_by_one(data: np.ndarray, h: np.ndarray, low: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of anchors' stretches each window alone: which anchor's it is, its start, and a key by its anchor and both its ends.
+
+    Equal windows have equal keys. The windows over the edge of a passage that very many documents have differ at an end.
+    """
+    count = last - low + 1
+    owner = np.repeat(np.arange(len(h)), count)
+    start = _ranges(low, count)
+    fours = np.ndarray(max(0, len(data) - 3), "<u4", data.tobytes(), strides=(1,))
+    ends = fours[start].astype(np.uint64) | fours[start + LENGTH - 4].astype(np.uint64) << np.uint64(32)
+    return owner, start, mix(h[owner] ^ mix(ends))
+
+
+def _gather(buckets: int, sent):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_keys = np.frombuffer(sent.value, np.uint64)
         for row in rows_of(batches):
             c = Chunk(row)
             h, place, doc, low, last = anchors(c.data, c.offsets)
-            keys, index, _ = _unique(_keys(h, buckets), doc)
+            every = _keys(h, buckets)
+            keys, index, _ = _unique(every, doc)
             keep = unpack_masks(row["messages"], keys, buckets)[index]
-            h, place, doc, low, last = (x[keep] for x in (h, place, doc, low, last))
+            h, place, doc, low, last, every = (x[keep] for x in (h, place, doc, low, last, every))
+            if len(hot_keys):
+                hot = hot_keys[np.minimum(np.searchsorted(hot_keys, every), len(hot_keys) - 1)] == every
+                owner, start, key = _one_by_one(c.data, h[hot], low[hot], last[hot])
+                h, place, doc = np.append(h[~hot], key), np.append(place[~hot], start), np.append(doc[~hot], doc[hot][owner])
+                low, last = np.append(low[~hot], start), np.append(last[~hot], start)
             high = last + LENGTH
             stretch = mix(hash_spans(c.data, low, high) + (place - low).astype(np.uint64))
             bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -539,7 +606,7 @@ def _finish(keep_bytes: bool):
     return finish
 
 
-def deduplicated(docs: DataFrame, keep_bytes: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, keep_bytes: bool = False, shard_bytes: int = SHARD_BYTES, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """For each row of docs(doc_id, text) what is left without repeated strings: n_bytes, n_removed, n_spans, kept_sha256.
 
     With keep_bytes also `kept`, the bytes left (they may break a character, so they are binary). Null and empty texts
@@ -553,9 +620,11 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = False, shard_bytes: int = S
     chunks = stored_chunks.drop("others")
     buckets = buckets_for(stored_chunks)
     told = chunks.mapInArrow(_tell(buckets), _TELL)
-    masks = bucketed(told, shared_masks, _MASK, buckets)
+    masks = stored(bucketed(told, counted_masks(max(hot_kinds, docs.count() // HOT_KEYS)), _MASK, buckets), "masks")
+    release(spark)
+    sent = spark.sparkContext.broadcast(hot_of(masks))  # at most HOT_KEYS times the mean number of a document's anchors
     # Each step's rows are stored, so that what the step before has shuffled can go.
-    blocks = stored(with_messages(chunks, masks, keep_all=False).mapInArrow(_gather(buckets), _BLOCK).withColumn("occurrences", F.col("bucket") < 0), "anchors", "occurrences")
+    blocks = stored(with_messages(chunks, masks.where("chunk_id >= 0"), keep_all=False).mapInArrow(_gather(buckets, sent), _BLOCK).withColumn("occurrences", F.col("bucket") < 0), "anchors", "occurrences")
     release(spark)
     said = stored(bucketed(blocks.where("NOT occurrences").drop("occurrences"), _ask, _TOLD, buckets), "answers")
     forget_part(blocks, "occurrences=false")
@@ -566,7 +635,7 @@ def deduplicated(docs: DataFrame, keep_bytes: bool = False, shard_bytes: int = S
     replies = said.where(F.col("what") == CLOSED).unionByName(answers.unionByName(lists).withColumn("what", F.lit(None).cast("int")))
     final = with_messages(chunks, replies, keep_all=True)
     out = stored(final.mapInArrow(_finish(keep_bytes), _RESULT + (", kept binary" if keep_bytes else "")), "substrings-result")
-    for table in (said, blocks, stored_chunks):
+    for table in (masks, said, blocks, stored_chunks):
         forget(table)
     return out
 

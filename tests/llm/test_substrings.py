@@ -60,6 +60,17 @@ def test_several_shards_end_to_end(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_anchors_window_by_window(spark, hot):
+    r = random.Random(3)
+    rows = corpus(5, 60)
+    passage = "a passage that stands in very many documents, longer than a window by far and always the same words"
+    rows += [(1000 + i, "".join(r.choices("xyz ", k=r.randint(0, 60))) + passage + "".join(r.choices("uvw ", k=r.randint(0, 60)))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(x) for x in substrings.deduplicated(docs, hot_kinds=hot).collect()), key=repr)
+    assert got == brute(rows)
+
+
 def test_text_longer_than_a_chunk(spark):
     r = random.Random(5)
     text = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=n))
