@@ -62,7 +62,11 @@ def codewords(classes: int) -> np.ndarray:
     best, gap = None, -1
     for seed in range(64 if classes <= 1000 else 4):
         code = np.where(np.random.default_rng(seed).random((classes, n)) < 0.5, -1.0, 1.0)
-        far = int(((n - code @ code.T) / 2 + n * np.eye(classes)).min())
+        far = n
+        for a in range(0, classes, 1000):
+            apart = (n - code[a : a + 1000] @ code.T) / 2
+            apart[np.arange(len(apart)), np.arange(a, a + len(apart))] = n
+            far = min(far, int(apart.min()))
         if far > gap and (np.abs(code.sum(axis=0)) < classes).all():
             best, gap = code, far
     if best is None:
@@ -85,7 +89,8 @@ class Model:
         if len(self.languages) == 1:
             return np.zeros(len(x), np.int64), np.ones(len(x))
         margin = x @ self.weights + self.bias
-        loss = np.stack([np.exp(-2 * margin * self.code[c]) @ self.trust[c] for c in range(len(self.languages))], axis=1)
+        # A bit's exponential loss is one of two values, by the sign that the codeword wants.
+        loss = np.exp(-2 * margin) @ (self.trust * (self.code > 0)).T + np.exp(2 * margin) @ (self.trust * (self.code < 0)).T
         best = loss.argmin(axis=1)
         two = np.partition(loss, 1, axis=1)
         return best, 1 - two[:, 0] / two[:, 1]
@@ -144,7 +149,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chosen(known: DataFrame, rows_per_language: int, training_rows: int) -> list[tuple[str, int]]:
     """Of each language the (language, doc_id) of least hash, as many as the bounds allow."""
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    # One row per language; a language needs a training row, so that training_rows bounds them as well.
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(training_rows).collect()}
     if not counts:
         return []
     most = max(1, min(rows_per_language, training_rows // len(counts)))
@@ -167,7 +173,8 @@ def train(docs: DataFrame, may_learn: F.Column, rows_per_language: int = ROWS_PE
     """Fits on the rows of docs(doc_id, text, lang) that may be learned from and have a doc_id, text and lang.
 
     The bound is on the rows of the fit: of every language the rows_per_language documents whose hashed doc_id comes
-    first, and evenly fewer where all languages together would have more than training_rows. Rows that repeat a
+    first, and evenly fewer where all languages together would have more than training_rows (of more languages than
+    that, the commonest ones get a row each). Rows that repeat a
     language and doc_id count as one, by the first of their texts in order. Without any row nothing is learned.
     """
     usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
