@@ -12,6 +12,7 @@ import hashlib
 import ipaddress
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -251,17 +252,31 @@ KINDS = [
     Kind("ipv6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])", _ipv6),
     Kind("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
 ]
-_ANY = re.compile("|".join(f"(?P<{k.name}>{k.pattern})" for k in KINDS))
+#: What a text must hold for kinds whose names begin so to be in it.
+_NEEDED = {"mail": "@", "phone_plain": "+", "phone_abroad": "+", "phone_zeros": "00"}
+_NEEDED_BY = {k.name: next((c for n, c in _NEEDED.items() if k.name.startswith(n)), "") for k in KINDS} | {"ipv6": ":"}
+_COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:").search
+
+
+@cache
+def _any(held: tuple[bool, ...]) -> re.Pattern:
+    """All kinds that a text can have, given which of the needed strings it holds."""
+    have = {c for c, h in zip([*_NEEDED.values(), ":"], held, strict=True) if h} | {""}
+    return re.compile("|".join(f"(?P<{k.name}>{k.pattern})" for k in KINDS if _NEEDED_BY[k.name] in have))
+
+
 _BY_NAME = {k.name: k for k in KINDS}
-_HINT = re.compile(r"[0-9]{4}|[0-9][.][0-9]|@|\+[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]").search
+_DIGIT = re.compile("[0-9]").search
+_HINT = re.compile(r"[0-9]{4}|[0-9][.][0-9]|\+[0-9]|:[0-9A-Fa-f]{0,4}:").search
 
 
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every validated value replaced, and (kind, start, end) of each in the old text."""
-    if _HINT(text) is None:
+    if "@" not in text and (_DIGIT(text) is None or _HINT(text) is None):
         return text, []
+    search = _any((*(c in text for c in _NEEDED.values()), _COLONS(text) is not None)).search
     out, found, at, done = [], [], 0, 0
-    while m := _ANY.search(text, at):
+    while m := search(text, at):
         kind = _BY_NAME[m.lastgroup]
         new = kind.change(m[0], key, inverse)
         if new is None:
