@@ -478,12 +478,11 @@ def test_items_without_spaces_are_found(spark):
     assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {2}
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_a_larger_benchmark_gives_the_same(spark):
     items = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(9)]
     rows = spark.createDataFrame([(k, "pre " + t) for k, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
-    got = decontaminate.with_overlaps(rows, bench, keep_text=False)
+    got = decontaminate.with_overlaps(rows, bench, keep_text=False, broadcast_bytes=300)
     assert got.columns == ["doc_id", "overlaps"]
     assert {(r.doc_id, tuple(o.item_id for o in r.overlaps)) for r in got.collect()} == {(k, (k,)) for k, _ in items}
 
