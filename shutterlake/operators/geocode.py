@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from shutterlake.functions.geo import chord, place
 
 #: Up to so many places their cells (27 small rows a place, about 20 MB) are sent to every task; more are shuffled.
 BROADCAST_PLACES = 10_000
-#: Edge of the cells of the first search, as a chord of the unit sphere (0.005 is about 32 km), and its growth.
-FIRST_CELL, GROWTH = 0.005, 4.0
+#: Growth of the cells' edge, a chord of the unit sphere, from search to search.
+GROWTH = 4.0
 #: The longest chord; cells of this size leave out nothing.
 WHOLE = 2.0
 
@@ -21,14 +23,17 @@ def nearest(points: DataFrame, places: DataFrame, key: str = "key", broadcast_pl
     Points and places without coordinates meet nothing. The unit sphere's cells are an equi-join: each place is put in
     its own and the 26 cells around it, so that whatever is within a cell's edge of a point is met. A hit within the
     edge is the nearest for sure; points without one are sought again in larger cells, until every point has its place.
+    The first cells are as large as the sphere's share of a place, so that most points meet a few places at once.
     """
     places = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     named = places.select("place_id", *_axes("p"), "name", "admin1", "cc")
-    few = places.limit(broadcast_places + 1).count() <= broadcast_places
+    n = named.count()
+    few = n <= broadcast_places
     left = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(key, *_axes("q"))
-    best, edge = None, FIRST_CELL
+    best, edge = None, min(WHOLE, math.sqrt(4 * math.pi / max(1, n)))
     while True:
-        found = _within(left, named, key, edge, few)
+        # Kept, so that no search is made again for the next one.
+        found = _within(left, named, key, edge, few).persist()
         best = found if best is None else best.unionByName(found)
         left = left.join(found.select(key), key, "left_anti")
         if edge >= WHOLE or left.limit(1).isEmpty():
