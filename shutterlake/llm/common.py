@@ -105,17 +105,23 @@ def write_buckets(df: DataFrame, path: str, column: str, buckets: int) -> None:
     writer = df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").option("parquet.enable.dictionary", "false")
     writer.saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")  # an external table: its files stay
-    kept = df.sparkSession.createDataFrame([(df.schema.json(), column, buckets)], "schema string, column string, buckets int")
-    kept.coalesce(1).write.parquet(f"{path}-layout")
+    layout = json.dumps({"schema": df.schema.jsonValue(), "column": column, "buckets": buckets})
+    files, at = _files(df.sparkSession, f"{path}-layout")
+    with_end = files.create(at)
+    with_end.write(bytearray(layout.encode()))
+    with_end.close()
 
 
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     """A frame of files that write_buckets() wrote; joins of it on its column needn't move it."""
-    layout = spark.read.schema("schema string, column string, buckets int").parquet(f"{path}-layout").first()
-    schema = StructType.fromJson(json.loads(layout.schema))
+    files, at = _files(spark, f"{path}-layout")
+    begun = files.open(at)
+    layout = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(begun, "UTF-8"))
+    begun.close()
+    schema = StructType.fromJson(layout["schema"])
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     name = f"shutterlake_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{layout.column}`) INTO {layout.buckets} BUCKETS LOCATION '{path}'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{layout['column']}`) INTO {layout['buckets']} BUCKETS LOCATION '{path}'")
     out = spark.table(name)
     out.schema  # noqa: B018  resolved before its name goes
     spark.sql(f"DROP TABLE {name}")
@@ -129,10 +135,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system that a path is in, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder, wherever Spark keeps it."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    """Delete a file or folder, wherever Spark keeps it."""
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def standing_on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The same frame, whose forget() deletes these tables that it reads."""
+    df._shutterlake_paths = [p for t in tables for p in getattr(t, "_shutterlake_paths", [])]
+    return df
 
 
 def forget_part(df: DataFrame, part: str) -> None:
@@ -141,6 +159,6 @@ def forget_part(df: DataFrame, part: str) -> None:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the table behind a frame of stored() or read_buckets(); only once nothing can read it any more."""
+    """Delete the tables behind a frame of stored(), read_buckets() or standing_on(); only once nothing can read it any more."""
     for path in getattr(df, "_shutterlake_paths", []):
         remove(df.sparkSession, path)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import Chunk, bucketed, buckets_for, row_id, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import HOT_KEYS, forget, hot_limit, read, release, spread_join, stored
+from shutterlake.llm.common import HOT_KEYS, forget, hot_limit, read, release, spread_join, standing_on, stored
 from shutterlake.llm.components import components
 from shutterlake.llm.kernels import SPACED, combined, groups, mix, words
 from shutterlake.llm.substrings import _MASK, _TELL, _unique, counted_masks, hot_of, unpack_masks
@@ -558,13 +558,13 @@ def _firsts(names: list[str]):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their component, with all their columns; see similar()."""
+    """The rows of docs that are the first of their component, with all their columns; see similar().
+
+    They are read from the chunks; once they are written elsewhere, forget() of the frame deletes these.
+    """
     chunks, rows = similar(docs, "one_of_each")
     kept = with_messages(chunks, rows.where("first").select("chunk_id", "row"), keep_all=False)
-    out = stored(kept.mapInArrow(_firsts(docs.columns), docs.schema), "one-of-each")
-    forget(chunks)
-    forget(rows)
-    return out
+    return standing_on(kept.mapInArrow(_firsts(docs.columns), docs.schema), chunks, rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
