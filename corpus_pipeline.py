@@ -72,9 +72,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are deleted once the next one's are written."""
+    """All stages over documents; what a stage read and stored is deleted once its rows are written."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        made = stage(spark, docs, sf_dir)
+        before, docs = docs, stored(made, f"pipeline-{k}")
+        forget(made)
         forget(before)
     return docs
