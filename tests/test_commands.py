@@ -120,6 +120,8 @@ def test_enrich_caption_similar_cluster(spark, tmp_path):
     assert [x["path"] for x in near] == ["p01.jpg", "p02.jpg", "p03.jpg"]
     groups = commands.cluster(spark, home, [f"x/p{i:02d}.jpg" for i in range(12)], 3)
     assert {tuple(map(os.path.basename, v)) for k, v in groups.items() if k != "-1"} == {tuple(f"p{i:02d}.jpg" for i in range(6)), tuple(f"p{i:02d}.jpg" for i in range(6, 11))}
+    slice_ = commands.cluster_slice(spark, home, lambda r: records.dated_between(r, "2019", "2021"), 3).collect()
+    assert {r.path for r in slice_} == {f"p{i:02d}.jpg" for i in range(11)}
     recs = spark.createDataFrame([("a", "old"), ("b", None), ("bad", "")], "filename string, caption string")
     told = {r.filename: r.caption for r in commands.caption(recs, lambda n: 1 / 0 if n == "bad" else n * 2).collect()}
     assert told == {"a": "old", "b": "bb", "bad": ""}
