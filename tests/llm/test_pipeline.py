@@ -23,6 +23,6 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
 
 
-def test_ten_queries_and_the_pipeline():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+def test_all_queries_and_the_pipeline():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near copies", "benchmark", "personal data", "packing"]
