@@ -97,12 +97,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 raise RuntimeError("say --takeout or --archive" + (f": {hint}" if hint else ""))
             contents.require_tools(["exiftool"])
             options = IngestOptions(o.source, o.destination or o.to, o.mode, o.dry_run, o.skip_dedupe, o.skip_metadata_write, o.fuzzy, o.fuzzy_threshold, o.prefer)
-            done = commands.ingest(spark, options, contents.exiftool_reader(required_tags()), progress=job_progress(spark)).persist()
-            for summary in (*commands.link_counts(spark, options), report.dedupe_summary(done), report.reconcile_summary(done)):
+            progress = job_progress(spark, sys.stderr)
+            planned = commands.ingest_plan(spark, options, contents.exiftool_reader(required_tags()), progress)
+            done = commands.apply_import(planned, options, progress=progress)
+            for summary in (*planned.link_counts(), report.dedupe_summary(done), report.reconcile_summary(done)):
                 show(summary)
             if not o.dry_run:
                 show(report.apply_summary(done))
-            for r in report.errors(done).orderBy("media_path").take(100):
+            for r in report.errors(done).orderBy("media_path", "stage").toLocalIterator():
                 print(r.media_path, r.stage, r.reason, sep="\t")
         elif o.command == "enrich":
             options = EnrichOptions(video_frames=o.video_frames, dry_run=o.dry_run)

@@ -12,10 +12,21 @@ RECORD_DDL = (
 CORE, OPTIONAL = ("dates", "geo", "album", "group_id"), ("location", "caption", "proposed_album")
 
 
-def from_manifest(manifest: DataFrame) -> DataFrame:
-    """The record of each manifest row: an album only if the source is one."""
+def _fields() -> dict[str, Column]:
+    """What a record has of its manifest row: an album only if the source is one."""
     album = F.when(F.col("source.type") == "album", F.col("source.name"))
-    return manifest.select("media_path", F.col("metadata.dates").alias("dates"), F.col("metadata.geo").alias("geo"), album.alias("album"), "group_id")
+    return {"dates": F.col("metadata.dates"), "geo": F.col("metadata.geo"), "album": album, "group_id": F.col("group_id")}
+
+
+def from_manifest(manifest: DataFrame) -> DataFrame:
+    """The record of each manifest row."""
+    return manifest.select("media_path", *(c.alias(n) for n, c in _fields().items()))
+
+
+def with_json(manifest: DataFrame) -> DataFrame:
+    """The manifest with record_json, each row's record as it is written."""
+    rows = manifest.select(F.struct(*manifest.columns).alias("__row"), *(c.alias(n) for n, c in _fields().items()))
+    return rows.select("__row.*", to_json(list(CORE)).alias("record_json"))
 
 
 def to_json(columns: list[str] | None = None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,32 @@ from shutterlake.operators import albums, dedupe, geocode, group, library, link,
 from shutterlake.operators import export as exporting
 from shutterlake.operators import reconcile as reconciling
 from shutterlake.options import EMBEDDINGS, META_DIR, EnrichOptions, ExportOptions, IngestOptions
-from shutterlake.progress import Progress, no_progress
+from shutterlake.progress import Progress, no_progress, ticking
 from shutterlake.sources import contents, listing, sinks
+from shutterlake.sources.kept import dropped, kept
 
 Reader = Callable[[list[str]], dict[str, dict]]
 
 
-def ingest_plan(spark: SparkSession, options: IngestOptions, reader: Reader) -> DataFrame:
-    """The manifest of an import up to its record: one plan from the listing on, nothing written."""
+@dataclass(frozen=True)
+class Import:
+    """An import up to its records, nothing written to the library. Its tables are kept: each file was hashed and its tags were read once."""
+
+    files: DataFrame
+    linked: DataFrame
+    manifest: DataFrame
+
+    def link_counts(self) -> tuple[DataFrame, DataFrame]:
+        """Links per confidence, and the media and side files that no link has; of an archive all media have none."""
+        media, side = (self.files.where(F.col("bucket") == b).select("path") for b in ("media", "sidecar"))
+        return report.link_summary(self.linked), report.side_summary(link.unmatched(media, side, self.linked))
+
+
+def ingest_plan(spark: SparkSession, options: IngestOptions, reader: Reader, progress: Progress = no_progress) -> Import:
+    """Lists, links, hashes, resolves copies, reads tags and side files, and decides what each record says."""
     files = scan.classify(listing.list_files(spark, options.source))
-    media, side = files.where("bucket = 'media'").select("path"), files.where("bucket = 'sidecar'").select("path")
+    cores = spark.sparkContext.defaultParallelism
+    media, side = files.where("bucket = 'media'").select("path", "size"), files.where("bucket = 'sidecar'").select("path")
     if options.mode == "takeout":
         linked = link.link(media, side, options.fuzzy, options.fuzzy_threshold)
         rows = link.label_takeout(linked, files.where("bucket = 'album_marker'").select("path"))
@@ -34,30 +51,33 @@ def ingest_plan(spark: SparkSession, options: IngestOptions, reader: Reader) ->
     else:
         rows = link.label_archive(media, os.path.normpath(options.source)).withColumn("sidecar", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("int"))
         rows = group.group_archive(rows)
+    rows = linked = kept(rows, "linked")
     if options.skip_dedupe:
         rows = rows.withColumn("hash", F.lit(None).cast("string")).withColumn("status", F.lit("processed")).withColumn("error", F.lit(None).cast("string")).withColumn("result", F.lit("keep"))
     else:
-        rows = dedupe.assured(dedupe.resolve(rows.join(contents.hash_files(media), "path"), options.prefer))
-    rows = rows.withColumn("keep", dedupe.can_keep())
+        dealt = contents.dealt_by_bytes(media)
+        with progress("Hashing", media.count()) as tick, ticking(spark, tick) as count:
+            hashed = kept(contents.hash_files(dealt, count), "hashed")
+        dropped(dealt)
+        rows = dedupe.assured(dedupe.resolve(rows.join(hashed, "path"), options.prefer))
+    rows = kept(rows.withColumn("keep", dedupe.can_keep()), "resolved")
     # Only what is kept is read by the tag tool; the filter stands before its Python stage.
-    tags = contents.read_tags(rows.where("keep").select("path"), reader)
-    sides = contents.read_sidecars(rows.where("keep AND sidecar IS NOT NULL").select(F.col("sidecar").alias("path")).distinct())
-    rows = rows.join(tags, "path", "left").join(sides.withColumnRenamed("path", "sidecar"), "sidecar", "left")
-    rows = reconciling.reconcile(rows, options.skip_metadata_write).withColumn("metadata", F.when(F.col("keep"), F.col("metadata")))
-    manifest = rows.select(
-        F.col("path").alias("media_path"), "source", F.when(F.col("sidecar").isNotNull(), F.struct(F.col("sidecar").alias("path"), F.col("confidence"))).alias("sidecar"),
-        F.struct("status", "result", "hash", "error").alias("dedupe"), "metadata", "group_id", "keep",
-    )
-    own = records.from_manifest(manifest).select(F.col("media_path").alias("m"), records.to_json(list(records.CORE)).alias("record_json"))
-    return manifest.join(own, F.col("media_path") == F.col("m")).drop("m")
-
-
-def link_counts(spark: SparkSession, options: IngestOptions) -> tuple[DataFrame, DataFrame]:
-    """Links per confidence, and the media and side files that no link has; of an archive all media have none."""
-    files = scan.classify(listing.list_files(spark, options.source))
-    media, side = files.where("bucket = 'media'").select("path"), files.where("bucket = 'sidecar'").select("path")
-    linked = link.link(media, side if options.mode == "takeout" else side.limit(0), options.fuzzy, options.fuzzy_threshold)
-    return report.link_summary(linked), report.side_summary(link.unmatched(media, side, linked))
+    asked = rows.where("keep").select("path")
+    n = asked.count()
+    with progress("Tags", n) as tick, ticking(spark, tick) as count:
+        tags = contents.read_tags(asked.repartition(max(1, min(n, cores), -(-n // (8 * contents.TAG_BATCH)))), reader, count=count)
+        sides = rows.where("keep AND sidecar IS NOT NULL").select(F.col("sidecar").alias("path")).distinct()
+        sides = contents.read_sidecars(sides.repartition(cores))
+        rows = rows.join(tags, "path", "left").join(sides.withColumnRenamed("path", "sidecar"), "sidecar", "left")
+        rows = reconciling.reconcile(rows, options.skip_metadata_write).withColumn("metadata", F.when(F.col("keep"), F.col("metadata")))
+        manifest = kept(
+            rows.select(
+                F.col("path").alias("media_path"), "source", F.when(F.col("sidecar").isNotNull(), F.struct(F.col("sidecar").alias("path"), F.col("confidence"))).alias("sidecar"),
+                F.struct("status", "result", "hash", "error").alias("dedupe"), "metadata", "group_id", "keep", "size",
+            ),
+            "manifest",
+        )
+    return Import(files, linked, records.with_json(manifest))
 
 
 def takeout_hint(spark: SparkSession, source: str) -> str:
@@ -68,15 +88,17 @@ def takeout_hint(spark: SparkSession, source: str) -> str:
 
 def ingest(spark: SparkSession, options: IngestOptions, reader: Reader, writer=sinks.exiftool_writer, progress: Progress = no_progress) -> DataFrame:
     """Runs an import and returns its manifest with `apply`; a dry run stops before anything is written."""
-    manifest = ingest_plan(spark, options, reader)
+    return apply_import(ingest_plan(spark, options, reader, progress), options, writer, progress)
+
+
+def apply_import(planned: Import, options: IngestOptions, writer=sinks.exiftool_writer, progress: Progress = no_progress) -> DataFrame:
+    """Writes a planned import, all of it or nothing, and its report; returns the manifest with `apply`."""
+    manifest = planned.manifest
     if options.dry_run:
         return manifest.withColumn("apply", F.lit(None).cast(sinks.APPLY))
-    done = sinks.emit(manifest, options.destination, writer)
-    # Copies are made once: what became of them is kept before the report reads it.
-    with progress("Copying", 0) as tick:
-        kept = done.persist()
-        tick(kept.count())
-    out = manifest.join(kept, "media_path", "left")
+    with progress("Copying", manifest.where("keep").count()) as tick, ticking(manifest.sparkSession, tick) as count:
+        done = sinks.emit(manifest, options.destination, writer, count)
+    out = manifest.join(done, "media_path", "left")
     with progress("Report", 0):
         sinks.write_report(report.report(out, options.source), options.destination)
     return out

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions.geo import sidecar_geo
+from shutterlake.operators import running
 from shutterlake.operators.records import RECORD_DDL
 from shutterlake.options import EMBEDDINGS, EMBEDDINGS_MATRIX, EMBEDDINGS_NAMES, META_DIR, RECORD_END
+from shutterlake.progress import NO_COUNT, Counter
 from shutterlake.sources.listing import list_files
 
 TAG_BATCH = 512
@@ -26,21 +28,36 @@ _COORDINATES = "struct<latitude:double,longitude:double,altitude:double>"
 SIDECAR_DDL = f"struct<photoTakenTime:struct<timestamp:string>,geoDataExif:{_COORDINATES},geoData:{_COORDINATES},__bad:string>"
 
 
-def _hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        out = []
-        for path in f.path:
-            try:
-                with open(path, "rb") as file:
-                    out.append((path, hashlib.file_digest(file, "sha256").hexdigest(), "processed", None))
-            except OSError as e:
-                out.append((path, None, "error", str(e)))
-        yield pd.DataFrame(out, columns=["path", "hash", "status", "error"])
+#: Bytes of files that one task hashes or copies, while there are enough of them for all cores.
+TASK_BYTES = 1 << 30
 
 
-def hash_files(files: DataFrame) -> DataFrame:
-    """path, hash, status, error of each of files(path); bytes are read in pieces."""
-    return files.select("path").mapInPandas(_hashes, "path string, hash string, status string, error string")
+def dealt_by_bytes(files: DataFrame, key: str = "path") -> DataFrame:
+    """files(size, ...) in as many tasks as there are cores, or more, of about equal bytes: at most the mean and one file more."""
+    spark = files.sparkSession
+    total = files.agg(F.sum("size")).first()[0] or 0
+    return running.dealt_by_size(files, "size", [key], max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+
+
+def _hashes(count: Counter):
+    def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path in f.path:
+                try:
+                    with open(path, "rb") as file:
+                        out.append((path, hashlib.file_digest(file, "sha256").hexdigest(), "processed", None))
+                except OSError as e:
+                    out.append((path, None, "error", str(e)))
+            count.add(len(out))
+            yield pd.DataFrame(out, columns=["path", "hash", "status", "error"])
+
+    return stage
+
+
+def hash_files(files: DataFrame, count: Counter = NO_COUNT) -> DataFrame:
+    """path, hash, status, error of each of files(path); bytes are read in pieces, by the tasks that files come in."""
+    return files.select("path").mapInPandas(_hashes(count), "path string, hash string, status string, error string")
 
 
 def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +101,7 @@ def exiftool_reader(tags: list[str]) -> Callable[[list[str]], dict[str, dict]]:
     return read
 
 
-def read_tags(files: DataFrame, reader: Callable[[list[str]], dict[str, dict]], batch: int = TAG_BATCH) -> DataFrame:
+def read_tags(files: DataFrame, reader: Callable[[list[str]], dict[str, dict]], batch: int = TAG_BATCH, count: Counter = NO_COUNT) -> DataFrame:
     """path and tags map of files(path) by a pluggable reader, in batches; null for files that it doesn't report."""
 
     def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,6 +111,7 @@ def read_tags(files: DataFrame, reader: Callable[[list[str]], dict[str, dict]],
                 found = reader(paths)
                 rows = [found.get(os.path.normpath(p)) for p in paths]
                 tags = [None if r is None else {k: str(v) for k, v in r.items() if v is not None} for r in rows]
+                count.add(len(paths))
                 yield pd.DataFrame({"path": paths, "tags": pd.Series(tags, dtype=object)})
 
     return files.select("path").mapInPandas(stage, "path string, tags map<string,string>")
@@ -138,7 +156,7 @@ def read_embeddings(spark: SparkSession, library: str, strict: bool = True) -> D
     """
     path, matrix, names = (os.path.join(library, META_DIR, n) for n in (EMBEDDINGS, EMBEDDINGS_MATRIX, EMBEDDINGS_NAMES))
     if os.path.exists(path):
-        return spark.read.parquet(path)
+        return spark.read.parquet(local_uri(path))
     have = [os.path.exists(p) for p in (matrix, names)]
     if all(have):
         return read_matrix(spark, matrix, names)
@@ -168,6 +186,11 @@ def read_matrix(spark: SparkSession, matrix: str, names: str, rows_per_task: int
     return spark.range(0, rows, 1, max(1, -(-rows // rows_per_task))).mapInPandas(stage, "path string, embedding array<float>")
 
 
+def local_uri(path: str) -> str:
+    """A library's path for Spark, whose own default may be another file system than the one that libraries are mounted in."""
+    return "file://" + os.path.abspath(path)
+
+
 def missing_tools(names: list[str]) -> list[str]:
     """Which of the external programs aren't installed."""
     return [n for n in names if shutil.which(n) is None]
