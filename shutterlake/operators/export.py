@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shutterlake.functions.dates import stamp
 from shutterlake.functions.paths import extension
 from shutterlake.operators.albums import min_dates, problems, target_albums
-
+from shutterlake.operators.running import running
 
 #: Offenders that a refusal names; it counts the others.
 MOST_NAMED = 1000
@@ -38,7 +37,8 @@ def plan(records: DataFrame) -> DataFrame:
     """records(filename, group_id, first_date timestamp, album, proposed_album) with target, the path within the export.
 
     The folder of an album has the least date over all its groups; the name has the file's own date. The n-th claimant
-    of a path, by group and filename, gets -n before the extension. Dates per album meet pre-aggregated.
+    of a path, by group and filename, gets -n before the extension: claimants are counted in ranges, so that a path that
+    all records claim is no single task's work. Dates per album meet pre-aggregated.
     """
     goals = target_albums(records)
     rows = records.join(goals.withColumnRenamed("target", "goal"), "group_id", "left")
@@ -48,7 +48,6 @@ def plan(records: DataFrame) -> DataFrame:
     folder = F.when(F.col("goal").isNotNull(), F.concat(year("folder_date"), F.lit("/"), F.date_format("folder_date", "yyyyMMdd"), F.lit("-"), "goal")).otherwise(year("first_date"))
     root = F.concat(folder, F.lit("/"), stamp(F.col("first_date")))
     rows = rows.withColumn("root", root).withColumn("ext", extension(F.col("filename")))
-    n = F.row_number().over(Window.partitionBy("root", "ext").orderBy("group_id", "filename")) - 1
-    rows = rows.withColumn("n", n)
+    rows = running(rows, ["root", "ext"], ["group_id", "filename"], "n")
     target = F.concat("root", F.when(F.col("n") > 0, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""), "ext")
     return rows.withColumn("target", target).drop("goal", "folder_date", "root", "ext", "n")

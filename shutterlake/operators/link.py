@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.names import parse_media, parse_sidecar
 from shutterlake.functions.paths import basename, dirname
+from shutterlake.operators.prefixes import prefix_pairs
 
 FUZZY_THRESHOLD = 40
 
@@ -17,19 +18,13 @@ def parsed(files: DataFrame, sidecar: bool, anchored: bool = False) -> DataFrame
     return files.select("path", dirname(F.col("path")).alias("dir"), part.alias("p")).select("path", "dir", "p.*")
 
 
-def _prefixes(rows: DataFrame, threshold: int) -> DataFrame:
-    """Each name long enough with each of its proper prefixes."""
-    long = rows.where(F.length("name") >= threshold)
-    return long.select("*", F.explode(F.sequence(F.lit(0), F.length("name") - 1)).alias("n")).where(F.col("n") < F.length("name")).withColumn("prefix", F.expr("substring(name, 1, n)")).drop("n")
-
-
 def candidates(media: DataFrame, sidecars: DataFrame, fuzzy: bool = True, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """(media, sidecar, score) of every pair that matches, from parsed() frames.
 
     Directory and duplicate marker must agree, null with null. Names that are equal score 150 with the same extension
     and 100 else; a side file named after the whole media name scores 100; where one name begins with the other and
-    the longer one reaches the threshold, the score is 50 plus the shorter one's length. Each rule is an equi-join, so
-    that a directory of any size needs no pairwise comparison.
+    the longer one reaches the threshold, the score is 50 plus the shorter one's length. The rules are equi-joins and one
+    pass over the names in order, so that a directory of any size needs no pairwise comparison.
     """
     # The join key for the marker: text that no marker has stands for none.
     mark = F.coalesce("duplicate", F.lit("-")).alias("mark")
@@ -43,11 +38,14 @@ def candidates(media: DataFrame, sidecars: DataFrame, fuzzy: bool = True, thresh
     out = exact.unionByName(embedded)
     if fuzzy:
         score = (F.lit(50) + F.least(F.length("m_name"), F.length("s_name"))).alias("score")
-        longer_s = _prefixes(s.withColumnRenamed("s_name", "name"), threshold).withColumnRenamed("name", "s_name")
-        longer_m = _prefixes(m.withColumnRenamed("m_name", "name"), threshold).withColumnRenamed("name", "m_name")
-        a = m.join(longer_s, near & (F.col("m_name") == F.col("prefix"))).where(~inside).select("media", "sidecar", score)
-        b = longer_m.join(s, near & (F.col("s_name") == F.col("prefix"))).where(~inside).select("media", "sidecar", score)
-        out = out.unionByName(a).unionByName(b)
+        sides = lambda rows, p, side: rows.select(F.col(f"{p}_dir").alias("dir"), F.col(f"{p}_mark").alias("mark"), F.col(f"{p}_name").alias("name"), F.lit(side).alias("side"))
+        names = sides(m, "m", 1).unionByName(sides(s, "s", 2)).groupBy("dir", "mark", "name").agg(F.bit_or("side").alias("sides"))
+        pairs = prefix_pairs(names, ["dir", "mark"]).where(F.length("long") >= threshold)
+        for m_name, s_name in (("short", "long"), ("long", "short")):
+            on = pairs.where((F.col(f"{m_name}_sides").bitwiseAND(1) > 0) & (F.col(f"{s_name}_sides").bitwiseAND(2) > 0)).select("dir", "mark", F.col(m_name).alias("__m"), F.col(s_name).alias("__s"))
+            met = on.join(m, (F.col("dir") == F.col("m_dir")) & (F.col("mark") == F.col("m_mark")) & (F.col("__m") == F.col("m_name")))
+            met = met.join(s, (F.col("dir") == F.col("s_dir")) & (F.col("mark") == F.col("s_mark")) & (F.col("__s") == F.col("s_name")))
+            out = out.unionByName(met.where(~inside).select("media", "sidecar", score))
     return out
 
 

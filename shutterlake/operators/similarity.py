@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shutterlake.functions.vectors import dot, l2_normalize
-from shutterlake.operators import hdbscan
+from shutterlake.operators import hdbscan, metric
 from shutterlake.operators.hdbscan import labels as density_labels
+from shutterlake.session import ship_package
 
 
 def similar(embeddings: DataFrame, query: str, k: int = 20) -> DataFrame:
@@ -28,56 +31,9 @@ def similar(embeddings: DataFrame, query: str, k: int = 20) -> DataFrame:
     return scored.orderBy(F.desc("score"), "path").limit(k)
 
 
-#: Vectors in one block of queries and in one of rows.
-QUERY_BLOCK, ROW_BLOCK = 1024, 4096
-
-
-def similar_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query, path, score, rank): the k rows most like each of queries(path, embedding), itself excluded.
-
-    Queries are put in blocks, and tasks put the rows that they read in blocks; every two blocks meet in a product of
-    matrices that keeps k rows a query, so that only those are shuffled. Nothing passes through the driver.
-    """
-    asked = queries.select("path", "embedding")
-    asked = asked.repartition(max(1, -(-asked.count() // block)), "path").mapInPandas(_packed(block), _PACKED)
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
-    rows = embeddings.select("path", "embedding").mapInPandas(_packed(ROW_BLOCK), _PACKED)
-    met = rows.crossJoin(asked).mapInPandas(_best_of(k), "query string, path string, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "path"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-_PACKED = "paths array<string>, x binary"
-
-
-def _packed(size: int):
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for a in range(0, len(f), size):
-                part = f.iloc[a : a + size]
-                yield pd.DataFrame({"paths": [part.path.tolist()], "x": [np.stack(part.embedding.to_numpy()).astype(np.float64).tobytes()]})
-
-    return pack
-
-
-def _best_of(k: int):
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                paths = np.asarray(r.paths, object)
-                q, x = np.frombuffer(r.q_x).reshape(len(r.q_paths), -1), np.frombuffer(r.x).reshape(len(paths), -1)
-                names, found, scores = [], [], []
-                for name, row in zip(r.q_paths, q @ x.T, strict=True):
-                    # One more than k, as the query itself may be among them; all that tie with the last.
-                    at = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1]) if len(row) > k + 1 else np.arange(len(row))
-                    at = at[paths[at] != name]
-                    at = at[np.lexsort((paths[at], -row[at]))[:k]]
-                    names += [name] * len(at)
-                    found += paths[at].tolist()
-                    scores.append(row[at])
-                yield pd.DataFrame({"query": names, "path": found, "score": np.concatenate(scores)})
-
-    return best
+def similar_batch(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query, path, score, rank): the k rows most like each of queries(path, embedding), itself excluded, by a metric index."""
+    return metric.nearest(embeddings, queries, k)
 
 
 def lookup(embeddings: DataFrame, paths: DataFrame) -> DataFrame:
@@ -85,12 +41,62 @@ def lookup(embeddings: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.select("path").join(embeddings.select("path", "embedding"), "path", "left")
 
 
+#: Keys whose sums one task holds; with more it sends what it has and begins again.
+KEYS_HELD = 1 << 14
+
+
+def _sums(key: str):
+    """Sum and number of each key's vectors among those that a task reads: one vector travels for each of its keys."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def flush() -> pa.RecordBatch:
+            keys = pa.array(list(held), kind)
+            out = [keys, pa.array([n for n, _ in held.values()], pa.int64()), pa.array([x for _, x in held.values()], pa.list_(pa.float64()))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, names=["key", "n", "x"])
+
+        kind = None
+        for batch in batches:
+            have = batch.filter(pc.is_valid(batch.column("embedding")))
+            kind = batch.column(key).type
+            if not len(have):
+                continue
+            vectors, coded = have.column("embedding"), have.column(key).dictionary_encode("encode")
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            sizes = pc.list_value_length(vectors).to_numpy()
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                x = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
+                order = np.argsort(codes[rows], kind="stable")
+                begins = np.flatnonzero(np.diff(codes[rows][order], prepend=-1))
+                for code, n, total in zip(codes[rows][order][begins], np.diff(np.append(begins, len(rows))), np.add.reduceat(x[order], begins, axis=0), strict=True):
+                    before = held.get(names[code], (0, 0.0))
+                    if before[0] and len(before[1]) != size:
+                        raise ValueError(f"vectors of {names[code]!r} differ in length")
+                    held[names[code]] = before[0] + int(n), before[1] + total
+            if len(held) >= KEYS_HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    return stage
+
+
 def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
-    """(key, embedding): the unit vector along the mean of each key's vectors, element by element."""
-    parts = vectors.select(key, F.posexplode("embedding").alias("pos", "x"))
-    means = parts.groupBy(key, "pos").agg(F.avg("x").alias("m"))
-    lists = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("p"))
-    return lists.select(key, l2_normalize(F.transform("p", lambda s: s["m"])).alias("embedding"))
+    """(key, embedding): the unit vector along the mean of each key's vectors.
+
+    Tasks add what they read of a key, so that one vector and a count are shuffled for each key and task. Rows without a
+    vector don't count; a key's vectors must have one length, and nulls in them count as NaN.
+    """
+    ship_package(vectors.sparkSession)
+    schema = f"key {vectors.schema[key].dataType.simpleString()}, n long, x array<double>"
+    parts = vectors.select(key, "embedding").mapInArrow(_sums(key), schema)
+    # At most a few partial sums for each task.
+    lists = parts.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("x").alias("xs"))
+    total = F.aggregate(F.slice("xs", 2, F.size("xs")), F.get("xs", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+    return lists.select(F.col("key").alias(key), l2_normalize(F.transform(total, lambda v: v / F.col("n"))).alias("embedding"))
 
 
 #: Up to so many rows, density clustering runs in one task; beyond that, in pairs of blocks of BLOCK vectors.

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shutterlake.functions import albums as album_names
 from shutterlake.functions import dates, geo, handlers, names, paths, vectors
 from shutterlake.operators import albums, dedupe, export, geocode, group, heuristics, library, link, reconcile, records, report, scan, similarity
+from shutterlake.operators.running import running
 from shutterlake.options import RECORD_END
 from shutterlake.plans.views import view, with_views
 from shutterlake.sources import contents
@@ -545,9 +545,9 @@ _LONE = "SELECT coalesce(f.filename, r.filename) AS filename, CASE WHEN f.filena
 
 @query("WITH z AS (SELECT 1)" + _FILES + f", u AS ({_LONE}) SELECT pairing, filename, row_number() OVER (ORDER BY pairing, filename) AS place FROM u")
 def unmatched_listing(spark, sf_dir):
-    rows = library.unmatched(library_pairing(spark, sf_dir))
     # The listing's own order, told as a number.
-    return rows.select("pairing", "filename", F.row_number().over(Window.orderBy("pairing", "filename")).cast("long").alias("place"))
+    rows = running(library_pairing(spark, sf_dir).where("pairing <> 'paired'"), [], ["pairing", "filename"], "before")
+    return rows.select("pairing", "filename", (F.col("before") + 1).alias("place"))
 
 
 @query("WITH z AS (SELECT 1)" + _FILES + f", u AS ({_LONE}) SELECT count(*) FILTER (pairing = 'media_without_record') AS media_without_record, count(*) FILTER (pairing = 'record_without_media') AS record_without_media, count(*) FILTER (pairing = 'unsupported_media') AS unsupported_media FROM u")
