@@ -12,7 +12,7 @@ import hashlib
 import ipaddress
 import re
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,7 @@ from shutterlake.llm.common import read
 #: The key of the registered query; a real run passes its own secret.
 DEMONSTRATION_KEY = b"shutterlake demonstration key"
 ROUNDS = 8
-#: Dates are permuted among the days of their 200 years; these spans begin at FIRST_YEAR and by so many years from it.
+#: Dates are permuted within their 200 years; these spans begin at FIRST_YEAR and by so many years from it.
 FIRST_YEAR, SPAN = 1900, 200
 #: Country codes of one and two digits; all others have three.
 _SHORT_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
@@ -193,9 +193,27 @@ def _mail(text: str, key: bytes, inverse: bool) -> str | None:
     return f"{_classes(local, key, b'mail' + domain.lower().encode(), inverse)}@{domain}"
 
 
-def _written(values: tuple[int, ...], widths: tuple[int, ...], fields: list[str]) -> bool:
-    """Whether numbers fit the widths that the old fields have: where one isn't padded, tens stay tens."""
-    return 1 not in widths or all((v < 10) == (int(f) < 10) for v, f in zip(values, fields, strict=True))
+#: Classes of months and of days within which every form can write every date: of one digit or two, and days that can
+#: be no month apart from those that can.
+MONTHS, DAYS = (range(1, 10), range(10, 13)), (range(1, 10), range(10, 13), range(13, 32))
+
+
+@lru_cache(maxsize=1 << 14)
+def permuted_day(day: datetime.date, key: bytes, inverse: bool) -> datetime.date:
+    """The day that stands for a day, whatever form it is written in: of the same span of years and the same classes."""
+    since = FIRST_YEAR + (day.year - FIRST_YEAR) // SPAN * SPAN
+    years = range(max(datetime.MINYEAR, since), min(datetime.MAXYEAR, since + SPAN - 1) + 1)
+    months, days = next(m for m in MONTHS if day.month in m), next(d for d in DAYS if day.day in d)
+    tweak = b"date%d|%d|%d" % (since, months[0], days[0])
+    at = ((day.year - years[0]) * len(months) + day.month - months[0]) * len(days) + day.day - days[0]
+    while True:  # past what is no day of its month
+        at = permute(at, len(years) * len(months) * len(days), key, tweak, inverse)
+        rest, d = divmod(at, len(days))
+        year, m = divmod(rest, len(months))
+        try:
+            return datetime.date(years[year], months[m], days[d])
+        except ValueError:
+            continue
 
 
 def _date(order: str) -> Callable[[str, bytes, bool], str | None]:
@@ -207,19 +225,8 @@ def _date(order: str) -> Callable[[str, bytes, bool], str | None]:
             return None
         if order == "mdy" and day.day <= 12:
             return None  # read as dmy
-        since = FIRST_YEAR + (day.year - FIRST_YEAR) // SPAN * SPAN
-        first = datetime.date(max(1, since), 1, 1).toordinal()
-        days = (datetime.date(since + SPAN, 1, 1).toordinal() if since + SPAN <= datetime.MAXYEAR else datetime.date.max.toordinal() + 1) - first
-        tweak = b"date" if since == FIRST_YEAR else b"date%d" % since
-        fields = [part["m"], part["d"]]
-        widths = tuple(map(len, fields))
-        at = day.toordinal() - first
-        while True:  # past the days that would be written or read in another way
-            at = permute(at, days, key, tweak, inverse)
-            new = datetime.date.fromordinal(first + at)
-            if _written((new.month, new.day), widths, fields) and (order != "mdy" or new.day > 12):
-                break
-        value = {"y": f"{new.year:04d}", "m": f"{new.month:0{widths[0]}d}", "d": f"{new.day:0{widths[1]}d}"}
+        new = permuted_day(day, key, inverse)
+        value = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(part['m'])}d}", "d": f"{new.day:0{len(part['d'])}d}"}
         numbers = iter(value[c] for c in order)
         return re.sub(r"[0-9]+", lambda _: next(numbers), text)
 

@@ -30,6 +30,9 @@ RECORD_ID = "urn:x-page:"
 #: Payload digests that one task remembers, so that it sends each payload once; with more it forgets and may send some again.
 REMEMBERED = 1 << 18
 
+#: Bytes of payloads, before they are compressed and copies merged, that fall into one bucket; its blobs are met in memory.
+BUCKET_BYTES = 64 << 20
+
 _BLOB = "sha256 binary, blob binary"
 _RESPONSE = "page_id long, sha256 binary, header binary"
 
@@ -101,7 +104,8 @@ def write_archive(pages: DataFrame, root: str, warc_date: str = "2024-01-01T00:0
     )
     records = typed.select("page_id", "record_type", "sha256", F.encode(header, "UTF-8").alias("header"))
     records.where("record_type = 'revisit'").select("page_id", "header").write.parquet(f"{root}/revisits")
-    buckets = partitions_of(pages)
+    total = digests.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("n")).first().n
+    buckets = max(partitions_of(pages), -(-total // BUCKET_BYTES))
     responses = records.where("record_type = 'response'").select("page_id", "sha256", "header")
     write_buckets(responses.repartition(buckets, "sha256"), f"{root}/responses", "sha256", buckets)
     blobs = pages.select("html").mapInArrow(_blobs, _BLOB).repartition(buckets, "sha256").mapInArrow(_first_of_each, _BLOB)

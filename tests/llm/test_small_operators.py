@@ -604,3 +604,45 @@ def test_components(spark, monkeypatch, hot):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     assert got == {n: find(n) for e in links for n in e if e[0] != e[1]} 
+
+
+def test_a_day_is_linked_in_all_its_forms():
+    import datetime
+
+    change = {o: pseudonyms._date(o) for o in ("ymd", "dmy", "mdy")}
+    key, seen = b"k", set()
+    first = datetime.date(1900, 1, 1)
+    for n in range((datetime.date(2100, 1, 1) - first).days):
+        day = first + datetime.timedelta(n)
+        y, m, d = day.year, day.month, day.day
+        forms = [("ymd", f"{y}-{m:02d}-{d:02d}"), ("ymd", f"{y}/{m}/{d}"), ("dmy", f"{d:02d}.{m:02d}.{y}"), ("dmy", f"{d}/{m}/{y}")]
+        if d > 12:
+            forms += [("mdy", f"{m:02d}/{d:02d}/{y}"), ("mdy", f"{m}-{d}-{y}")]
+        found = set()
+        for order, text in forms:
+            new = change[order](text, key, False)
+            assert change[order](new, key, True) == text
+            assert [len(x) for x in re.findall("[0-9]+|[^0-9]+", new)] == [len(x) for x in re.findall("[0-9]+|[^0-9]+", text)]
+            part = dict(zip(order, map(int, re.findall("[0-9]+", new))))
+            found.add((part["y"], part["m"], part["d"]))
+        assert len(found) == 1, day
+        seen |= found
+    assert len(seen) == n + 1  # different days have different ones
+    texts = ["on 5.3.1985 and", "on 1985-03-05 and", "on 05/03/1985 and", "on 1985/3/5 and"]
+    told = {tuple(sorted(int(x) for x in re.findall("[0-9]+", pseudonyms.pseudonymise(t, key)[0]))) for t in texts}
+    assert len(told) == 1
+    for y in (1, 57, 1899, 2100, 9999):
+        for text in (f"{y:04d}-12-31", f"{y:04d}-01-01"):
+            new = change["ymd"](text, key, False)
+            assert new != text and change["ymd"](new, key, True) == text
+
+
+def test_archives_of_many_pages_have_buckets_by_their_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BUCKET_BYTES", 2000)
+    rows = [(i, f"http://x/{i}", f"page {i % 150} " * 20) for i in range(400)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    files = {f.split("_")[-1].split(".")[0] for f in __import__("os").listdir(tmp_path / "a" / "blobs") if f.startswith("part-")}
+    assert len(files) > 20
+    got = {r.page_id: warc.parse_record(bytes(r.record)) for r in warc.read_archive(spark, str(tmp_path / "a")).collect()}
+    assert len(got) == 400 and all(got[i]["payload"].decode() == h for i, _, h in rows if i >= 250)
+    assert all(got[i]["fields"]["WARC-Type"] == "revisit" for i in range(250))
