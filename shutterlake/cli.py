@@ -16,7 +16,7 @@ from shutterlake.options import META_DIR, CaptionOptions, EnrichOptions, ExportO
 from shutterlake.plans import commands
 from shutterlake.progress import job_progress
 from shutterlake.session import local_session
-from shutterlake.sources import captioner, contents, listing
+from shutterlake.sources import captioner, contents, listing, models
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("library")
     a.add_argument("--places", required=True, help="Parquet or CSV with place_id, lat, lon, name, admin1, cc")
     a.add_argument("--embedder", required=True, help="module:function from a list of encoded pictures to a list of unit vectors or exceptions")
+    a.add_argument("--factory", action="store_true", help="the function named makes the embedder, once in each worker")
     a.add_argument("--video-frames", type=int, default=EnrichOptions.video_frames)
     a.add_argument("--dry-run", action="store_true")
     a = sub.add_parser("caption")
@@ -109,7 +110,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif o.command == "enrich":
             options = EnrichOptions(video_frames=o.video_frames, dry_run=o.dry_run)
             _, pairs = commands.paired_records(spark, o.library)
-            done = commands.enrich(spark, o.library, read_places(spark, o.places), plugged(o.embedder), options, job_progress(spark))
+            done = commands.enrich(spark, o.library, read_places(spark, o.places), models.PerWorker(plugged(o.embedder)) if o.factory else plugged(o.embedder), options, job_progress(spark, sys.stderr))
             show(report.enrich_summary(done))
             show(report.gaps_summary(pairs))
             for r in report.first_failures(done).collect():

@@ -27,9 +27,3 @@ def disk_geo(latitude: Column, longitude: Column, altitude: Column) -> Column:
 def place(name: Column, admin1: Column, cc: Column) -> Column:
     """struct(city, region, country), empty text where unknown."""
     return F.struct(F.coalesce(name, F.lit("")).alias("city"), F.coalesce(admin1, F.lit("")).alias("region"), F.coalesce(cc, F.lit("")).alias("country"))
-
-
-def chord(lat: Column, lon: Column) -> list[Column]:
-    """Coordinates on the unit sphere: nearest by chord is nearest on the globe."""
-    a, o = F.radians(lat), F.radians(lon)
-    return [F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a)]

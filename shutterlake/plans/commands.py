@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from shutterlake.operators import albums, dedupe, geocode, group, library, link,
 from shutterlake.operators import export as exporting
 from shutterlake.operators import reconcile as reconciling
 from shutterlake.options import EMBEDDINGS, META_DIR, EnrichOptions, ExportOptions, IngestOptions
-from shutterlake.progress import Progress, no_progress, ticking
-from shutterlake.sources import contents, listing, sinks
+from shutterlake.progress import NO_COUNT, Counter, Progress, no_progress, ticking
+from shutterlake.sources import contents, listing, models, proposals, sinks
 from shutterlake.sources.kept import dropped, kept
 
 Reader = Callable[[list[str]], dict[str, dict]]
@@ -104,29 +105,26 @@ def apply_import(planned: Import, options: IngestOptions, writer=sinks.exiftool_
     return out
 
 
-def paired_records(spark: SparkSession, home: str) -> tuple[DataFrame, DataFrame]:
-    """The records of a library that have media, and the pairing of all names."""
-    recs = contents.read_records(spark, home)
+def paired_records(spark: SparkSession, home: str, proposed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The records of a library that have media, and the pairing of all names; unless asked, without the log of proposals."""
+    recs = proposals.records(spark, home) if proposed else contents.read_records(spark, home)
     pairs = library.pair(listing.list_library(spark, home), recs.select("filename"))
     return library.records_by_pairing(recs, pairs).where("pairing = 'paired'").drop("pairing"), pairs
 
 
 def check(spark: SparkSession, home: str) -> dict:
     """Conflicts and invalid names among all records, those without media included."""
-    return albums.check(contents.read_records(spark, home))
+    return albums.check(proposals.records(spark, home))
 
 
 def propose(spark: SparkSession, home: str, filename: str, album: str | None) -> list[str]:
-    """Sets or clears the proposal of a record's whole group; returns the names of the records."""
+    """Sets or clears the proposal of a record's whole group by an entry of the log; returns the names of the records."""
     recs = contents.read_records(spark, home)
     mine = recs.where(F.col("filename") == filename).select("group_id").first()
     if mine is None:
         raise RuntimeError(f"no record of {filename}")
-    log = spark.createDataFrame([], "group_id string, value string, version long")
-    events = albums.propose(log, mine.group_id, album, 1)
-    members = albums.overlay(recs.where(F.col("group_id") == mine.group_id), events)
-    sinks.write_records(members.select("filename", records.to_json().alias("json")), home)
-    return [r.filename for r in members.select("filename").orderBy("filename").collect()]
+    proposals.append(spark, home, mine.group_id, album)
+    return [r.filename for r in recs.where(F.col("group_id") == mine.group_id).select("filename").orderBy("filename").collect()]
 
 
 def export(spark: SparkSession, home: str, destination: str, options: ExportOptions = ExportOptions()) -> DataFrame:
@@ -142,10 +140,12 @@ def export(spark: SparkSession, home: str, destination: str, options: ExportOpti
 Embedder = Callable[[list[bytes]], list[list[float] | Exception]]
 
 
-def embed(spark: SparkSession, home: str, files: DataFrame, embed_images: Embedder, options: EnrichOptions = EnrichOptions()) -> DataFrame:
+def embed(spark: SparkSession, home: str, files: DataFrame, embed_images: Embedder, options: EnrichOptions = EnrichOptions(), count: Counter = NO_COUNT, profile: ResourceProfile | None = None) -> DataFrame:
     """filename, kind, status, embedding, error of files(filename): images in batches, videos as the mean of their frames.
 
-    The model is a function from encoded pictures to unit vectors, an exception in place of those it can't decode.
+    The model is a function from encoded pictures to unit vectors, an exception in place of those it can't decode;
+    models.PerWorker() makes one in each worker. A batch that it fails on is asked again picture by picture. `profile`
+    says what the stage's executors need, such as a GPU.
     """
     n, batch = options.video_frames, options.image_batch
 
@@ -167,7 +167,7 @@ def embed(spark: SparkSession, home: str, files: DataFrame, embed_images: Embedd
                         names.append(name)
                     except OSError as e:
                         bad.append((name, "image", "error", None, str(e)))
-                found = embed_images(data) if data else []
+                found = models.each_alone(embed_images, data)
                 out += bad + [(x, "image", "error", None, str(v)) if isinstance(v, Exception) else (x, "image", "processed", list(v), None) for x, v in zip(names, found, strict=True)]
             for name in f.filename:
                 if os.path.splitext(name)[1].lower() in handlers.VIDEOS:
@@ -179,17 +179,18 @@ def embed(spark: SparkSession, home: str, files: DataFrame, embed_images: Embedd
                         out.append((name, "video", "processed", unit([list(v) for v in found]), None))
                     except Exception as e:
                         out.append((name, "video", "error", None, str(e)))
+            count.add(len(out))
             yield pd.DataFrame(out, columns=["filename", "kind", "status", "embedding", "error"])
 
-    return files.select("filename").mapInPandas(stage, "filename string, kind string, status string, embedding array<float>, error string")
+    return files.select("filename").mapInPandas(stage, "filename string, kind string, status string, embedding array<float>, error string", profile=profile)
 
 
-def enrich(spark: SparkSession, home: str, places: DataFrame, embed_images: Embedder, options: EnrichOptions = EnrichOptions(), progress: Progress = no_progress) -> DataFrame:
+def enrich(spark: SparkSession, home: str, places: DataFrame, embed_images: Embedder, options: EnrichOptions = EnrichOptions(), progress: Progress = no_progress, profile: ResourceProfile | None = None) -> DataFrame:
     """Gives the paired records their places and the library its vectors; everything is computed anew.
 
     A dry run computes the same and writes nothing.
     """
-    recs, _ = paired_records(spark, home)
+    recs, _ = paired_records(spark, home, proposed=False)
     if not recs.where(handlers.is_video(extension(F.col("filename")))).limit(1).isEmpty():
         contents.require_tools(["ffmpeg", "ffprobe"])
     points = recs.select(F.col("filename").alias("key"), F.col("geo.latitude").alias("lat"), F.col("geo.longitude").alias("lon"))
@@ -198,9 +199,11 @@ def enrich(spark: SparkSession, home: str, places: DataFrame, embed_images: Embe
     if not options.dry_run:
         with progress("Places", 0):
             sinks.write_records(located.where("location IS NOT NULL").select("filename", records.to_json().alias("json")), home)
-    with progress("Vectors", 0) as tick:
-        vectors = embed(spark, home, recs, embed_images, options).persist()
-        tick(vectors.count())
+    n = recs.count()
+    # Some batches for each core; what the model gave is kept, so that no picture is asked for twice.
+    files = recs.select("filename").repartition(max(1, min(-(-n // options.image_batch), 4 * spark.sparkContext.defaultParallelism)))
+    with progress("Vectors", n) as tick, ticking(spark, tick) as count:
+        vectors = kept(embed(spark, home, files, embed_images, options, count, profile), "embedded")
         if not options.dry_run:
             good = vectors.where("status = 'processed' AND embedding IS NOT NULL")
             sinks.write_embeddings(good.select(F.col("filename").alias("path"), "embedding"), os.path.join(home, META_DIR, EMBEDDINGS))

@@ -9,7 +9,6 @@ import shutil
 import subprocess
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from shutterlake.operators.records import RECORD_DDL
 from shutterlake.options import EMBEDDINGS, EMBEDDINGS_MATRIX, EMBEDDINGS_NAMES, META_DIR, RECORD_END
 from shutterlake.progress import NO_COUNT, Counter
 from shutterlake.sources.listing import list_files
+from shutterlake.sources.matrix import read_matrix
 
 TAG_BATCH = 512
 # Options of the external tag tool. Without the first two, files of 4 GB and more have no tags.
@@ -167,25 +167,6 @@ def read_embeddings(spark: SparkSession, library: str, strict: bool = True) -> D
     return None
 
 
-def read_matrix(spark: SparkSession, matrix: str, names: str, rows_per_task: int = 1 << 16) -> DataFrame:
-    """(path, embedding) of a numpy matrix and a JSON list of as many names; tasks read the matrix by ranges of rows."""
-    rows = len(np.load(matrix, mmap_mode="r"))
-    with open(names, encoding="utf-8") as f:
-        listed = len(json.load(f))
-    if listed != rows:
-        raise RuntimeError(f"{rows} vectors have {listed} names")
-
-    def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = np.load(matrix, mmap_mode="r")
-        with open(names, encoding="utf-8") as f:
-            paths = json.load(f)
-        for f in frames:
-            at = f.id.to_numpy()
-            yield pd.DataFrame({"path": [paths[i] for i in at], "embedding": list(np.asarray(x[at], np.float32))})
-
-    return spark.range(0, rows, 1, max(1, -(-rows // rows_per_task))).mapInPandas(stage, "path string, embedding array<float>")
-
-
 def local_uri(path: str) -> str:
     """A library's path for Spark, whose own default may be another file system than the one that libraries are mounted in."""
     return "file://" + os.path.abspath(path)

@@ -8,10 +8,10 @@ import pytest
 from shutterlake import cli
 from shutterlake.operators import albums, dedupe, geocode, records, report, similarity
 from shutterlake.operators.hdbscan import labels
-from shutterlake.options import META_DIR, RECORD_END, ExportOptions, IngestOptions
+from shutterlake.options import META_DIR, RECORD_END, EnrichOptions, ExportOptions, IngestOptions
 from shutterlake.plans import commands
 from shutterlake.progress import job_progress, no_progress
-from shutterlake.sources import captioner, contents, listing, sinks
+from shutterlake.sources import captioner, contents, listing, matrix, models, proposals, sinks
 
 
 def put(path, data):
@@ -299,8 +299,86 @@ def test_progress_names_the_jobs(spark):
         tick(1)
 
 
-def test_geocode_joins_cells(spark):
-    pts = spark.createDataFrame([(1, 10.0, 10.0)], "key long, lat double, lon double")
-    pls = spark.createDataFrame([(1, 11.0, 10.0, "d", None, "c")], "place_id long, lat double, lon double, name string, admin1 string, cc string")
-    plan = geocode._within(pts.select("key", *geocode._axes("q")), pls.select("place_id", *geocode._axes("p"), "name", "admin1", "cc"), "key", 0.1, True)._jdf.queryExecution().executedPlan().toString()
-    assert "HashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+def test_few_places_are_met_without_a_shuffle(spark):
+    pts = spark.createDataFrame([(1, 10.0, 10.0), (2, None, 1.0)], "key long, lat double, lon double")
+    pls = spark.createDataFrame([(5, 11.0, 10.0, "d", None, "c"), (4, 11.0, 10.0, "e", "r", "c")], "place_id long, lat double, lon double, name string, admin1 string, cc string")
+    found = geocode.nearest(pts, pls)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert [(r.key, r.place_id, r.location and tuple(r.location)) for r in found.orderBy("key").collect()] == [(1, 4, ("e", "r", "c")), (2, None, None)]
+    assert geocode.nearest(pts, pls.limit(0)).where("location IS NULL AND place_id IS NULL").count() == 2
+
+
+def test_half_the_points_at_one_home(spark):
+    r = np.random.default_rng(5)
+    home = [(i, 48.1 + x, 11.5 + y) for i, (x, y) in enumerate(r.normal(0, 0.001, (8000, 2)).tolist())]
+    away = [(8000 + i, float(a), float(o)) for i, (a, o) in enumerate(zip(r.uniform(-89, 89, 8000), r.uniform(-179, 179, 8000)))] + [(20_000, -48.1, -168.5)]
+    near = [(i, 48.1 + x, 11.5 + y) for i, (x, y) in enumerate(r.normal(0, 0.5, (300, 2)).tolist())] + [(300 + i, float(a), float(o)) for i, (a, o) in enumerate(zip(r.uniform(0, 80, 300), r.uniform(-20, 60, 300)))]
+    pts = spark.createDataFrame(home + away, "key long, lat double, lon double").repartition(8)
+    pls = spark.createDataFrame([(*p, f"n{p[0]}", None, "c") for p in near], "place_id long, lat double, lon double, name string, admin1 string, cc string")
+    many = geocode.nearest(pts, pls, broadcast_places=20)
+    assert {x.key: x.place_id for x in many.collect()} == {x.key: x.place_id for x in geocode.nearest(pts, pls).collect()}
+
+
+def test_a_matrix_is_read_by_ranges_of_both_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    names = [f'n{i} "quoted\\ é日 ]' + "x" * int(n) for i, n in enumerate(rng.integers(0, 40, 1000))]
+    x = rng.normal(size=(1000, 3)).astype(np.float32)
+    np.save(tmp_path / "m.npy", x)
+    for k, text in enumerate((json.dumps(names), json.dumps(names, indent=2, ensure_ascii=False))):
+        (tmp_path / f"n{k}.json").write_text(text)
+        offsets, n = matrix.name_offsets(str(tmp_path / f"n{k}.json"), 512, piece=100)
+        assert n == 1000 and len(offsets) == 2
+        df = matrix.read_matrix(spark, str(tmp_path / "m.npy"), str(tmp_path / f"n{k}.json"), 512)
+        assert df.rdd.getNumPartitions() == 2 and sorted(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) == [488, 512]
+        assert {r.path: r.embedding for r in df.collect()} == {p: v.tolist() for p, v in zip(names, x)}
+    (tmp_path / "few.json").write_text('["a"]')
+    with pytest.raises(RuntimeError, match="1000 vectors have 1 names"):
+        matrix.read_matrix(spark, str(tmp_path / "m.npy"), str(tmp_path / "few.json"))
+
+
+def test_a_model_is_made_once_for_each_worker(spark, tmp_path):
+    home, log = str(tmp_path / "lib"), str(tmp_path / "made")
+    for i in range(60):
+        put(f"{home}/p{i:02d}.jpg", bytes([i]))
+
+    def make():
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+        def model(images):
+            if any(b[0] == 33 for b in images):
+                raise ValueError("can't decode")
+            return [[float(b[0]), 1.0] for b in images]
+
+        return model
+
+    files = spark.createDataFrame([(f"p{i:02d}.jpg",) for i in range(60)], "filename string").repartition(12)
+    found = {r.filename: r for r in commands.embed(spark, home, files, models.PerWorker(make), EnrichOptions(image_batch=4)).collect()}
+    workers = open(log).read().split()
+    assert len(workers) == len(set(workers)) <= spark.sparkContext.defaultParallelism
+    assert [n for n, r in found.items() if r.status == "error"] == ["p33.jpg"] and "can't decode" in found["p33.jpg"].error
+    assert found["p34.jpg"].embedding == [34.0, 1.0]
+
+
+def test_proposals_are_a_log(spark, tmp_path, monkeypatch):
+    home = str(tmp_path / "lib")
+    for i in range(4):
+        put(f"{home}/p{i}.jpg", b"x")
+        put(f"{home}/{META_DIR}/p{i}.jpg{RECORD_END}", {"dates": ["2020-01-01T00:00:00"], "geo": None, "album": None, "group_id": f"g{i // 2}", "proposed_album": "Old" if i < 2 else None})
+    before = {n: os.stat(f"{home}/{META_DIR}/{n}").st_mtime_ns for n in os.listdir(f"{home}/{META_DIR}") if n.endswith(RECORD_END)}
+    say = lambda: {r.filename: r.proposed_album for r in proposals.records(spark, home).collect()}
+    assert say() == {"p0.jpg": "Old", "p1.jpg": "Old", "p2.jpg": None, "p3.jpg": None}
+    assert commands.propose(spark, home, "p0.jpg", "One") == ["p0.jpg", "p1.jpg"]
+    commands.propose(spark, home, "p1.jpg", "Two")
+    commands.propose(spark, home, "p2.jpg", "Three")
+    assert say() == {"p0.jpg": "Two", "p1.jpg": "Two", "p2.jpg": "Three", "p3.jpg": "Three"}
+    planned = commands.export(spark, home, str(tmp_path / "out"), ExportOptions(dry_run=True))
+    assert sorted(r.target.split("/")[1] for r in planned.collect()) == ["20200101-Three"] * 2 + ["20200101-Two"] * 2
+    monkeypatch.setattr(proposals, "MOST_FILES", 3)
+    commands.propose(spark, home, "p0.jpg", None)
+    assert say() == {"p0.jpg": None, "p1.jpg": None, "p2.jpg": "Three", "p3.jpg": "Three"}
+    assert proposals.log(spark, home).count() == 2
+    with pytest.raises(ValueError):
+        commands.propose(spark, home, "p0.jpg", "a/b")
+    assert {n: os.stat(f"{home}/{META_DIR}/{n}").st_mtime_ns for n in before} == before
