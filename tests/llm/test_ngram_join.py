@@ -167,3 +167,21 @@ def test_tree_gives_all_pairs_within_the_bound():
     a, b = (x.ravel() for x in np.indices((700, 700)))
     ok = ngram_join.likely(points, sizes, a, b)
     assert got == set(zip(a[ok].tolist(), b[ok].tolist()))
+
+
+def test_a_hot_class_is_copied_to_several_tasks(spark):
+    pairs = spark.range(0, 3000).selectExpr("if(id < 2000, 7L, id) as a", "id + 10000 as b")
+    facts = spark.createDataFrame([(k, f"set {k}") for k in [7, *range(2000, 3000)]], "a long, tokens string")
+    shares = ngram_join._shares(pairs, "a", 100)
+    assert [tuple(r) for r in shares.collect()] == [(7, 20)]
+    joined = ngram_join.copied_join(pairs, facts, "a", ["b"], shares)
+    rows = joined.collect()
+    assert len(rows) == 3000 and all(r.tokens == f"set {r.a}" for r in rows) and {r.b for r in rows} == set(range(10000, 13000))
+    assert "Cartesian" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_copies_of_one_text_are_one_component(spark):
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[:60], f"own{i}", *base[61:]])) for i in range(600)]
+    found = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), keep_chunks=False)[1].collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 600
