@@ -26,6 +26,8 @@ from shutterlake.sources.kept import kept
 PIVOTS, RINGS = 256, 64
 #: Vectors of a block of rows and of a batch of queries.
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Of so many rows one part of each zone is one task's: a zone that all rows lie in is dealt to that many tasks.
+TASK_ROWS = 1 << 16
 #: What rounding may do to an angle or, as a share, to a bound.
 _SLACK = 1e-6
 
@@ -163,18 +165,20 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
     rows = embeddings.where(F.col("embedding").isNotNull()).select("path", "embedding")
     asked = queries.where(F.col("embedding").isNotNull()).select("path", "embedding")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = rows.orderBy(F.xxhash64("path"), "path").limit(min(pivots, max(1, math.isqrt(rows.count())))).collect()
+    n_rows = rows.count()
+    sample = rows.orderBy(F.xxhash64("path"), "path").limit(min(pivots, max(1, math.isqrt(n_rows)))).collect()
     if not sample:
         return spark.createDataFrame([], _FOUND + ", rank int")
     points = np.array([r.embedding for r in sample], np.float64)
     points = points / np.maximum(np.sqrt((points * points).sum(axis=1)), 1e-300)[:, None]
     schema = f"path string, embedding {rows.schema['embedding'].dataType.simpleString()}, zone int, angle double, size double"
-    zoned = rows.mapInArrow(_zoned(points), schema).repartition(n, "zone", F.pmod(F.xxhash64("path"), F.lit(n))).sortWithinPartitions("zone", "angle")
+    zoned = rows.mapInArrow(_zoned(points), schema).repartition(n, "zone", F.pmod(F.xxhash64("path"), F.lit(max(1, n_rows // TASK_ROWS)))).sortWithinPartitions("zone", "angle")
     blocks = kept(zoned.mapInArrow(_blocks, _BLOCK), "vectors")
     per_zone = blocks.groupBy("zone").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"), F.sum("n").alias("n"))
     table = per_zone.orderBy("zone").toPandas()  # at most PIVOTS * RINGS rows
     zones = Zones(points, *(table[c].to_numpy() for c in ("zone", "lo", "hi", "shortest", "longest", "n")))
-    asked = asked.repartition(n, "path")
+    # Full batches: what zones are sent grows with the queries, not with the partitions.
+    asked = asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK)))
 
     def meet(messages: DataFrame) -> DataFrame:
         numbers = blocks.select("zone", "block")
