@@ -76,7 +76,11 @@ def overlay(records: DataFrame, events: DataFrame) -> DataFrame:
     return joined.withColumn("proposed_album", F.when(F.col("told"), F.col("value")).otherwise(F.col("proposed_album"))).drop("value", "told")
 
 
+def without_group(records: DataFrame) -> DataFrame:
+    """The records whose group_id is null or empty."""
+    return records.where(F.coalesce("group_id", F.lit("")) == "")
+
+
 def require_groups(records: DataFrame) -> None:
-    bad = records.where(F.coalesce("group_id", F.lit("")) == "").limit(1)
-    if not bad.isEmpty():
+    if not without_group(records).limit(1).isEmpty():
         raise RuntimeError("a record has no group_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.operators.running import running
+
 RECORD_DDL = (
     "dates array<string>, geo struct<latitude:double,longitude:double,altitude:double>, album string, group_id string, "
     "location struct<city:string,region:string,country:string>, caption string, proposed_album string"
@@ -72,3 +74,8 @@ def group_ids(records: DataFrame) -> DataFrame:
 def siblings(records: DataFrame, which: Column) -> DataFrame:
     """All members of the groups of the records that `which` selects."""
     return records.join(records.where(which).select("group_id").distinct(), "group_id", "left_semi")
+
+
+def sibling_listing(records: DataFrame, which: Column) -> DataFrame:
+    """siblings() with `place`, each one's number from 0 within its group by filename."""
+    return running(siblings(records, which), ["group_id"], ["filename"], "place")

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from shutterlake.functions.vectors import dot, l2_normalize
 from shutterlake.operators import hdbscan, metric
 from shutterlake.operators.hdbscan import labels as density_labels
+from shutterlake.operators.running import running
 from shutterlake.session import ship_package
 
 
@@ -239,6 +240,6 @@ def _cluster_blocks(rows: DataFrame, min_cluster_size: int) -> DataFrame:
     return blocks.select("lo", "paths").mapInPandas(named, "path string, label int")
 
 
-def members(labelled: DataFrame) -> DataFrame:
-    """(label, paths): each cluster's paths in order."""
-    return labelled.groupBy("label").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+def member_listing(labelled: DataFrame) -> DataFrame:
+    """(label, path, place): each cluster's paths numbered in order from 0, a row each, so that no cluster is gathered."""
+    return running(labelled.select("label", "path"), ["label"], ["path"], "place")

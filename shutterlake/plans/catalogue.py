@@ -12,6 +12,7 @@ from shutterlake.functions import dates, geo, handlers, names, paths, vectors
 from shutterlake.operators import albums, dedupe, export, geocode, group, heuristics, library, link, reconcile, records, report, scan, similarity
 from shutterlake.operators.running import running
 from shutterlake.options import RECORD_END
+from shutterlake.plans import commands
 from shutterlake.plans.views import view, with_views
 from shutterlake.sources import contents
 
@@ -586,3 +587,43 @@ def trip_events(spark, sf_dir):
     later = lambda h: F.timestamp_add("HOUR", h.cast("int"), F.col("first"))
     trips = _table(spark, sf_dir, "supplier").join(F.broadcast(first), F.lit(True)).select(k.alias("trip_id"), later(k % 300 * 2).alias("starts"), later(k % 300 * 2 + k % 50).alias("ends"))  # first is one row
     return heuristics.in_trips(e.select("event_id", "ts"), trips).select("event_id", "trip_id")
+
+
+@query("WITH m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 4 THEN o_custkey END AS h, o_orderstatus = 'F' AS album FROM orders), g AS (SELECT h AS key, bool_or(album) AS a, bool_or(NOT album) AS l FROM m WHERE h IS NOT NULL GROUP BY h) SELECT o_orderkey, h IS NOT NULL AND NOT (a AND l AND NOT album) AS keep FROM m LEFT JOIN g ON h = key")
+def kept_files(spark, sf_dir):
+    # Orders as files: a customer is a content, and some can't be read.
+    failed = F.col("o_orderkey") % 9 == 4
+    source = F.struct(F.when(F.col("o_orderstatus") == "F", "album").otherwise("loose").alias("type"))
+    files = _table(spark, sf_dir, "orders").select("o_orderkey", source.alias("source"), F.when(~failed, F.col("o_custkey").cast("string")).alias("hash"), F.when(failed, "error").otherwise("processed").alias("status"))
+    return dedupe.assured(dedupe.resolve(files)).select("o_orderkey", dedupe.can_keep().alias("keep"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 6 < 2")
+def groupless_records(spark, sf_dir):
+    k = F.col("o_orderkey")
+    group_id = F.when(k % 6 == 1, "").when(k % 6 > 1, F.concat(F.lit("g"), F.col("o_custkey").cast("string")))
+    return albums.without_group(_table(spark, sf_dir, "orders").select("o_orderkey", group_id.alias("group_id"))).select("o_orderkey")
+
+
+@query("SELECT label, concat('v', lpad(vec_id::VARCHAR, 9, '0')) AS path, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM embeddings")
+def cluster_listing(spark, sf_dir):
+    # The table's own labels as clusters.
+    return similarity.member_listing(_vectors(spark, sf_dir))
+
+
+@query(", g AS (SELECT DISTINCT group_id FROM members WHERE proposed_album = 'Trip R') SELECT group_id, filename, row_number() OVER (PARTITION BY group_id ORDER BY filename) - 1 AS place FROM members JOIN g USING (group_id)", "members")
+def sibling_listing(spark, sf_dir):
+    rows = records.sibling_listing(view(spark, sf_dir, "members"), F.col("proposed_album") == "Trip R")
+    return rows.select("group_id", "filename", "place")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 > 1 THEN 'kept' WHEN c_custkey % 7 <> 3 THEN concat('told of p', lpad(c_custkey::VARCHAR, 9, '0')) WHEN c_custkey % 4 = 0 THEN '' END AS caption FROM customer")
+def caption_misses(spark, sf_dir):
+    def describe(name):
+        if int(name[1:]) % 7 == 3:
+            raise RuntimeError("no answer")
+        return f"told of {name}"
+
+    k = F.col("c_custkey")
+    recs = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("p"), F.lpad(k.cast("string"), 9, "0")).alias("filename"), F.when(k % 4 == 0, "").when(k % 4 > 1, "kept").alias("caption"))
+    return commands.caption(recs, describe).select("c_custkey", "caption")
