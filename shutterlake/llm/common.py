@@ -99,6 +99,26 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, hot: F.Column, salt
     return joined.select(*rows.columns, *[F.col("__fact")[c].alias(c) for c in values])
 
 
+def shares_of(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, shares) of the hot keys among the rows, by hot_limit() fewer than HOT_KEYS: as many shares as tasks should have of each."""
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    return counted.select(key, F.ceil(F.col("n") / limit).cast("int").alias("shares"))
+
+
+def copied_join(rows: DataFrame, facts: DataFrame, key: str, salt: list[str], shares: DataFrame) -> DataFrame:
+    """rows joined with facts(key, ...), which may be large: a hot key's facts are copied, once for each share.
+
+    What is broadcast are the hot keys' numbers of shares alone. With one fact a key, the copies are fewer than HOT_KEYS
+    twice.
+    """
+    hot = F.broadcast(shares)
+    dealt = rows.join(hot, key, "left").withColumn("__share", F.pmod(F.xxhash64(*salt), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
+    copies = facts.join(hot, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    # Key and share are one value: else the rows would be dealt by the key alone where an order by it is at hand.
+    both = lambda df: df.withColumn("__at", F.struct(key, "__share")).drop("__share")
+    return both(dealt).join(both(copies).drop(key), "__at").drop("__at")
+
+
 def write_buckets(df: DataFrame, path: str, column: str, buckets: int) -> None:
     """The frame as Parquet files bucketed by a column, for read_buckets(). The catalogue keeps no table of them."""
     name = f"shutterlake_{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import Chunk, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import forget, read, stored
+from shutterlake.llm.common import copied_join, forget, hot_limit, read, shares_of, stored
 from shutterlake.llm.kernels import LETTERS, combined, groups, text_bytes, words
 
 #: For items of at least LEAST_MASKED words: a share of 0.8 leaves 5 successive words with at most one substitution in
@@ -222,10 +222,20 @@ def _doc_seeds(bits):
                 out = []
                 for number, shape in enumerate(shapes):
                     h = combined(hashes, shape)
-                    for i in np.flatnonzero(table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]).tolist():
-                        k = int(np.searchsorted(at, i, side="right")) - 1
-                        if i + max(shape) < at[k + 1]:
-                            out.append((number, int(h[i].view(np.int64)), c.id, row + k, i - int(at[k]), *_around(hashes[at[k] : at[k + 1]], i - int(at[k]))))
+                    hits = np.flatnonzero(table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                    owner = np.searchsorted(at, hits, side="right") - 1
+                    inside = hits + max(shape) < at[owner + 1]
+                    hits, owner = hits[inside], owner[inside]
+                    exact = number >= len(LONG_MASKS) + len(MASKS)
+                    if exact and len(hits):
+                        # The whole item is these words, and the first place of a text is the one that is told.
+                        told = np.column_stack([owner.astype(np.uint64), *(hashes[hits + j] for j in shape)])
+                        first = np.sort(np.unique(told, axis=0, return_index=True)[1])
+                        hits, owner = hits[first], owner[first]
+                    for i, k in zip(hits.tolist(), owner.tolist(), strict=True):
+                        own, place = hashes[at[k] : at[k + 1]], i - int(at[k])
+                        around = (place, own[place : place + len(shape)].tobytes()) if exact else _around(own, place)
+                        out.append((number, int(h[i].view(np.int64)), c.id, row + k, place, *around))
                 row += len(at) - 1
                 types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 columns = list(zip(*out, strict=True)) or [()] * len(types)
@@ -286,13 +296,16 @@ def _joined(docs: DataFrame, benchmark: DataFrame, names: list[str], schema: str
     bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
     for r in filled.collect():
         bits[r.word] = r.bits
-    candidates = chunks.drop("others").mapInArrow(_doc_seeds(spark.sparkContext.broadcast(bits.tobytes())), _CANDIDATE)
-    found = candidates.join(seeds, ["shape", "hash"]).mapInArrow(_verified, _FOUND)
+    candidates = stored(chunks.drop("others").mapInArrow(_doc_seeds(spark.sparkContext.broadcast(bits.tobytes())), _CANDIDATE), "candidates")
+    keyed = lambda df: df.withColumn("seed", F.struct("shape", "hash")).drop("shape", "hash")
+    # A hash that very many places of the corpus have, as that of an item of one common word, is dealt to several tasks.
+    shares = shares_of(keyed(candidates), "seed", hot_limit(candidates.count()))
+    found = copied_join(keyed(candidates), keyed(seeds), "seed", ["chunk_id", "row", "at"], shares).mapInArrow(_verified, _FOUND)
     best = found.groupBy("chunk_id", "row", "item_key", "item_id", "window").agg(F.min(F.struct((-F.col("n_same")).alias("minus"), "doc_word", "item_word")).alias("b"))
     best = best.select("chunk_id", "row", "item_key", "item_id", (-F.col("b.minus")).alias("n_same"), "window", "b.doc_word", "b.item_word")
     out = stored(with_messages(chunks, best, keep_all=True).mapInArrow(_told(names), schema), "overlaps")
-    forget(chunks)
-    forget(seeds)
+    for table in (chunks, seeds, candidates):
+        forget(table)
     return out
 
 

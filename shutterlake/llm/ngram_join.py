@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import Chunk, bucketed, buckets_for, row_id, rows_of, store_chunks, with_messages
-from shutterlake.llm.common import HOT_KEYS, forget, hot_limit, read, release, spread_join, standing_on, stored
+from shutterlake.llm.common import HOT_KEYS, copied_join, forget, hot_limit, read, release, shares_of, spread_join, standing_on, stored
 from shutterlake.llm.components import components
 from shutterlake.llm.kernels import SPACED, combined, groups, mix, words
 from shutterlake.llm.substrings import _MASK, _TELL, _unique, counted_masks, hot_of, unpack_masks
@@ -402,25 +402,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap, pa.int64())], names=["a", "b", "overlap"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _shares(pairs: DataFrame, key: str, limit: int) -> DataFrame:
-    """(key, shares) of the hot classes among the pairs, fewer than HOT_KEYS: as many shares as tasks should have of each."""
-    counted = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    return counted.select(key, F.ceil(F.col("n") / limit).cast("int").alias("shares"))
-
-
-def copied_join(rows: DataFrame, facts: DataFrame, key: str, salt: list[str], shares: DataFrame) -> DataFrame:
-    """rows joined with facts(key, ...), one for each key, which may be large: a hot key's fact is copied, once for each share.
-
-    What is broadcast are the hot keys' numbers of shares alone. The copies are fewer than HOT_KEYS twice.
-    """
-    hot = F.broadcast(shares)
-    dealt = rows.join(hot, key, "left").withColumn("__share", F.pmod(F.xxhash64(*salt), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
-    copies = facts.join(hot, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    # Key and share are one value: else the rows would be dealt by the key alone where an order by it is at hand.
-    both = lambda df: df.withColumn("__at", F.struct(key, "__share")).drop("__share")
-    return both(dealt).join(both(copies).drop(key), "__at").drop("__at")
-
-
 class _Classes:
     """The documents of a table described once: `known` all of them, `wanted` those that may have a partner, `classes`
     one row for each different set among these."""
@@ -480,8 +461,8 @@ class _Classes:
         small_enough = needed.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
         sets = self.wanted.select("chunk_id", "row", "tokens").join(F.broadcast(needed) if small_enough else needed, ["chunk_id", "row"])
         limit = hot_limit(fresh.count())
-        left = copied_join(fresh, sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b", ["a"], _shares(fresh, "b", limit))
-        full = copied_join(left, sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a", ["b"], _shares(fresh, "a", limit))
+        left = copied_join(fresh, sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b", ["a"], shares_of(fresh, "b", limit))
+        full = copied_join(left, sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a", ["b"], shares_of(fresh, "a", limit))
         new = self._stored(full.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long, overlap long"), "links")
         release(fresh.sparkSession)
         forget(needed)

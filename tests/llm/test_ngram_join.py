@@ -172,9 +172,9 @@ def test_tree_gives_all_pairs_within_the_bound():
 def test_a_hot_class_is_copied_to_several_tasks(spark):
     pairs = spark.range(0, 3000).selectExpr("if(id < 2000, 7L, id) as a", "id + 10000 as b")
     facts = spark.createDataFrame([(k, f"set {k}") for k in [7, *range(2000, 3000)]], "a long, tokens string")
-    shares = ngram_join._shares(pairs, "a", 100)
+    shares = common.shares_of(pairs, "a", 100)
     assert [tuple(r) for r in shares.collect()] == [(7, 20)]
-    joined = ngram_join.copied_join(pairs, facts, "a", ["b"], shares)
+    joined = common.copied_join(pairs, facts, "a", ["b"], shares)
     rows = joined.collect()
     assert len(rows) == 3000 and all(r.tokens == f"set {r.a}" for r in rows) and {r.b for r in rows} == set(range(10000, 13000))
     assert "Cartesian" not in joined._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.llm import common, components, decontaminate, language, pseudonyms, topk, toxicity, warc
+from shutterlake.llm.common import shares_of
 from shutterlake.llm.kernels import LETTERS, SPACED, words
 
 KEY = b"test key"
@@ -456,6 +457,24 @@ def test_index_and_join_of_hashes_tell_the_same(spark):
     assert decontaminate.with_overlaps(rows.drop("doc_id"), bench, broadcast_bytes=0).columns == ["text", "chunk_id", "row", "overlaps"]
 
 
+def test_an_item_of_a_frequent_word_is_joined_in_shares(spark, monkeypatch):
+    items = [(1, "the"), (2, "the cat"), (3, "cat the"), (4, " ".join(f"w{k}" for k in range(20))), (5, "the the"), (5, "the")]
+    docs = [(k, " ".join(["a dog", *["the"] * (k % 4), "cat the cat" * (k % 5 == 0), items[3][1] * (k % 7 == 0), "end"])) for k in range(1500)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    asked = []
+
+    def shares(rows, key, limit):
+        asked.append({(r.seed.shape, r.seed.hash): r.shares for r in shares_of(rows, key, limit).collect()})
+        return shares_of(rows, key, limit)
+
+    monkeypatch.setattr(decontaminate, "shares_of", shares)
+    told = [sorted(map(repr, decontaminate.with_overlaps(rows, bench, keep_text=False, broadcast_bytes=n).collect())) for n in (1 << 20, 0)]
+    assert told[0] == told[1]
+    # "the" once for each text that has it, however often: 1,200 texts, dealt to several tasks.
+    assert max(asked[0].values()) == -(-sum("the" in t.split() for _, t in docs) // 128) > 5
+
+
 @pytest.mark.parametrize("length", range(1, decontaminate.WINDOW + 1))
 def test_substitutions_of_short_items_are_found(length):
     from itertools import combinations
