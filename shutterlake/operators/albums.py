@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.albums import valid_album_name
+from shutterlake.operators.spread import known_of
 
 _FULL = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
 
@@ -21,11 +22,14 @@ def conflicts(records: DataFrame) -> DataFrame:
     return proposals(records).where(F.size("proposals") > 1)
 
 
-def target_albums(records: DataFrame) -> DataFrame:
-    """(group_id, target): the first non-empty proposal in file order, else the first non-empty import album, else null."""
+def target_albums(records: DataFrame, size: str | None = None) -> DataFrame:
+    """(group_id, target): the first non-empty proposal in file order, else the first non-empty import album, else null.
+
+    With `size`, a column of that name has the group's number of records.
+    """
     first = lambda c: F.min(F.when(_FULL(c), F.struct("filename", F.col(c).alias("v"))))["v"]
-    both = records.groupBy("group_id").agg(first("proposed_album").alias("p"), first("album").alias("a"))
-    return both.select("group_id", F.coalesce("p", "a").alias("target"))
+    both = records.groupBy("group_id").agg(first("proposed_album").alias("p"), first("album").alias("a"), F.count(F.lit(1)).alias("n"))
+    return both.select("group_id", F.coalesce("p", "a").alias("target"), *([F.col("n").alias(size)] if size else []))
 
 
 def min_dates(records: DataFrame) -> DataFrame:
@@ -71,8 +75,9 @@ def propose(events: DataFrame, group_id: str, album: str | None, version: int) -
 
 def overlay(records: DataFrame, events: DataFrame) -> DataFrame:
     """records with the last proposal of their group in force; groups without an entry keep what their records say."""
-    last = events.groupBy("group_id").agg(F.max_by("value", "version").alias("value"))
-    joined = records.join(last.withColumn("told", F.lit(True)), "group_id", "left")
+    last = events.groupBy("group_id").agg(F.max_by("value", "version").alias("value")).withColumn("told", F.lit(True))
+    sizes = records.groupBy("group_id").agg(F.count(F.lit(1)).alias("__n"))
+    joined = known_of(records, last.join(sizes, "group_id"), "group_id", "__n")
     return joined.withColumn("proposed_album", F.when(F.col("told"), F.col("value")).otherwise(F.col("proposed_album"))).drop("value", "told")
 
 

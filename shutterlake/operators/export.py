@@ -9,6 +9,7 @@ from shutterlake.functions.dates import stamp
 from shutterlake.functions.paths import extension
 from shutterlake.operators.albums import min_dates, problems, target_albums
 from shutterlake.operators.running import running
+from shutterlake.operators.spread import known_of
 
 #: Offenders that a refusal names; it counts the others.
 MOST_NAMED = 1000
@@ -38,12 +39,14 @@ def plan(records: DataFrame) -> DataFrame:
 
     The folder of an album has the least date over all its groups; the name has the file's own date. The n-th claimant
     of a path, by group and filename, gets -n before the extension: claimants are counted in ranges, so that a path that
-    all records claim is no single task's work. Dates per album meet pre-aggregated.
+    all records claim is no single task's work. Dates per album meet pre-aggregated, and neither an album nor a group,
+    however large, is gathered for them.
     """
-    goals = target_albums(records)
-    rows = records.join(goals.withColumnRenamed("target", "goal"), "group_id", "left")
-    least = goals.where(F.col("target").isNotNull()).join(min_dates(records), "group_id").groupBy(F.col("target").alias("goal")).agg(F.min("min_date").alias("folder_date"))
-    rows = rows.join(least, "goal", "left")
+    goals = target_albums(records, size="__n")
+    rows = known_of(records, goals.withColumnRenamed("target", "goal"), "group_id", "__n")
+    dated = goals.where(F.col("target").isNotNull()).join(min_dates(records), "group_id")
+    least = dated.groupBy(F.col("target").alias("goal")).agg(F.min("min_date").alias("folder_date"), F.sum("__n").alias("__n"))
+    rows = known_of(rows, least, "goal", "__n")
     year = lambda c: F.year(c).cast("string")
     folder = F.when(F.col("goal").isNotNull(), F.concat(year("folder_date"), F.lit("/"), F.date_format("folder_date", "yyyyMMdd"), F.lit("-"), "goal")).otherwise(year("first_date"))
     root = F.concat(folder, F.lit("/"), stamp(F.col("first_date")))
