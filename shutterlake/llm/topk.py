@@ -7,12 +7,13 @@ becomes a local cosine threshold. Where that is high, the query's largest coordi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,8 +21,12 @@ from shutterlake.llm.common import forget, read, stored
 
 #: Rows of the bounded set of long vectors that gives each query its first lower bound.
 SEED_ROWS = 2048
-#: Queries in one block; bytes of a chunk's vectors at 16 bits a component, and the most and least of them.
+#: Queries in one block; bytes of a chunk's vectors at 16 bits a component, and the least and most of them.
 BLOCK_QUERIES, CHUNK_BYTES, CHUNK_ROWS = 1024, 4 << 20, (256, 1 << 16)
+#: Levels of what queries ask of a vector's length, by quantiles; a block is of one level.
+LEVELS = 64
+#: Meetings of a chunk with a group of blocks, for each task that can run at a time.
+MEETINGS = 4
 #: Local cosine thresholds from here on use a coordinate, below it the length.
 COORDINATE_FROM = 0.5
 
@@ -85,7 +90,7 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 _PACKED = "{0} int, {1} int, dim int, ids binary, norms binary, vs binary"
 
 
-def _pack(rows: DataFrame, keys: tuple[str, str]) -> DataFrame:
+def _pack(rows: DataFrame, keys: tuple[str, str], bounds: bool = False) -> DataFrame:
     """One row per group: its vectors, longest first, as binaries (groups are bounded by how they were dealt)."""
 
     def pack(table: pa.Table) -> pa.Table:
@@ -93,39 +98,52 @@ def _pack(rows: DataFrame, keys: tuple[str, str]) -> DataFrame:
         blobs = [x.as_buffer().to_pybytes() for x in table.column("v")]
         order = np.array(sorted(range(len(ids)), key=lambda k: (-norms[k], ids[k], blobs[k])))
         v = _narrow(_stacked([blobs[k] for k in order], dim))
-        values = [pa.array([x.tobytes()], pa.binary()) for x in (ids[order].astype("<i8"), norms[order].astype("<f8"), v)]
-        return pa.table([*(table.column(c).slice(0, 1) for c in (*keys, "dim")), *values], names=[*keys, "dim", "ids", "norms", "vs"])
+        values = [ids[order].astype("<i8"), norms[order].astype("<f8"), v, *([table.column("bound").to_numpy()[order].astype("<f8")] if bounds else [])]
+        least = [pa.array([float(table.column("need").to_numpy().min())])] if bounds else []
+        return pa.table([*(table.column(c).slice(0, 1) for c in (*keys, "dim")), *(pa.array([x.tobytes()], pa.binary()) for x in values), *least], names=[*keys, "dim", *names])
 
-    return rows.select(*keys, "dim", "vec_id", "norm", "v").groupBy(*keys, "dim").applyInArrow(pack, _PACKED.format(*keys))
-
-
-_BLOCK = "part int, block int, dim int, ids binary, norms binary, vs binary, bound binary, need double"
+    names = ["ids", "norms", "vs", *(["bound", "need"] if bounds else [])]
+    told = ["bound", "need"] if bounds else []
+    return rows.select(*keys, "dim", "vec_id", "norm", "v", *told).groupBy(*keys, "dim").applyInArrow(pack, _PACKED.format(*keys) + (", bound binary, need double" if bounds else ""))
 
 
 def _seeded(seed: dict, k: int):
-    """Adds to each query block the k-th best score of its queries within the seed (minus infinity if there are fewer)."""
+    """Adds to each query the k-th best score within the seed (minus infinity if it has fewer), and the least length that this asks of a vector."""
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, needs = [], []
-            for row in batch.to_pylist():
-                ids, norms = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["norms"], "<f8")
-                bound = np.full(len(ids), -np.inf)
-                if row["dim"] in seed:
-                    seed_ids, v = seed[row["dim"]]
-                    s = _products(_matrix(row["vs"], row["dim"], len(ids)), v).astype(np.float64)
-                    s[ids[:, None] == seed_ids[None, :]] = -np.inf
+        for whole in batches:
+            for batch in (whole.slice(at, BLOCK_QUERIES) for at in range(0, len(whole), BLOCK_QUERIES)):
+                ids, dims, norms = (batch.column(c).to_numpy() for c in ("vec_id", "dim", "norm"))
+                blobs, bound = [x.as_buffer().to_pybytes() for x in batch.column("v")], np.full(len(batch), -np.inf)
+                for dim in set(dims.tolist()) & set(seed):
+                    (seed_ids, v), mine = seed[dim], np.flatnonzero(dims == dim)
+                    s = _products(_stacked([blobs[i] for i in mine], dim), v).astype(np.float64)
+                    s[ids[mine, None] == seed_ids[None, :]] = -np.inf
                     if s.shape[1] >= k:
-                        bound = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                out.append(bound.astype("<f8").tobytes())
-                # The least length that any of its queries asks of a vector.
-                needs.append(float(np.where((bound > 0) & (norms > 0), bound / np.maximum(norms, 1e-300), 0.0).min()))
-            names = [x.split()[0] for x in _BLOCK.split(", ")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:6]), pa.array(out, pa.binary()), pa.array(needs, pa.float64())], names=names)
+                        bound[mine] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                need = np.where((bound > 0) & (norms > 0), bound / np.maximum(norms, 1e-300), 0.0)
+                yield batch.append_column("bound", pa.array(bound)).append_column("need", pa.array(need))
 
     return bounds
 
 
+def _dealt(rows: DataFrame, by: str, most: int, size) -> tuple[DataFrame, Column, dict]:
+    """rows with their level of `by`, one of `most` at most; the number of shares that each level and dimension is cut
+    into, as a column and as {(level, dim): shares}, for size(dim) rows a share."""
+    cuts = sorted(set(rows.approxQuantile(by, [i / most for i in range(1, most)], 0.005))) if most > 1 else []
+    levelled = rows.withColumn("level", sum((F.when(F.col(by) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    counts = levelled.groupBy("level", "dim").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per level and dimension
+    shares = {(r.level, r.dim): -(-r.n // size(r.dim)) for r in counts}
+    return levelled, _told(shares), shares
+
+
+def _told(values: dict) -> Column:
+    """The value of a row's level and dimension."""
+    if not values:
+        return F.lit(1)
+    return F.element_at(F.create_map(*[x for (a, d), n in values.items() for x in (F.struct(F.lit(a).alias("level"), F.lit(d).alias("dim")), F.lit(n))]), F.struct("level", "dim"))
+
+
 _HIT = "query_id long, vec_id long, score long"
 
 
@@ -137,7 +155,7 @@ def _probe(k: int):
         for batch in batches:
             for i in range(len(batch)):
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
-                here = tuple(row[n].as_py() for n in ("bucket", "chunk", "dim"))
+                here = tuple(row[n].as_py() for n in ("bucket", "chunk", "dim", "part"))
                 ids, norms = (np.frombuffer(row[n].as_buffer(), t) for n, t in (("ids", "<i8"), ("norms", "<f8")))
                 v = _matrix(row["vs"].as_buffer(), here[2], len(ids))
                 if row["block"].as_py() < 0:
@@ -215,31 +233,44 @@ def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: float
     for dim in {r.dim for r in long_rows}:
         own = [r for r in long_rows if r.dim == dim]
         seed[dim] = np.array([r.vec_id for r in own]), _stacked([bytes(r.v) for r in own], dim)
-    # Buckets of like length: 64 at most, by quantiles; chunks within a bucket deal a crowded length out evenly.
-    cuts = sorted(set(rows.approxQuantile("norm", [i / 64 for i in range(1, 64)], 0.005))) if n > CHUNK_ROWS[0] else []
-    bucket = sum((F.when(F.col("norm") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    sized = rows.withColumn("bucket", bucket)
-    even = -(-n // (4 * spark.sparkContext.defaultParallelism))
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("s")).select("vec_id", "s.dim", "s.norm", "s.v")
+    asked = bounded = stored(asked.mapInArrow(_seeded(seed, k), _VECTOR + ", bound double, need double"), "bounds")
+    m = asked.count()
+    # Chunks and groups of query blocks are a grid of meetings, a few for each task that can run at a time. It is cut so
+    # that as little as possible is copied: rows go to the groups, queries to the chunks.
+    width = rows.agg(F.sum(2 * F.col("dim") + 16)).first()[0] or 1
+    asked_width = asked.agg(F.sum(2 * F.col("dim") + 24)).first()[0] or 1
+    wanted = MEETINGS * spark.sparkContext.defaultParallelism
+    even = -(-n // min(wanted, max(1, math.ceil(math.sqrt(wanted * width / asked_width)))))
     rows_of = lambda dim: min(max(CHUNK_ROWS[0], min(CHUNK_BYTES // (2 * max(1, dim)), even)), CHUNK_ROWS[1])
-    counts = sized.groupBy("bucket", "dim").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per length bucket and dimension
-    chunks = F.create_map(*[x for r in counts for x in (F.struct(F.lit(r.bucket).alias("bucket"), F.lit(r.dim).alias("dim")), F.lit(-(-r.n // rows_of(r.dim))))])
-    dealt = sized.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.element_at(chunks, F.struct("bucket", "dim"))).cast("int") if counts else F.lit(0))
+    # Buckets of like length: 64 at most, by quantiles; chunks within a bucket deal a crowded length out evenly.
+    sized, shares, chunks = _dealt(rows, "norm", 64 if n > CHUNK_ROWS[0] else 1, rows_of)
+    dealt = sized.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), shares).cast("int")).withColumnRenamed("level", "bucket")
     packed = stored(_with_reach(_pack(dealt, ("bucket", "chunk"))), "chunks")
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("s")).select("vec_id", "s.*")
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = _pack(asked.withColumn("part", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), ("part", "block"))
-    asked = stored(asked.mapInArrow(_seeded(seed, k), _BLOCK), "queries")
+    # Queries that ask for like lengths are in one block, and like blocks in one group.
+    groups = max(1, -(-wanted // max(1, sum(chunks.values()))))
+    levelled, shares, blocks = _dealt(asked, "need", min(LEVELS, max(1, -(-m // BLOCK_QUERIES))), lambda dim: BLOCK_QUERIES)
+    before, of_dim = {}, {}
+    for level, dim in sorted(blocks):
+        before[level, dim] = of_dim.get(dim, 0)
+        of_dim[dim] = before[level, dim] + blocks[level, dim]
+    part = F.floor(F.col("block") * groups / _told({key: of_dim[key[1]] for key in blocks})).cast("int")
+    numbered = levelled.withColumn("block", (_told(before) + F.pmod(F.xxhash64("vec_id"), shares)).cast("int")).withColumn("part", part)
+    asked = stored(_pack(numbered, ("part", "block"), bounds=True), "queries")
     # Which block meets which chunk is decided on lengths and bounds alone; of a block these are a few bytes for
-    # BLOCK_QUERIES queries, which are sent to the tasks. Then each chunk travels once, and blocks to the chunks they meet.
-    meets = packed.select("bucket", "chunk", "dim", "reach").join(F.broadcast(asked.select("block", "dim", "need")), "dim").where(F.col("reach") >= F.col("need") * (1 - 1e-9))
-    sent = meets.select("bucket", "chunk", "dim", "block").join(asked.drop("part", "need"), ["block", "dim"])
-    stay = packed.withColumn("block", F.lit(-1)).withColumn("bound", F.lit(None).cast("binary")).drop("reach")
-    order = ["bucket", "chunk", "dim", "block"]
-    met = stay.unionByName(sent.select(*stay.columns)).repartition("bucket", "chunk", "dim").sortWithinPartitions(*order)
+    # BLOCK_QUERIES queries, which are sent to the tasks, and of the groups fewer. Then a chunk travels once for each
+    # group that has a block for it, and blocks to the chunks they meet.
+    reached = lambda c: F.col("reach") >= F.col(c) * (1 - 1e-9)
+    meets = packed.select("bucket", "chunk", "dim", "reach").join(F.broadcast(asked.select("block", "dim", "need")), "dim").where(reached("need"))
+    sent = meets.select("bucket", "chunk", "dim", "block").join(asked.drop("need"), ["block", "dim"])
+    least = asked.groupBy("dim", "part").agg(F.min("need").alias("least"))
+    stay = packed.join(F.broadcast(least), "dim").where(reached("least")).withColumn("block", F.lit(-1)).withColumn("bound", F.lit(None).cast("binary")).drop("reach", "least")
+    order = ["bucket", "chunk", "dim", "part", "block"]
+    met = stay.unionByName(sent.select(*stay.columns)).repartition("bucket", "chunk", "dim", "part").sortWithinPartitions(*order)
     hits = met.mapInArrow(_probe(k), _HIT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = stored(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk")
-    for table in (rows, packed, asked):
+    for table in (rows, bounded, packed, asked):
         forget(table)
     return out
 

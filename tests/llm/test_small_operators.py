@@ -39,8 +39,11 @@ def test_topk_equals_all_products(spark, scale, spread):
     assert {tuple(g) for g in got} == want and len(got) == len(want)
 
 
-def test_topk_over_many_chunks_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK_ROWS", (16, 40))
+@pytest.mark.parametrize("rows_a_chunk,meetings", [((16, 40), 4), ((16, 400), 4), ((100, 400), 1), ((200, 400), 400)])
+def test_topk_over_many_chunks_and_blocks(spark, monkeypatch, rows_a_chunk, meetings):
+    # The last ones are grids of few chunks and many groups of blocks.
+    monkeypatch.setattr(topk, "CHUNK_ROWS", rows_a_chunk)
+    monkeypatch.setattr(topk, "MEETINGS", meetings)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
     r = np.random.default_rng(6)
     x = np.round(r.normal(size=(500, 5)), 3) * np.exp(r.normal(size=(500, 1)))
