@@ -227,7 +227,7 @@ def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: float
     """
     spark = vectors.sparkSession
     rows = stored(vectors.select("vec_id", "embedding").mapInArrow(_quantised(scale), _VECTOR), "vectors")
-    n = rows.count()
+    n, width = rows.agg(F.count(F.lit(1)), F.sum(2 * F.col("dim") + 16)).first()
     seed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     long_rows = rows.orderBy(F.desc("norm"), "vec_id", "v").limit(seed_rows).collect()  # bounded by seed_rows
     for dim in {r.dim for r in long_rows}:
@@ -235,13 +235,11 @@ def exact_topk(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: float
         seed[dim] = np.array([r.vec_id for r in own]), _stacked([bytes(r.v) for r in own], dim)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("s")).select("vec_id", "s.dim", "s.norm", "s.v")
     asked = bounded = stored(asked.mapInArrow(_seeded(seed, k), _VECTOR + ", bound double, need double"), "bounds")
-    m = asked.count()
+    m, asked_width = asked.agg(F.count(F.lit(1)), F.sum(2 * F.col("dim") + 24)).first()
     # Chunks and groups of query blocks are a grid of meetings, a few for each task that can run at a time. It is cut so
     # that as little as possible is copied: rows go to the groups, queries to the chunks.
-    width = rows.agg(F.sum(2 * F.col("dim") + 16)).first()[0] or 1
-    asked_width = asked.agg(F.sum(2 * F.col("dim") + 24)).first()[0] or 1
     wanted = MEETINGS * spark.sparkContext.defaultParallelism
-    even = -(-n // min(wanted, max(1, math.ceil(math.sqrt(wanted * width / asked_width)))))
+    even = -(-n // min(wanted, max(1, math.ceil(math.sqrt(wanted * (width or 1) / (asked_width or 1))))))
     rows_of = lambda dim: min(max(CHUNK_ROWS[0], min(CHUNK_BYTES // (2 * max(1, dim)), even)), CHUNK_ROWS[1])
     # Buckets of like length: 64 at most, by quantiles; chunks within a bucket deal a crowded length out evenly.
     sized, shares, chunks = _dealt(rows, "norm", 64 if n > CHUNK_ROWS[0] else 1, rows_of)
