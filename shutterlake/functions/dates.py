@@ -16,14 +16,21 @@ def normalize_disk_date(text: Column) -> Column:
     return F.when(text.rlike(DISK_DATE), iso)
 
 
+def _epoch_text(seconds: Column, rest: str) -> Column:
+    """The year of epoch seconds given as text, then the rest by its pattern, in UTC. date_format would sign years beyond 9999."""
+    time = F.timestamp_seconds(seconds.try_cast("bigint")).cast("timestamp_ntz")
+    year = F.year(time).cast("string")
+    return F.concat(F.when(F.year(time).between(0, 999), F.lpad(year, 4, "0")).otherwise(year), F.date_format(time, rest))
+
+
 def epoch_to_iso(seconds: Column) -> Column:
     """ISO text in UTC of epoch seconds given as text; null if that isn't a whole number."""
-    return F.date_format(F.timestamp_seconds(seconds.try_cast("bigint")).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+    return _epoch_text(seconds, "-MM-dd'T'HH:mm:ss")
 
 
 def epoch_to_exif(seconds: Column) -> Column:
     """The text that a tag gets for epoch seconds: the time in UTC with its zone."""
-    return F.concat(F.date_format(F.timestamp_seconds(seconds.try_cast("bigint")).cast("timestamp_ntz"), "yyyy:MM:dd HH:mm:ss"), F.lit("+00:00"))
+    return F.concat(_epoch_text(seconds, ":MM:dd HH:mm:ss"), F.lit("+00:00"))
 
 
 #: A date with or without hyphens, then perhaps a time with or without colons, a fraction and a zone.

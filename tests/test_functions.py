@@ -63,6 +63,12 @@ def test_epochs(spark, text, iso):
     assert one(spark, text, dates.epoch_to_exif) == EXIF.get(text)
 
 
+@pytest.mark.parametrize("text,year", [("253402300799", "9999"), ("253402300800", "10000"), ("900002700000", "30489"), ("-62135596801", "0000"), ("-30000000000", "1019"), ("-65000000000", "-90")])
+def test_epochs_beyond_four_digit_years(spark, text, year):
+    # As SQL's strftime writes %Y: without a sign before years over 9999.
+    assert one(spark, text, dates.epoch_to_iso).startswith(f"{year}-") and one(spark, text, dates.epoch_to_exif).startswith(f"{year}:")
+
+
 @pytest.mark.parametrize("text", [
     "2024-01-02", "20240102", "2024-01-02T03:04:05", "2024-01-02 03:04", "2024-01-02T03", "20240102T030405", "2024-01-02T03:04:05.25", "2024-01-02T03:04:05,123456789", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.5+02:00", "2024-01-02T03:04-0330", "2024-02-29",
     "2023-02-29", "2024-13-01", "2024-01-02T25:00:00", "2024-0102", "2024-01-02T03:0405", "2024-1-2", "x", "", "2024-01-02T", "2024-01-02T03:04:05+2", "0000-00-00T00:00:00",
