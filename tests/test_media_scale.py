@@ -116,3 +116,11 @@ def test_means_are_added_up_where_they_are_read(spark):
     for key in {k for k, _ in rows}:
         m = np.mean([v for k, v in rows if k == key], axis=0)
         assert np.allclose(got[key], m / np.linalg.norm(m), atol=1e-6)
+
+
+def test_a_gap_is_told_to_the_microsecond(spark):
+    t = datetime.datetime(2024, 1, 1)
+    late = [datetime.timedelta(hours=48), datetime.timedelta(hours=48, microseconds=1), datetime.timedelta(hours=48, microseconds=999_999)]
+    rows = spark.createDataFrame([(i, x) for i, d in enumerate(late) for x in (t, t + d)], "key int, ts timestamp_ntz")
+    got = heuristics.events(rows, "key", "ts").groupBy("key").agg(F.max("event").alias("event")).collect()
+    assert {r.key: r.event for r in got} == {0: 0, 1: 1, 2: 1}
