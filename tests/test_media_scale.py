@@ -124,3 +124,40 @@ def test_a_gap_is_told_to_the_microsecond(spark):
     rows = spark.createDataFrame([(i, x) for i, d in enumerate(late) for x in (t, t + d)], "key int, ts timestamp_ntz")
     got = heuristics.events(rows, "key", "ts").groupBy("key").agg(F.max("event").alias("event")).collect()
     assert {r.key: r.event for r in got} == {0: 0, 1: 1, 2: 1}
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written for shuffles so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_vectors_travel_once_for_each_part(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16)).astype(np.float32)
+    rows = [(f"p{i:05d}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "path string, embedding array<float>").repartition(2).persist()
+    assert df.count() == len(rows)
+    before = shuffled(spark)
+    got = metric.nearest(df, df, 3).collect()
+    # All queries meet nearly all zones here; no zone is sent a copy of their vectors.
+    assert len(got) == 3 * len(rows) and shuffled(spark) - before < 5 * x.nbytes
+    df.unpersist()
+
+
+def test_parts_of_rows_meet_groups_of_queries(spark, monkeypatch):
+    for name, value in (("PART_ROWS", 100), ("GROUP_QUERIES", 13), ("LEAST_ROWS", 50), ("ROW_BLOCK", 16), ("QUERY_BLOCK", 8)):
+        monkeypatch.setattr(metric, name, value)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(500, 6)), np.repeat(rng.integers(-2, 3, (3, 6)), 60, axis=0)])
+    rows = [(f"p{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "path string, embedding array<double>").repartition(3)
+    asked = rows[::17]
+    found = {}
+    for r in sorted(metric.nearest(df, spark.createDataFrame(asked, df.schema), 4).collect(), key=lambda r: r.rank):
+        found.setdefault(r.query, []).append(r.score)
+    for q, v in asked:
+        assert np.allclose(found[q], sorted((float(np.dot(v, y)) for p, y in rows if p != q), reverse=True)[:4])
