@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.albums import valid_album_name
@@ -22,21 +22,30 @@ def conflicts(records: DataFrame) -> DataFrame:
     return proposals(records).where(F.size("proposals") > 1)
 
 
-def target_albums(records: DataFrame, size: str | None = None) -> DataFrame:
+def target_albums(records: DataFrame, *more: Column) -> DataFrame:
     """(group_id, target): the first non-empty proposal in file order, else the first non-empty import album, else null.
 
-    With `size`, a column of that name has the group's number of records.
+    `more` are aggregates over the group's records, each a column of its own.
     """
     first = lambda c: F.min(F.when(_FULL(c), F.struct("filename", F.col(c).alias("v"))))["v"]
-    both = records.groupBy("group_id").agg(first("proposed_album").alias("p"), first("album").alias("a"), F.count(F.lit(1)).alias("n"))
-    return both.select("group_id", F.coalesce("p", "a").alias("target"), *([F.col("n").alias(size)] if size else []))
+    both = records.groupBy("group_id").agg(first("proposed_album").alias("p"), first("album").alias("a"), *more)
+    return both.select("group_id", F.coalesce("p", "a").alias("target"), *both.columns[3:])
+
+
+def _dated(records: DataFrame) -> Column:
+    """The records' first_date; one without fails the query."""
+    undated = F.raise_error(F.concat(F.lit("a record without a date is in group "), F.coalesce("group_id", F.lit("")))).cast(records.schema["first_date"].dataType)
+    return F.coalesce("first_date", undated)
 
 
 def min_dates(records: DataFrame) -> DataFrame:
     """(group_id, min_date) of records(group_id, first_date); a group with an undated member fails the query."""
-    undated = F.raise_error(F.concat(F.lit("a record without a date is in group "), F.coalesce("group_id", F.lit("")))).cast(records.schema["first_date"].dataType)
-    records = records.withColumn("first_date", F.coalesce("first_date", undated))
-    return records.groupBy("group_id").agg(F.min("first_date").alias("min_date"))
+    return records.groupBy("group_id").agg(F.min(_dated(records)).alias("min_date"))
+
+
+def targets_with_dates(records: DataFrame, size: str) -> DataFrame:
+    """(group_id, target, min_date, `size`): target_albums and min_dates at once, and each group's number of records."""
+    return target_albums(records.where(F.col("group_id").isNotNull()), F.min(_dated(records)).alias("min_date"), F.count(F.lit(1)).alias(size))
 
 
 def invalid_names(records: DataFrame, all_proposals: bool = True) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions.dates import stamp
 from shutterlake.functions.paths import extension
-from shutterlake.operators.albums import min_dates, problems, target_albums
+from shutterlake.operators.albums import problems, targets_with_dates
 from shutterlake.operators.running import running
 from shutterlake.operators.spread import known_of
+from shutterlake.sources.kept import dropped, kept
 
 #: Offenders that a refusal names; it counts the others.
 MOST_NAMED = 1000
@@ -40,17 +41,21 @@ def plan(records: DataFrame) -> DataFrame:
     The folder of an album has the least date over all its groups; the name has the file's own date. The n-th claimant
     of a path, by group and filename, gets -n before the extension: claimants are counted in ranges, so that a path that
     all records claim is no single task's work. Dates per album meet pre-aggregated, and neither an album nor a group,
-    however large, is gathered for them.
+    however large, is gathered for them. The records are computed once; between the steps stand tables, so that no more
+    than one shuffle of all records is on disk at a time.
     """
-    goals = target_albums(records, size="__n")
-    rows = known_of(records, goals.withColumnRenamed("target", "goal"), "group_id", "__n")
-    dated = goals.where(F.col("target").isNotNull()).join(min_dates(records), "group_id")
-    least = dated.groupBy(F.col("target").alias("goal")).agg(F.min("min_date").alias("folder_date"), F.sum("__n").alias("__n"))
-    rows = known_of(rows, least, "goal", "__n")
+    told = kept(records, "records", free=True)
+    groups = kept(targets_with_dates(told, "__n").withColumnRenamed("target", "goal"), "groups", free=True)
+    least = groups.where(F.col("goal").isNotNull()).groupBy("goal").agg(F.min("min_date").alias("folder_date"), F.count(F.lit(1)).alias("__groups"))
+    facts = kept(known_of(groups, least, "goal", "__groups").select("group_id", "goal", "folder_date", "__n"), "facts", free=True)
+    rows = known_of(told, facts, "group_id", "__n")
     year = lambda c: F.year(c).cast("string")
     folder = F.when(F.col("goal").isNotNull(), F.concat(year("folder_date"), F.lit("/"), F.date_format("folder_date", "yyyyMMdd"), F.lit("-"), "goal")).otherwise(year("first_date"))
     root = F.concat(folder, F.lit("/"), stamp(F.col("first_date")))
-    rows = rows.withColumn("root", root).withColumn("ext", extension(F.col("filename")))
-    rows = running(rows, ["root", "ext"], ["group_id", "filename"], "n")
+    rooted = kept(rows.withColumn("root", root).withColumn("ext", extension(F.col("filename"))).drop("goal", "folder_date"), "rooted", free=True)
+    for done in (told, groups, facts):
+        dropped(done)
+    rows = running(rooted, ["root", "ext"], ["group_id", "filename"], "n")
+    dropped(rooted)
     target = F.concat("root", F.when(F.col("n") > 0, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""), "ext")
-    return rows.withColumn("target", target).drop("goal", "folder_date", "root", "ext", "n")
+    return rows.withColumn("target", target).drop("root", "ext", "n")

@@ -72,7 +72,7 @@ def running(rows: DataFrame, by: list[str], order: list[str], out: str, value: C
     valued = rows.withColumn(_VALUE, (F.lit(1) if value is None else value).cast("long"))
     ranged = valued.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
     added = [StructField(_TASK, IntegerType()), StructField(_AT, LongType()), StructField(_BEFORE, LongType()), StructField(_FIRST, BooleanType())]
-    counted = kept(ranged.mapInArrow(_count(by), StructType([*ranged.schema.fields, *added])), "running")
+    counted = kept(ranged.mapInArrow(_count(by), StructType([*ranged.schema.fields, *added])), "running", free=True)
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     # One row per task: the key that it begins with, and the one that it ends with and how much that has in it.
     edges = counted.groupBy(_TASK).agg(F.min_by(key, _AT).alias("begins"), F.max_by(key, _AT).alias("ends"), F.max_by(F.col(_BEFORE) + F.col(_VALUE), _AT).alias("held"))

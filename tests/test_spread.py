@@ -1,10 +1,15 @@
 import datetime
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.operators import albums, dedupe, export, spread
+from shutterlake.sources import kept
+
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @pytest.fixture
@@ -70,3 +75,34 @@ def test_an_album_and_a_group_of_half_the_records(spark, crowded):
     assert len(got) == n and len(set(got.values())) == n
     assert sum(t.startswith("2020/20200101-Lakes/") for t in got.values()) == n // 2
     assert sum("-Sea/" in t for t in got.values()) == n // 4
+
+
+def test_a_plan_leaves_one_table(spark):
+    day = datetime.datetime(2020, 1, 1)
+    i = F.col("id")
+    records = spark.range(3000).select(
+        F.format_string("f%05d.jpg", i).alias("filename"), F.concat(F.lit("g"), i % 700).alias("group_id"), F.lit(day).alias("first_date"),
+        F.when(i % 4 > 0, "Sea").alias("album"), F.lit(None).cast("string").alias("proposed_album"),
+    )
+    before, folder = spark.conf.get(FREED), Path(kept.shared_folder(spark).removeprefix("file:"))
+    there = {p.name for p in folder.iterdir()}
+    planned = export.plan(records.repartition(5))
+    tables = {p.name for p in folder.iterdir()} - there
+    assert len(tables) == 1 and "running" in tables.pop()
+    assert planned.select("target").distinct().count() == 3000
+    assert spark.conf.get(FREED) == before
+
+
+def test_what_is_shuffled_for_a_table_goes_when_it_is_written(spark, tmp_path):
+    def shuffles():
+        at = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum(at.apply(i).getName().endswith(".data") for i in range(at.size()))
+
+    rows = spark.range(1000).repartition(7, "id")
+    before = shuffles()
+    table = kept.kept(rows, "x", str(tmp_path / "x"), free=True)
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and table.count() == 1000
