@@ -103,6 +103,44 @@ def test_long_trips(spark):
     assert heuristics.in_trips(rows, trips.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_trips_of_equal_times_in_tiles(spark, monkeypatch, kind):
+    rng = random.Random(8)
+    t = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=n * 3_600_000_000 // 7)
+    spans = [(a, a + rng.randrange(-3, 400)) for a in (rng.randrange(0, 900) for _ in range(25))] + [(5, 5), (-9_000, 90_000)]
+    trips = [(i, *rng.choice(spans), rng.choice([None, "x", "yé"])) for i in range(300)]
+    rows = [(i, rng.choice([None, "", "ab"]), rng.choice([0, 5, 5, rng.randrange(-50, 1_400)])) for i in range(700)] + [(700, "z", None)]
+    expected = sorted((i, i_name or "-", k, k_name or "-") for i, i_name, n in rows for k, a, e, k_name in trips if n is not None and a <= n <= e)
+    df = spark.createDataFrame([(i, name, None if n is None else t(n)) for i, name, n in rows], f"id int, name string, ts {kind}").repartition(3)
+    of = spark.createDataFrame([(k, t(a), t(e), name) for k, a, e, name in trips], f"trip_id int, starts {kind}, ends {kind}, place string").repartition(2)
+    for run_rows, run_trips, size in ((1024, 256, 8 << 20), (7, 2, 300), (50, 3, 4_000)):
+        monkeypatch.setattr(heuristics, "RUN_ROWS", run_rows)
+        monkeypatch.setattr(heuristics, "RUN_TRIPS", run_trips)
+        monkeypatch.setattr(heuristics, "PAIR_BYTES", size)
+        # Beyond what is sent, trips are met by days.
+        for sent in (300, 10) if run_rows == 1024 else (300,):
+            met = heuristics.in_trips(df, of, sent)
+            assert met.columns == ["id", "name", "ts", "trip_id", "starts", "ends", "place"]
+            got = met.collect()
+            assert sorted((r.id, r.name or "-", r.trip_id, r.place or "-") for r in got) == expected
+            assert all(r.starts <= r.ts <= r.ends for r in got)
+
+
+def test_pairs_with_trips_fill_little_disk(spark, tmp_path):
+    t = F.timestamp_seconds
+    rows = spark.range(400).select("id", t(1_704_067_200 + F.col("id") * 60).alias("ts"))
+    start = 1_704_067_200 + F.col("id") % 4 * 60
+    trips = spark.range(24_000).select(F.col("id").alias("trip_id"), t(start).alias("starts"), t(start + 30_000).alias("ends"))
+    met = heuristics.in_trips(rows, trips)
+    met.select("id", "trip_id").write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == sum(6_000 for i in range(400) for k in range(4) if i >= k)
+    # The trips of one row alone fill a page of a file: by rows, each pair would need its trip's number.
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.3 * out.count()
+    # One day is dealt to several tasks.
+    assert out.groupBy(F.input_file_name()).count().count() > 1
+
+
 def test_means_are_added_up_where_they_are_read(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 6))
