@@ -1,7 +1,9 @@
 import datetime
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +143,37 @@ def test_pairs_with_trips_fill_little_disk(spark, tmp_path):
     assert out.groupBy(F.input_file_name()).count().count() > 1
 
 
+def test_pairs_at_few_of_the_times_are_dealt_to_all_tasks(spark):
+    second = 1_704_067_200
+    t = lambda c: F.timestamp_micros(c)
+    # 400 of 40,400 rows are in trips, each of times of its own.
+    rows = spark.range(40_400).select("id", F.timestamp_seconds(second + F.when(F.col("id") < 400, F.col("id") * 60).otherwise(F.col("id") * 3_600)).alias("ts"))
+    start = second * 1_000_000 + F.col("id") * 100_000
+    trips = spark.range(24_000).select(F.col("id").alias("trip_id"), t(start).alias("starts"), t(start + 30_000_000_000).alias("ends"))
+    got = heuristics.in_trips(rows, trips).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("trip_id").alias("trip_ids")).collect()
+    at, of = np.arange(400) * 60_000_000, np.arange(24_000)
+    held = [of[(of * 100_000 <= a) & (a <= of * 100_000 + 30_000_000_000)] for a in at.tolist()]
+    assert sum(r.n for r in got) == sum(map(len, held))
+    assert sum(r.ids for r in got) == sum(i * len(h) for i, h in enumerate(held))
+    assert sum(r.trip_ids for r in got) == sum(int(h.sum()) for h in held)
+    assert len(got) == 4 and max(r.n for r in got) < 0.5 * sum(r.n for r in got)
+
+
+def test_pairs_leave_python_as_lists(spark):
+    t = pa.array(np.arange(2_000) * 1_000_000, pa.timestamp("us"))
+    trips = pa.table({"trip_id": np.arange(5_000), "__starts": pa.array(np.zeros(5_000, int), t.type), "__ends": pa.array(np.full(5_000, 1_500_000_000), t.type)})
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(2_000)), t], names=["id", "__at"])
+    out = list(heuristics._tiles(SimpleNamespace(value=trips), ["id"], ["trip_id"], ["ids", "trip_ids"])([rows]))
+    tiles = [(a, b) for batch in out for a, b in zip(batch["ids"].to_pylist(), batch["trip_ids"].to_pylist(), strict=True)]
+    pairs = np.zeros((2_000, 5_000), int)
+    for a, b in tiles:
+        pairs[np.ix_(a, b)] += 1
+    assert (pairs[:1_501] == 1).all() and not pairs[1_501:].any()
+    assert sum(batch.nbytes for batch in out) < 0.2 * pairs.sum()
+    # Spark holds the pairs of a tile.
+    assert max(len(a) * len(b) for a, b in tiles) * 16 <= heuristics.PAIR_BYTES
+
+
 def test_means_are_added_up_where_they_are_read(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 6))
